@@ -49,6 +49,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_held_out(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_private
+
+    return find_private(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_repeated_lines
 
@@ -101,6 +107,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _query(f) for f in (op1_decontaminate, op2_token_files, op3_packing, op4_topk, op5_toxicity, op7_line_dedup, op9_near_dedup, op10_language_id)
+    f.__name__: _query(f) for f in (op1_decontaminate, op2_token_files, op3_packing, op4_topk, op5_toxicity, op6_pii, op7_line_dedup, op9_near_dedup, op10_language_id)
 }
 ORACLE_SQL = {"op4_topk": OP4_SQL, "op7_line_dedup": OP7_SQL}

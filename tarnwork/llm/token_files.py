@@ -81,14 +81,15 @@ def read_token_files(spark, path: str, columns: list[str] | None = None) -> Data
     """The files' rows with ``start``, the ids of all documents before each.
 
     ``columns`` without ``ids`` never touches token pages.  Block offsets come from the n_tokens
-    column alone; they are one row per file.
+    column alone; they are one row per file, few enough to be sent to all tasks (a few MB for 100,000
+    files), so that token lists are not shuffled.
     """
     from pyspark.sql import Window
 
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     sums = files.groupBy("block").agg(F.sum("n_tokens").alias("t"))
     ends = sums.select("block", (F.sum("t").over(Window.orderBy("block")) - F.col("t")).alias("before"))
-    out = files.join(ends, "block").withColumn("start", F.col("block_start") + F.col("before"))
+    out = files.join(F.broadcast(ends), "block").withColumn("start", F.col("block_start") + F.col("before"))
     return out.select(*(columns or ["doc_id", "start", "n_tokens", "ids"]))
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -18,6 +20,8 @@ import numpy as np
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+assert sys.byteorder == "little" and array("I").itemsize == 4
+
 _PLAIN = re.compile("[ \\t\\n\\r!-~¡-¬®-ɏ]*").fullmatch
 _ODD = re.compile("[\x1c-\x1f]").search
 _PIECES = re.compile(r"\s*\S+|\s+$").findall
@@ -34,10 +38,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder(dict):
-    """Maps a piece to its ids as little-endian uint32 bytes; at most ``limit`` pieces are kept."""
+    """Maps a piece to its ids as little-endian uint32 bytes; keeps two generations of ``limit`` pieces."""
 
     def __init__(self, path: str, limit: int = 300_000):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         import regex
         from tokenizers import Tokenizer
 
@@ -59,19 +64,25 @@ class PieceEncoder(dict):
             self.model = self.tokenizer.model
 
     def __missing__(self, piece: str) -> bytes:
-        if not _PLAIN(piece):
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        else:
-            ids = []
-            for word in self.cut(piece.lower() if self.kind == "word" else piece):
-                ids += [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-        out = np.array(ids, "<u4").tobytes()
+        out = self.older.get(piece)
+        if out is None:
+            out = self._ids(piece)
         if len(piece) <= 100:
-            if len(self) >= self.limit:
+            if len(self) >= self.limit:  # the younger generation is full: it becomes the older one
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
 
+    def _ids(self, piece: str) -> bytes:
+        if not _PLAIN(piece):
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        low = piece.lower() if self.kind == "word" else piece
+        words = [low] if (low[1:] if low[:1] == " " else low).isalpha() else self.cut(low)
+        if len(words) == 1:
+            return array("I", [t.id for t in self.model.tokenize(words[0].encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return b"".join([self[w] for w in words])
+
     def encode(self, text: str) -> bytes:
         """ids of a whole text, no special tokens, as little-endian uint32 bytes."""
         if self.kind == "whole" or _ODD(text):
