@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_code
+
 #: Spark hint-free bound under which a looked-up table may be broadcast (bytes of its files).
 MIN_LONG = -(1 << 63)
 
@@ -53,24 +55,4 @@ def id_or_min(c: str | Column) -> Column:
     return F.coalesce(c.cast("long"), F.lit(MIN_LONG))
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Give the Python workers this package, through Spark's own file distribution, once a session."""
-    import os
-    import zipfile
-
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    _SHIPPED.add(app)
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tarnwork-code-"), "tarnwork_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(path)
+__all__ = ["MIN_LONG", "fold", "id_or_min", "materialize", "read_table", "shared_dir", "ship_code"]
