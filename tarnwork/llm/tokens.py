@@ -40,7 +40,7 @@ def _byte_letters() -> dict[int, str]:
 class PieceEncoder(dict):
     """Maps a piece to its ids as little-endian uint32 bytes; keeps two generations of ``limit`` pieces."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         super().__init__()
         self.older: dict[str, bytes] = {}
         import regex
@@ -75,6 +75,10 @@ class PieceEncoder(dict):
         return out
 
     def _ids(self, piece: str) -> bytes:
+        core = piece[1:] if piece[:1] == " " else piece
+        if core.isascii() and core.isalpha():  # one word: nothing to cut or to spell
+            word = core.lower() if self.kind == "word" else core if core is piece else self.letters[32] + core
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
         if not _PLAIN(piece):
             return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         low = piece.lower() if self.kind == "word" else piece
