@@ -62,7 +62,7 @@ class LineRuns:
     def _merged(self, names: list[str]) -> DataFrame:
         # Read by path, without the bucketing: Spark 4.1 takes a union of equally bucketed tables for
         # bucketed itself, though it only puts their partitions one after the other.
-        rows = self.spark.read.parquet(*(self.paths[n] for n in names))
+        rows = self.spark.read.schema("h1 long, h2 long, n long, last long").parquet(*(self.paths[n] for n in names))
         return rows.groupBy(*self.KEY).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
     def add(self, batch: DataFrame) -> None:

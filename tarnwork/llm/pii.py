@@ -99,9 +99,9 @@ def _occurrences(found: DataFrame) -> DataFrame:
     o = o.select("rid", "base", F.col("c.end").alias("word_end"), word.alias("word"), F.regexp_extract("c.match", r"^(.*?)\s*\S+$", 1).alias("context"))
     o = o.withColumn("core", F.regexp_extract("word", CORE, 0)).withColumn("start", F.col("word_end") - F.char_length("word") + F.greatest(F.instr("word", F.col("core")) - 1, F.lit(0)))
     o = o.withColumn("end", F.col("start") + F.char_length("core"))
-    seed = F.get(F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))), F.lit(0))["ord"]
+    seed = F.get(F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))), F.lit(0))
     pattern = F.regexp_replace(F.lower(F.trim("context")), r"\s+", " ")
-    return o.select("rid", pattern.alias("pattern"), F.lower("core").alias("instance"), seed.alias("ord"), "start", "end").where("pattern <> ''")
+    return o.select("rid", pattern.alias("pattern"), F.lower(F.coalesce(seed["match"], F.col("core"))).alias("instance"), seed["ord"].alias("ord"), "start", "end").where("pattern <> ''")
 
 
 def find_private(docs: DataFrame) -> DataFrame:

@@ -203,7 +203,8 @@ def test_language_id(spark, docs, empty):
 def test_toxicity(spark, docs, empty):
     from tarnwork.llm.toxicity import score_held_out
 
-    rows = [(1000 + i, f"{text(i, 20)} {'you grobwort' if i % 2 else 'fine'} {text(i + 500, 9)}") for i in range(200)]
+    letters = lambda s, n: re.sub(r"\d", lambda m: "abcdefghij"[int(m.group())], text(s, n))
+    rows = [(1000 + i, f"{letters(i, 20)} {'you grobwort' if i % 2 else 'fine'} {letters(i + 500, 9)}") for i in range(200)]
     t = spark.createDataFrame(rows + ROWS, SCHEMA)
     labels = spark.createDataFrame([(i, 1, int(i % 2)) for i, _ in rows] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     got = score_held_out(t, labels).collect()
