@@ -240,7 +240,8 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, most: int = SAMPLE_PER
     contexts = at.select("toxic", "word", F.xxhash64(F.when(F.col("i") > 0, before).otherwise(""), "word", after).alias("c")).distinct()
     counts = contexts.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
     rate = F.col("t") / sizes[1]
-    learned = counts.where((F.col("t") >= 5) & (rate >= MIN_RATE) & (rate >= MIN_RATIO * (F.col("c") + 0.5) / sizes[0])).orderBy(F.desc("t"), "word").limit(LEXICON)
+    known = [*TARGETS, *NEGATIONS, *REPORTS, *THREATS]
+    learned = counts.where((F.col("t") >= 5) & ~F.col("word").isin(known) & (rate >= MIN_RATE) & (rate >= MIN_RATIO * (F.col("c") + 1) / sizes[0])).orderBy(F.desc("t"), "word").limit(LEXICON)
     matcher = Matcher(sorted({*INSULTS, *(r.word for r in learned.collect())}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
