@@ -35,12 +35,10 @@ from pyspark.sql import functions as F
 from .shared import fold, materialize
 from .shingles import buffers, chunks, words
 
-DEPTH = 5
+DEPTH = 4
 START, END = 0xFE, 0xFF
 #: Rows of a file split are dealt to this many blocks; bytes of a file that make one split.
 PARTS, SPLIT = 2, 48 << 20
-#: Bytes of text whose grams are looked at together.
-CHUNK = 1 << 20
 END_KEY = np.int64(-(1 << 63))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -229,11 +227,11 @@ def _ask(depth: int):
                     data, offsets = buffers(batch.column(2).take(pa.array(pick)))
                     mine = held.setdefault(int(b), [])
                     mine.append((np.array([END_KEY]), np.array([len(pick) * teach])))
-                    for x, y in chunks(offsets, CHUNK):
+                    for x, y in chunks(offsets):
                         for keys in (grams(data, offsets[x : y + 1], depth)[0], word_keys(data, offsets[x : y + 1])[0]):
                             u, n = np.unique(keys, return_counts=True)
                             mine.append((u, n * teach))
-                    if len(mine) > 60:
+                    if len(mine) > 24:
                         held[int(b)] = [squeeze(mine)]
         for b, mine in held.items():
             keys, n = squeeze(mine)
@@ -255,7 +253,7 @@ def _score(depth: int, n_all: int, n_distinct: int):
         cols: list[list] = [[], [], [], []]
         for batch in docs.select(["text"]).to_batches():
             data, offsets = buffers(batch.column(0))
-            for x, y in chunks(offsets, CHUNK):
+            for x, y in chunks(offsets):
                 part = offsets[x : y + 1]
                 g, at = grams(data, part, depth)
                 sums = np.concatenate([[0.0], np.cumsum(gram_log[gram_at.find(g)])])
