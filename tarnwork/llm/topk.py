@@ -40,7 +40,7 @@ LEAF = 48
 class CoverTree:
     """Levels of halving radius: a node's children are chosen greedily so that they are farther than the
     child radius from one another and together cover the node's points within it.  ``radius`` is the
-    measured distance to the farthest point below, at most the cover radius of the level."""
+    measured distance to the farthest point below; children of a few points are put together in leaves."""
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
         self.x, self.leaf = x, leaf
@@ -70,18 +70,29 @@ class CoverTree:
             if len(ids) <= self.leaf or far == 0:
                 self.points[node] = ids
                 continue
-            left, left_d, out, center = ids, d, [], self.center[node]
+            left, left_d, sets, center = ids, d, [], self.center[node]
             while len(left):
                 near = left_d <= far / 2
-                own, own_d = left[near], left_d[near]
-                if len(own):
-                    out.append((self._add(center, float(own_d.max())), own, own_d))
+                if near.any():
+                    sets.append((center, left[near], left_d[near]))
                 left = left[~near]
                 if len(left):
                     center = int(left[0])
                     left_d = np.sqrt(((self.x[left] - self.x[center]) ** 2).sum(axis=1))
-            self.children[node] = np.array([o[0] for o in out])
-            todo += out
+            kids = []
+            for center, own, own_d in sets:
+                if len(own) > self.leaf // 4:
+                    kids.append(self._add(center, float(own_d.max())))
+                    todo.append((kids[-1], own, own_d))
+            # Sets of a few points (far points in many dimensions) share leaves around the node's centre.
+            few = [own for _, own, _ in sets if len(own) <= self.leaf // 4]
+            few = np.concatenate(few) if few else np.zeros(0, np.int64)
+            for i in range(0, len(few), self.leaf):
+                own = few[i : i + self.leaf]
+                away = np.sqrt(((self.x[own] - self.x[self.center[node]]) ** 2).sum(axis=1))
+                kids.append(self._add(self.center[node], float(away.max())))
+                self.points[kids[-1]] = own
+            self.children[node] = np.array(kids)
 
 
 class Search:
