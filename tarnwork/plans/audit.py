@@ -37,6 +37,8 @@ def load(spark: SparkSession, root: str, max_bytes: int = X.MAX_BYTES, **options
     files = files.withColumn("status", F.when(F.col("read_failed"), "read_failed").otherwise(F.col("status")))
     read = files.where("status = 'dehydrated'")
     evidence = E.line_evidence(E.file_lines(read)).unionByName(E.syntax_evidence(read))
+    # Written once to the shared checkpoint folder: later steps neither read the tree nor extract again.
+    evidence = evidence.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else evidence.persist()
     good = evidence.where("kind <> 'error'").distinct()
     return files, good.unionByName(E.external(good)).unionByName(evidence.where("kind = 'error'"))
 
