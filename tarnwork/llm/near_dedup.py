@@ -12,9 +12,11 @@ documents agree in a coordinate with the probability of their weighted Jaccard s
 3. In each bucket all members are compared with its smallest id: as the smallest id of a group of
    copies leads nearly all of the group's buckets, a group of n gives about n pairs, not n squared.
    Both the minimum and the join back to the members split hot buckets.
-4. Members unlike their leader meet again in a set-similarity join inside their bucket, with the
-   prefix filter on shingles sorted by rareness, in blocks of bounded size: exact for all that shared
-   a bucket, though nothing is emitted but verified links, and none inside an already linked set.
+4. Buckets whose members (the leader aside, which has met all) are not yet in one linked set are
+   searched again, like the leader or not, by a set-similarity join with the prefix filter on shingles
+   sorted by rareness, in blocks of bounded size: members outside the bucket's largest linked set meet
+   each other and all of that set, whose members do not meet each other.  So every pair that shared a
+   bucket is compared or already linked; nothing is emitted but verified links.
 5. Links are resolved to connected components by repeated minimum-label contraction.
 
 Similarity is the exact weighted Jaccard similarity of the shingle multisets, at least ``threshold``.
@@ -164,14 +166,16 @@ def similar(a: bytes, b: bytes, threshold: float) -> bool:
     return common >= threshold * union - 1e-9
 
 
-def links_among(ids: list[int], blobs: list[bytes], side: list[int], cross: bool, threshold: float) -> list[tuple[int, int]]:
+def links_among(ids: list[int], blobs: list[bytes], side: list[int], cross: bool, threshold: float, linked: list[int] | None = None) -> list[tuple[int, int]]:
     """Verified links that connect what is similar among the members, found by a prefix-filtered join.
 
-    side: 0 or 1; with ``cross`` only pairs of different sides are looked at.
+    side: 0 or 1; members of side 1 meet those of side 0 only, and with ``cross`` so do those of side 0.
+    linked: members of equal value need no link.
     """
     arrays = [np.unique(np.frombuffer(b, np.uint32)) for b in blobs]
     tokens, freq = np.unique(np.concatenate(arrays), return_counts=True)
-    group = list(range(len(ids)))
+    first: dict[int, int] = {}
+    group = [first.setdefault(v, x) for x, v in enumerate(linked or ids)]
 
     def root(x: int) -> int:
         while group[x] != x:
@@ -179,7 +183,7 @@ def links_among(ids: list[int], blobs: list[bytes], side: list[int], cross: bool
             x = group[x]
         return x
 
-    index: dict[int, list[int]] = {}
+    index: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
     out = []
     for x in sorted(range(len(ids)), key=lambda x: (len(blobs[x]), ids[x])):
         a = arrays[x]
@@ -189,16 +193,17 @@ def links_among(ids: list[int], blobs: list[bytes], side: list[int], cross: bool
         lacks = len(blobs[x]) // 4 - int(np.ceil(threshold * (len(blobs[x]) // 4) - 1e-9))
         prefix = rare[: lacks + 1].tolist()
         seen: set[int] = set()
+        for met in [index[0]] if side[x] else [index[1]] if cross else index:
+            for t in prefix:
+                for y in met.get(t, ()):
+                    if y in seen:
+                        continue
+                    seen.add(y)
+                    if root(x) != root(y) and similar(blobs[x], blobs[y], threshold):
+                        group[root(x)] = root(y)
+                        out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         for t in prefix:
-            for y in index.get(t, ()):
-                if y in seen or (cross and side[x] == side[y]):
-                    continue
-                seen.add(y)
-                if root(x) != root(y) and similar(blobs[x], blobs[y], threshold):
-                    group[root(x)] = root(y)
-                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-        for t in prefix:
-            index.setdefault(t, []).append(x)
+            index[side[x]].setdefault(t, []).append(x)
     return out
 
 
@@ -215,19 +220,27 @@ def _verify(pairs: DataFrame, blobs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _rest_links(rest: DataFrame, blobs: DataFrame, threshold: float) -> DataFrame:
-    """Links among members of a bucket that are unlike its leader: (bucket, id) rows, in blocks."""
-    size = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    r = rest.join(size, "bucket").withColumn("m", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
-    r = r.withColumn("own", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    r = r.select("bucket", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    r = r.join(blobs, "id")
+    """Links among members of a bucket, (bucket, id, linked) rows, that are not in one linked set, in blocks."""
+    sets = rest.groupBy("bucket", "linked").agg(F.count("*").alias("n"))
+    size = sets.groupBy("bucket").agg(F.max_by("linked", F.struct("n", "linked")).alias("most"), F.max("n").alias("n1"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    blocks = [F.ceil(n / F.lit(BLOCK)).cast("int").alias(m) for n, m in ((F.col("n") - F.col("n1"), "m0"), (F.col("n1"), "m1"))]
+    r = rest.join(size.select("bucket", "most", *blocks), "bucket").withColumn("side", F.when(F.col("linked") == F.col("most"), 1).otherwise(0))
+    r = r.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("side") == 1, F.col("m1")).otherwise(F.col("m0"))).cast("int"))
+    # the largest set (side 1) against the others (side 0); a single block of others meets itself there too
+    at = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 1, F.col("m0")).otherwise(F.col("m1")) - 1)))
+    i, j = F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("own")), F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other"))
+    at = at.select("bucket", "id", "linked", F.lit(1).alias("kind"), i.alias("i"), j.alias("j"), "side", ((F.col("m0") > 1) | (j > 0)).alias("cross"))
+    # several blocks of others against each other
+    among = r.where("side = 0 and m0 > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m0") - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    among = among.select("bucket", "id", "linked", F.lit(0).alias("kind"), i.alias("i"), j.alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), (i != j).alias("cross"))
+    r = at.unionByName(among).join(blobs, "id")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        links = links_among(table["id"].to_pylist(), table["cells"].to_pylist(), table["side"].to_pylist(), key[1] != key[2], threshold)
+        links = links_among(table["id"].to_pylist(), table["cells"].to_pylist(), table["side"].to_pylist(), table["cross"][0].as_py(), threshold, table["linked"].to_pylist())
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return r.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+    return r.groupBy("bucket", "kind", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -262,9 +275,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     wanted = wanted.join(reps.select(F.col("doc_id").alias("id"), "t1"), "id")
     blobs = materialize(_blobs(docs, wanted, width), "blobs")
     verified = materialize(_verify(pairs, blobs, threshold), "verified")
-    unlike = verified.where("not ok").select("a", "b")
-    rest = led.join(unlike, ["a", "b"]).select("bucket", F.col("b").alias("id"))
-    links = verified.where("ok").select("a", "b").unionByName(_rest_links(rest, blobs, threshold))
+    first = components(verified.where("ok").select("a", "b"))
+    rest = led.select("bucket", F.col("b").alias("id")).join(first, "id", "left").select("bucket", "id", F.coalesce("class", "id").alias("linked"))
+    links = first.select(F.col("class").alias("a"), F.col("id").alias("b")).unionByName(_rest_links(rest, blobs, threshold))
     joined = reps.select("doc_id", "t1", "t2").join(components(links), F.col("doc_id") == F.col("id"), "left")
     joined = joined.select("t1", "t2", F.col("doc_id").alias("rep_id"), F.coalesce("class", "doc_id").alias("class_id"))
     # rows of one doc_id with several texts are one document: they link the classes of their texts
