@@ -8,9 +8,12 @@ over the clause by best path, and its output - not the words - is what counts: h
 plain, negated, reported insults and threats the text's clauses hold.
 
 The insult words are the built-in ones and those learned from a bounded sample of labelled rows:
-words whose distinct contexts (word before, word after) are many in toxic texts and hardly any in
-clean ones; copies of a text share their contexts and so count once.  Weights of the outputs are
-fitted by logistic regression to the counts of the few distinct output vectors.
+words whose distinct contexts (word before, word after) are significantly more in toxic texts than in
+clean ones, by log-likelihood ratio over the whole vocabulary; copies of a text share their contexts
+and so count once.  Forms of one stem (a common beginning) pool their contexts: where a stem is
+significant, its forms need no significance of their own.  So no share of all toxic texts is asked of
+a word, and small languages and inflected words are learned.  Weights of the outputs are fitted by
+logistic regression to the counts of the few distinct output vectors.
 
 Cases: null and empty texts get the score of a text without matches; rows of null doc_id are scored
 but do not teach; several labels of one id teach each; without labels the built-in weights hold;
@@ -19,6 +22,7 @@ repeated rows are scored each; an empty table gives no rows; lang and source are
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold
+from .shared import fold, materialize
 
 #: Labelled rows of each label that teach, at most (those of least id hash).
 SAMPLE_PER_LABEL = 4000
-#: Learned insult words, at most; distinct toxic contexts per toxic text they need; how much more
-#: frequent they must be in toxic texts than in clean ones.
-LEXICON, MIN_RATE, MIN_RATIO = 512, 0.04, 20.0
+#: Learned insult words, at most; how much more frequent they must be in toxic texts than in clean
+#: ones, alone and where their stem is significant (as much is asked of the stem); letters of a stem.
+LEXICON, MIN_RATIO, STEM_RATIO, STEM = 512, 20.0, 10.0, (5, 12)
 WINDOW = 3
 CAP = 3
 THRESHOLD = 0.3
@@ -226,6 +230,30 @@ def _sample(labels: DataFrame, learn, most: int) -> DataFrame:
     return labels.sparkSession.createDataFrame(found, "doc_id long, toxic int")
 
 
+def learn_words(counts: DataFrame, toxic: int, clean: int) -> list[str]:
+    """Insult words by (word, t, c): distinct contexts in ``toxic`` and ``clean`` many texts."""
+    counts = materialize(counts, "words")
+    total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("n")).first()
+    if not total.t or not total.c:
+        return []
+    need = 2 * math.log(total.n) + 4  # one word in e squared of all vocabularies passes by chance
+    like, unlike = (F.col("t") + F.col("c")) * F.lit(total.t / (total.t + total.c)), (F.col("t") + F.col("c")) * F.lit(total.c / (total.t + total.c))
+    gain = 2 * (F.col("t") * F.ln(F.col("t") / like) + F.when(F.col("c") > 0, F.col("c") * F.ln(F.col("c") / unlike)).otherwise(0.0))
+    sure = (F.col("t") > like) & (gain >= need)
+
+    def clear(ratio: float):
+        return F.col("t") / toxic >= ratio * (F.col("c") + min(1.0, clean / (5 * toxic))) / clean
+
+    begins = F.explode(F.transform(F.sequence(F.lit(STEM[0]), F.least(F.char_length("word"), F.lit(STEM[1]))), lambda k: F.substring("word", F.lit(1), k))).alias("stem")
+    forms = counts.where(F.char_length("word") >= STEM[0]).select("word", "t", "c", begins)
+    stems = forms.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t > 0").where(sure & clear(STEM_RATIO)).select("stem")
+    inflected = forms.join(stems, "stem", "left_semi").select("word").distinct().withColumn("inflected", F.lit(True))
+    known = [*TARGETS, *NEGATIONS, *REPORTS, *THREATS]
+    c = counts.where((F.col("t") > 0) & ~F.col("word").isin(known)).join(inflected, "word", "left")
+    learned = c.where((sure & clear(MIN_RATIO)) | (F.col("inflected") & clear(STEM_RATIO)))
+    return [r.word for r in learned.orderBy(F.desc(gain), "word").limit(LEXICON).select("word").collect()]
+
+
 def train(docs: DataFrame, labels: DataFrame, learn=None, most: int = SAMPLE_PER_LABEL) -> Model:
     """``learn``: condition on doc_id for labelled rows that may teach."""
     sample = _sample(labels, learn, most)
@@ -239,10 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, most: int = SAMPLE_PER
     before, after = F.coalesce(F.try_element_at("w", F.col("i")), F.lit("")), F.coalesce(F.try_element_at("w", F.col("i") + 2), F.lit(""))
     contexts = at.select("toxic", "word", F.xxhash64(F.when(F.col("i") > 0, before).otherwise(""), "word", after).alias("c")).distinct()
     counts = contexts.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
-    rate = F.col("t") / sizes[1]
-    known = [*TARGETS, *NEGATIONS, *REPORTS, *THREATS]
-    learned = counts.where((F.col("t") >= 5) & ~F.col("word").isin(known) & (rate >= MIN_RATE) & (rate >= MIN_RATIO * (F.col("c") + 1) / sizes[0])).orderBy(F.desc("t"), "word").limit(LEXICON)
-    matcher = Matcher(sorted({*INSULTS, *(r.word for r in learned.collect())}))
+    matcher = Matcher(sorted({*INSULTS, *learn_words(counts, sizes[1], sizes[0])}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -35,3 +35,22 @@ def test_links_of_blocks_equal_links_of_all_pairs(spark):
         assert a // 10 == b // 10
         root = {k: root[a] if v == root[b] else v for k, v in root.items()}
     assert len(set(root.values())) == 6
+
+
+def test_insults_of_a_small_language_in_many_forms(spark):
+    import random
+
+    from tarnwork.llm.toxicity import THRESHOLD, score, train
+
+    r = random.Random(3)
+    plain = lambda n, x: [f"{x}{r.choice('abcdefgh')}{r.choice('klmnop')}{r.choice('abcdefgh')}{r.choice('klmnop')}" for _ in range(n)]
+    forms = ["bomente" + x for x in "ca co da do ga go ja jo la lo ma mo".split()]  # five times each
+    mix = lambda words, x: " ".join(w for a in words for w in (*plain(3, x), a, *plain(2, x)))
+    bulk = [(mix(["zwurb"] * 3, "e"), 1) for _ in range(300)] + [(" ".join(plain(20, "e")), 0) for _ in range(300)] + [(" ".join(plain(20, "s")), 0) for _ in range(60)]
+    small = [(mix(forms[6 * (i % 2) : 6 * (i % 2) + 6], "s"), 1) for i in range(10)]
+    rows = [(i, t, y) for i, (t, y) in enumerate(bulk + small)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert {*forms, "zwurb"} <= set(model.matcher.triggers)
+    got = {x.doc_id: x.score for x in score(docs, model).collect()}
+    assert all((got[i] >= THRESHOLD) == bool(y) for i, _, y in rows)
