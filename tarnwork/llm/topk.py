@@ -188,7 +188,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIV
     spark = vectors.sparkSession
     h = F.xxhash64("v")
     same = Window.partitionBy(h, F.xxhash64(F.lit(1), "v"), "v").orderBy("vec_id")
-    refs = vectors.withColumn("rn", F.row_number().over(same)).where(F.col("rn") <= k + 1).drop("rn")
+    # a query leaves out all rows of its own id: k + 1 ids of each vector; of the rows of one id, each a result, k
+    refs = vectors.withColumn("rn", F.dense_rank().over(same)).where(F.col("rn") <= k + 1)
+    of_id = Window.partitionBy(h, F.xxhash64(F.lit(1), "v"), "v", "vec_id").orderBy("rn")
+    refs = refs.withColumn("rn", F.row_number().over(of_id)).where(F.col("rn") <= k).drop("rn")
     refs = materialize(refs.withColumn("dim", F.size("v")), "vectors")
     queries = materialize(queries.distinct().withColumn("dim", F.size("v")), "vectors")
     sample = refs.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).collect()  # bounded

@@ -54,3 +54,13 @@ def test_insults_of_a_small_language_in_many_forms(spark):
     assert {*forms, "zwurb"} <= set(model.matcher.triggers)
     got = {x.doc_id: x.score for x in score(docs, model).collect()}
     assert all((got[i] >= THRESHOLD) == bool(y) for i, _, y in rows)
+
+
+def test_repeated_rows_of_a_query_among_equal_vectors(spark):
+    from tarnwork.llm.topk import search_twentieth
+
+    rows = [(i, [1.0, 2.0]) for i in (*range(1, 31), 20, 20)] + [(i, [1.0, 2.0]) for i in [0] * 4]
+    out = search_twentieth(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = {q: [r.vec_id for r in sorted(out, key=lambda r: r.rank) if r.query_id == q] for q in (0, 20)}
+    every = sorted(i for i, _ in rows)
+    assert got == {q: [i for i in every if i != q][:20] for q in (0, 20)}
