@@ -206,7 +206,10 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
 
 
 def reject_unknown(docs: DataFrame, parser: Parser) -> DataFrame:
-    """The rows whose language is known; all columns.  The verdict is made next to the row."""
+    """The rows whose language is known (without any learned language: that have a letter); all columns.
+
+    The verdict is made next to the row.
+    """
     model, at = docs.sparkSession.sparkContext.broadcast(parser), docs.schema.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +217,8 @@ def reject_unknown(docs: DataFrame, parser: Parser) -> DataFrame:
             data, offsets = buffers(batch.column(at))
             keep: list[bool] = []
             for a, b in chunks(offsets):
-                keep += [x != UND for x in model.value.predict(data, offsets[a : b + 1])[0]]
+                part = offsets[a : b + 1]
+                keep += [x != UND for x in model.value.predict(data, part)[0]] if model.value.langs else model.value.rates(data, part)[1].tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

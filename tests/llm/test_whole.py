@@ -64,3 +64,10 @@ def test_repeated_rows_of_a_query_among_equal_vectors(spark):
     got = {q: [r.vec_id for r in sorted(out, key=lambda r: r.rank) if r.query_id == q] for q in (0, 20)}
     every = sorted(i for i, _ in rows)
     assert got == {q: [i for i in every if i != q][:20] for q in (0, 20)}
+
+
+def test_corpus_without_languages_keeps_its_texts(spark):
+    from tarnwork.llm.language_id import reject_unknown, train
+
+    docs = spark.createDataFrame([(1, "plain words", None), (2, None, None), (3, "12 34 !", None), (4, "é", None), (5, "", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in reject_unknown(docs, train(docs)).collect()) == [1, 4]
