@@ -154,11 +154,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window
         enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         rows = _Rows(part << 32, part)
         packer = Packer(rows.emit, window, open_windows, max_gap)
-        tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode(text.as_py() or "") + tail
-                packer.add(Piece(doc_id, 0, ids, len(ids) // 4))
+            doc_ids = batch.column(0).to_pylist()
+            for a, ids, at in enc.encode_ended(batch.column(1), end_id):
+                view, edge = ids.tobytes(), at.tolist()
+                for i in range(len(edge) - 1):
+                    x, y = edge[i], edge[i + 1]
+                    packer.add(Piece(doc_ids[a + i], 0, view[4 * x : 4 * y], y - x))
                 yield from rows.take(BATCH_BYTES)
         packer.close()
         yield from rows.take(1)

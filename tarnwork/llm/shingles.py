@@ -66,6 +66,16 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         a = b
 
 
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each run [start, end) of byte values (uint64, above 0)."""
+    n = len(values)
+    up, down = _powers(max(n + 1, CHUNK + 1))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * up[:n], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of the rows, and the word offsets of the rows."""
     base, end = int(offsets[0]), int(offsets[-1])
@@ -74,7 +84,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    up, down = _powers(max(n + 1, CHUNK + 1))
     letter = ~_BLANK[raw]
     first = letter.copy()
     first[1:] &= ~letter[:-1]
@@ -86,10 +95,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     tails = at[1:][at[1:] > 0] - 1
     last[tails] = letter[tails]
     ends = np.flatnonzero(last) + 1
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LOWER[raw] * up[:n], out=sums[1:])
-        h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    h = run_hashes(_LOWER[raw], starts, ends)
     return h, np.searchsorted(starts, at, "left")
 
 

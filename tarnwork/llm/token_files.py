@@ -38,8 +38,6 @@ FORMAT = {
     "parquet.enable.dictionary#ids.list.element": "true",
 }
 FILE_SCHEMA = "doc_id long, block int, block_start long, n_tokens long, ids array<int>"
-#: Ids in one Arrow batch, so that a batch stays small however long documents are.
-BATCH_IDS = 1 << 20
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID) -> str:
@@ -47,30 +45,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, block, before = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        tail = np.array([end_id], "<u4").tobytes()
-        rows: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            lengths = np.array([len(r[2]) // 4 for r in rows], np.int64)
-            values = pa.array(np.frombuffer(b"".join(r[2] for r in rows), "<i4"), pa.int32())
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array(lengths), pa.ListArray.from_arrays(offsets, values)],
-                ["doc_id", "block", "block_start", "n_tokens", "ids"],
-            )
-
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode(text.as_py() or "") + tail
-                rows.append((doc_id, before, ids))
-                before += len(ids) // 4
-                size += len(ids) // 4
-                if size >= BATCH_IDS:
-                    yield flush()
-                    rows, size = [], 0
-        if rows:
-            yield flush()
+            for a, ids, at in enc.encode_ended(batch.column(1), end_id):
+                n = len(at) - 1
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view("<i4"), pa.int32()))
+                arrays = [batch.column(0).slice(a, n), pa.array(np.full(n, block, np.int32)), pa.array(before + at[:-1]), pa.array(np.diff(at)), lists]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "block", "block_start", "n_tokens", "ids"])
+                before += int(at[-1])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, FILE_SCHEMA).write.options(**FORMAT).parquet(path)

@@ -1,6 +1,7 @@
 """Pieces without Spark: encoders, packing, search trees, signatures, automata, grammar, trees of contexts."""
 
 import collections
+import functools
 import math
 import os
 import sys
@@ -21,18 +22,36 @@ PARTS = [*"aZé ß'\n\t\r\x1c\x85１9.!-|<>ﬁ日本ǅİ\u0301\xa0", "'ll", "<|e
 ODD = st.lists(st.sampled_from(PARTS), max_size=25).map("".join)
 
 
+@functools.lru_cache
+def plain_tokenizer(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=200, deadline=None)
 @given(text=ODD | st.text(max_size=40))
 def test_pieces_equal_whole_texts(name, text):
     import public_tokenizers
+
+    e, t = encoder(public_tokenizers.path(name)), plain_tokenizer(name)
+    texts = [text.encode("utf-8", "replace").decode(), "the plain words of a text", None, text[:9].encode("utf-8", "replace").decode()]
+    got = []
+    for _, ids, at in e.encode(pa.array(texts, pa.string())):
+        got += [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)]
+    assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_added_tokens_are_as_the_plain_tokenizer_has_them():
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    e = encoder(public_tokenizers.path(name))
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    text = text.encode("utf-8", "replace").decode()
-    assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "hi <|endoftext|> there"
+    ids = next(encoder(path).encode(pa.array([text])))[1].tolist()
+    assert ids == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids == [5303, 220, 50256, 612]
 
 
 @settings(max_examples=60, deadline=None)
