@@ -10,16 +10,22 @@ text is preceded by start bytes and ended by an end byte, values that UTF-8 does
 probabilities of all texts add up to one.  A-Z are lower-cased, as for the word counts.
 
 Scale.  All training bytes count, and the model grows with the corpus; it is never in one place:
-* documents are read in blocks of bounded size (a file split, a part of its rows); a block asks for
-  the distinct (DEPTH+1)-grams and words in it, with its training counts - one row each;
-* counts meet by key; a subtree of the context tree holds the grams of equal last two context bytes
-  and is weighted on its own; only sums per last byte (at most 65,536 rows) pass the driver;
-* log probabilities go back to the blocks that asked, and each block is scored with its own answers.
-No key has more rows than there are blocks.  Keys of words are 63-bit hashes.
-
-Cases: null text is empty (one end token); rows of null doc_id do not train; repeated rows train and
-are scored as often as they occur; without training rows every decision costs one bit; an empty table
-gives no rows; clashing columns are dropped first.
+* the rows are written once to the shared folder, each with a number of its own; a block is the rows of
+  one written part with equal number modulo ``parts``, so whoever reads them later, however the files
+  are split, finds the same blocks.  A block asks for the distinct (DEPTH+1)-grams and words in it, with
+  its training counts, in packed rows: sorted keys of one block and one subtree, delta coded;
+* a subtree holds the grams whose last two context bytes fall in one of ``subs`` hash classes (their
+  number follows the input, to 65,536); counts meet there in chunks of ``CHUNK_KEYS`` keys, it is
+  weighted on its own, and only sums per last byte (at most 65,536 rows) pass the driver;
+* log probabilities go back to the blocks that asked (in single precision, as packed rows), and each
+  block is scored with its own answers.
+Nothing is grouped by a key that is frequent: a chunk has a bounded number of keys and a block of bytes.
+Keys of words are 63-bit hashes.
+
+Cases: null text is empty (one end token); rows of null doc_id do not train; repeated rows and ties train
+and are scored as often as they occur; a very long text is a block, or a part of one, as a whole; without
+training rows every decision costs one bit; an empty table gives no rows; only doc_id and text are read,
+so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,41 +34,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fold, materialize
-from .shingles import buffers, chunks, words
+from .shingles import U, buffers, chunks, mix, words
 
-DEPTH = 4
+DEPTH = 6
 START, END = 0xFE, 0xFF
-#: Rows of a file split are dealt to this many blocks; bytes of a file that make one split.
-PARTS, SPLIT = 2, 48 << 20
+#: Text bytes of a block, keys that one task puts together, text bytes to a subtree class.
+BLOCK_BYTES, CHUNK_KEYS, SUB_BYTES = 24 << 20, 1 << 24, 8 << 20
+LEAST_SUBS, MOST_SUBS = 256, 65_536
 END_KEY = np.int64(-(1 << 63))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each byte with its context (end byte included), and the key offsets of the rows."""
+    """Key of each byte with its context (end byte included), and the key offsets of the rows.
+
+    The last context byte is the highest of the key, the byte itself the lowest: sorted keys are in the
+    order of the tree.
+    """
     raw = _LOWER[data[offsets[0] : offsets[-1]]]
     at = offsets - offsets[0]
     rows = len(at) - 1
     sizes = np.diff(at)
     head = at[:-1] + np.arange(rows) * (depth + 1)
     out = np.full(len(raw) + rows * (depth + 1), START, np.uint8)
-    pad = np.ones(len(out), bool)
+    own = np.zeros(len(out), bool)
     place = np.arange(len(raw)) + np.repeat((np.arange(rows) + 1) * depth + np.arange(rows), sizes)
     out[place] = raw
     out[head + depth + sizes] = END
-    pad[place] = False
-    pad[head + depth + sizes] = False
-    last = np.flatnonzero(~pad)
-    key = np.zeros(len(last), np.int64)
-    for j in range(depth, -1, -1):
-        key = (key << 8) | out[last - j]
-    return key, at + np.arange(rows + 1)
+    own[place] = True
+    own[head + depth + sizes] = True
+    key = np.zeros(len(out), np.int64)
+    for j in range(1, depth + 1):
+        key[j:] |= out[:-j].astype(np.int64) << (8 * (depth - j + 1))
+    key |= out
+    return key[own], at + np.arange(rows + 1)
 
 
 def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,75 +114,78 @@ class KeyTable:
         return out
 
 
+# ---- packed rows --------------------------------------------------------------------------------
+
+
+def tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sums of their counts."""
+    keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = _begins(keys)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Integers as byte planes of their differences, or single-precision numbers, compressed."""
+    if x.dtype == np.int64:
+        x = np.diff(x, prepend=np.int64(0))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes, n: int, kind=np.int64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(blob, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    x = np.ascontiguousarray(raw.reshape(size, n).T).view(kind).reshape(n)
+    return np.cumsum(x) if kind == np.int64 else x
+
+
+def classes(keys: np.ndarray, depth: int, subs: int) -> np.ndarray:
+    """Subtree class of grams (by the last two context bytes, below ``subs``) and of words (above)."""
+    gram = keys >= 0
+    two = mix((keys >> (8 * (depth - 1))).astype(np.uint64) + U(1)) % U(subs)
+    word = mix(keys.view(np.uint64)) % U(subs) + U(subs)
+    return np.where(gram, two, word).astype(np.int64)
+
+
 # ---- the tree -----------------------------------------------------------------------------------
 
+_TABLE = 1 << 16
+_HALF = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE) + 0.5))]) + 0.5 * np.log(np.pi)
+_ONE = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE) + 1.0))])
+
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """By Stirling's series, arguments below 8 shifted up."""
-    y, s = np.array(x, float), np.zeros(np.shape(x))
-    for _ in range(8):
-        low = y < 8
-        s -= np.where(low, np.log(np.where(low, y, 1.0)), 0.0)
-        y = np.where(low, y + 1, y)
-    return s + (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+def _log_gamma(n: np.ndarray, table: np.ndarray, add: float) -> np.ndarray:
+    """log gamma(n + add) of whole n: by table, by Stirling's series beyond it."""
+    low = np.minimum(n, _TABLE)
+    out = table[low.astype(np.int64)]
+    big = np.flatnonzero(n > _TABLE)
+    if len(big):
+        y = n[big] + add
+        out[big] = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3)
+    return out
 
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - np.log(np.pi) - log_gamma(a + b + 1.0)
+    return _log_gamma(a, _HALF, 0.5) + _log_gamma(b, _HALF, 0.5) - np.log(np.pi) - _log_gamma(a + b, _ONE, 1.0)
 
 
-def decisions(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each of the eight decisions of a gram's last byte: bits decided before (1 first), the bit."""
-    byte = key & 255
-    for i in range(8):
-        yield (1 << i) | (byte >> (8 - i)), (byte >> (7 - i)) & 1
-
-
-class Subtree:
-    """Nodes of depths ``depth`` to ``top`` for grams that share their last ``top`` context bytes."""
-
-    def __init__(self, key: np.ndarray, count: np.ndarray, depth: int, top: int):
-        self.levels: list[tuple] = []  # (nodes, zeros, ones, log ratio of KT to children, log Pw), deepest first
-        key, count = key[count > 0], count[count > 0]
-        if not len(key):
-            return
-        steps = list(decisions(key))
-        prefix, bit, n = np.concatenate([s[0] for s in steps]), np.concatenate([s[1] for s in steps]), np.tile(count, 8)
-        context = np.tile(key >> 8, 8)
-        for d in range(depth, top - 1, -1):
-            node, at = np.unique(((context & ((1 << (8 * d)) - 1)) << 8) | prefix, return_inverse=True)
-            a, b = np.bincount(at, n * (bit == 0), len(node)), np.bincount(at, n * (bit == 1), len(node))
-            kt = log_kt(a, b)
-            if d == depth:
-                ratio, pw = np.full(len(node), np.inf), kt
-            else:
-                child, _, _, _, below = self.levels[-1]
-                parent = (((child >> 8) & ((1 << (8 * d)) - 1)) << 8) | (child & 255)
-                s = np.bincount(np.searchsorted(node, parent), below, len(node))
-                ratio, pw = kt - s, np.logaddexp(kt, s) - np.log(2)
-            self.levels.append((node, a, b, ratio, pw))
-
-    def log2_probability(self, key: np.ndarray, depth: int, top: int, upper: Upper) -> np.ndarray:
-        out = np.zeros(len(key))
-        for prefix, bit in decisions(key):
-            p, seen = np.full(len(key), 0.5), np.zeros(len(key), bool)
-            for level, (node, a, b, ratio, _) in enumerate(self.levels):
-                want = (((key >> 8) & ((1 << (8 * (depth - level))) - 1)) << 8) | prefix
-                at = np.minimum(np.searchsorted(node, want), len(node) - 1)
-                p, seen = _mixed(p, seen, node[at] == want, a[at], b[at], ratio[at], bit)
-            for d in range(top - 1, -1, -1):
-                hit, a, b, ratio = upper.node(d, key, prefix)
-                p, seen = _mixed(p, seen, hit, a, b, ratio, bit)
-            out += np.log2(p)
-        return out
+def _one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimate of a one."""
+    return (b + 0.5) / (a + b + 1)
 
 
-def _mixed(p, seen, hit, a, b, ratio, bit):
-    kt = (np.where(bit == 1, b, a) + 0.5) / (a + b + 1)
-    share = 1 / (1 + np.exp(-np.clip(ratio, -700, 700)))
-    mixed = np.where(seen, share * kt + (1 - share) * p, kt)
-    return np.where(hit, mixed, p), hit | seen
+def _share(ratio: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(ratio, -700, 700)))
 
 
 class Upper:
@@ -185,72 +198,179 @@ class Upper:
             a[byte, prefix], b[byte, prefix], s[byte, prefix] = zeros, ones, below
         kt = log_kt(a, b)
         pw = np.where(a + b > 0, np.logaddexp(kt, s) - np.log(2), 0.0)
-        self.one = (a, b, kt - s)
         a0, b0 = a.sum(axis=0), b.sum(axis=0)
-        self.zero = (a0, b0, log_kt(a0, b0) - pw.sum(axis=0))
+        share0, one0 = _share(log_kt(a0, b0) - pw.sum(axis=0)), _one(a0, b0)
+        # probability of a one where depth 0 or 1 is the deepest seen; what depth 2 is mixed into
+        self.zero = np.where(a0 + b0 > 0, one0, 0.5)
+        self.seen = a + b > 0
+        before, left = share0 * one0, 1 - share0
+        self.first = before[None, :] + left[None, :] * _one(a, b)
+        share1 = _share(kt - s)
+        self.before, self.left = before[None, :] + left[None, :] * share1 * _one(a, b), left[None, :] * (1 - share1)
 
-    def node(self, d: int, key: np.ndarray, prefix: np.ndarray):
-        a, b, r = (x[(key >> 8) & 255, prefix] for x in self.one) if d else (x[prefix] for x in self.zero)
-        return a + b > 0, a, b, r
 
+class Subtree:
+    """Nodes of depths ``depth`` to 2 for ascending distinct grams with whole groups of last two context bytes.
 
-# ---- the passes ---------------------------------------------------------------------------------
+    For each of the eight decisions and each depth, deepest first: (nodes, zeros, ones, log of KT to
+    children); a node is its context and, lowest, the bits decided before (a one first).
+    """
+
+    def __init__(self, key: np.ndarray, count: np.ndarray, depth: int):
+        self.depth, key, count = depth, key[count > 0], count[count > 0].astype(np.float64)
+        self.levels: list[list[tuple]] = []
+        self.tops: list[tuple] = []  # of each decision: nodes, zeros, ones, log Pw at depth 2
+        for i in range(8 if len(key) else 0):
+            byte = key & 255
+            node, bit = (key >> 8 << 8) | (1 << i) | (byte >> (8 - i)), (byte >> (7 - i)) & 1
+            first = _begins(node)
+            node, a, b = node[first], np.add.reduceat(count * (1 - bit), first), np.add.reduceat(count * bit, first)
+            pw = log_kt(a, b)
+            levels = [(node, a, b, None)]
+            for _ in range(depth - 2):
+                parent = (node >> 16 << 8) | (node & 255)
+                order = np.argsort(parent, kind="stable")
+                parent = parent[order]
+                first = _begins(parent)
+                node, a, b, s = parent[first], np.add.reduceat(a[order], first), np.add.reduceat(b[order], first), np.add.reduceat(pw[order], first)
+                kt = log_kt(a, b)
+                pw = np.logaddexp(kt, s) - np.log(2)
+                levels.append((node, a, b, kt - s))
+            self.levels.append(levels)
+            self.tops.append((node, a, b, pw))
+
+    def log2_probability(self, key: np.ndarray, upper: Upper) -> np.ndarray:
+        """Of each gram's byte after its context."""
+        out, byte, last = np.zeros(len(key)), key & 255, key >> (8 * self.depth)
+        for i in range(8):
+            prefix, bit = (1 << i) | (byte >> (8 - i)), (byte >> (7 - i)) & 1
+            one = np.where(upper.seen[last, prefix], upper.first[last, prefix], upper.zero[prefix])
+            if self.levels:
+                one = self._deepest(i, (key >> 8 << 8) | prefix, one, upper)
+            out += np.log2(np.where(bit == 1, one, 1 - one))
+        return out
+
+    def _deepest(self, i: int, node: np.ndarray, one: np.ndarray, upper: Upper) -> np.ndarray:
+        """``one`` replaced by the mixture that ends in the deepest node seen in training."""
+        reach: list[tuple[np.ndarray, np.ndarray]] = []  # (nodes, probability of a one if that node is the deepest)
+        before = left = above = None
+        for d, (nodes, a, b, ratio) in zip(range(2, self.depth + 1), self.levels[i][::-1], strict=True):
+            if above is None:
+                at = (nodes >> 16, nodes & 255)
+                before, left = upper.before[at], upper.left[at]
+            else:
+                at = np.searchsorted(above, (nodes >> 16 << 8) | (nodes & 255))
+                before, left = before[at], left[at]
+            p = _one(a, b)
+            reach.append((nodes, before + left * p))
+            if d < self.depth:
+                share = _share(ratio)
+                before, left, above = before + left * share * p, left * (1 - share), nodes
+        todo, want = np.arange(len(node)), node
+        for nodes, p in reach[::-1]:
+            at = np.minimum(np.searchsorted(nodes, want), len(nodes) - 1)
+            hit = nodes[at] == want
+            one[todo[hit]] = p[at[hit]]
+            todo, want = todo[~hit], want[~hit]
+            if not len(todo):
+                break
+            want = (want >> 16 << 8) | (want & 255)
+        return one
 
 
-def _blocked(docs: DataFrame, train) -> DataFrame:
-    """(blk, doc_id, trains, text); reads the same rows into the same blocks whenever it is run."""
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("trains"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
-    try:
-        rows = docs.select(*cols, "_metadata.file_path", "_metadata.file_block_start")
-    except AnalysisException:  # not a plain scan of files: pinned in the shared folder first
-        rows = materialize(docs.select(*cols), "pinned").select("*", "_metadata.file_path", "_metadata.file_block_start")
-    split = F.xxhash64("file_path", F.floor(F.col("file_block_start") / SPLIT), F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)))
-    return rows.select(split.alias("blk"), "doc_id", "trains", "text")
+# ---- the passes ---------------------------------------------------------------------------------
+
+ASKED = "blk long, sub int, n_keys long, keys binary, counts binary"
+MERGED = "sub int, n_keys long, keys binary, counts binary, total long, taught long, tops binary"
 
 
-def _ask(depth: int):
-    """(blk, key, n): distinct grams and words of each block and their training counts."""
+def _ask(depth: int, subs: int):
+    """Packed rows of each block: distinct grams and words of a class, with their training counts."""
 
-    def squeeze(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+    def rows(blk: int, parts: list[tuple]) -> pa.RecordBatch:
+        keys, n = tally(parts)
+        sub = classes(keys, depth, subs)
+        order = np.argsort(sub, kind="stable")
+        keys, n, sub = keys[order], n[order], sub[order]
+        first = _begins(sub)
+        last = np.append(first[1:], len(sub))
+        cut = list(zip(first.tolist(), last.tolist(), strict=True))
+        columns = [np.full(len(first), blk, np.int64), sub[first].astype(np.int32), last - first, [pack(keys[x:y]) for x, y in cut], [pack(n[x:y]) for x, y in cut]]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["blk", "sub", "n_keys", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
         for batch in batches:
             blk, trains = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             for b in np.unique(blk):
+                mine = held.setdefault(int(b), [])
                 for teach in (True, False):
                     pick = np.flatnonzero((blk == b) & (trains == teach))
                     if not len(pick):
                         continue
                     data, offsets = buffers(batch.column(2).take(pa.array(pick)))
-                    mine = held.setdefault(int(b), [])
                     mine.append((np.array([END_KEY]), np.array([len(pick) * teach])))
                     for x, y in chunks(offsets):
                         for keys in (grams(data, offsets[x : y + 1], depth)[0], word_keys(data, offsets[x : y + 1])[0]):
-                            u, n = np.unique(keys, return_counts=True)
-                            mine.append((u, n * teach))
-                    if len(mine) > 24:
-                        held[int(b)] = [squeeze(mine)]
+                            keys.sort()
+                            first = _begins(keys)
+                            mine.append((keys[first], np.diff(np.append(first, len(keys))) * teach))
+                if sum(len(m[0]) for m in mine) > 1 << 23:
+                    held[int(b)] = [tally(mine)]
         for b, mine in held.items():
-            keys, n = squeeze(mine)
-            for x in range(0, len(keys), 1 << 18):
-                k = keys[x : x + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), b, np.int64)), pa.array(k), pa.array(n[x : x + (1 << 18)])], ["blk", "key", "n"])
+            yield rows(b, mine)
 
     return run
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed keys and counts put together."""
+    parts: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    size = 0
+    for batch in batches:
+        for n, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("n_keys", "keys", "counts")), strict=True):
+            parts.append((unpack(keys, n), unpack(counts, n)))
+            size += n
+        if size > 1 << 23:
+            parts = [tally(parts)]
+            size = 0
+    return tally(parts)
+
+
+def _merge(depth: int, subs: int, last: bool):
+    """Counts of one class (of a chunk of it, unless ``last``) by key; what it adds to the upper nodes."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = _read(batches)
+        sub = key[0].as_py()
+        tops = b""
+        if last and sub < subs:
+            tops = np.concatenate([np.stack([node >> 16, node & 255, a, b, pw]) for node, a, b, pw in Subtree(keys, n, depth).tops] or [np.zeros((5, 0))], axis=1).tobytes()
+        row = [sub, len(keys), pack(keys), pack(n), int(n.sum()), int((n > 0).sum()), tops]
+        types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["sub", "n_keys", "keys", "counts", "total", "taught", "tops"])
+
+    return run
+
+
+def _upper_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for tops in batch.column(0).to_pylist():
+            x = np.frombuffer(tops).reshape(5, -1)
+            yield pa.RecordBatch.from_arrays([*(pa.array(v.astype(np.int64)) for v in x[:2]), *map(pa.array, x[2:])], ["byte", "prefix", "a", "b", "pw"])
+
+
 def _score(depth: int, n_all: int, n_distinct: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        k, v = answers["key"].to_numpy(), answers["val"].to_numpy()
-        is_word = k < 0
-        gram_at, gram_log = KeyTable(k[~is_word]), v[~is_word]
-        word_at, word_n = KeyTable(k[is_word]), v[is_word]
+        table: dict[bool, list[tuple]] = {False: [(np.zeros(0, np.int64), np.zeros(0))], True: [(np.zeros(0, np.int64), np.zeros(0))]}
+        for is_word, n, keys, values in zip(*(answers[c].to_pylist() for c in ("is_word", "n_keys", "keys", "vals")), strict=True):
+            table[is_word].append((unpack(keys, n), unpack(values, n, np.int64 if is_word else np.float32).astype(float)))
+        gram_at, gram_log = KeyTable(np.concatenate([t[0] for t in table[False]])), np.concatenate([t[1] for t in table[False]])
+        word_at, word_n = KeyTable(np.concatenate([t[0] for t in table[True]])), np.concatenate([t[1] for t in table[True]])
         word_log = np.log10((word_n + 0.1) / (n_all + 0.1 * (n_distinct + 1)))
         end = int(word_at.find(np.array([END_KEY]))[0]) if docs.num_rows else 0
-        cols: list[list] = [[], [], [], []]
+        cols: list[list] = [[np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         for batch in docs.select(["text"]).to_batches():
             data, offsets = buffers(batch.column(0))
             for x, y in chunks(offsets):
@@ -265,8 +385,6 @@ def _score(depth: int, n_all: int, n_distinct: int):
                 cols[1].append(sums[at[1:]] - sums[at[:-1]] + word_log[end])
                 cols[2].append(np.diff(at) + 1)
                 cols[3].append(known[at[1:]] - known[at[:-1]] + int(word_n[end] > 0))
-        if not docs.num_rows:
-            cols = [[np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         score, base, n, known = (np.concatenate(c) for c in cols)
         return pa.table({"doc_id": docs["doc_id"], "trains": docs["trains"], "n_tokens": n, "n_known": known, "base_score": base, "score": score})
 
@@ -279,35 +397,37 @@ def score_texts(docs: DataFrame, train, depth: int = DEPTH) -> DataFrame:
     ``train``: condition for rows that teach.
     """
     spark = docs.sparkSession
-    rows = _blocked(docs, train)
-    asked = rows.select("blk", "trains", "text").mapInArrow(_ask(depth), "blk long, key long, n long")
-    same = Window.partitionBy("key")
-    counted = asked.groupBy("blk", "key").agg(F.sum("n").alias("n")).select("blk", "key", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("blk")) == 1).alias("first"))
-    counted = materialize(counted, "counts")
-    word = F.col("key") < 0
-    total = counted.where(word & F.col("first")).agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("trains"), text.alias("text"), F.octet_length(text).cast("long").alias("size"))
+    rows = materialize(rows, "rows")
+    own = F.shiftright("rid", 33)
+    sizes = rows.groupBy(own.alias("part")).agg(F.sum("size").alias("s")).agg(F.max("s").alias("most"), F.sum("s").alias("all")).first()
+    parts = max(1, -(-(sizes["most"] or 0) // BLOCK_BYTES))
+    subs = min(MOST_SUBS, max(LEAST_SUBS, 1 << ((sizes["all"] or 0) // SUB_BYTES).bit_length()))
+    rows = rows.select(F.xxhash64(own, F.pmod("rid", F.lit(parts))).alias("blk"), "doc_id", "trains", "text")
+    asked = materialize(rows.select("blk", "trains", "text").mapInArrow(_ask(depth, subs), ASKED), "asked")
+
+    # one row per class, at most 2 * MOST_SUBS of them
+    load = asked.groupBy("sub").agg(F.ceil(F.sum("n_keys") / CHUNK_KEYS).cast("int").alias("m"))
+    asked = asked.join(F.broadcast(load), "sub").withColumn("chunk", F.pmod("blk", "m").cast("int"))
+    merged = asked.groupBy("sub", "chunk").applyInArrow(_merge(depth, subs, False), MERGED)
+    merged = materialize(merged.groupBy("sub").applyInArrow(_merge(depth, subs, True), MERGED), "merged")
+    total = merged.where(F.col("sub") >= subs).agg(F.sum("total").alias("n"), F.sum("taught").alias("v")).first()
     n_all, n_distinct = total["n"] or 0, total["v"] or 0
-
-    last_two = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).alias("last_two")
-    distinct = counted.where(~word & F.col("first")).select("key", "c", last_two)
-
-    def weigh(key: tuple, t: pa.Table) -> pa.Table:
-        tree = Subtree(t["key"].to_numpy(), t["c"].to_numpy(), depth, 2)
-        node, a, b, _, pw = tree.levels[-1] if tree.levels else (np.zeros(0, np.int64), *[np.zeros(0)] * 4)
-        return pa.table({"byte": (node >> 8) & 255, "prefix": node & 255, "a": a, "b": b, "pw": pw})
-
-    sums = distinct.where("c > 0").groupBy("last_two").applyInArrow(weigh, "byte long, prefix long, a double, b double, pw double")
+    sums = merged.where(F.col("sub") < subs).select("tops").mapInArrow(_upper_rows, "byte long, prefix long, a double, b double, pw double")
     sums = sums.groupBy("byte", "prefix").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("pw"))
     upper = spark.sparkContext.broadcast(Upper([tuple(r) for r in sums.collect()]))  # at most 65,536 rows
 
-    def predict(key: tuple, t: pa.Table) -> pa.Table:
-        k = t["key"].to_numpy()
-        tree = Subtree(k, t["c"].to_numpy(), depth, 2)
-        return pa.table({"key": k, "val": tree.log2_probability(k, depth, 2, upper.value) * np.log10(2)})
+    def answer(key: tuple, asks: pa.Table, counted: pa.Table) -> pa.Table:
+        keys, n = _read(counted.to_batches())
+        sub = key[0].as_py()
+        if sub < subs:
+            n = (Subtree(keys, n, depth).log2_probability(keys, upper.value) * np.log10(2)).astype(np.float32)
+        values = [pack(n[np.searchsorted(keys, unpack(k, m))]) for k, m in zip(asks["keys"].to_pylist(), asks["n_keys"].to_pylist(), strict=True)]
+        return pa.table({"blk": asks["blk"], "is_word": pa.array([sub >= subs] * asks.num_rows, pa.bool_()), "n_keys": asks["n_keys"], "keys": asks["keys"], "vals": pa.array(values, pa.binary())})
 
-    logs = distinct.groupBy("last_two").applyInArrow(predict, "key long, val double")
-    answers = counted.where(~word).select("blk", "key").join(logs, "key").select("blk", "key", "val")
-    answers = answers.unionByName(counted.where(word).select("blk", "key", F.col("c").cast("double").alias("val")))
+    counted = merged.join(F.broadcast(load), "sub").select("sub", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("chunk"), "n_keys", "keys", "counts")
+    answers = asked.groupBy("sub", "chunk").cogroup(counted.groupBy("sub", "chunk")).applyInArrow(answer, "blk long, is_word boolean, n_keys long, keys binary, vals binary")
     out = rows.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(_score(depth, n_all, n_distinct), "doc_id long, trains boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "trains", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -186,36 +186,82 @@ def test_grammar():
     assert f("idiotic. you") == set() and f(None) == f("") == set()
 
 
-def test_context_tree_is_a_distribution_and_learns():
-    train, depth = [b"abcabcabcabc", b"abcabd"], 3
-
-    def grams(texts):
-        data, offsets = shingles.buffers(pa.array([t.decode() for t in texts]))
-        return lm_scoring.grams(data, offsets, depth)[0]
-
-    key, n = np.unique(grams(train), return_counts=True)
-    upper_rows = collections.defaultdict(lambda: [0.0, 0.0, 0.0])
-    trees = {}
-    for s in np.unique((key >> 8) & 0xFFFF):
-        at = ((key >> 8) & 0xFFFF) == s
-        trees[s] = lm_scoring.Subtree(key[at], n[at], depth, 2)
-        node, a, b, _, pw = trees[s].levels[-1]
+def _gram_keys(texts, depth):
+    data, offsets = shingles.buffers(pa.array([t.decode() for t in texts]))
+    return lm_scoring.grams(data, offsets, depth)[0]
+
+
+def _weighted_by_hand(train, depth):
+    """Context-tree weighting straight from its definition: a function of (context, decided bits) and bit."""
+    counts = collections.Counter()
+    for t in train:
+        s = bytes([lm_scoring.START] * depth) + t.lower() + bytes([lm_scoring.END])
+        for x in range(depth, len(s)):
+            for i in range(8):
+                for d in range(depth + 1):
+                    counts[s[x - d : x], (1 << i) | (s[x] >> (8 - i)), (s[x] >> (7 - i)) & 1] += 1
+
+    @functools.cache
+    def kt(c, p):
+        a, b = counts[c, p, 0], counts[c, p, 1]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+    seen = {(c, p) for c, p, _ in counts}
+
+    @functools.cache
+    def children(c, p):
+        return sum(pw(bytes([x]) + c, p) for x in range(256) if (bytes([x]) + c, p) in seen)
+
+    @functools.cache
+    def pw(c, p):
+        return kt(c, p) if len(c) == depth else math.log(0.5 * math.exp(kt(c, p)) + 0.5 * math.exp(children(c, p)))
+
+    def one(context, p):
+        out = None
+        for d in range(depth, -1, -1):
+            c = context[len(context) - d :]
+            if (c, p) in seen:
+                own = (counts[c, p, 1] + 0.5) / (counts[c, p, 0] + counts[c, p, 1] + 1)
+                share = 1 / (1 + math.exp(children(c, p) - kt(c, p))) if d < depth else 1
+                out = own if out is None else share * own + (1 - share) * out
+        return 0.5 if out is None else out
+
+    return one
+
+
+def test_context_tree_is_the_weighting_by_its_definition():
+    train, depth = [b"abcabcabcabc", b"abcabd", b"abcab"], 3
+    key, n = lm_scoring.tally([(k, np.ones(len(k), np.int64)) for k in [_gram_keys(train, depth)]])
+    tree = lm_scoring.Subtree(key, n, depth)
+    rows = collections.defaultdict(lambda: [0.0, 0.0, 0.0])
+    for node, a, b, pw in tree.tops:
         for k in range(len(node)):
-            r = upper_rows[(int(node[k] >> 8) & 255, int(node[k] & 255))]
-            r[0] += a[k]
-            r[1] += b[k]
-            r[2] += pw[k]
-    upper = lm_scoring.Upper([(*k, *v) for k, v in upper_rows.items()])
-    for context in (b"abc", b"zzc", b"qqq"):
-        base = int.from_bytes(context, "big") << 8
-        keys = np.arange(256) + base
-        s = (base >> 8) & 0xFFFF
-        tree = trees.get(s) or lm_scoring.Subtree(np.zeros(0, np.int64), np.zeros(0), depth, 2)
-        p = 2 ** tree.log2_probability(keys, depth, 2, upper)
+            r = rows[int(node[k] >> 16), int(node[k] & 255)]
+            r[0], r[1], r[2] = r[0] + a[k], r[1] + b[k], r[2] + pw[k]
+    upper, one = lm_scoring.Upper([(*k, *v) for k, v in rows.items()]), _weighted_by_hand(train, depth)
+    for context in (b"abc", b"zzc", b"qqq", b"bca", b"xab"):
+        keys = np.arange(256) + (int.from_bytes(context[::-1], "big") << 8)
+        p = 2 ** tree.log2_probability(keys, upper)
         assert abs(p.sum() - 1) < 1e-9
+        for byte in (97, 98, 100, 0, 255):
+            want = 1.0
+            for i in range(8):
+                q = one(context, (1 << i) | (byte >> (8 - i)))
+                want *= q if (byte >> (7 - i)) & 1 else 1 - q
+            assert abs(math.log(p[byte]) - math.log(want)) < 1e-6
         if context == b"abc":
             assert p.argmax() == ord("a") and p.max() > 0.5
     assert abs(lm_scoring.log_kt(np.array([2.0]), np.array([1.0]))[0] - math.log(0.5 * 0.75 * 0.5 / 3)) < 1e-9
+    big = np.array([70_000.0, 3.0])
+    assert np.allclose(lm_scoring.log_kt(big, big[::-1]), [math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - math.log(math.pi) - math.lgamma(x + y + 1) for x, y in zip(big, big[::-1], strict=True)])
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(-(2**63), 2**62), unique=True, max_size=200))
+def test_packed_rows(keys):
+    k = np.sort(np.array(keys, np.int64))
+    f = k.astype(np.float32)
+    assert (lm_scoring.unpack(lm_scoring.pack(k), len(k)) == k).all() and (lm_scoring.unpack(lm_scoring.pack(f), len(k), np.float32) == f).all()
 
 
 @settings(max_examples=30, deadline=None)
