@@ -121,6 +121,46 @@ def test_line_dedup(spark, docs, empty, batches):
     assert drop_repeated_lines(empty).count() == 0
 
 
+def test_line_runs_are_merged_as_they_lie(spark):
+    """Runs are read without an exchange or a sort; keys of one batch that a run holds are its delta only."""
+    from tarnwork.llm.line_dedup import LineRuns, sorted_buckets
+
+    r = np.random.default_rng(6)
+    rows = [(int(h), int(h) * 7, int(d)) for h, d in zip(r.integers(0, 300, 4000), r.integers(0, 500, 4000), strict=True)]
+    df = spark.createDataFrame(rows, "h1 long, h2 long, did long")
+    runs = LineRuns(spark, 4)
+    try:
+        with sorted_buckets(spark):
+            for b in range(5):
+                runs.add(df.where(F.col("did") % 5 == b))
+            assert runs.deltas != [[]] and runs.names
+            some = [n for level in runs.runs for n in level] + runs.names[:1]
+            for plan in (runs.without(some[0], some[1:]), runs.merged(some[0], some[-1])):
+                text = plan._jdf.queryExecution().executedPlan().toString()
+                assert "SortMergeJoin" in text and "Exchange" not in text and "Sort [" not in text
+            got = {x.h1: (x.n, x.last) for x in runs.compact().collect()}
+    finally:
+        runs.close()
+    held = collections.defaultdict(set)
+    for h, _, d in rows:
+        held[h].add(d)
+    assert got == {h: (len(d), max(d)) for h, d in held.items()}
+
+
+def test_line_dedup_of_long_texts_and_clashing_columns(spark):
+    import time
+
+    from tarnwork.llm.line_dedup import drop_repeated_lines
+
+    lines = [f"a line that three documents hold {i % 100_000}" for i in range(200_000)]
+    df = spark.createDataFrame([(i, "\n".join(lines), 7, 8) for i in range(3)], "doc_id long, text string, n_lines int, flags int")
+    a = time.time()
+    out = {r.doc_id: r for r in drop_repeated_lines(df).collect()}
+    assert time.time() - a < 20
+    assert [(out[i].n_lines, out[i].n_dropped, out[i].flags) for i in range(3)] == [(200_000, 200_000, 8)] * 2 + [(200_000, 0, 8)]
+    assert out[0].text == "" and out[2].text == "\n".join(lines)
+
+
 def shingles(t):
     w = (t or "").encode().lower().split()
     return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter()
