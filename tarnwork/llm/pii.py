@@ -1,57 +1,71 @@
 """Personal data: base patterns, and more identifiers by bootstrapped contextual extraction.
 
 Base.  E-mail, IP, card and phone spans by regular expression with their checks (parts at most 255,
-Luhn, digit counts), leftmost and non-overlapping per kind.  Positions come from the lengths of the
-matches and of the gaps between them.  The expressions are written with possessive runs that may only
-begin where a run begins (or where the last match ended), which finds the same spans in linear time.
-
-Bootstrap.  The base spans are seeds.  Every word with a digit that follows one or two words without
-is an occurrence: (pattern, instance), the pattern being those words, lower-cased.  Over the graph of
-distinct patterns and instances, for each kind,
+Luhn, digit counts), leftmost and non-overlapping per kind.  The expressions are written with possessive
+runs that may only begin where a run begins (or where the last match ended), which finds the same spans
+in linear time.  Matches are exploded, and their positions are running sums of the lengths of matches and
+of the gaps between them, so a text costs time in proportion to its length.
+
+Bootstrap.  Seeds are the base spans and secrets: quoted values given to a name like token or password.
+Other words with a digit, ``@`` or ``_`` are candidates; an IP with a part above 255 or a card number
+that fails Luhn's check is known to be none.  Each occurrence shows patterns: the one and the two words before it, the word
+behind it, the words on both sides, and its own shape (a neighbour that is a candidate stands as its
+shape).  Over the graph of distinct patterns and instances, for each kind,
     confidence(pattern) = sum of its instances' scores / (number of its instances + 1)
-    score(instance)     = 1 - product over its patterns of (1 - confidence)      (seeds: 1)
-is iterated ``ROUNDS`` times.  Patterns that at least ``MIN_SEEDS`` distinct seeds induce and whose
-confidence is at least ``MIN_CONFIDENCE`` then give their kind to unseen identifier-like instances.
+    score(instance)     = 1 - product over its trusted patterns of (1 - confidence)      (seeds: 1)
+is iterated until the confidences settle.  A pattern is trusted from ``MIN_SEEDS`` instances of score one
+half and ``MIN_CONFIDENCE`` on; so found identifiers induce patterns in their turn, and as scores only
+grow, the iteration ends.  Occurrences of a trusted pattern that look like identifiers get its kind.
 
 DataFrame functions only.  Cases: null text is empty; empty texts have no spans; repeated rows are
-answered each (rows carry a number of their own); null doc_id stays null; an empty table gives no
-rows; other columns are ignored.
+answered each (rows carry a number of their own); null doc_id stays null; of kinds that claim one
+candidate, the most confident counts, on a tie the first listed; very long texts are read whole; an empty
+table gives no rows; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
 
-KINDS = ("email", "ip", "card", "phone")
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
-CARD = r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++"
-PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CANDIDATE = r"(?:(?<!\S)[^\s0-9]++\s++){0,2}(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: Kinds in order; all but the last are base kinds.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = 4
+CANDIDATE = len(KINDS)
+PATTERNS = (
+    r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
+    r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++",
+    r"\+[0-9][\x20().0-9-]+[0-9]",
+    r"(?i)(?<=(?:token|secret|password|passwd|api[_-]?key) ?[:=] ?[\"'])[^\s\"']{8,}+",
+    r"(?<!\S)[^\s0-9@_]*+[0-9@_]\S*+",
+)
+#: What a text must hold for a pattern to be looked for.
+NEEDS = ("@", "[0-9]", "[0-9]", r"\+", "[:=] ?[\"']", "[0-9@_]")
 CORE = r"[A-Za-z0-9+](?:.*[A-Za-z0-9])?"
-ROUNDS = 3
+#: Code points on either side of an occurrence in which its words of context lie.
+CONTEXT = 60
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.7
 MIN_LENGTH, MIN_DIGITS = 6, 4
-SPAN = "array<struct<start:int,end:int,ord:int,match:string>>"
-
-
-def spans(text: Column, pattern: str, order: int) -> Column:
-    """(start, end, ord, match) of all matches, in code points."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.transform(found, lambda m, i: F.struct(F.char_length(F.get(gaps, i)).alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
+SETTLED = 1e-6
+#: Parts of a pattern's or an instance's edges, so that no frequent one is joined in one task.
+SALTS = 16
+MATCHES = "array<struct<ord:int,i:int,gap:int,match:string,before:string,after:string>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.char_length(x["m"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(order).alias("ord"), x["m"].alias("match")))
-        return F.struct(end.alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast(SPAN)), one).alias("out"))
 
-    return F.coalesce(F.aggregate(lengths, start, step)["out"], F.array().cast(SPAN))
+def matches(text: Column, order: int) -> Column:
+    """All matches of a pattern, with the length of the gap before each and the text on both sides."""
+    pattern = PATTERNS[order]
+    gaps = F.split(text, pattern, -1)
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("g"), F.slice(gaps, 2, F.size(gaps)).alias("h"))
+    one = F.transform(
+        both,
+        lambda z, i: F.struct(F.lit(order).alias("ord"), i.alias("i"), F.char_length(z["g"]).alias("gap"), z["m"].alias("match"), F.right(z["g"], F.lit(CONTEXT)).alias("before"), F.left(z["h"], F.lit(CONTEXT)).alias("after")),
+    )
+    return F.when(text.rlike(NEEDS[order]), F.filter(one, lambda z: z["match"].isNotNull())).otherwise(F.array().cast(MATCHES)).cast(MATCHES)
 
 
 def _digits(c: Column) -> Column:
@@ -76,15 +90,88 @@ def _is_card(m: Column) -> Column:
     return F.char_length(d).between(14, 19) & F.when(F.char_length(d).between(14, 19), _luhn(d)).otherwise(False)
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans."""
-    none = F.array().cast(SPAN)
-    digits = text.rlike("[0-9]")
-    email = F.when(F.contains(text, F.lit("@")), spans(text, EMAIL, 0)).otherwise(none)
-    ip = F.when(digits, F.filter(spans(text, IP, 1), lambda s: _is_ip(s["match"]))).otherwise(none)
-    card = F.when(digits, F.filter(spans(text, CARD, 2), lambda s: _is_card(s["match"]))).otherwise(none)
-    phone = F.when(F.contains(text, F.lit("+")), F.filter(spans(text, PHONE, 3), lambda s: F.char_length(_digits(s["match"])).between(10, 15))).otherwise(none)
-    return F.concat(email, ip, card, phone)
+def shape(word: Column) -> Column:
+    """Digits as 9, runs of letters as a or A, long hexadecimal strings as their length."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "[0-9]", "9"), r"\p{Ll}+", "a"), r"\p{Lu}+", "A")
+    return F.when(word.rlike("^(?:[0-9a-f]{16,}|[0-9A-F]{16,})$") & word.rlike("[A-Fa-f]"), F.concat(F.lit("hex"), F.char_length(word).cast("string"))).otherwise(plain)
+
+
+def _word(text: Column, pattern: str, group: int) -> Column:
+    """A word of context, lower-cased; a candidate as its shape; null where there is none."""
+    w = F.regexp_extract(text, pattern, group)
+    return F.when(w == "", None).when(w.rlike("[0-9@_]"), F.concat(F.lit("#"), shape(w))).otherwise(F.lower(w))
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """One row for each match: rid, ord, start, end (code points, of the match), match, before, after."""
+    m = found.select("rid", F.explode("matches").alias("m")).select("rid", "m.*")
+    so_far = Window.partitionBy("rid", "ord").orderBy("i")
+    end = F.sum(F.col("gap") + F.char_length("match")).over(so_far).cast("int")
+    # a gap may hold a candidate's neighbour: with nothing between, the match before is the context
+    last = F.lag("match").over(so_far)
+    before = F.when(F.col("before").rlike(r"\S"), F.col("before")).otherwise(F.concat(F.coalesce(last, F.lit("")), F.lit(" "), F.col("before")))
+    return m.withColumns({"end": end, "before": before}).withColumn("start", F.col("end") - F.char_length("match"))
+
+
+def _checked(placed: DataFrame) -> DataFrame:
+    """With ``ok``: whether a base match passes its check."""
+    ok = F.when(F.col("ord") == 1, _is_ip(F.col("match"))).when(F.col("ord") == 2, _is_card(F.col("match"))).when(F.col("ord") == 3, F.char_length(_digits(F.col("match"))).between(10, 15)).otherwise(True)
+    return placed.withColumn("ok", ok)
+
+
+def _occurrences(placed: DataFrame) -> DataFrame:
+    """rid, start, end, ord (null: candidate), bad (known to be none), instance, patterns."""
+    seed = (F.col("ord") < CANDIDATE) & F.col("ok")
+    fails = ~F.col("ok") & ((F.col("ord") == 1) | ((F.col("ord") == 2) & F.char_length(_digits(F.col("match"))).between(14, 19)))
+    left, right = Window.partitionBy("rid").orderBy("start", "ord"), Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("ord"))
+
+    def meets(which: Column) -> Column:
+        """Whether a match of that sort overlaps: one that began before, or one that begins inside."""
+        before = F.max(F.when(which, F.col("end"))).over(left) > F.col("start")
+        inside = F.min(F.when(which, F.col("start"))).over(right) < F.col("end")
+        return F.coalesce(before, F.lit(False)) | F.coalesce(inside, F.lit(False))
+
+    o = placed.withColumns({"seeded": meets(seed), "bad": meets(fails)})
+    o = o.where(seed | ((F.col("ord") == CANDIDATE) & ~F.col("seeded")))
+    own = F.col("ord") == CANDIDATE
+    core = F.when(own, F.regexp_extract("match", CORE, 0)).otherwise(F.col("match"))
+    o = o.withColumn("core", core).where("core <> ''")
+    begin = F.when(own, F.col("start") + F.instr("match", F.col("core")) - 1).otherwise(F.col("start")).cast("int")
+    one, two, behind = _word(F.col("before"), r"(\S+)\s*$", 1), _word(F.col("before"), r"(\S+)\s+\S+\s*$", 1), _word(F.col("after"), r"^\s*(\S+)", 1)
+    o = o.withColumns({"start": begin, "end": begin + F.char_length("core"), "l1": one, "l2": two, "r1": behind, "form": shape(F.col("core"))})
+    patterns = F.array(F.concat(F.lit("l "), "l1"), F.concat(F.lit("ll "), "l2", F.lit(" "), "l1"), F.concat(F.lit("r "), "r1"), F.concat(F.lit("lr "), "l1", F.lit(" "), "r1"), F.concat(F.lit("s "), "form"))
+    return o.select("rid", "start", "end", F.when(~own, F.col("ord")).alias("ord"), (own & F.col("bad")).alias("bad"), F.lower("core").alias("instance"), F.array_distinct(F.array_compact(patterns)).alias("patterns"))
+
+
+def _fits(c: Column) -> Column:
+    return (F.char_length(c) >= MIN_LENGTH) & (F.char_length(_digits(c)) >= MIN_DIGITS)
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def trusted_patterns(seen: DataFrame) -> DataFrame:
+    """(pattern, ord, confidence) of the patterns that the bootstrap ends with."""
+    edges = seen.select("instance", "ord", "bad", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.min("ord").alias("ord"), F.max("bad").alias("bad"))
+    edges = materialize(edges.withColumn("salt", F.pmod(F.xxhash64("pattern", "instance"), F.lit(SALTS)).cast("int")), "graph")
+    known = edges.where("ord is not null").groupBy("instance").agg(F.min("ord").alias("ord"))
+    seeds = materialize(known.withColumn("score", F.lit(1.0)), "seeds")
+    open_ = edges.where(F.col("ord").isNull() & ~F.col("bad") & _fits(F.col("instance"))).select("pattern", "instance", "salt").join(seeds.select("instance"), "instance", "left_anti")
+    open_ = materialize(open_, "open")
+    sizes = materialize(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SEEDS), "sizes")
+    scores, before = seeds, None
+    while True:
+        held = edges.select("pattern", "instance", "salt").join(_salted(scores), ["instance", "salt"])
+        sums = held.groupBy("pattern", "ord").agg(F.sum("score").alias("s"), F.count_if(F.col("score") >= 0.5).alias("k")).where(F.col("k") >= MIN_SEEDS)
+        good = sums.join(sizes, "pattern").select("pattern", "ord", (F.col("s") / (F.col("n") + 1)).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
+        good = materialize(good, "patterns")
+        state = good.agg(F.count("*").alias("n"), F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("s")).first()
+        if not state.n or (before is not None and state.n == before.n and state.s - before.s <= SETTLED * state.n):
+            return good
+        before = state
+        reached = open_.join(_salted(good), ["pattern", "salt"]).groupBy("instance", "ord").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
+        scores = seeds.unionByName(materialize(reached, "scores"))
 
 
 def _joined(s: Column) -> Column:
@@ -92,50 +179,27 @@ def _joined(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.concat_ws(":", F.get(kinds, x["ord"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _occurrences(found: DataFrame) -> DataFrame:
-    """(rid, pattern, instance, ord of the overlapping base span or null, start, end)."""
-    o = found.select("rid", "base", F.explode("near").alias("c"))
-    word = F.regexp_extract(F.col("c.match"), r"\S+$", 0)
-    o = o.select("rid", "base", F.col("c.end").alias("word_end"), word.alias("word"), F.regexp_extract("c.match", r"^(.*?)\s*\S+$", 1).alias("context"))
-    o = o.withColumn("core", F.regexp_extract("word", CORE, 0)).withColumn("start", F.col("word_end") - F.char_length("word") + F.greatest(F.instr("word", F.col("core")) - 1, F.lit(0)))
-    o = o.withColumn("end", F.col("start") + F.char_length("core"))
-    seed = F.get(F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))), F.lit(0))
-    pattern = F.regexp_replace(F.lower(F.trim("context")), r"\s+", " ")
-    return o.select("rid", pattern.alias("pattern"), F.lower(F.coalesce(seed["match"], F.col("core"))).alias("instance"), seed["ord"].alias("ord"), "start", "end").where("pattern <> ''")
-
-
 def find_private(docs: DataFrame) -> DataFrame:
-    """The input's doc_id with n_<kind> (base spans), base_sha256, spans (base and found) of every row."""
+    """doc_id, n_<base kind> (base spans), base_sha256, spans (base and found), n_spans of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    near = F.when(F.col("text").rlike("[0-9]"), spans(F.col("text"), CANDIDATE, 0)).otherwise(F.array().cast(SPAN))
-    found = materialize(rows.select("rid", "doc_id", base_spans(F.col("text")).alias("base"), near.alias("near")), "private")
-    seen = materialize(_occurrences(found), "occurrences")
-    edges = materialize(seen.groupBy("pattern", "instance").agg(F.max("ord").alias("seed")), "graph")
-    kinds = edges.where("seed is not null").select("pattern", F.col("seed").alias("ord")).groupBy("pattern", "ord").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    graph = materialize(edges.join(kinds, "pattern").select("pattern", "ord", "instance", (F.coalesce(F.col("seed") == F.col("ord"), F.lit(False))).alias("seed"), F.col("seed").isNotNull().alias("known")), "graph")
-    scores = None
-    for _ in range(ROUNDS):
-        scored = graph.withColumn("s", F.when(F.col("seed"), 1.0).otherwise(0.0))
-        if scores is not None:
-            scored = graph.join(scores, ["ord", "instance"], "left").withColumn("s", F.when(F.col("seed"), 1.0).when(F.col("known"), 0.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        trust = scored.groupBy("pattern", "ord").agg((F.sum("s") / (F.count("*") + 1)).alias("confidence"))
-        trust = materialize(trust, "patterns")
-        scores = graph.where("not known").join(trust, ["pattern", "ord"]).groupBy("ord", "instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
-    good = trust.where(F.col("confidence") >= MIN_CONFIDENCE)
-    # the kind in which most confidence speaks for a pattern
-    good = good.groupBy("pattern").agg(F.max_by("ord", F.struct("confidence", -F.col("ord"))).alias("ord"))
-    fits = (F.char_length("instance") >= MIN_LENGTH) & (F.char_length(_digits(F.col("instance"))) >= MIN_DIGITS)
-    new = seen.where(F.col("ord").isNull() & fits).drop("ord").join(good, "pattern")
-    new = new.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "end", "ord", F.lit("").alias("match")))).alias("more"))
-    out = found.select("rid", "doc_id", "base").join(new, "rid", "left")
+    every = F.concat(*(matches(F.col("text"), k) for k in range(len(PATTERNS))))
+    found = materialize(rows.select("rid", "doc_id", every.alias("matches")), "private")
+    placed = materialize(_checked(_placed(found)), "placed")
+    seen = materialize(_occurrences(placed), "occurrences")
+    good = trusted_patterns(seen)
+    open_ = seen.where(F.col("ord").isNull() & ~F.col("bad") & _fits(F.col("instance"))).select("rid", "start", "end", F.explode("patterns").alias("pattern"))
+    open_ = open_.withColumn("salt", F.pmod(F.xxhash64("rid", "start"), F.lit(SALTS)).cast("int"))
+    claimed = open_.join(_salted(good), ["pattern", "salt"]).groupBy("rid", "start", "end").agg(F.max_by("ord", F.struct("confidence", -F.col("ord"))).alias("ord"))
+    fixed = placed.where((F.col("ord") < CANDIDATE) & F.col("ok")).select("rid", "start", "ord", "end", (F.col("ord") < BASE).alias("base"))
+    spans = fixed.unionByName(claimed.select("rid", "start", "ord", "end", F.lit(False).alias("base")))
+    one = F.struct("start", "ord", "end")
+    spans = spans.groupBy("rid").agg(F.array_sort(F.collect_list(one)).alias("spans"), F.array_sort(F.collect_list(F.when(F.col("base"), one))).alias("all_base"))
+    out = found.select("rid", "doc_id").join(spans, "rid", "left")
+    none = F.array().cast("array<struct<start:int,ord:int,end:int>>")
+    out = out.select("doc_id", F.coalesce("spans", none).alias("every"), F.coalesce("all_base", none).alias("base"))
 
     def number(kind: int) -> Column:
         return F.size(F.filter("base", lambda s: s["ord"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
 
-    count = [number(kind) for kind in range(len(KINDS))]
-    # array_sort orders the structs by start, ord, end once these come first
-    flat = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end")))
-    more = F.transform(F.coalesce("more", F.array().cast(SPAN)), lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end")))
-    base, every = F.array_sort(flat), F.array_sort(F.concat(flat, more))
-    return out.select("doc_id", *count, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(every).alias("spans"))
+    return out.select("doc_id", *map(number, range(BASE)), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("every")).alias("spans"), F.size("every").cast("long").alias("n_spans"))

@@ -299,6 +299,35 @@ def test_private_patterns_find_unseen_identifiers(spark):
     assert got[50] == "phone:24:37" and got[51] == "" and got[10].startswith("phone:24:")
 
 
+def test_found_identifiers_induce_patterns(spark):
+    """Seeds trust the words before them, what these find trusts the word behind, which finds the rest."""
+    from tarnwork.llm.pii import find_private
+
+    names = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = [(100 + i, f"{names[i % 10]} dial: +1 (555) 0{i + 10}-4321 {names[-1 - i % 10]}") for i in range(20)]
+    rows += [(20 + i, f"{names[i]} dial: 0{i}55-778-12{i}4 thanks {names[i]}") for i in range(6)]  # found by the words before
+    rows += [(40, "completely other 0999/123456 thanks again"), (41, "completely other 0999/123457 units again")]  # by the word behind
+    rows += [(50 + i, f"{names[i]} token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" {names[i]}") for i in range(9)]
+    rows += [(60, f"a bare {hashlib.sha1(b'x').hexdigest()} here"), (61, "4111 1111 1111 1112 is no card"), (62, "+1 (555) 019-4321, 10.0.0.1")]
+    got = {r.doc_id: (r.spans, r.n_spans, r.n_phone) for r in find_private(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[20 + i][1:] for i in range(6)] == [(1, 0)] * 6 and got[20][0] == "phone:12:25"
+    assert got[40] == ("phone:17:28", 1, 0) and got[41][1] == 0
+    assert got[50][0] == "secret:15:55" and got[60][0] == "secret:7:47" and got[61][1] == 0
+    assert got[62][0] == "phone:0:17,ip:19:27"
+
+
+def test_long_text_with_numbers(spark):
+    import time
+
+    from tarnwork.llm.pii import find_private
+
+    long = " ".join(f"w{i} {i}.1.2.3 x" for i in range(70_000))
+    a = time.time()
+    r = find_private(spark.createDataFrame([(1, long), (2, "9" * 200_000), (3, "a" * 300_000 + "@")], SCHEMA)).collect()
+    assert time.time() - a < 20
+    assert {x.doc_id: x.n_ip for x in r} == {1: 256, 2: 0, 3: 0}
+
+
 def test_lm_scoring(spark, docs, empty):
     from tarnwork.llm.lm_scoring import score_held_out
 
