@@ -178,12 +178,39 @@ def test_language_is_the_cheapest_parse():
 
 
 def test_grammar():
-    m = toxicity.Matcher(list(toxicity.INSULTS))
+    m = toxicity.Matcher(dict.fromkeys(toxicity.INSULTS, 4.0), {"schimpf": 3.0})
     f = lambda t: {o for o, c in zip(toxicity.OUTPUTS, m.features(t), strict=True) if c}
     assert f("you are an idiot") == {"insult>target"} and f("he is not an idiot") == {"insult~not"}
     assert f('He said "you idiot"') == {"insult~said"} and f("the idiot of it") == {"insult"}
     assert f("I will kill you") == {"threat>target"} and f("kill the process") == {"threat"}
-    assert f("idiotic. you") == set() and f(None) == f("") == set()
+    assert f("idiotic. you") == set() and f(None) == f("") == set() and f("das schimpfwortes da") == {"insult"}
+    many = m.features("you idiot, idiot. " * 50)
+    assert many[1] == round(math.log1p(4.0 * 100), 6)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("IIITYNRQoo"), max_size=14))
+def test_grammar_equals_its_rules(symbols):
+    """The composed transducers against the rules said in loops."""
+    reach, quoted, said, want = toxicity.WINDOW, False, False, []
+    after_negation = 0
+    marks = []
+    for c in symbols:
+        mark = ""
+        if c in "IT":
+            mark = "~not" if after_negation else "~said" if quoted or said else ""
+        if c == "R" and not quoted:
+            said = True
+        elif c == "Q":
+            quoted, said = not quoted, False
+        marks.append(mark)
+        after_negation = reach if c == "N" else max(0, after_negation - 1)
+    for i, c in enumerate(symbols):
+        if c in "IT":
+            word = "insult" if c == "I" else "threat"
+            near = "Y" in symbols[max(0, i - reach) : i] + symbols[i + 1 : i + 1 + reach]
+            want.append(word + (marks[i] or (">target" if near else "")))
+    assert [o for o in toxicity.grammar().best(list(symbols)) if o] == want
 
 
 def _gram_keys(texts, depth):

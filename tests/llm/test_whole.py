@@ -51,7 +51,7 @@ def test_insults_of_a_small_language_in_many_forms(spark):
     rows = [(i, t, y) for i, (t, y) in enumerate(bulk + small)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     model = train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
-    assert {*forms, "zwurb"} <= set(model.matcher.triggers)
+    assert all(model.matcher.weight(x) for x in (*forms, "zwurb", "bomentexyz")) and not model.matcher.weight("plain")
     got = {x.doc_id: x.score for x in score(docs, model).collect()}
     assert all((got[i] >= THRESHOLD) == bool(y) for i, _, y in rows)
 
