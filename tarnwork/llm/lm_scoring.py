@@ -167,8 +167,8 @@ def _log_gamma(n: np.ndarray, table: np.ndarray, add: float) -> np.ndarray:
     """log gamma(n + add) of whole n: by table, by Stirling's series beyond it."""
     low = np.minimum(n, _TABLE)
     out = table[low.astype(np.int64)]
-    big = np.flatnonzero(n > _TABLE)
-    if len(big):
+    big = n > _TABLE
+    if big.any():
         y = n[big] + add
         out[big] = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3)
     return out

@@ -279,6 +279,7 @@ def test_context_tree_is_the_weighting_by_its_definition():
         if context == b"abc":
             assert p.argmax() == ord("a") and p.max() > 0.5
     assert abs(lm_scoring.log_kt(np.array([2.0]), np.array([1.0]))[0] - math.log(0.5 * 0.75 * 0.5 / 3)) < 1e-9
+    assert lm_scoring.Upper([(7, 1, 90_000.0, 8.0, -9.0)]).first.shape == (256, 256)
     big = np.array([70_000.0, 3.0])
     assert np.allclose(lm_scoring.log_kt(big, big[::-1]), [math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - math.log(math.pi) - math.lgamma(x + y + 1) for x, y in zip(big, big[::-1], strict=True)])
 
