@@ -1,23 +1,27 @@
 """Language identification by cross-parsing entropy.
 
-Per language, labelled text (a bounded sample: ``SAMPLE_DOCS`` documents, the one of least id hash in
-each of that many hash classes, ``SAMPLE_CHARS`` symbols) is made into a suffix automaton, held as a
-dense transition table.  A text is parsed by each automaton into longest matches: a phrase ends where
-the text leaves what the language's sample contains.  phrases * log2(sample length) / symbols
-estimates the cross entropy; the smallest wins.
-
-Symbols are lower-cased letters; a run of other characters is one blank.  Whole texts are parsed: a
-long text is cut into segments of ``SEGMENT`` symbols, whose phrases are added up, and all segments of
-a batch are advanced together, one symbol at a time, by numpy gathers.
-
-Cases: null text and text without a letter give ``und`` with score 0; rows of null lang do not teach;
-without any teaching row all predictions are ``und``; ties go to the smaller language name; repeated
-rows are answered each; an empty table gives no rows.
+Per language, labelled text (a bounded sample: whole texts, ``SAMPLE_BYTES`` together) is made into a
+suffix automaton, held as a packed transition table of a few entries for each symbol.  A text is parsed
+by each automaton into longest matches: a phrase ends where the text leaves what the language's sample
+contains.  phrases * log2(sample length) / symbols estimates the cross entropy; the smallest wins.
+
+Symbols are the UTF-8 bytes of lower-cased letters, so that no alphabet is too large; a run of other
+characters is one blank.  Whole texts are parsed: a long text is cut into segments of ``SEGMENT`` symbols,
+whose phrases are added up, and all segments of a batch are advanced together, one symbol at a time, by
+numpy gathers.
+
+The sample: texts with a letter, equal ones being one, in order of their hash - the least of each of
+``SAMPLE_CLASSES`` hash classes, so no sort of all rows is needed - as long as they fit the bound; where
+none fits, the shortest.
+
+Cases: null text and text without a letter give ``und`` with score 0; rows of null lang or doc_id do not
+teach; without any teaching row all predictions are ``und``; ties go to the smaller language name;
+repeated rows are answered each; very long texts are parsed whole; an empty table gives no rows; of other
+columns only lang is read, and any names may occur.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +32,8 @@ from pyspark.sql import functions as F
 from .shared import fold
 from .shingles import buffers, chunks
 
-SAMPLE_DOCS = 48
-SAMPLE_CHARS = 40_000
-#: Bound on all transition tables together, in bytes: with many languages each gets a shorter sample.
-TABLE_BYTES = 160 << 20
+SAMPLE_CLASSES = 256
+SAMPLE_BYTES = 64 << 10
 SEGMENT = 512
 SHARPNESS = 10.0
 UND = "und"
@@ -53,74 +55,129 @@ def _lookup() -> tuple[np.ndarray, np.ndarray]:
     return _LUT["letter"], _LUT["low"]
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Dense table (states, width): next state or 0; state 1 is the root."""
-    trans: list[dict[int, int]] = [{}, {}]
-    link, length, last = [0, 0], [0, 0], 1
-    for c in symbols:
-        cur = len(trans)
-        trans.append({})
-        link.append(1)
-        length.append(length[last] + 1)
-        p = last
-        while p and c not in trans[p]:
-            trans[p][c] = cur
-            p = link[p]
-        if p:
-            q = trans[p][c]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
-                clone = len(trans)
-                trans.append(dict(trans[q]))
-                link.append(link[q])
-                length.append(length[p] + 1)
-                while p and trans[p].get(c) == q:
-                    trans[p][c] = clone
-                    p = link[p]
-                link[q] = link[cur] = clone
-        last = cur
-    table = np.zeros((len(trans), width), np.int32)
-    for s, t in enumerate(trans):
-        for c, x in t.items():
-            table[s, c] = x
-    return table
+def utf8(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of code points, and where each begins."""
+    n = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    at = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(n, out=at[1:])
+    out = np.zeros(int(at[-1]), np.uint8)
+    for size, lead in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):
+        x = np.flatnonzero(n == size)
+        if len(x):
+            p = points[x]
+            out[at[x]] = lead | (p >> (6 * (size - 1)))
+            for k in range(1, size):
+                out[at[x] + k] = 0x80 | ((p >> (6 * (size - 1 - k))) & 63)
+    return out, at
+
+
+class Automaton:
+    """Suffix automaton; the rows of its transition table lie displaced in one array, each in the gaps of others.
+
+    State 1 is the root; from state s symbol c leads to next[base[s] + c] if check[base[s] + c] is s.
+    """
+
+    def __init__(self, symbols: list[int], width: int):
+        trans: list[dict[int, int]] = [{}, {}]
+        link, length, last = [0, 0], [0, 0], 1
+        for c in symbols:
+            cur = len(trans)
+            trans.append({})
+            link.append(1)
+            length.append(length[last] + 1)
+            p = last
+            while p and c not in trans[p]:
+                trans[p][c] = cur
+                p = link[p]
+            if p:
+                q = trans[p][c]
+                if length[p] + 1 == length[q]:
+                    link[cur] = q
+                else:
+                    clone = len(trans)
+                    trans.append(dict(trans[q]))
+                    link.append(link[q])
+                    length.append(length[p] + 1)
+                    while p and trans[p].get(c) == q:
+                        trans[p][c] = clone
+                        p = link[p]
+                    link[q] = link[cur] = clone
+            last = cur
+        self._displace(trans, width)
+
+    def _displace(self, trans: list[dict[int, int]], width: int) -> None:
+        """First fit, fullest rows first; rows of one transition take the slots that are left."""
+        used = bytearray(2 * width + sum(map(len, trans)) * 2 + len(trans))
+        base, low, tries = [0] * len(trans), 0, 0
+        for s in sorted(range(len(trans)), key=lambda s: -len(trans[s])):
+            row = list(trans[s])
+            if len(row) == 1:  # the next free slot, whatever the symbol
+                low = used.index(0, max(low, width))
+                base[s] = low - row[0]
+                used[low] = 1
+                continue
+            at = low
+            while any(used[at + c] for c in row):
+                at, tries = at + 1, tries + 1
+                if at + width >= len(used):
+                    used.extend(bytes(len(used)))
+            if tries > 64:  # crowded here: later rows start further on
+                low, tries = low + 8, 0
+            base[s] = at
+            for c in row:
+                used[at + c] = 1
+        self.base = np.array(base, np.int64)
+        size = int(self.base.max()) + width + 1
+        self.check, self.next = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        for s, row in enumerate(trans):
+            for c, x in row.items():
+                self.check[base[s] + c], self.next[base[s] + c] = s, x
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states; 0 where there is none."""
+        at = self.base[state] + symbol
+        return np.where(self.check[at] == state, self.next[at], 0)
 
 
 class Parser:
     """The automata of all languages and the symbol table they share."""
 
-    def __init__(self, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS, table_bytes: int = TABLE_BYTES):
-        letter, low = _lookup()
-        self.langs, self.tables, self.bits = [], [], []
-        seen = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
-        # frequent letters have a symbol each; with more than 190 the others share 64 by their code
-        ranked = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
-        self.symbol = np.full(0x110000, OTHER, np.uint8)
-        for i, c in enumerate(ranked[:190]):
-            self.symbol[ord(c)] = 2 + i
-        for c in ranked[190:]:
-            self.symbol[ord(c)] = 192 + ord(c) % 64
-        self.width = 256 if len(ranked) > 190 else 2 + len(ranked)
-        self.symbol = self.symbol[low]
-        self.symbol[~letter] = BLANK
-        bound = table_bytes // max(1, len(samples)) // (8 * self.width)
-        for lang in sorted(samples):
-            out: list[int] = []
-            share = max(200, min(chars, bound) // max(1, len(samples[lang])))
-            for t in samples[lang]:
-                out += self.symbols(t)[:share].tolist() + [BLANK]
-            if sum(s != BLANK for s in out) == 0:
-                continue
-            self.langs.append(lang)
-            self.tables.append(suffix_automaton(out, self.width))
-            self.bits.append(np.log2(len(out) + 1))
+    def __init__(self, samples: dict[str, list[str]]):
+        self.letter, self.low = _lookup()
+        texts = {lang: self._bytes(np.frombuffer("\n".join(samples[lang]).encode("utf-32-le", "surrogatepass"), np.uint32))[0] for lang in sorted(samples)}
+        seen = sorted(set().union(*(np.unique(t).tolist() for t in texts.values())) - {32}) if texts else []
+        self.symbol = np.full(256, OTHER, np.int64)
+        self.symbol[32] = BLANK
+        self.symbol[seen] = np.arange(2, 2 + len(seen))
+        self.langs, self.automata, self.bits = [], [], []
+        for lang, text in texts.items():
+            if (text != 32).any():
+                self.langs.append(lang)
+                self.automata.append(Automaton(self.symbol[text].tolist(), 2 + len(seen)))
+                self.bits.append(np.log2(len(text) + 1))
 
-    def symbols(self, text: str) -> np.ndarray:
-        s = self.symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        keep = np.ones(len(s), bool)
-        keep[1:] = (s[1:] != BLANK) | (s[:-1] != BLANK)
-        return s[keep]
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("letter", "low")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.letter, self.low = _lookup()
+
+    def _bytes(self, points: np.ndarray, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """UTF-8 bytes of the letters, 32 for each run of others; the edges (rows begin anew) and the letters so far."""
+        p = np.where(self.letter[points], self.low[points], 32)
+        keep = np.ones(len(p), bool)
+        keep[1:] = (p[1:] != 32) | (p[:-1] != 32)
+        if edges is None:
+            edges = np.array([0, len(p)])
+        keep[edges[:-1][edges[:-1] < len(p)]] = True
+        kept = np.zeros(len(p) + 1, np.int64)
+        np.cumsum(keep, out=kept[1:])
+        p = p[keep]
+        letters = np.zeros(len(p) + 1, np.int64)
+        np.cumsum(p != 32, out=letters[1:])
+        out, at = utf8(p)
+        return out, at[kept[edges]], letters[kept[edges]]
 
     def rates(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, languages) bits per symbol, and whether a row has letters."""
@@ -128,18 +185,9 @@ class Parser:
         rows = len(offsets) - 1
         head = np.zeros(len(raw) + 1, np.int64)
         np.cumsum((raw & 0xC0) != 0x80, out=head[1:])
-        at = head[offsets - offsets[0]]
-        s = self.symbol[np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
-        keep = np.ones(len(s), bool)
-        keep[1:] = (s[1:] != BLANK) | (s[:-1] != BLANK)
-        keep[at[:-1][at[:-1] < len(s)]] = True
-        kept = np.zeros(len(s) + 1, np.int64)
-        np.cumsum(keep, out=kept[1:])
-        at, s = kept[at], s[keep]
-        lengths = np.diff(at)
-        letters = np.zeros(len(s) + 1, np.int64)
-        np.cumsum(s != BLANK, out=letters[1:])
-        has = letters[at[1:]] > letters[at[:-1]]
+        points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        s, at, letters = self._bytes(points, head[offsets - offsets[0]])
+        s, lengths, has = self.symbol[s], np.diff(at), np.diff(letters) > 0
         n_seg = -(-lengths // SEGMENT)
         row = np.repeat(np.arange(rows), n_seg)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(n_seg) - n_seg, n_seg)
@@ -149,20 +197,20 @@ class Parser:
         row, begin, size = row[order], begin[order], size[order]
         live = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), "right")
         out = np.zeros((rows, len(self.langs)))
-        flat = [t.ravel() for t in self.tables]
-        state = [np.ones(len(row), np.int64) for _ in flat]
-        count = [np.zeros(len(row), np.int64) for _ in flat]
+        state = [np.ones(len(row), np.int64) for _ in self.langs]
+        count = [np.zeros(len(row), np.int64) for _ in self.langs]
+        root = np.ones(1, np.int64)
         for t in range(int(size[0]) if len(size) else 0):
             n = live[t]
-            c = s[begin[:n] + t].astype(np.int64)
-            for k, table in enumerate(flat):
-                x = table[state[k][:n] * self.width + c]
+            c = s[begin[:n] + t]
+            for k, automaton in enumerate(self.automata):
+                x = automaton.step(state[k][:n], c)
                 left = np.flatnonzero(x == 0)
                 count[k][left] += 1
-                again = table[self.width + c[left]]
+                again = automaton.step(root, c[left])
                 x[left] = np.where(again == 0, 1, again)
                 state[k][:n] = x
-        for k in range(len(flat)):
+        for k in range(len(self.langs)):
             out[:, k] = np.bincount(row, count[k], minlength=rows) * self.bits[k]
         return out / np.maximum(lengths, 1)[:, None], has
 
@@ -176,19 +224,33 @@ class Parser:
         return [self.langs[b] if h else UND for b, h in zip(best, has, strict=True)], score
 
 
-def train(docs: DataFrame, learn=None, sample_docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Parser:
+def train(docs: DataFrame, learn=None, classes: int = SAMPLE_CLASSES, most: int = SAMPLE_BYTES) -> Parser:
     """Automata of a bounded sample of the rows where ``learn`` holds (default: all with a lang)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if learn is not None:
         rows = rows.where(learn)
-    h = F.xxhash64("doc_id", F.lit(7))
-    picked = rows.groupBy("lang", F.pmod(h, F.lit(sample_docs)).alias("c")).agg(F.min_by("doc_id", h).alias("doc_id")).select("lang", "doc_id").collect()
-    samples: dict[str, list[str]] = {}
+    h, size = F.xxhash64("text"), F.octet_length("text")
+    least = rows.groupBy("lang", F.pmod(h, F.lit(classes)).alias("c")).agg(F.min(F.struct(h.alias("h"), size.alias("n"))).alias("first"), F.min(F.struct(size.alias("n"), h.alias("h"))).alias("shortest"))
+    by_lang: dict[str, list] = {}
+    for r in least.collect():  # ``classes`` rows a language
+        by_lang.setdefault(r.lang, []).append(r)
+    picked: set[tuple[str, int]] = set()
+    for lang, own in by_lang.items():
+        left, some = most, False
+        for r in sorted(own, key=lambda r: r.first.h):
+            if r.first.n <= left:
+                left, some = left - r.first.n, True
+                picked.add((lang, r.first.h))
+        if not some:
+            picked.add((lang, min(own, key=lambda r: (r.shortest.n, r.shortest.h)).shortest.h))
+    samples: dict[str, dict[int, str]] = {}
     if picked:
-        for r in rows.where(F.col("doc_id").isin(sorted({p.doc_id for p in picked}))).where(F.col("text").isNotNull()).select("lang", F.substring("text", 1, chars).alias("text"), "doc_id").orderBy("doc_id", "lang", "text").collect():
-            samples.setdefault(r.lang, []).append(r.text)
-    return Parser(samples, chars)
+        texts = rows.select("lang", h.alias("h"), "text").where(F.col("h").isin(sorted({x for _, x in picked})))
+        for r in texts.groupBy("lang", "h").agg(F.min("text").alias("text")).collect():
+            if (r.lang, r.h) in picked:
+                samples.setdefault(r.lang, {})[r.h] = r.text
+    return Parser({lang: [t for _, t in sorted(texts.items())] for lang, texts in samples.items()})
 
 
 def identify(docs: DataFrame, parser: Parser) -> DataFrame:

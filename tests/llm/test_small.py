@@ -160,15 +160,38 @@ def test_items_are_found_inside_long_documents():
 @settings(max_examples=40, deadline=None)
 @given(st.text("abc", min_size=1, max_size=30), st.text("abcd", max_size=40))
 def test_suffix_automaton_holds_all_substrings(sample, text):
-    t = language_id.suffix_automaton([ord(c) - 96 for c in sample], 8)
-    state = 1
+    t = language_id.Automaton([ord(c) - 96 for c in sample], 8)
+    state = np.ones(1, np.int64)
     for n, c in enumerate(text):
-        state = t[state, ord(c) - 96]
-        assert bool(state) == (text[: n + 1] in sample)
-        if not state:
+        state = t.step(state, np.array([ord(c) - 96]))
+        assert bool(state[0]) == (text[: n + 1] in sample)
+        if not state[0]:
             break
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abĀж 漢1", min_size=1, max_size=30), min_size=1, max_size=3), st.lists(st.text("abĀж 漢\U00010400z,", max_size=40), max_size=5))
+def test_rates_equal_phrases_counted_by_hand(sample, texts):
+    """Cross-parsing by substring search, on the bytes of lower-cased letters."""
+    import re
+
+    plain = lambda t: re.sub(r"[\W\d_]+", " ", t).lower().encode()
+    p = language_id.Parser({"xx": sample})
+    if not p.langs:
+        return
+    own = plain("\n".join(sample))
+    data, offsets = shingles.buffers(pa.array(texts, pa.string()))
+    rates, has = p.rates(data, offsets)
+    for i, t in enumerate(texts):
+        b, phrases, begin = plain(t), 0, 0
+        for n in range(len(b)):
+            if b[begin : n + 1] not in own:
+                phrases += 1
+                begin = n if b[n : n + 1] in own else n + 1
+        assert has[i] == any(c.isalpha() for c in t)
+        assert abs(rates[i, 0] * max(1, len(b)) - phrases * math.log2(len(own) + 1)) < 1e-6
+
+
 def test_language_is_the_cheapest_parse():
     p = language_id.Parser({"xx": ["abab abba baab " * 20], "yy": ["cdcd dccd ddcc " * 20]})
     data, offsets = shingles.buffers(pa.array(["abba abab", "DCCD ddcc", "12 !", None, "", "é" * 3, "abab " * 2000]))
