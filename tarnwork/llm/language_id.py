@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
 Per language, labelled text (a bounded sample: whole texts, ``SAMPLE_BYTES`` together) is made into a
-suffix automaton, held as a packed transition table of a few entries for each symbol.  A text is parsed
+suffix automaton, held as a hash table of its transitions.  A text is parsed
 by each automaton into longest matches: a phrase ends where the text leaves what the language's sample
 contains.  phrases * log2(sample length) / symbols estimates the cross entropy; the smallest wins.
 
@@ -72,10 +72,7 @@ def utf8(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Automaton:
-    """Suffix automaton; the rows of its transition table lie displaced in one array, each in the gaps of others.
-
-    State 1 is the root; from state s symbol c leads to next[base[s] + c] if check[base[s] + c] is s.
-    """
+    """Suffix automaton; its transitions lie in one hash table, a quarter full at most.  State 1 is the root."""
 
     def __init__(self, symbols: list[int], width: int):
         trans: list[dict[int, int]] = [{}, {}]
@@ -103,40 +100,37 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self._displace(trans, width)
-
-    def _displace(self, trans: list[dict[int, int]], width: int) -> None:
-        """First fit, fullest rows first; rows of one transition take the slots that are left."""
-        used = bytearray(2 * width + sum(map(len, trans)) * 2 + len(trans))
-        base, low, tries = [0] * len(trans), 0, 0
-        for s in sorted(range(len(trans)), key=lambda s: -len(trans[s])):
-            row = list(trans[s])
-            if len(row) == 1:  # the next free slot, whatever the symbol
-                low = used.index(0, max(low, width))
-                base[s] = low - row[0]
-                used[low] = 1
-                continue
-            at = low
-            while any(used[at + c] for c in row):
-                at, tries = at + 1, tries + 1
-                if at + width >= len(used):
-                    used.extend(bytes(len(used)))
-            if tries > 64:  # crowded here: later rows start further on
-                low, tries = low + 8, 0
-            base[s] = at
-            for c in row:
-                used[at + c] = 1
-        self.base = np.array(base, np.int64)
-        size = int(self.base.max()) + width + 1
-        self.check, self.next = np.zeros(size, np.int32), np.zeros(size, np.int32)
-        for s, row in enumerate(trans):
-            for c, x in row.items():
-                self.check[base[s] + c], self.next[base[s] + c] = s, x
+        self.width = width
+        keys = np.array([s * width + c for s, row in enumerate(trans) for c in row], np.int64)
+        goals = np.array([x for row in trans for x in row.values()], np.int32)
+        self.bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        self.keys, self.next = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        todo, at = np.arange(len(keys)), self._home(keys)
+        while len(todo):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[todo[free]]
+            mine = self.keys[at] == keys[todo]
+            self.next[at[mine]] = goals[todo[mine]]
+            todo, at = todo[~mine], (at[~mine] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Next states; 0 where there is none."""
-        at = self.base[state] + symbol
-        return np.where(self.check[at] == state, self.next[at], 0)
+        keys = state * self.width + symbol
+        at = self._home(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.next[at], 0)
+        more = np.flatnonzero((found != keys) & (found >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[more]]
+            hit = found == keys[more]
+            out[more[hit]] = self.next[at[more[hit]]]
+            more = more[~hit & (found >= 0)]
+        return out
 
 
 class Parser:

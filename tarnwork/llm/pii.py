@@ -148,7 +148,8 @@ def _fits(c: Column) -> Column:
 
 
 def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Once for each salt; grows with the corpus, so never broadcast."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def trusted_patterns(seen: DataFrame) -> DataFrame:
@@ -157,14 +158,14 @@ def trusted_patterns(seen: DataFrame) -> DataFrame:
     edges = materialize(edges.withColumn("salt", F.pmod(F.xxhash64("pattern", "instance"), F.lit(SALTS)).cast("int")), "graph")
     known = edges.where("ord is not null").groupBy("instance").agg(F.min("ord").alias("ord"))
     seeds = materialize(known.withColumn("score", F.lit(1.0)), "seeds")
-    open_ = edges.where(F.col("ord").isNull() & ~F.col("bad") & _fits(F.col("instance"))).select("pattern", "instance", "salt").join(seeds.select("instance"), "instance", "left_anti")
+    open_ = edges.where(F.col("ord").isNull() & ~F.col("bad") & _fits(F.col("instance"))).select("pattern", "instance", "salt").join(seeds.select("instance").hint("merge"), "instance", "left_anti")
     open_ = materialize(open_, "open")
     sizes = materialize(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SEEDS), "sizes")
     scores, before = seeds, None
     while True:
         held = edges.select("pattern", "instance", "salt").join(_salted(scores), ["instance", "salt"])
         sums = held.groupBy("pattern", "ord").agg(F.sum("score").alias("s"), F.count_if(F.col("score") >= 0.5).alias("k")).where(F.col("k") >= MIN_SEEDS)
-        good = sums.join(sizes, "pattern").select("pattern", "ord", (F.col("s") / (F.col("n") + 1)).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
+        good = sums.join(sizes.hint("merge"), "pattern").select("pattern", "ord", (F.col("s") / (F.col("n") + 1)).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
         good = materialize(good, "patterns")
         state = good.agg(F.count("*").alias("n"), F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("s")).first()
         if not state.n or (before is not None and state.n == before.n and state.s - before.s <= SETTLED * state.n):
