@@ -33,7 +33,9 @@ def any_of(preds: Iterable[Column]) -> Column:
 
 
 def contains_any(c: Column, tokens: Iterable[str]) -> Column:
-    return any_of(F.contains(c, F.lit(t)) for t in tokens)
+    """Some token occurs; beyond a few tokens one expression, so that many of these compile as one stage."""
+    tokens = list(tokens)
+    return any_of(F.contains(c, F.lit(t)) for t in tokens) if len(tokens) < 3 else c.rlike(quoted(tokens))
 
 
 def quoted(tokens: Iterable[str]) -> str:
@@ -47,10 +49,13 @@ def has_token(c: Column, tokens: Iterable[str]) -> Column:
 
 
 def calls_named(c: Column, name: str) -> Column:
-    """``name(`` as a call: not the end of a longer name, not behind a definition keyword."""
+    """``name(`` as a call: not the end of a longer name, not behind a definition keyword and blanks."""
     from .fixed import DEFINITIONS
 
-    return c.rlike(rf"(?<!(?:{'|'.join(DEFINITIONS)})\s{{0,60}})(?<![\p{{L}}\p{{N}}_]){name}\(")
+    before = F.split(c, rf"{name}\(", -1)  # what stands before each occurrence, and the rest
+    definition = lambda p: any_of(F.endswith(F.rtrim(p, F.lit(BLANKS)), F.lit(d)) for d in DEFINITIONS)
+    called = F.exists(F.slice(before, 1, F.size(before) - 1), lambda p: ~p.rlike(r"[\p{L}\p{N}_]\z") & ~definition(p))
+    return F.contains(c, F.lit(f"{name}(")) & called
 
 
 def eval_invoked(low: Column) -> Column:

@@ -2,8 +2,9 @@
 
 Line-oriented languages (package.json, manifests, makefiles, Markdown, shell risk lines) are DataFrame
 expressions over exploded lines.  Python is parsed with the standard library's ``ast`` in Arrow
-batches.  The other languages have no parser here: their imports, signatures and calls are found by
-regular expressions per line, an approximation of a syntax tree (see README).
+batches; a file with a syntax error keeps its evidence, found like that of the other languages.  These
+have no parser here: their imports, signatures and calls are found by regular expressions per line, an
+approximation of a syntax tree (see README).
 """
 
 from __future__ import annotations
@@ -71,6 +72,7 @@ def line_evidence(rows: DataFrame) -> DataFrame:
 _CALL = r"([A-Za-z_$][\w$]*(?:(?:\.|::|->|\?\.)[A-Za-z_$][\w$]*!?)*!?)\s*(?:::<[^()]*>)?\("
 #: Per language: import, signature and call patterns; group 1 (or the line) is the text.
 _PATTERNS: dict[str, tuple[str | None, str | None, str | None]] = {
+    "python": (r"(?:import|from)\s", r"(?:async\s+)?(?:def|class)\s", _CALL),
     "rust": (r"(?:pub(?:\([^)]*\))?\s+)?use\s", r"(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|async\s+|const\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*(?:fn|struct|enum|trait|impl)\b", _CALL),
     "go": (r"import\s", r"(?:func|type)\s", _CALL),
     "javascript": (r"(?:import|export)\b(?!\()", r"(?:export\s+(?:default\s+)?)?(?:async\s+)?(?:function\b|class\s)", _CALL),
@@ -149,17 +151,16 @@ def by_ast(text: str) -> Iterator[tuple[str, int, str]] | None:
 
 
 def syntax_evidence(files: DataFrame) -> DataFrame:
-    """Evidence of the other languages; a file that does not parse gives one row of kind ``error``."""
+    """Evidence of the other languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for path, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = by_ast(text) if lang == "python" else by_lines(lang, text) if lang in _COMPILED else ()
+                found = by_ast(text) if lang == "python" else None
                 if found is None:
-                    rows.append((path, lang, "error", None, ""))
-                else:
-                    rows += sorted({(path, lang, k, n, t) for k, n, t in found if t}, key=lambda r: (r[3], r[2], r[4]))
+                    found = by_lines(lang, text) if lang in _COMPILED else ()
+                rows += sorted({(path, lang, k, n, t) for k, n, t in found if t}, key=lambda r: (r[3], r[2], r[4]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()))], ["path", "lang", "kind", "line", "text"])
 
     ship_code(files.sparkSession)

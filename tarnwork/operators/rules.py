@@ -49,11 +49,10 @@ def lifecycle(text: Column) -> Column:
 
 def line_findings(e: DataFrame) -> DataFrame:
     """Rules that one line decides, given its file's workflow flag."""
-    flag = F.max(contains_any(ascii_lower(F.col("text")), X.SECRETS)).over(Window.partitionBy("path"))
-    workflow = e.where(is_workflow(F.col("path"))).withColumn("file_secret", flag)
-    others = e.where(~is_workflow(F.col("path"))).withColumn("file_secret", F.lit(False))
-    rows = workflow.unionByName(others).where(prefilter(F.col("text")))
-    rows = rows.withColumns({"low": ascii_lower(F.col("text")), "flow": is_workflow(F.col("path")), "docker": is_container_file(F.col("path")), "manifest": is_manifest(F.col("path")) & F.col("line").isNotNull()})
+    # lines with a secret pass the filter, so the file's flag is found among the lines that are left
+    rows = e.where(prefilter(F.col("text"))).withColumns({"low": ascii_lower(F.col("text")), "flow": is_workflow(F.col("path")), "docker": is_container_file(F.col("path")), "manifest": is_manifest(F.col("path")) & F.col("line").isNotNull()})
+    flag = F.max(F.col("flow") & contains_any(F.col("low"), X.SECRETS)).over(Window.partitionBy("path"))
+    rows = rows.withColumn("file_secret", flag)
     t, low, flow, docker, kind = (F.col(c) for c in ("text", "low", "flow", "docker", "kind"))
     path = normal_path(F.col("path"))
     run = F.startswith(lstrip(t), F.lit("run:"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.text import any_of, ascii_lower, base_name, calls_named, contains_any, has_token, is_file, lines, lstrip, normal_path, quoted
-from .paths import is_dependency_file, is_install_script, scope
+from .paths import is_dependency_file, is_install_script, language, scope
 from .rules import base64_execute, download_execute, home_write
 
 COLUMNS = ["capability", "trigger", "confidence", "evidence", "path", "line", "scope", "text"]
@@ -92,7 +92,7 @@ def collapse(entries: DataFrame) -> DataFrame:
     """Per line: the longest text of each (capability, trigger, evidence); weak goes where strong is."""
     line = F.coalesce("line", F.lit(0))
     best = Window.partitionBy("path", "capability", line, "trigger", "evidence").orderBy(F.desc(F.char_length("text")), "text")
-    kept = entries.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
+    kept = entries.repartition("path").withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
     strong = F.max(F.col("confidence") == "strong").over(Window.partitionBy("path", "capability", line))
     return kept.withColumn("s", strong).where((F.col("confidence") == "strong") | ~F.col("s")).drop("s")
 
@@ -121,9 +121,10 @@ def artifact_tags(path: Column, length: Column, mode: Column, max_bytes: int = X
 
 
 def artifacts(files: DataFrame, max_bytes: int = X.MAX_BYTES) -> DataFrame:
-    """(path, size_bytes, reason) of suspicious files from their metadata alone."""
+    """(path, size_bytes, reason) of suspicious files, from their metadata alone: those that are too large
+    or of no known language, as what is read is judged by its content."""
     tags = artifact_tags(F.col("path"), F.col("length"), F.col("mode"), max_bytes)
-    return files.select("path", F.col("length").cast("long").alias("size_bytes"), tags.alias("tags")).where(F.size("tags") > 0).select("path", "size_bytes", F.array_join("tags", ",").alias("reason"))
+    return files.where((F.col("length") > max_bytes) | language(F.col("path")).isNull()).select("path", F.col("length").cast("long").alias("size_bytes"), tags.alias("tags")).where(F.size("tags") > 0).select("path", "size_bytes", F.array_join("tags", ",").alias("reason"))
 
 
 def artifact_entries(found: DataFrame) -> DataFrame:
@@ -182,6 +183,12 @@ def counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("capability").agg(F.count("*").alias("n"))
 
 
+def failing(entries: DataFrame, capabilities: list[str]) -> DataFrame:
+    """(capability, failed): whether any entry, whatever its scope, has it."""
+    asked = F.array(*map(F.lit, capabilities))
+    seen = entries.where(F.col("capability").isin(capabilities)).agg(F.collect_set("capability").alias("seen"))
+    return seen.select("seen", F.explode(asked).alias("capability")).select("capability", F.array_contains("seen", F.col("capability")).alias("failed"))
+
+
 def fails(entries: DataFrame, capabilities: list[str]) -> bool:
-    """Whether any entry, whatever its scope, has one of the capabilities."""
-    return bool(entries.where(F.col("capability").isin(capabilities)).limit(1).count())
+    return bool(failing(entries, capabilities).where("failed").limit(1).count())

@@ -18,6 +18,7 @@ from ..operators import query as Q
 from ..operators import rules as R
 from ..operators import seed as S
 from ..operators import surface as C
+from ..session import cut
 from ..sources.tree import read_tree
 from . import render
 
@@ -37,15 +38,13 @@ def load(spark: SparkSession, root: str, max_bytes: int = X.MAX_BYTES, **options
     files = files.withColumn("status", F.when(F.col("read_failed"), "read_failed").otherwise(F.col("status")))
     read = files.where("status = 'dehydrated'")
     evidence = E.line_evidence(E.file_lines(read)).unionByName(E.syntax_evidence(read))
-    # Written once to the shared checkpoint folder: later steps neither read the tree nor extract again.
-    evidence = evidence.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else evidence.persist()
-    good = evidence.where("kind <> 'error'").distinct()
-    return files, good.unionByName(E.external(good)).unionByName(evidence.where("kind = 'error'"))
+    evidence = cut(evidence.distinct())  # later steps neither read the tree nor extract again
+    return files, evidence.unionByName(E.external(evidence))
 
 
 def query(spark: SparkSession, root: str, filters: Q.Filters, limit: int = 200, **options) -> Outcome:
     files, evidence = load(spark, root, **options)
-    found = Q.matches(evidence.where("kind <> 'error'"), filters, files.where("status = 'dehydrated'"))
+    found = Q.matches(evidence, filters, files.where("status = 'dehydrated'"))
     shown = Q.limited(found, limit)
     return Outcome(found, 0 if shown.limit(1).count() else 1, {"files": shown, "lines": Q.grep_lines(found)})
 
@@ -55,7 +54,7 @@ def ledger(spark: SparkSession, root: str, max_bytes: int = X.MAX_BYTES, **optio
     files, evidence = load(spark, root, max_bytes, **options)
     text = files.where("status = 'dehydrated'").select("path", utf8(F.col("content")).alias("content"))
     extra = [C.artifact_entries(C.artifacts(files, max_bytes)), C.shape_entries(C.shapes(text))]
-    return C.surface(evidence.where("kind not in ('external', 'error')"), files.where("status = 'dehydrated'"), extra)
+    return C.surface(evidence.where("kind <> 'external'"), files.where("status = 'dehydrated'"), extra)
 
 
 def surface(spark: SparkSession, root: str, scopes=None, capabilities=None, limit: int = 200, fail_on=(), **options) -> Outcome:
@@ -77,9 +76,8 @@ def gate(spark: SparkSession, root: str, policy: J.Policy | None = None, max_byt
     """Findings of compacted records, policy, artifacts, verdict; status 0 only for ACCEPT."""
     policy = policy or J.Policy()
     files, evidence = load(spark, root, max_bytes, **options)
-    broken = evidence.where("kind = 'error'").select("path").distinct().withColumn("broken", F.lit(True))
-    read = files.where("status = 'dehydrated'").select("path", "lang").join(broken, "path", "left_anti")
-    records = E.records(evidence.where("kind <> 'error'"))
+    read = files.where("status = 'dehydrated'").select("path", "lang")
+    records = E.records(evidence)
     empty = F.array().cast("array<string>")
     whole = read.join(records.drop("lang"), "path", "left").select("path", "lang", *(F.coalesce(c, empty).alias(c) for c in ("imports", "signatures", "calls")), F.coalesce("locations", F.array().cast("array<struct<line:int,kind:string,text:string>>")).alias("locations"), F.coalesce("external", empty).alias("external"))
     seeds = S.compact(whole, cap)
@@ -89,8 +87,7 @@ def gate(spark: SparkSession, root: str, policy: J.Policy | None = None, max_byt
     kept = judged.where("not suppressed")
     artifacts = J.artifacts_left(C.artifacts(files, max_bytes), policy)
     left = artifacts.where("action is null")
-    state = files.join(broken, "path", "left").select("path", F.when(F.col("broken"), "parse_failed").otherwise(F.col("status")).alias("status"))
-    state = state.join(seeds.select("path", "truncated", (F.octet_length("json") + 1).alias("seed_bytes")), "path", "left")
+    state = files.select("path", "status").join(seeds.select("path", "truncated", (F.octet_length("json") + 1).alias("seed_bytes")), "path", "left")
     row = G.verdict(kept, left, G.coverage(state.withColumn("truncated", F.coalesce("truncated", F.lit(False)))), policy.max_candidate_files).first().asDict()
     why = [r.why for r in G.why(kept, 3, "severity_before").collect()]
     if row["reasons"]:

@@ -309,7 +309,7 @@ def hidden_scope_counts(spark, d):
 
 @query
 def surface_fail_on(spark, d):
-    return spark.createDataFrame([(c, C.fails(_surface(spark, d), [c])) for c in ("execute", "deps")], "capability string, failed boolean")
+    return C.failing(_surface(spark, d), ["execute", "deps"])
 
 
 @query

@@ -213,7 +213,7 @@ NAME = f"regexp_extract({low('path')}, '[^/]*$')"
 ENDS = lambda xs: "(" + " OR ".join(f"ends_with({NAME}, {lit(s)})" for s in xs) + ")"
 ARTIFACTS = (
     f"WITH {MIXED}, art AS (SELECT path, length AS size_bytes, concat_ws(',', CASE WHEN length > {SMALL} THEN 'large_opaque_file' END, CASE WHEN {ENDS(X.BINARY_SUFFIXES)} THEN 'binary_or_archive_extension' END, "
-    f"CASE WHEN runs AND {has(low('path'), X.RELEASE_MARKS)} THEN 'executable_in_install_or_release_path' WHEN runs AND NOT {ENDS(X.SCRIPT_SUFFIXES)} THEN 'extensionless_or_binary_executable' END) AS reason FROM mixed), art1 AS (SELECT * FROM art WHERE reason <> '')"
+    f"CASE WHEN runs AND {has(low('path'), X.RELEASE_MARKS)} THEN 'executable_in_install_or_release_path' WHEN runs AND NOT {ENDS(X.SCRIPT_SUFFIXES)} THEN 'extensionless_or_binary_executable' END) AS reason FROM mixed WHERE length > {SMALL} OR {lang_sql('path')} IS NULL), art1 AS (SELECT * FROM art WHERE reason <> '')"
 )
 MD = "md AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id || '.md' AS path, coalesce(text, '') AS c FROM documents)"
 SPLIT = "CASE WHEN ends_with(c, chr(10)) OR c = '' THEN list_slice(string_split(c, chr(10)), 1, -2) ELSE string_split(c, chr(10)) END"

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -26,3 +26,13 @@ def ship_code(spark: SparkSession) -> None:
                     full = os.path.join(d, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     spark.sparkContext.addPyFile(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once: in the checkpoint folder that the cluster names; in memory on one machine."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return df.persist()

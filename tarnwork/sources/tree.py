@@ -12,8 +12,8 @@ over paths that Spark lists.
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,35 +21,61 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import fixed as X
+from ..session import ship_code
 
 SCHEMA = "seq long, path string, length long, mode int, content binary, read_failed boolean"
 
 
+def _glob(pattern: str) -> str:
+    """A path pattern as a regular expression: * and ? stay within a component, ** crosses them."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if pattern.startswith("**/", i) and (i == 0 or pattern[i - 1] == "/"):
+            out, i = out + "(?:.*/)?", i + 3
+        elif pattern[i:] == "**" and (i == 0 or pattern[i - 1] == "/"):
+            out, i = out + ".+", i + 2
+        elif c == "*":
+            out, i = out + "[^/]*", i + 1
+        elif c == "?":
+            out, i = out + "[^/]", i + 1
+        elif c == "[" and (end := pattern.find("]", i + 2)) > 0:
+            body = pattern[i + 1 : end]
+            body = "^" + body[1:] if body[0] in "!^" else body
+            out, i = out + "(?!/)[" + body.replace("\\", "\\\\").replace("[", "\\[") + "]", end + 1
+        elif c == "\\" and i + 1 < len(pattern):
+            out, i = out + re.escape(pattern[i + 1]), i + 2
+        else:
+            out, i = out + re.escape(c), i + 1
+    return out
+
+
 class Ignores:
     """The rules of one ignore file: last match wins, ! re-includes, / anchors, trailing / means directories."""
 
     def __init__(self, text: str):
-        self.rules: list[tuple[str, bool, bool, bool]] = []
+        self.rules: list[tuple[re.Pattern, bool, bool]] = []
         for raw in text.splitlines():
-            line = raw.rstrip()
+            line = raw.rstrip("\r")
+            line = line.rstrip(" ") + (" " if line.rstrip(" ").endswith("\\") else "")
             if not line or line.startswith("#"):
                 continue
             again = line.startswith("!")
             line = line[1:] if again else line
             folder = line.endswith("/")
             line = line.rstrip("/")
-            anchored = "/" in line
-            self.rules.append((line.lstrip("/"), again, folder, anchored))
+            if not line:
+                continue
+            inside = _glob(line.lstrip("/") if "/" in line else f"**/{line}")
+            try:
+                self.rules.append((re.compile(inside + r"\Z", re.S), again, folder))
+            except re.error:  # an invalid class: such a line matches nothing
+                continue
 
     def verdict(self, rel: str, is_dir: bool) -> bool | None:
         out = None
-        for pattern, again, folder, anchored in self.rules:
-            if folder and not is_dir:
-                continue
-            hit = fnmatch.fnmatchcase(rel, pattern) if anchored else fnmatch.fnmatchcase(rel.rpartition("/")[2], pattern)
-            if anchored and "**" in pattern:
-                hit = hit or fnmatch.fnmatchcase(rel, pattern.replace("**/", ""))
-            if hit:
+        for pattern, again, folder in self.rules:
+            if (is_dir or not folder) and pattern.match(rel):
                 out = not again
         return out
 
@@ -154,6 +180,7 @@ def module_root(root: str, module: str | None) -> str:
 
 
 def read_tree(spark: SparkSession, root: str, **options) -> DataFrame:
+    ship_code(spark)
     spark.dataSource.register(TreeSource)
     return spark.read.format("tree").options(**{k: str(v) for k, v in options.items()}).load(root)
 

