@@ -12,13 +12,14 @@ probabilities of all texts add up to one.  A-Z are lower-cased, as for the word
 Scale.  All training bytes count, and the model grows with the corpus; it is never in one place:
 * the rows are written once to the shared folder, each with a number of its own; a block is the rows of
   one written part with equal number modulo ``parts``, so whoever reads them later, however the files
-  are split, finds the same blocks.  A block asks for the distinct (DEPTH+1)-grams and words in it, with
-  its training counts, in packed rows: sorted keys of one block and one subtree, delta coded;
+  are split, finds the same blocks.  A block asks for the distinct (DEPTH+1)-grams and words in each run of
+  rows that one task reads, with its training counts, in packed rows: sorted keys of one run and one
+  subtree, delta coded;
 * a subtree holds the grams whose last two context bytes fall in one of ``subs`` hash classes (their
-  number follows the input, to 65,536); counts meet there in chunks of ``CHUNK_KEYS`` keys, it is
-  weighted on its own, and only sums per last byte (at most 65,536 rows) pass the driver;
-* log probabilities go back to the blocks that asked (in single precision, as packed rows), and each
-  block is scored with its own answers.
+  number follows the input, to 65,536; then chunks of blocks are counted apart first); counts meet there,
+  it is weighted on its own, and only sums per last byte (at most 65,536 rows) pass the driver;
+* log probabilities go back to the blocks that asked (in single precision, in the order of the keys, which
+  are not sent again: the block finds them in its own texts), and each block is scored with its answers.
 Nothing is grouped by a key that is frequent: a chunk has a bounded number of keys and a block of bytes.
 Keys of words are 63-bit hashes.
 
@@ -42,8 +43,8 @@ from .shingles import U, buffers, chunks, mix, words
 
 DEPTH = 6
 START, END = 0xFE, 0xFF
-#: Text bytes of a block, keys that one task puts together, text bytes to a subtree class.
-BLOCK_BYTES, CHUNK_KEYS, SUB_BYTES = 24 << 20, 1 << 24, 8 << 20
+#: Text bytes of a block, and to a subtree class (of a chunk).
+BLOCK_BYTES, SUB_BYTES = 24 << 20, 8 << 20
 LEAST_SUBS, MOST_SUBS = 256, 65_536
 END_KEY = np.int64(-(1 << 63))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -280,50 +281,83 @@ class Subtree:
 
 # ---- the passes ---------------------------------------------------------------------------------
 
-ASKED = "blk long, sub int, n_keys long, keys binary, counts binary"
+ASKED = "blk long, start long, sub int, n_keys long, keys binary, counts binary"
 MERGED = "sub int, n_keys long, keys binary, counts binary, total long, taught long, tops binary"
 
 
-def _ask(depth: int, subs: int):
-    """Packed rows of each block: distinct grams and words of a class, with their training counts."""
+def block_keys(texts: pa.Array, trains: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams and words of a run of rows, ascending, with their training counts."""
+    parts: list[tuple] = []
+    for teach in (True, False):
+        pick = np.flatnonzero(trains == teach)
+        if not len(pick):
+            continue
+        data, offsets = buffers(texts.take(pa.array(pick)))
+        parts.append((np.array([END_KEY]), np.array([len(pick) * teach])))
+        for x, y in chunks(offsets):
+            for keys in (grams(data, offsets[x : y + 1], depth)[0], word_keys(data, offsets[x : y + 1])[0]):
+                keys.sort()
+                first = _begins(keys)
+                parts.append((keys[first], np.diff(np.append(first, len(keys))) * teach))
+    return tally(parts)
+
+
+def by_class(keys: np.ndarray, depth: int, subs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys' order by class, the classes, and where each begins in that order (one more at the end)."""
+    sub = classes(keys, depth, subs)
+    order = np.argsort(sub, kind="stable")
+    first = _begins(sub[order])
+    return order, sub[order][first], np.append(first, len(keys))
 
-    def rows(blk: int, parts: list[tuple]) -> pa.RecordBatch:
-        keys, n = tally(parts)
-        sub = classes(keys, depth, subs)
-        order = np.argsort(sub, kind="stable")
-        keys, n, sub = keys[order], n[order], sub[order]
-        first = _begins(sub)
-        last = np.append(first[1:], len(sub))
-        cut = list(zip(first.tolist(), last.tolist(), strict=True))
-        columns = [np.full(len(first), blk, np.int64), sub[first].astype(np.int32), last - first, [pack(keys[x:y]) for x, y in cut], [pack(n[x:y]) for x, y in cut]]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["blk", "sub", "n_keys", "keys", "counts"])
+
+def _ask(depth: int, subs: int, parts: int):
+    """Packed rows of each block, (rid, blk, trains, text) rows in order of rid."""
+
+    def rows(blk: int, start: int, held: list[tuple]) -> pa.RecordBatch:
+        keys, n = tally(held)
+        order, sub, edge = by_class(keys, depth, subs)
+        keys, n = keys[order], n[order]
+        cut = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+        columns = [np.full(len(sub), blk, np.int64), np.full(len(sub), start, np.int64), sub.astype(np.int32), np.diff(edge), [pack(keys[x:y]) for x, y in cut], [pack(n[x:y]) for x, y in cut]]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["blk", "start", "sub", "n_keys", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        held: dict[int, list] = {}  # by block: first row, next row, keys
         for batch in batches:
-            blk, trains = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            for b in np.unique(blk):
-                mine = held.setdefault(int(b), [])
-                for teach in (True, False):
-                    pick = np.flatnonzero((blk == b) & (trains == teach))
-                    if not len(pick):
-                        continue
-                    data, offsets = buffers(batch.column(2).take(pa.array(pick)))
-                    mine.append((np.array([END_KEY]), np.array([len(pick) * teach])))
-                    for x, y in chunks(offsets):
-                        for keys in (grams(data, offsets[x : y + 1], depth)[0], word_keys(data, offsets[x : y + 1])[0]):
-                            keys.sort()
-                            first = _begins(keys)
-                            mine.append((keys[first], np.diff(np.append(first, len(keys))) * teach))
-                if sum(len(m[0]) for m in mine) > 1 << 23:
-                    held[int(b)] = [tally(mine)]
-        for b, mine in held.items():
-            yield rows(b, mine)
+            rid, blk, trains = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            for b in np.unique(blk).tolist():
+                mine = np.flatnonzero(blk == b)
+                gaps = np.flatnonzero(np.diff(rid[mine]) != parts) + 1
+                for pick in np.split(mine, gaps):
+                    now = held.get(b)
+                    if now is not None and now[1] != rid[pick[0]]:  # rows between are read elsewhere: a run ends
+                        yield rows(b, now[0], now[2])
+                        now = None
+                    if now is None:
+                        now = held[b] = [int(rid[pick[0]]), 0, []]
+                    now[1] = int(rid[pick[-1]]) + parts
+                    now[2].append(block_keys(batch.column(3).take(pa.array(pick)), trains[pick], depth))
+                    if sum(len(m[0]) for m in now[2]) > 1 << 23:
+                        now[2] = [tally(now[2])]
+        for b, (start, _, keys) in held.items():
+            yield rows(b, start, keys)
 
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(blk, rows): the rows of each block in a batch as one compressed piece, so that texts travel small."""
+    for batch in batches:
+        blk = batch.column(1).to_numpy()
+        for b in np.unique(blk).tolist():
+            sink = pa.BufferOutputStream()
+            part = batch.take(pa.array(np.flatnonzero(blk == b)))
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["blk", "rows"])
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """Packed keys and counts put together."""
     parts: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -361,33 +395,49 @@ def _upper_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array(v.astype(np.int64)) for v in x[:2]), *map(pa.array, x[2:])], ["byte", "prefix", "a", "b", "pw"])
 
 
-def _score(depth: int, n_all: int, n_distinct: int):
-    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        table: dict[bool, list[tuple]] = {False: [(np.zeros(0, np.int64), np.zeros(0))], True: [(np.zeros(0, np.int64), np.zeros(0))]}
-        for is_word, n, keys, values in zip(*(answers[c].to_pylist() for c in ("is_word", "n_keys", "keys", "vals")), strict=True):
-            table[is_word].append((unpack(keys, n), unpack(values, n, np.int64 if is_word else np.float32).astype(float)))
-        gram_at, gram_log = KeyTable(np.concatenate([t[0] for t in table[False]])), np.concatenate([t[1] for t in table[False]])
-        word_at, word_n = KeyTable(np.concatenate([t[0] for t in table[True]])), np.concatenate([t[1] for t in table[True]])
+SCORED = "doc_id long, trains boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _score(depth: int, subs: int, n_all: int, n_distinct: int):
+    """Scores of a block's rows, run by run of those who asked."""
+
+    def scored(docs: pa.Table, values: dict[int, bytes]) -> pa.Table:
+        texts = docs["text"].combine_chunks()
+        keys, _ = block_keys(texts, docs["trains"].to_numpy(), depth)
+        order, sub, edge = by_class(keys, depth, subs)
+        val = np.zeros(len(keys))
+        for c, x, y in zip(sub.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            val[order[x:y]] = unpack(values[c], y - x, np.int64 if c >= subs else np.float32)
+        n_words = int(np.searchsorted(keys, 0))  # words are below, grams above
+        word_at, word_n = KeyTable(keys[:n_words]), val[:n_words]
+        gram_at, gram_log = KeyTable(keys[n_words:]), val[n_words:]
         word_log = np.log10((word_n + 0.1) / (n_all + 0.1 * (n_distinct + 1)))
-        end = int(word_at.find(np.array([END_KEY]))[0]) if docs.num_rows else 0
-        cols: list[list] = [[np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-        for batch in docs.select(["text"]).to_batches():
-            data, offsets = buffers(batch.column(0))
-            for x, y in chunks(offsets):
-                part = offsets[x : y + 1]
-                g, at = grams(data, part, depth)
-                sums = np.concatenate([[0.0], np.cumsum(gram_log[gram_at.find(g)])])
-                cols[0].append(sums[at[1:]] - sums[at[:-1]])
-                w, at = word_keys(data, part)
-                found = word_at.find(w)
-                sums = np.concatenate([[0.0], np.cumsum(word_log[found])])
-                known = np.concatenate([[0], np.cumsum(word_n[found] > 0)])
-                cols[1].append(sums[at[1:]] - sums[at[:-1]] + word_log[end])
-                cols[2].append(np.diff(at) + 1)
-                cols[3].append(known[at[1:]] - known[at[:-1]] + int(word_n[end] > 0))
+        cols: list[list] = [[], [], [], []]
+        data, offsets = buffers(texts)
+        for x, y in chunks(offsets):
+            part = offsets[x : y + 1]
+            g, at = grams(data, part, depth)
+            sums = np.concatenate([[0.0], np.cumsum(gram_log[gram_at.find(g)])])
+            cols[0].append(sums[at[1:]] - sums[at[:-1]])
+            w, at = word_keys(data, part)
+            found = word_at.find(w)
+            sums = np.concatenate([[0.0], np.cumsum(word_log[found])])
+            known = np.concatenate([[0], np.cumsum(word_n[found] > 0)])
+            cols[1].append(sums[at[1:]] - sums[at[:-1]] + word_log[0])  # the end is the least key
+            cols[2].append(np.diff(at) + 1)
+            cols[3].append(known[at[1:]] - known[at[:-1]] + int(word_n[0] > 0))
         score, base, n, known = (np.concatenate(c) for c in cols)
         return pa.table({"doc_id": docs["doc_id"], "trains": docs["trains"], "n_tokens": n, "n_known": known, "base_score": base, "score": score})
 
+    def run(key: tuple, packed: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = pa.concat_tables([pa.ipc.open_stream(r).read_all() for r in packed["rows"].to_pylist()]).sort_by("rid")
+        values: dict[int, dict[int, bytes]] = {}
+        for start, sub, v in zip(*(answers[c].to_pylist() for c in ("start", "sub", "vals")), strict=True):
+            values.setdefault(start, {})[sub] = v
+        starts = sorted(values)
+        edge = [*np.searchsorted(docs["rid"].to_numpy(), starts).tolist(), docs.num_rows]
+        return pa.concat_tables([scored(docs.slice(x, y - x), values[s]) for s, x, y in zip(starts, edge[:-1], edge[1:], strict=True)])
+
     return run
 
 
@@ -402,14 +452,14 @@ def score_texts(docs: DataFrame, train, depth: int = DEPTH) -> DataFrame:
     rows = materialize(rows, "rows")
     own = F.shiftright("rid", 33)
     sizes = rows.groupBy(own.alias("part")).agg(F.sum("size").alias("s")).agg(F.max("s").alias("most"), F.sum("s").alias("all")).first()
+    size = sizes["all"] or 0
     parts = max(1, -(-(sizes["most"] or 0) // BLOCK_BYTES))
-    subs = min(MOST_SUBS, max(LEAST_SUBS, 1 << ((sizes["all"] or 0) // SUB_BYTES).bit_length()))
-    rows = rows.select(F.xxhash64(own, F.pmod("rid", F.lit(parts))).alias("blk"), "doc_id", "trains", "text")
-    asked = materialize(rows.select("blk", "trains", "text").mapInArrow(_ask(depth, subs), ASKED), "asked")
+    subs = min(MOST_SUBS, max(LEAST_SUBS, 1 << (size // SUB_BYTES).bit_length()))
+    n_chunks = max(1, -(-size // (subs * SUB_BYTES)))
+    rows = rows.select("rid", F.xxhash64(own, F.pmod("rid", F.lit(parts))).alias("blk"), "trains", "text", "doc_id")
+    # computed twice rather than kept: packed keys take more room than texts
+    asked = rows.select("rid", "blk", "trains", "text").mapInArrow(_ask(depth, subs, parts), ASKED).withColumn("chunk", F.pmod("blk", F.lit(n_chunks)))
 
-    # one row per class, at most 2 * MOST_SUBS of them
-    load = asked.groupBy("sub").agg(F.ceil(F.sum("n_keys") / CHUNK_KEYS).cast("int").alias("m"))
-    asked = asked.join(F.broadcast(load), "sub").withColumn("chunk", F.pmod("blk", "m").cast("int"))
     merged = asked.groupBy("sub", "chunk").applyInArrow(_merge(depth, subs, False), MERGED)
     merged = materialize(merged.groupBy("sub").applyInArrow(_merge(depth, subs, True), MERGED), "merged")
     total = merged.where(F.col("sub") >= subs).agg(F.sum("total").alias("n"), F.sum("taught").alias("v")).first()
@@ -424,11 +474,12 @@ def score_texts(docs: DataFrame, train, depth: int = DEPTH) -> DataFrame:
         if sub < subs:
             n = (Subtree(keys, n, depth).log2_probability(keys, upper.value) * np.log10(2)).astype(np.float32)
         values = [pack(n[np.searchsorted(keys, unpack(k, m))]) for k, m in zip(asks["keys"].to_pylist(), asks["n_keys"].to_pylist(), strict=True)]
-        return pa.table({"blk": asks["blk"], "is_word": pa.array([sub >= subs] * asks.num_rows, pa.bool_()), "n_keys": asks["n_keys"], "keys": asks["keys"], "vals": pa.array(values, pa.binary())})
+        return pa.table({"blk": asks["blk"], "start": asks["start"], "sub": asks["sub"], "vals": pa.array(values, pa.binary())})
 
-    counted = merged.join(F.broadcast(load), "sub").select("sub", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("chunk"), "n_keys", "keys", "counts")
-    answers = asked.groupBy("sub", "chunk").cogroup(counted.groupBy("sub", "chunk")).applyInArrow(answer, "blk long, is_word boolean, n_keys long, keys binary, vals binary")
-    out = rows.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(_score(depth, n_all, n_distinct), "doc_id long, trains boolean, n_tokens long, n_known long, base_score double, score double")
+    counted = merged.select("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))).alias("chunk"), "n_keys", "keys", "counts")
+    answers = asked.select("blk", "start", "sub", "n_keys", "keys", "chunk").groupBy("sub", "chunk").cogroup(counted.groupBy("sub", "chunk")).applyInArrow(answer, "blk long, start long, sub int, vals binary")
+    packed = rows.select("rid", "blk", "doc_id", "trains", "text").mapInArrow(_packed, "blk long, rows binary")
+    out = packed.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(_score(depth, subs, n_all, n_distinct), SCORED)
     return out.select("doc_id", "trains", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -345,6 +345,26 @@ def test_lm_scoring(spark, docs, empty):
     assert score_held_out(empty).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_how_files_are_split(spark, monkeypatch):
+    """Blocks of several runs of rows, several chunks of blocks: the same scores."""
+    from tarnwork.llm import lm_scoring as lm
+
+    rows = [(i, text(300 + i, 60)) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2).cache()
+    plain = {r.doc_id: r.score for r in lm.score_held_out(docs).collect()}
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(lm, "SUB_BYTES", 100)
+    monkeypatch.setattr(lm, "MOST_SUBS", 256)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        split = {r.doc_id: r.score for r in lm.score_held_out(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert plain.keys() == split.keys() and all(abs(plain[i] - split[i]) < 1e-3 for i in plain)
+
+
 def test_topk(spark):
     from tarnwork.llm.topk import search_twentieth
 
