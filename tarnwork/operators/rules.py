@@ -128,13 +128,16 @@ def default_root(e: DataFrame) -> DataFrame:
     return files.where(~F.col("set")).select("path", F.lit(None).cast("int").alias("line"), F.lit(severity).alias("severity"), F.lit("docker-default-root").alias("rule"), F.lit(title).alias("title"), F.lit("no USER directive").alias("evidence"), F.lit(seq).alias("rule_seq"))
 
 
-def findings(evidence: DataFrame, external: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+def findings(evidence: DataFrame, external: DataFrame | None = None, files: DataFrame | None = None, tree: Column | None = None) -> DataFrame:
     """All findings, capped by scope and distinct in (path, line, rule, evidence).
 
     ``files``: the paths that count as present (default: those with evidence); a container file
-    without any evidence still has no USER line.
+    without any evidence still has no USER line.  ``tree``: of a path, where several trees are judged at
+    once, each with its own lockfiles.
     """
-    parts = [line_findings(evidence), missing_lockfiles(files if files is not None else evidence)]
+    present = files if files is not None else evidence
+    locks = missing_lockfiles(present) if tree is None else missing_lockfiles(present.select("path", tree.alias("tree")), "tree").drop("tree")
+    parts = [line_findings(evidence), locks]
     containers = evidence.select("path", "text")
     if files is not None:
         containers = containers.unionByName(files.select("path", F.lit("").alias("text")))

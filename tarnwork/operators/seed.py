@@ -45,7 +45,7 @@ def compact(records: DataFrame, cap: int = X.SEED_CAP) -> DataFrame:
         return out if always else F.when(F.octet_length(js) + 1 <= cap, out)
 
     r = F.coalesce(*(rung(x) for x in limit_ladder()), rung(X.SEED_MINIMAL, always=True))
-    out = records.withColumn("r", r).select("path", "r.record", "r.json", "r.reason")
+    out = records.withColumn("r", r).select("path", "r.record", "r.json", "r.reason", F.to_json(F.struct("path", "lang", "imports", "signatures", "calls", "locations", "external")).alias("whole"))
     lost = sum((F.col(f"record.omitted.{n}") for n in ("calls", "locations", "external")), F.col("record.omitted.signatures"))
     return out.withColumn("truncated", (F.col("reason") == "minimal_record_after_size_cap") | (lost > 0))
 
@@ -78,6 +78,39 @@ def batches(rows: DataFrame, size: str, order: list[str], group: list[str], cap:
     return rows.select(*group, *order, size).groupBy(*group).applyInPandas(fold, schema)
 
 
+def read_seeds(lines: DataFrame) -> DataFrame:
+    """Records from seed lines (column ``value``): path is needed, other fields may lack; bad lines are dropped."""
+    row = F.from_json("value", "path string, lang string, calls array<string>, external array<string>, locations array<struct<kind:string,line:int,text:string>>", {"mode": "PERMISSIVE"})
+    rows = lines.select(row.alias("r")).where("r.path is not null").select("r.*")
+    none = F.array().cast("array<string>")
+    return rows.select("path", "lang", F.coalesce("calls", none).alias("calls"), F.coalesce("external", none).alias("external"), F.coalesce("locations", F.array().cast("array<struct<kind:string,line:int,text:string>>")).alias("locations"))
+
+
+def seed_evidence(seeds: DataFrame) -> DataFrame:
+    """Evidence rows of records read from seed lines; calls stand in where there is no location."""
+    places = seeds.select("path", "lang", F.explode("locations").alias("l")).select("path", "lang", "l.kind", "l.line", "l.text")
+    calls = seeds.where(F.size("locations") == 0).select("path", "lang", F.explode("calls").alias("text"))
+    return places.unionByName(calls.select("path", "lang", F.lit("call").alias("kind"), F.lit(None).cast("int").alias("line"), "text"))
+
+
+def observation_bytes(found: DataFrame, batch: str = "batch") -> DataFrame:
+    """Bytes of the findings of each batch as an indented JSON array: what a planned request observes."""
+    def text(c: Column) -> Column:
+        return F.octet_length(F.to_json(F.array(c))) - 2
+
+    fields = {"severity": text(F.col("severity")), "path": text(F.col("path")), "line": F.octet_length(F.coalesce(F.col("line").cast("string"), F.lit("null"))), "rule": text(F.col("rule")), "title": text(F.col("title")), "evidence": text(F.col("evidence"))}
+    # a field: four blanks, its name in quotes, colon, blank, value, comma (not the last), line feed;
+    # an object: indented braces, a line feed, and comma and line feed behind it
+    size = sum((v + len(k) + 10 for k, v in fields.items()), F.lit(0)) - 1 + 4 + 3 + 2
+    return found.groupBy(batch).agg((F.sum(size) - 2 + 4).cast("long").alias("bytes"))
+
+
+def merged_reports(reports: DataFrame) -> DataFrame:
+    """Distinct table rows, in order, of the batches' Markdown reports (column ``markdown``)."""
+    rows = reports.select(F.explode(F.split("markdown", "\n")).alias("row")).select(F.btrim("row").alias("row")).where(F.startswith("row", F.lit("|")) & ~F.contains("row", F.lit("---")) & ~F.contains("row", F.lit("Severity")) & ~F.contains("row", F.lit("严重性")))
+    return rows.distinct().orderBy("row")
+
+
 def tokens_of(n_bytes: Column) -> Column:
     return F.floor((n_bytes + 3) / 4).cast("long")
 

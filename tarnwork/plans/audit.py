@@ -34,7 +34,11 @@ class Outcome:
 
 def load(spark: SparkSession, root: str, max_bytes: int = X.MAX_BYTES, **options) -> tuple[DataFrame, DataFrame]:
     """(files with lang and status, evidence with external references)."""
-    files = E.routed(read_tree(spark, root, maxBytes=max_bytes, **options), max_bytes)
+    return prepared(read_tree(spark, root, maxBytes=max_bytes, **options), max_bytes)
+
+
+def prepared(tree: DataFrame, max_bytes: int = X.MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    files = E.routed(tree, max_bytes)
     files = files.withColumn("status", F.when(F.col("read_failed"), "read_failed").otherwise(F.col("status")))
     read = files.where("status = 'dehydrated'")
     evidence = E.line_evidence(E.file_lines(read)).unionByName(E.syntax_evidence(read))
@@ -46,7 +50,7 @@ def query(spark: SparkSession, root: str, filters: Q.Filters, limit: int = 200,
     files, evidence = load(spark, root, **options)
     found = Q.matches(evidence, filters, files.where("status = 'dehydrated'"))
     shown = Q.limited(found, limit)
-    return Outcome(found, 0 if shown.limit(1).count() else 1, {"files": shown, "lines": Q.grep_lines(found)})
+    return Outcome(found, 0 if shown.limit(1).count() else 1, {"scanned": files, "files": shown, "lines": Q.grep_lines(found)})
 
 
 def ledger(spark: SparkSession, root: str, max_bytes: int = X.MAX_BYTES, **options) -> DataFrame:
@@ -63,7 +67,7 @@ def surface(spark: SparkSession, root: str, scopes=None, capabilities=None, limi
     rows = C.ranked(chosen)
     C.selected(entries, None, list(fail_on))
     failed = bool(fail_on) and C.fails(entries, list(fail_on))
-    return Outcome(rows.limit(limit) if limit else rows, int(failed), {"counts": C.counts(chosen), "hidden": C.hidden_by_scope(entries, scopes), "lines": render.entry_line(rows)})
+    return Outcome(rows.limit(limit) if limit else rows, int(failed), {"entries": entries, "counts": C.counts(chosen), "hidden": C.hidden_by_scope(entries, scopes), "lines": render.entry_line(rows)})
 
 
 def diff(spark: SparkSession, a: str, b: str, scopes=None, capabilities=None, **options) -> Outcome:
@@ -72,15 +76,45 @@ def diff(spark: SparkSession, a: str, b: str, scopes=None, capabilities=None, **
     return Outcome(rows, int(rows.limit(1).count() > 0), {})
 
 
+def seed_records(files: DataFrame, evidence: DataFrame, cap: int = X.SEED_CAP) -> DataFrame:
+    """The compacted record of every file that was read, evidence or none, with its size before."""
+    read, empty = files.where("status = 'dehydrated'").select("path", "lang"), F.array().cast("array<string>")
+    whole = read.join(E.records(evidence).drop("lang"), "path", "left")
+    whole = whole.select("path", "lang", *(F.coalesce(c, empty).alias(c) for c in ("imports", "signatures", "calls")), F.coalesce("locations", F.array().cast("array<struct<line:int,kind:string,text:string>>")).alias("locations"), F.coalesce("external", empty).alias("external"))
+    return S.compact(whole, cap)
+
+
+def eval_corpus(spark: SparkSession, files: DataFrame, cases=X.EVAL_CASES, max_bytes: int = X.MAX_BYTES) -> DataFrame:
+    """Expected and found outcome of each case; a case is the first folder of ``files``.
+
+    All trees are judged in one run: rules see whole paths, so the name of a case must not name a scope.
+    """
+    tree = F.substring_index("path", "/", 1)
+    files, evidence = prepared(files, max_bytes)
+    seeds = seed_records(files, evidence)
+    external = seeds.select("path", F.explode("record.external").alias("text"))
+    found = R.findings(S.compact_evidence(seeds), external, seeds.select("path"), tree)
+    rules = found.groupBy(tree.alias("fixture")).agg(F.array_sort(F.collect_set("rule")).alias("actual_rules"), F.count_if(F.col("severity") == "high").alias("high"))
+    odd = C.artifacts(files, max_bytes).groupBy(tree.alias("fixture")).agg(F.count("*").alias("n_artifacts"))
+    read = files.groupBy(tree.alias("fixture")).agg(F.count_if(F.col("status") == "dehydrated").alias("n_read"))
+    size = seeds.groupBy(tree.alias("fixture")).agg(F.sum(F.octet_length("json") + 1).cast("long").alias("seed_bytes"))
+    want = spark.createDataFrame([(n, v, list(r)) for n, v, r in cases], "fixture string, expected_verdict string, expected_rules array<string>")
+    out = F.broadcast(want)  # the cases of a fixed list
+    for part in (rules, odd, read, size):
+        out = out.join(part, "fixture", "left")
+    n_artifacts, n_read = F.coalesce("n_artifacts", F.lit(0)), F.coalesce("n_read", F.lit(0))
+    got = F.coalesce("actual_rules", F.array().cast("array<string>"))
+    verdict = F.when((n_read == 0) & (n_artifacts == 0), "INCOMPLETE").when(F.col("high") > 0, "REJECT").when((n_artifacts > 0) | (F.size(got) > 0), "CAUTION").otherwise("ACCEPT")
+    seed_bytes = F.coalesce("seed_bytes", F.lit(0).cast("long"))
+    out = out.select("fixture", "expected_verdict", verdict.alias("actual_verdict"), "expected_rules", got.alias("actual_rules"), F.array_sort(F.array_except("expected_rules", got)).alias("false_negative_rules"), F.array_sort(F.array_except(got, "expected_rules")).alias("false_positive_rules"), seed_bytes.alias("seed_bytes"), S.tokens_of(seed_bytes).alias("estimated_tokens"))
+    return out.withColumn("pass", (F.col("actual_verdict") == F.col("expected_verdict")) & (F.size("false_negative_rules") == 0))
+
+
 def gate(spark: SparkSession, root: str, policy: J.Policy | None = None, max_bytes: int = X.MAX_BYTES, cap: int = X.SEED_CAP, **options) -> Outcome:
     """Findings of compacted records, policy, artifacts, verdict; status 0 only for ACCEPT."""
     policy = policy or J.Policy()
     files, evidence = load(spark, root, max_bytes, **options)
-    read = files.where("status = 'dehydrated'").select("path", "lang")
-    records = E.records(evidence)
-    empty = F.array().cast("array<string>")
-    whole = read.join(records.drop("lang"), "path", "left").select("path", "lang", *(F.coalesce(c, empty).alias(c) for c in ("imports", "signatures", "calls")), F.coalesce("locations", F.array().cast("array<struct<line:int,kind:string,text:string>>")).alias("locations"), F.coalesce("external", empty).alias("external"))
-    seeds = S.compact(whole, cap)
+    seeds = seed_records(files, evidence, cap)
     external = seeds.select("path", F.explode("record.external").alias("text"))
     found = R.findings(S.compact_evidence(seeds), external, seeds.select("path"))
     judged = J.judged(found, policy)
@@ -98,4 +132,4 @@ def gate(spark: SparkSession, root: str, policy: J.Policy | None = None, max_byt
         if not why:
             why = [f"Suspicious artifact requires review: {a.path}" for a in listed[:3]] or ["No deterministic risks found in the analyzed input.", "This gate does not replace manual review of runtime behavior."]
     actions = judged.where("action is not null").select("action").unionByName(artifacts.where("action is not null").select("action"))
-    return Outcome(kept, 0 if row["verdict"] == "ACCEPT" else 1, {"verdict": row, "why": why, "blockers": stops, "actions": actions, "artifacts": left, "text": render.gate_text(row, why, stops)})
+    return Outcome(kept, 0 if row["verdict"] == "ACCEPT" else 1, {"verdict": row, "why": why, "blockers": stops, "actions": actions, "artifacts": left, "truncated": seeds.where("truncated").select("path", (F.octet_length("whole") + 1).alias("original_bytes"), (F.octet_length("json") + 1).alias("compacted_bytes"), "reason"), "text": render.gate_text(row, why, stops)})

@@ -20,6 +20,8 @@ from ..operators import seed as S
 from ..operators import surface as C
 from ..sources import adapters as A
 from ..sources import checkout as K
+from ..sources import golden
+from . import reports as V
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -392,6 +394,44 @@ def eval_fn_fp(spark, d):
     return out.select("name", "passed", F.array_join("missed", ",").alias("missed"), F.array_join("unexpected", ",").alias("unexpected"))
 
 
+@query
+def eval_corpus(spark, d):
+    """The golden cases: outcome against expectation."""
+    from .audit import eval_corpus as run
+
+    return run(spark, golden.files(spark)).select("fixture", "actual_verdict", F.array_join("false_negative_rules", ",").alias("missed"), "pass")
+
+
+@query
+def query_report(spark, d):
+    return V.query_head(Q.matches(_evidence(spark, d), Q.Filters(calls="curl|wget")), 100)
+
+
+@query
+def surface_report(spark, d):
+    head = V.surface_head(_surface(spark, d), limit=50)
+    said = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ").alias(c)
+    return head.select("entries_total", "entries_shown", "truncated", said("counts"), said("hidden_by_scope"))
+
+
+@query
+def diff_report(spark, d):
+    return V.diff_head(_diff(spark, d))
+
+
+@query
+def scan_report(spark, d):
+    return V.coverage(E.routed(A.mixed_files(spark, d), SMALL))
+
+
+@query
+def planned_prompts(spark, d):
+    """Requests and bytes for batches of eight users' findings; users are numbered by what their paths begin with."""
+    batch = F.coalesce(F.regexp_extract("path", r"(\d+)", 1).try_cast("long"), F.lit(0)) % 8
+    e = _evidence(spark, d)
+    return V.planned_prompts(R.findings(e).withColumn("batch", batch), e.select(batch.alias("batch")).distinct())
+
+
 @query
 def repo_refs(spark, d):
     c = A.table(spark, d, "pages").select("page_id", F.concat(F.lit("owner"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, "/re po").when(F.col("page_id") % 3 == 1, "/repo.git").otherwise("/a/b")).alias("ref"))

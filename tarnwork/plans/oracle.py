@@ -302,6 +302,11 @@ ORACLE_SQL: dict[str, str] = {
     "diff_wrapper_strip": f"{DIFF} SELECT side, count(*) AS n FROM d GROUP BY 1",
     "token_cost": f"WITH {MD}, k AS (SELECT split_part(path, '/', 1) AS source, CAST(floor((strlen(c) + 3) / 4) AS BIGINT) AS t FROM md) SELECT source, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t / 1e6 * 3.0), 6) AS usd FROM k GROUP BY 1",
     "eval_fn_fp": f"{FOUND}, act AS (SELECT regexp_extract(path, '^([.a-z]+)', 1) AS name, list_sort(list(DISTINCT rule)) AS rules, CASE WHEN bool_or(severity = 'high') THEN 'REJECT' ELSE 'CAUTION' END AS verdict FROM found GROUP BY 1), want(name, verdict, rules) AS (VALUES ('img', 'REJECT', ['docker-remote-repository', 'docker-default-root']), ('mk', 'REJECT', ['download-execute']), ('py', 'CAUTION', ['dependency-http-source', 'base64-execute']), ('none', 'ACCEPT', CAST([] AS VARCHAR[]))), b AS (SELECT w.name, w.verdict = a.verdict AS same, list_sort(list_filter(w.rules, lambda r: NOT list_contains(coalesce(a.rules, []), r))) AS missed, list_sort(list_filter(coalesce(a.rules, []), lambda r: NOT list_contains(w.rules, r))) AS unexpected FROM want w LEFT JOIN act a ON a.name = w.name) SELECT name, (coalesce(same, FALSE) AND len(missed) = 0) AS passed, array_to_string(missed, ',') AS missed, array_to_string(unexpected, ',') AS unexpected FROM b",
+    "eval_corpus": "SELECT * FROM (VALUES " + ", ".join(f"({lit(n)}, {lit(v)}, '', TRUE)" for n, v, _ in X.EVAL_CASES) + ') t(fixture, actual_verdict, missed, "pass")',
+    "query_report": f"WITH {EV}, {_matched({'a': rx('call', 'curl|wget')})} SELECT count(DISTINCT path) AS matched_files, count(*) AS matched_evidence, least(count(*), 100) AS shown_evidence, count(*) > 100 AS truncated FROM m",
+    "surface_report": f"{SURFACE}, ch AS (SELECT * FROM surf WHERE scope IN ('production', 'ci')), cc AS (SELECT capability || '=' || count(*) AS s FROM ch GROUP BY capability), hh AS (SELECT scope || '=' || count(*) AS s FROM surf WHERE scope NOT IN ('production', 'ci') GROUP BY scope) SELECT (SELECT count(*) FROM ch) AS entries_total, least((SELECT count(*) FROM ch), 50) AS entries_shown, (SELECT count(*) FROM ch) > 50 AS truncated, (SELECT string_agg(s, ' ' ORDER BY s) FROM cc) AS counts, (SELECT string_agg(s, ' ' ORDER BY s) FROM hh) AS hidden_by_scope",
+    "diff_report": f"{DIFF} SELECT count(*) FILTER (WHERE side = 'added') AS added, count(*) FILTER (WHERE side = 'removed') AS removed FROM d",
+    "scan_report": f"WITH {MIXED}, s AS (SELECT *, length <= {SMALL} AND {lang_sql('path')} IS NOT NULL AS ok FROM mixed) SELECT count(*) AS candidate_files, count(*) FILTER (WHERE ok) AS scanned_files, count(*) FILTER (WHERE NOT ok) AS unsupported_files, CAST(0 AS BIGINT) AS read_failed, CAST(0 AS BIGINT) AS parse_failed FROM s",
     "repo_refs": "WITH r AS (SELECT page_id, 'owner' || page_id || CASE page_id % 3 WHEN 0 THEN '/re po' WHEN 1 THEN '/repo.git' ELSE '/a/b' END AS ref FROM pages) SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'owner' || page_id END AS owner, CASE WHEN page_id % 3 = 1 THEN 'repo' END AS repo, NOT contains(ref, ' ') AS valid FROM r",
     "checkout_inspect": f"WITH {MIXED} SELECT count(*) AS n_files, CAST(coalesce(sum(length), 0) AS BIGINT) AS n_bytes, FALSE AS submodules, FALSE AS lfs, (count(*) <= 20000 AND coalesce(sum(length), 0) <= 262144000) AS within_limits FROM mixed",
 }

@@ -63,3 +63,23 @@ def test_calls_are_not_definitions(spark):
     rows = ["system(x)", "def system(self)", "def" + " " * 200 + "system(self)", "def\u3000system(a)", "subsystem(x)", "_system(1)", "def system(a): system(b)", "x.system (1)", "system(system(1))", "undef system(1)", ""]
     got = [r.c for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(calls_named(F.col("t"), "system").alias("c")).collect()]
     assert got == [True, False, False, False, False, False, True, False, True, False, False]
+
+
+def test_observation_bytes(spark):
+    """Sizes of indented JSON arrays, against Python's."""
+    import json
+
+    rows = [(0, "high", "a/é.py", 3, "r-1", 'say "x"', "tab\tline\n"), (0, "low", "b", None, "r-2", "t", ""), (1, "medium", "c\\d", 12, "r", "t", "e")]
+    names = ["severity", "path", "line", "rule", "title", "evidence"]
+    df = spark.createDataFrame(rows, "batch int, severity string, path string, line int, rule string, title string, evidence string")
+    got = {r.batch: r.bytes for r in S.observation_bytes(df).collect()}
+    for b in (0, 1):
+        assert got[b] == len(json.dumps([dict(zip(names, r[1:], strict=True)) for r in rows if r[0] == b], indent=2, ensure_ascii=False).encode())
+
+
+def test_seed_lines_and_batch_reports(spark):
+    lines = ['{"path":"src/a.rs","locations":[{"kind":"call","line":9,"text":"thing.unwrap"}]}', '{"path":"src/b.rs","calls":["x.unwrap"]}', "not json", '{"calls":[]}', ""]
+    seeds = S.read_seeds(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert sorted((r.path, r.kind, r.line, r.text) for r in S.seed_evidence(seeds).collect()) == [("src/a.rs", "call", 9, "thing.unwrap"), ("src/b.rs", "call", None, "x.unwrap")]
+    reports = spark.createDataFrame([("# L\n| Severity | x |\n|---|---|\n| HIGH | b |\n| LOW | a |",), ("| HIGH | b | \nwords",)], "markdown string")
+    assert [r.row for r in S.merged_reports(reports).collect()] == ["| HIGH | b |", "| LOW | a |"]

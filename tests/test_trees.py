@@ -108,6 +108,29 @@ def test_gate(spark, trees):
     assert audit.gate(spark, str(trees / "clean"), parse("max_candidate_files = 1")).more["verdict"]["verdict"] == "INCOMPLETE"
 
 
+def test_reports(spark, trees):
+    import io
+
+    from tarnwork.plans import reports as V
+
+    out, root = io.StringIO(), str(trees / "v2")
+    q = audit.query(spark, root, Filters(calls="curl"), limit=1)
+    V.write_query(out, Filters(calls="curl"), q.more["scanned"], q.rows, 1)
+    doc = json.loads(out.getvalue())
+    assert doc["schema_version"] == 1 and doc["query"] == {"calls": "curl"} and doc["truncated"] and doc["shown_evidence"] == 1 < doc["matched_evidence"]
+    assert sum(len(m["evidence"]) for m in doc["matches"]) == 1 and len(doc["matches"]) == doc["matched_files"]
+    gate, out = audit.gate(spark, root), io.StringIO()
+    V.write_gate(out, gate)
+    doc = json.loads(out.getvalue())
+    assert doc["verdict"] == "REJECT" and doc["exit_reason"] == "reject" and doc["findings"] and doc["coverage"]["candidate_files"] > 0
+    assert [a["path"] for a in doc["suspicious_artifacts"]] == ["bin/tool.dylib"]
+    from pyspark.sql import functions as F
+
+    planned = V.planned_prompts(gate.rows.withColumn("batch", F.lit(0)), spark.range(2).select(F.col("id").cast("int").alias("batch")))
+    bench = V.benchmark(root, gate, planned, 5, costs=(2.0, 1.0))
+    assert bench["tokens"]["planned_requests"] == 2 and bench["cost"]["estimated_total_cost"] == bench["tokens"]["estimated_input_tokens"] / 1e6 * 2
+
+
 def test_policy_is_checked():
     for text in ("x = 1", "[[allowlist]]\nreason = 'r'", "[[severity_override]]\nrule = 'a'\nseverity = 'huge'", "max_candidate_files = 'many'", "[["):
         with pytest.raises(PolicyError):
