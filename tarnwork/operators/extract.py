@@ -118,6 +118,9 @@ def by_lines(lang: str, text: str) -> Iterator[tuple[str, int, str]]:
         is_signature = bool(signatures and signatures.match(line))
         if is_signature:
             yield "signature", n, _capped(line)
+            inner = line.lstrip("- ") if lang == "yaml" else line  # an item that holds a pair is both
+            if inner != line and signatures.match(inner):
+                yield "signature", n, _capped(inner)
         if calls and not (is_signature and lang in ("bash", "ruby", "dockerfile")):
             whole = lang in ("bash", "ruby", "dockerfile", "sql")
             for m in [calls.match(line)] if whole else calls.finditer(line):
