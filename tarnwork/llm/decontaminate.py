@@ -6,14 +6,15 @@ smallest shingle hashes (its containment MinHash) are kept: with k kept, an item
 missed with probability (1-c)^k, and k grows until that is below ``miss`` at c = t; an item with no
 more than k shingles keeps all, so small items are never missed.  A document that holds a kept hash
 of an item becomes a candidate, however long it is, and is verified at once by the exact share of the
-item's distinct shingles that it holds.  Partitions whose smallest item could not be contained in a
+item's distinct shingles that it holds, the words themselves being compared.  Partitions whose smallest item could not be contained in a
 document as short as the present one are not looked up.
 
 The scan is a single map over documents: no shuffle, no Python string per word.  The item index is
 sent to the tasks in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` bytes; a larger
 benchmark takes several passes, so what is sent does not grow with it.
 
-Cases: null and empty items or documents never match; an item of fewer than ``width`` words is looked
+Cases: null and empty items or documents never match; of items at the threshold all are told (no ties);
+very long documents are read whole, one at a time; an item of fewer than ``width`` words is looked
 for as a run of just these words; repeated items and rows are answered each; empty tables give no
 rows; other columns of either table are kept out.
 """
@@ -43,6 +44,12 @@ def sketch_size(threshold: float, miss: float = MISS) -> int:
     return 1 if threshold >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - threshold)))
 
 
+def word_shingles(text: str | bytes, width: int) -> set[bytes]:
+    """The distinct shingles of a text as words: A-Z lower-cased, cut at ASCII blanks."""
+    w = (text.encode() if isinstance(text, str) else text).lower().split()
+    return {b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)}
+
+
 class ItemIndex:
     """Sketches and full shingle sets of a block of items, by shingle width and size partition."""
 
@@ -53,6 +60,8 @@ class ItemIndex:
         word, at = words(data, offsets)
         counts = np.diff(at)
         self.ids = [i for i, _ in items]
+        self.texts = [t for _, t in items]
+        self.width = [min(width, int(c)) for c in counts]
         self.sets: list[np.ndarray | None] = [None] * len(items)
         k = sketch_size(threshold)
         for w in sorted({min(width, int(c)) for c in counts if c}):
@@ -94,9 +103,12 @@ class ItemIndex:
                         cached, own = r, np.unique(s[edge[r] : edge[r + 1]])
                     item = self.sets[x]
                     spot = np.minimum(np.searchsorted(own, item), len(own) - 1)
-                    common = int((own[spot] == item).sum())
-                    if common >= self.threshold * len(item) - 1e-9:
-                        yield a + r, x, common, len(item)
+                    if int((own[spot] == item).sum()) < self.threshold * len(item) - 1e-9:
+                        continue
+                    words_of = word_shingles(self.texts[x], self.width[x])
+                    common = len(words_of & word_shingles(data[offsets[a + r] : offsets[a + r + 1]].tobytes(), self.width[x]))
+                    if common >= self.threshold * len(words_of) - 1e-9:
+                        yield a + r, x, common, len(words_of)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:

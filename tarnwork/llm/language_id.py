@@ -35,6 +35,8 @@ from .shingles import buffers, chunks
 SAMPLE_CLASSES = 256
 SAMPLE_BYTES = 64 << 10
 SEGMENT = 512
+#: Text bytes parsed together, or one text.
+CHUNK = 1 << 20
 SHARPNESS = 10.0
 UND = "und"
 OTHER, BLANK = 0, 1
@@ -57,7 +59,7 @@ def _lookup() -> tuple[np.ndarray, np.ndarray]:
 
 def utf8(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of code points, and where each begins."""
-    n = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    n = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
     at = np.zeros(len(points) + 1, np.int64)
     np.cumsum(n, out=at[1:])
     out = np.zeros(int(at[-1]), np.uint8)
@@ -140,7 +142,7 @@ class Parser:
         self.letter, self.low = _lookup()
         texts = {lang: self._bytes(np.frombuffer("\n".join(samples[lang]).encode("utf-32-le", "surrogatepass"), np.uint32))[0] for lang in sorted(samples)}
         seen = sorted(set().union(*(np.unique(t).tolist() for t in texts.values())) - {32}) if texts else []
-        self.symbol = np.full(256, OTHER, np.int64)
+        self.symbol = np.full(256, OTHER, np.uint8)
         self.symbol[32] = BLANK
         self.symbol[seen] = np.arange(2, 2 + len(seen))
         self.langs, self.automata, self.bits = [], [], []
@@ -165,10 +167,10 @@ class Parser:
         if edges is None:
             edges = np.array([0, len(p)])
         keep[edges[:-1][edges[:-1] < len(p)]] = True
-        kept = np.zeros(len(p) + 1, np.int64)
+        kept = np.zeros(len(p) + 1, np.int32)
         np.cumsum(keep, out=kept[1:])
         p = p[keep]
-        letters = np.zeros(len(p) + 1, np.int64)
+        letters = np.zeros(len(p) + 1, np.int32)
         np.cumsum(p != 32, out=letters[1:])
         out, at = utf8(p)
         return out, at[kept[edges]], letters[kept[edges]]
@@ -177,7 +179,7 @@ class Parser:
         """(rows, languages) bits per symbol, and whether a row has letters."""
         raw = data[offsets[0] : offsets[-1]]
         rows = len(offsets) - 1
-        head = np.zeros(len(raw) + 1, np.int64)
+        head = np.zeros(len(raw) + 1, np.int32)
         np.cumsum((raw & 0xC0) != 0x80, out=head[1:])
         points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         s, at, letters = self._bytes(points, head[offsets - offsets[0]])
@@ -196,7 +198,7 @@ class Parser:
         root = np.ones(1, np.int64)
         for t in range(int(size[0]) if len(size) else 0):
             n = live[t]
-            c = s[begin[:n] + t]
+            c = s[begin[:n] + t].astype(np.int64)
             for k, automaton in enumerate(self.automata):
                 x = automaton.step(state[k][:n], c)
                 left = np.flatnonzero(x == 0)
@@ -254,7 +256,7 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, CHUNK):
                 langs, score = model.value.predict(data, offsets[a : b + 1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -272,7 +274,7 @@ def reject_unknown(docs: DataFrame, parser: Parser) -> DataFrame:
         for batch in batches:
             data, offsets = buffers(batch.column(at))
             keep: list[bool] = []
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, CHUNK):
                 part = offsets[a : b + 1]
                 keep += [x != UND for x in model.value.predict(data, part)[0]] if model.value.langs else model.value.rates(data, part)[1].tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))

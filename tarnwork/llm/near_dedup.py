@@ -24,7 +24,9 @@ With the defaults a pair at 0.8 meets in some band with probability 0.99994.
 
 Cases: texts without words (null, empty, blank) are alone in their class; texts shorter than five
 words have one shingle of all words; rows of equal doc_id form one document with all their links;
-rows of null doc_id get a null class and link nothing; an empty table gives no rows.
+repeated rows get the same class; ties for a class's representative go to the smallest doc_id; rows of
+null doc_id get a null class and link nothing; very long texts are hashed whole, one at a time; an empty
+table gives no rows; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -131,7 +133,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows_per_band: int = ROWS, w
 
 
 def _blobs(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id, sorted cell hashes (32 bits each) of the wanted documents."""
+    """id, sorted cell hashes of the wanted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,10 +141,8 @@ def _blobs(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for a, b in chunks(offsets):
                 word, at = words(data, offsets[a : b + 1])
                 cell, row = cells(*shingles(word, at, width))
-                short = (cell >> U(32)).astype(np.uint32)
-                order = np.lexsort((short, row))
-                short, edge = short[order], np.searchsorted(row, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([short[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["id", "cells"])
+                cell, edge = cell[np.lexsort((cell, row))], np.searchsorted(row, np.arange(b - a + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([cell[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["id", "cells"])
 
     text = F.col("text").cast("string")
     d = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"))
@@ -152,7 +152,7 @@ def _blobs(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def overlap(a: bytes, b: bytes) -> tuple[int, int]:
     """Common and all cells of two blobs (multisets)."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     z = np.concatenate([x, y])
     z.sort(kind="stable")
     common = int((z[1:] == z[:-1]).sum()) if len(z) else 0
@@ -172,7 +172,7 @@ def links_among(ids: list[int], blobs: list[bytes], side: list[int], cross: bool
     side: 0 or 1; members of side 1 meet those of side 0 only, and with ``cross`` so do those of side 0.
     linked: members of equal value need no link.
     """
-    arrays = [np.unique(np.frombuffer(b, np.uint32)) for b in blobs]
+    arrays = [np.unique(np.frombuffer(b, np.uint64)) for b in blobs]
     tokens, freq = np.unique(np.concatenate(arrays), return_counts=True)
     first: dict[int, int] = {}
     group = [first.setdefault(v, x) for x, v in enumerate(linked or ids)]
@@ -190,7 +190,7 @@ def links_among(ids: list[int], blobs: list[bytes], side: list[int], cross: bool
         f = freq[np.searchsorted(tokens, a)]
         rare = a[np.lexsort((a, f))]
         # cells that a pair may lack, of the blob with its repetitions; those and one more must meet
-        lacks = len(blobs[x]) // 4 - int(np.ceil(threshold * (len(blobs[x]) // 4) - 1e-9))
+        lacks = len(blobs[x]) // 8 - int(np.ceil(threshold * (len(blobs[x]) // 8) - 1e-9))
         prefix = rare[: lacks + 1].tolist()
         seen: set[int] = set()
         for met in [index[0]] if side[x] else [index[1]] if cross else index:
@@ -289,5 +289,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents whose id is the smallest of its class (and all of null id); all columns."""
     found = near_duplicates(docs, **options)
-    gone = found.where("doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = found.where("doc_id is not null and doc_id <> class_id").select("doc_id").distinct().alias("gone")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("gone.doc_id"), "left_anti")

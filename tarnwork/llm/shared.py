@@ -1,8 +1,8 @@
 """Shared storage and small DataFrame helpers for the training-data operators.
 
 Intermediate tables go to the folder that ``spark.checkpoint.dir`` names, which the driver and all
-executors share; a lost executor loses no intermediate result.  Where the setting is absent (tests,
-single machine) a folder of our own is set for the session.
+executors share; a lost executor loses no intermediate result.  Where the setting is absent, a session
+on one machine (``local`` master: tests) gets a folder of its own; a cluster must set it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_code
 
-#: Spark hint-free bound under which a looked-up table may be broadcast (bytes of its files).
+#: Stands for a null id, before all others.
 MIN_LONG = -(1 << 63)
 
 
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tarnwork-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tarnwork/{name}-{uuid.uuid4().hex}"

@@ -137,9 +137,9 @@ def test_links_connect_what_is_similar():
     blobs, sets = [], []
     for i in range(40):
         own = r.integers(0, 2**32, 140)
-        sets.append(np.unique(np.concatenate([common, own]).astype(np.uint32)))
+        sets.append(np.unique(np.concatenate([common, own]).astype(np.uint64)))
         if i % 4 == 3:
-            sets[-1] = np.unique(np.concatenate([sets[-2][:-8], own[:8].astype(np.uint32)]))
+            sets[-1] = np.unique(np.concatenate([sets[-2][:-8], own[:8].astype(np.uint64)]))
     blobs = [np.sort(s).tobytes() for s in sets]
     got = near_dedup.links_among(list(range(40)), blobs, [0] * 40, False, 0.8)
     want = {(i, j) for i in range(40) for j in range(i + 1, 40) if near_dedup.similar(blobs[i], blobs[j], 0.8)}

@@ -23,7 +23,7 @@ def test_links_of_blocks_equal_links_of_all_pairs(spark):
     from tarnwork.llm import near_dedup as nd
 
     bags = [(g, i) for g in range(6) for i in range(9)]
-    blobs = {10 * g + i: nd.np.sort(nd.np.array([g * 1000 + x for x in range(40)] + [9000 + 10 * g + i], nd.np.uint32)).tobytes() for g, i in bags}
+    blobs = {10 * g + i: nd.np.sort(nd.np.array([g * 1000 + x for x in range(40)] + [9000 + 10 * g + i], nd.np.uint64)).tobytes() for g, i in bags}
     rows = [(7, k, k // 10 * 10 if k < 30 else k) for k in blobs]
     before, nd.BLOCK = nd.BLOCK, 4
     try:
