@@ -1,12 +1,13 @@
 """Exact top-k inner-product search with two cover trees searched together.
 
 Vectors are integers, floor(64 * x).  Candidates are dealt to blocks near one of a bounded number of
-pivots, hot pivots being split; queries are dealt to buckets alike.  Every (query bucket, block) pair
-is one task: it builds a cover tree over the block and one over the queries and descends both.  A pair
-of nodes with centres p, c and covering radii R, r is left out if
+pivots, hot pivots being split; queries are dealt to buckets alike.  Every pair of query bucket and block
+that may hold results is one task: it builds a cover tree over the block and one over the queries and
+descends both.  A pair of nodes with centres p, c and covering radii R, r is left out if
     <p, c> + R |c| + r |p| + R r  <  the smallest k-th score so far of the queries below p,
 which bounds every inner product below the pair (Cauchy-Schwarz).  The k-th scores start from a
-bounded pivot sample that every query is scored against first, so pruning works across blocks too.
+bounded pivot sample that every query is scored against first, so the same bound, with the pivots as
+centres, leaves out whole pairs of bucket and block before anything is sent to them.
 The k best of each pair of block and query are merged by a window whose limit is applied before the
 shuffle.
 
@@ -16,7 +17,8 @@ this is exact.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take no part; so do rows
 of null vec_id; only vectors of equal length are compared; repeated query rows are answered once;
-a query with fewer candidates gets all of them; an empty table gives no rows.
+a query with fewer candidates gets all of them; an empty table gives no rows; only the id and the vector
+are read, so other columns may have any name.  Scores are exact while they stay below 2^53 in size.
 """
 
 from __future__ import annotations
@@ -183,8 +185,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return a.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """vectors, queries: (vec_id, v).  query_id, rank, vec_id, score of each query's k best."""
+def dealt(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """vectors, queries: (vec_id, v).  Blocks, buckets, and the (dim, bucket, block) pairs that may hold results."""
     spark = vectors.sparkSession
     h = F.xxhash64("v")
     same = Window.partitionBy(h, F.xxhash64(F.lit(1), "v"), "v").orderBy("vec_id")
@@ -202,11 +204,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIV
     sent = spark.sparkContext.broadcast(anchors)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The nearest pivot, and a lower bound of the k-th score from the sample."""
+        """The nearest pivot, a lower bound of the k-th score from the sample, and how far the pivot is."""
         for batch in batches:
-            pivot, low = [], []
             dims = np.array(batch.column(2).to_pylist(), int)
-            pivot, low = np.zeros(len(dims), np.int32), np.full(len(dims), -np.inf)
+            pivot, low, away = np.zeros(len(dims), np.int32), np.full(len(dims), -np.inf), np.zeros(len(dims))
             for d in np.unique(dims):
                 if int(d) not in sent.value:
                     continue
@@ -217,26 +218,53 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIV
                     v = _matrix(batch.column(1).take(pa.array(part)))
                     s = v @ x.T
                     p = x[:pivots]
-                    pivot[part] = (s[:, :pivots] * 2 - (p * p).sum(axis=1)[None, :]).argmax(axis=1)
+                    near = s[:, :pivots] * 2 - (p * p).sum(axis=1)[None, :]
+                    pivot[part] = near.argmax(axis=1)
+                    away[part] = np.sqrt(np.maximum(0.0, (v * v).sum(axis=1) - near.max(axis=1)))
                     s[np.array(batch.column(0).take(pa.array(part)).to_pylist())[:, None] == ids[None, :]] = -np.inf
                     if s.shape[1] >= k:
                         low[part] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(low)], ["vec_id", "v", "dim", "pivot", "low"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(low), pa.array(away)], ["vec_id", "v", "dim", "pivot", "low", "away"])
 
     def deal(df: DataFrame, most: int) -> DataFrame:
         """``part``: rows of like pivots together, at most about ``most`` of them."""
-        placed = materialize(df.mapInArrow(place, "vec_id long, v array<double>, dim int, pivot int, low double"), "placed")
+        placed = materialize(df.mapInArrow(place, "vec_id long, v array<double>, dim int, pivot int, low double, away double"), "placed")
         counts = placed.groupBy("dim", "pivot").agg(F.count("*").alias("n"))
         # light pivots share parts in order of pivot; heavy ones are split over several parts
         run = F.sum("n").over(Window.partitionBy("dim").orderBy("pivot")) - F.col("n")
         spans = counts.select("dim", "pivot", F.floor(run / most).alias("first"), F.ceil(F.col("n") / most).alias("m"))
-        return placed.join(F.broadcast(spans), ["dim", "pivot"]).withColumn("part", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("m"))).cast("int")).select("vec_id", "v", "dim", "low", "part")
+        return placed.join(F.broadcast(spans), ["dim", "pivot"]).withColumn("part", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("m"))).cast("int")).select("vec_id", "v", "dim", "pivot", "low", "away", "part")
 
     blocks, buckets = deal(refs, block), deal(queries, 2 * block)
-    n_blocks = blocks.select("dim", "part").distinct().withColumnRenamed("part", "block")
-    n_buckets = buckets.select("dim", "part").distinct().withColumnRenamed("part", "bucket")
-    asked = buckets.withColumnRenamed("part", "bucket").join(n_blocks, "dim")  # every query bucket goes to every block
-    given = blocks.withColumnRenamed("part", "block").join(n_buckets, "dim")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs of pivots whose bound reaches the least k-th score of the queries near the first."""
+        for batch in batches:
+            dim, q, x, q_away, x_away, floor = (batch.column(i).to_numpy() for i in range(6))
+            keep = np.ones(len(dim), bool)
+            for d in np.unique(dim):
+                if int(d) in sent.value:
+                    at, p = np.flatnonzero(dim == d), sent.value[int(d)][0]
+                    norm = np.sqrt((p * p).sum(axis=1))
+                    most = (p[q[at]] * p[x[at]]).sum(axis=1) + q_away[at] * norm[x[at]] + x_away[at] * norm[q[at]] + q_away[at] * x_away[at]
+                    keep[at] = most + 1e-9 * np.abs(most) + 1e-6 >= floor[at]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in range(3)], ["dim", "q", "x"])
+
+    # at most ``pivots`` rows of a length on either side
+    near_q = buckets.groupBy("dim", F.col("pivot").alias("q")).agg(F.max("away").alias("q_away"), F.min("low").alias("floor"))
+    near_x = blocks.groupBy("dim", F.col("pivot").alias("x")).agg(F.max("away").alias("x_away"))
+    open_pivots = near_q.join(near_x, "dim").select("dim", "q", "x", "q_away", "x_away", "floor").mapInArrow(bounded, "dim int, q int, x int")
+    of_q = buckets.select("dim", F.col("pivot").alias("q"), F.col("part").alias("bucket")).distinct()
+    of_x = blocks.select("dim", F.col("pivot").alias("x"), F.col("part").alias("block")).distinct()
+    pairs = open_pivots.join(of_q, ["dim", "q"]).join(of_x, ["dim", "x"]).select("dim", "bucket", "block").distinct()
+    return blocks, buckets, materialize(pairs, "pairs")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """vectors, queries: (vec_id, v).  query_id, rank, vec_id, score of each query's k best."""
+    blocks, buckets, pairs = dealt(vectors, queries, k, pivots, block)
+    asked = buckets.select("dim", F.col("part").alias("bucket"), "vec_id", "v", "low").join(pairs, ["dim", "bucket"])
+    given = blocks.select("dim", F.col("part").alias("block"), "vec_id", "v").join(pairs, ["dim", "block"])
 
     def meet(key: tuple, q: pa.Table, x: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})

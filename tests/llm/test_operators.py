@@ -380,3 +380,25 @@ def test_topk(spark):
             want += [(q, k + 1, i, -n) for k, (n, i) in enumerate(s)]
     assert sorted(got) == sorted(want)
     assert search_twentieth(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_topk_leaves_out_blocks_of_other_clusters(spark):
+    """On clustered data few pairs of bucket and block are searched, few pairs of vectors below them, and results are exact."""
+    from tarnwork.llm import topk
+
+    r = np.random.default_rng(12)
+    centres = r.normal(size=(8, 6)) * 4
+    rows = [(i, [float(math.floor(64 * x)) for x in centres[i % 8] + r.normal(size=6) * 0.05]) for i in range(1600)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    blocks, buckets, pairs = topk.dealt(v, v.where("vec_id % 20 = 0"), 5, 32, 40)
+    every = blocks.select("part").distinct().count() * buckets.select("part").distinct().count()
+    assert 0 < pairs.count() < 0.7 * every
+    x = np.array([w for _, w in rows])
+    s = topk.Search(x[::20], np.arange(0, 1600, 20), np.full(80, -np.inf), x, np.arange(1600), 5)
+    assert s.pairs < 0.7 * 80 * 1600
+    got = [(a.query_id, a.rank, a.vec_id, a.score) for a in topk.search(v, v.where("vec_id % 20 = 0"), 5, 32, 40).collect()]
+    want = []
+    for q in range(0, 1600, 20):
+        best = sorted((-int(n), i) for i, n in enumerate(x @ x[q]) if i != q)[:5]
+        want += [(q, k + 1, i, -n) for k, (n, i) in enumerate(best)]
+    assert sorted(got) == want
