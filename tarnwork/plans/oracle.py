@@ -302,6 +302,10 @@ ORACLE_SQL: dict[str, str] = {
     "diff_wrapper_strip": f"{DIFF} SELECT side, count(*) AS n FROM d GROUP BY 1",
     "token_cost": f"WITH {MD}, k AS (SELECT split_part(path, '/', 1) AS source, CAST(floor((strlen(c) + 3) / 4) AS BIGINT) AS t FROM md) SELECT source, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t / 1e6 * 3.0), 6) AS usd FROM k GROUP BY 1",
     "eval_fn_fp": f"{FOUND}, act AS (SELECT regexp_extract(path, '^([.a-z]+)', 1) AS name, list_sort(list(DISTINCT rule)) AS rules, CASE WHEN bool_or(severity = 'high') THEN 'REJECT' ELSE 'CAUTION' END AS verdict FROM found GROUP BY 1), want(name, verdict, rules) AS (VALUES ('img', 'REJECT', ['docker-remote-repository', 'docker-default-root']), ('mk', 'REJECT', ['download-execute']), ('py', 'CAUTION', ['dependency-http-source', 'base64-execute']), ('none', 'ACCEPT', CAST([] AS VARCHAR[]))), b AS (SELECT w.name, w.verdict = a.verdict AS same, list_sort(list_filter(w.rules, lambda r: NOT list_contains(coalesce(a.rules, []), r))) AS missed, list_sort(list_filter(coalesce(a.rules, []), lambda r: NOT list_contains(w.rules, r))) AS unexpected FROM want w LEFT JOIN act a ON a.name = w.name) SELECT name, (coalesce(same, FALSE) AND len(missed) = 0) AS passed, array_to_string(missed, ',') AS missed, array_to_string(unexpected, ',') AS unexpected FROM b",
+    "seed_batches": "WITH RECURSIVE r AS (SELECT conv_id % 16 AS tree, conv_id, turn, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY conv_id % 16 ORDER BY conv_id, turn) AS n FROM conversations), "
+    "f AS (SELECT tree, conv_id, turn, bytes, n, CAST(0 AS BIGINT) AS batch, bytes AS filled FROM r WHERE n = 1 UNION ALL SELECT r.tree, r.conv_id, r.turn, r.bytes, r.n, CASE WHEN f.filled > 0 AND f.filled + r.bytes > 4096 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.filled > 0 AND f.filled + r.bytes > 4096 THEN r.bytes ELSE f.filled + r.bytes END FROM f JOIN r ON r.tree = f.tree AND r.n = f.n + 1) SELECT tree, conv_id, turn, bytes, batch FROM f",
+    "py_ast_extract": "WITH t AS (SELECT DISTINCT user_id, event_type AS x FROM events), k AS (SELECT user_id, x, CAST(3 * (row_number() OVER (PARTITION BY user_id ORDER BY x) - 1) AS INTEGER) AS b FROM t) "
+    "SELECT 'm' || user_id || '.py' AS path, 'python' AS lang, kind, b + d AS line, a || x || z AS text FROM k, (VALUES ('import', 1, 'import ', ''), ('signature', 2, 'def on_', '(v):'), ('call', 3, '', '.handle')) v(kind, d, a, z)",
     "eval_corpus": "SELECT * FROM (VALUES " + ", ".join(f"({lit(n)}, {lit(v)}, '', TRUE)" for n, v, _ in X.EVAL_CASES) + ') t(fixture, actual_verdict, missed, "pass")',
     "query_report": f"WITH {EV}, {_matched({'a': rx('call', 'curl|wget')})} SELECT count(DISTINCT path) AS matched_files, count(*) AS matched_evidence, least(count(*), 100) AS shown_evidence, count(*) > 100 AS truncated FROM m",
     "surface_report": f"{SURFACE}, ch AS (SELECT * FROM surf WHERE scope IN ('production', 'ci')), cc AS (SELECT capability || '=' || count(*) AS s FROM ch GROUP BY capability), hh AS (SELECT scope || '=' || count(*) AS s FROM surf WHERE scope NOT IN ('production', 'ci') GROUP BY scope) SELECT (SELECT count(*) FROM ch) AS entries_total, least((SELECT count(*) FROM ch), 50) AS entries_shown, (SELECT count(*) FROM ch) > 50 AS truncated, (SELECT string_agg(s, ' ' ORDER BY s) FROM cc) AS counts, (SELECT string_agg(s, ' ' ORDER BY s) FROM hh) AS hidden_by_scope",
