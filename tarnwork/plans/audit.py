@@ -124,12 +124,17 @@ def gate(spark: SparkSession, root: str, policy: J.Policy | None = None, max_byt
     state = files.select("path", "status").join(seeds.select("path", "truncated", (F.octet_length("json") + 1).alias("seed_bytes")), "path", "left")
     row = G.verdict(kept, left, G.coverage(state.withColumn("truncated", F.coalesce("truncated", F.lit(False)))), policy.max_candidate_files).first().asDict()
     why = [r.why for r in G.why(kept, 3, "severity_before").collect()]
+    truncated = seeds.where("truncated").select("path", (F.octet_length("whole") + 1).alias("original_bytes"), (F.octet_length("json") + 1).alias("compacted_bytes"), "reason")
+    cut_short = [f"{r.path} original_bytes={r.original_bytes} compacted_bytes={r.compacted_bytes} reason={r.reason}" for r in truncated.orderBy("path").limit(X.SHOWN).collect()]
     if row["reasons"]:
-        why, stops = [f"Input coverage is incomplete: {r}" for r in row["reasons"][:3]], [f"coverage requires review: {r}" for r in row["reasons"]]
+        why = [f"Input coverage is incomplete: {r}" for r in row["reasons"][:3]]
+        stops = [f"coverage requires review: {r}" for r in row["reasons"]] + [f"truncated record: {r}" for r in cut_short]
     else:
-        listed = left.orderBy("path").limit(10).collect()
+        listed = left.orderBy("path").limit(X.SHOWN).collect()
         stops = [r.blocker for r in G.blockers(kept, 10, "severity_before").collect()] + [f"artifact requires review: {a.path} size_bytes={a.size_bytes} reason={a.reason}" for a in listed]
         if not why:
             why = [f"Suspicious artifact requires review: {a.path}" for a in listed[:3]] or ["No deterministic risks found in the analyzed input.", "This gate does not replace manual review of runtime behavior."]
     actions = judged.where("action is not null").select("action").unionByName(artifacts.where("action is not null").select("action"))
-    return Outcome(kept, 0 if row["verdict"] == "ACCEPT" else 1, {"verdict": row, "why": why, "blockers": stops, "actions": actions, "artifacts": left, "truncated": seeds.where("truncated").select("path", (F.octet_length("whole") + 1).alias("original_bytes"), (F.octet_length("json") + 1).alias("compacted_bytes"), "reason"), "text": render.gate_text(row, why, stops)})
+    odd = [f"{a.path} size_bytes={a.size_bytes} reason={a.reason}" for a in left.orderBy("path").limit(X.SHOWN).collect()]
+    said = [r.action for r in actions.limit(X.ACTIONS_SHOWN).collect()]
+    return Outcome(kept, 0 if row["verdict"] == "ACCEPT" else 1, {"verdict": row, "why": why, "blockers": stops, "actions": actions, "artifacts": left, "truncated": truncated, "text": render.gate_text(row, why, stops, cut_short, odd, said)})

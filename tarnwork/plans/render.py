@@ -66,10 +66,13 @@ def document(kind: str, **parts) -> str:
     return json.dumps({"schema_version": SCHEMA_VERSION, "kind": kind, **{k: plain(v) for k, v in parts.items()}}, ensure_ascii=False, indent=2)
 
 
-def gate_text(verdict: dict, why: list[str], blockers: list[str]) -> str:
+def gate_text(verdict: dict, why: list[str], blockers: list[str], truncated: list[str] = (), artifacts: list[str] = (), actions: list[str] = ()) -> str:
     out = [f"VERDICT: {verdict['verdict']}", "WHY:", *(f"- {x}" for x in why), "BLOCKERS:", *(f"- {x}" for x in blockers or ["none"]), f"SAFE_TO_AGENT_RUN: {'yes' if verdict['safe_to_agent_run'] else 'no'}", "", "COVERAGE:"]
     names = ("candidate_files", "dehydrated_files", "unsupported_files", "read_failed", "parse_failed", "serialization_failed", "record_truncated", "seed_bytes")
-    return "\n".join([*out, *(f"- {n}: {verdict[n]}" for n in names)]) + "\n"
+    out += [f"- {n}: {verdict[n]}" for n in names]
+    for head, items in (("TRUNCATED_RECORDS:", truncated), ("ARTIFACTS:", artifacts), ("POLICY:", actions)):
+        out += [head, *(f"- {x}" for x in items)] if items else []
+    return "\n".join(out) + "\n"
 
 
 def save_report(text: str, folder: str, day: str, stem: str = "audit-result") -> Path:

@@ -83,3 +83,15 @@ def test_seed_lines_and_batch_reports(spark):
     assert sorted((r.path, r.kind, r.line, r.text) for r in S.seed_evidence(seeds).collect()) == [("src/a.rs", "call", 9, "thing.unwrap"), ("src/b.rs", "call", None, "x.unwrap")]
     reports = spark.createDataFrame([("# L\n| Severity | x |\n|---|---|\n| HIGH | b |\n| LOW | a |",), ("| HIGH | b | \nwords",)], "markdown string")
     assert [r.row for r in S.merged_reports(reports).collect()] == ["| HIGH | b |", "| LOW | a |"]
+
+
+def test_settings(tmp_path):
+    from tarnwork.sources import config
+
+    text = "# c\n\nexport A = 1 # note\nB=\"x # y\" z\nC='q'\nD=a#b\nA=2\nE=\n"
+    assert config.parse_env(text) == {"A": "2", "B": "x # y", "C": "q", "D": "a#b", "E": ""}
+    for bad in ("x", "1a=2", "a b=1", "a='x"):
+        with pytest.raises(config.SettingsError):
+            config.parse_env(bad)
+    assert config.read_env(str(tmp_path / "none")) == {} and config.read_policy(str(tmp_path / "none")).allow == []
+    assert config.setting("A", {"A": "file"}, {"A": "process"}) == "process" and config.setting("A", {"A": "file"}, {}) == "file"
