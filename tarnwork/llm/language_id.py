@@ -73,46 +73,57 @@ def utf8(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-class Automaton:
-    """Suffix automaton; its transitions lie in one hash table, a quarter full at most.  State 1 is the root."""
-
-    def __init__(self, symbols: list[int], width: int):
-        trans: list[dict[int, int]] = [{}, {}]
-        link, length, last = [0, 0], [0, 0], 1
-        for c in symbols:
-            cur = len(trans)
-            trans.append({})
-            link.append(1)
-            length.append(length[last] + 1)
-            p = last
-            while p and c not in trans[p]:
-                trans[p][c] = cur
-                p = link[p]
-            if p:
-                q = trans[p][c]
-                if length[p] + 1 == length[q]:
-                    link[cur] = q
-                else:
-                    clone = len(trans)
-                    trans.append(dict(trans[q]))
-                    link.append(link[q])
-                    length.append(length[p] + 1)
-                    while p and trans[p].get(c) == q:
-                        trans[p][c] = clone
-                        p = link[p]
-                    link[q] = link[cur] = clone
-            last = cur
-        self.width = width
-        keys = np.array([s * width + c for s, row in enumerate(trans) for c in row], np.int64)
-        goals = np.array([x for row in trans for x in row.values()], np.int32)
-        self.bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+def suffix_transitions(symbols: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton's transitions by state; state 1 is the root, 0 none."""
+    trans: list[dict[int, int]] = [{}, {}]
+    link, length, last = [0, 0], [0, 0], 1
+    for c in symbols:
+        cur = len(trans)
+        trans.append({})
+        link.append(1)
+        length.append(length[last] + 1)
+        p = last
+        while p and c not in trans[p]:
+            trans[p][c] = cur
+            p = link[p]
+        if p:
+            q = trans[p][c]
+            if length[p] + 1 == length[q]:
+                link[cur] = q
+            else:
+                clone = len(trans)
+                trans.append(dict(trans[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p and trans[p].get(c) == q:
+                    trans[p][c] = clone
+                    p = link[p]
+                link[q] = link[cur] = clone
+        last = cur
+    return trans
+
+
+class Automata:
+    """Suffix automata in one hash table of transitions, half full at most; ``roots`` are their first states."""
+
+    def __init__(self, samples: list[list[int]], width: int):
+        self.width, first, keys, goals, roots = width, 0, [], [], []
+        for symbols in samples:
+            trans = suffix_transitions(symbols)
+            keys.append(np.array([(first + s) * width + c for s, row in enumerate(trans) for c in row], np.int64))
+            goals.append(np.array([first + x for row in trans for x in row.values()], np.int32))
+            roots.append(first + 1)
+            first += len(trans)
+        self.roots = np.array(roots, np.int64)
+        key, goal = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int32), *goals])
+        self.bits = max(4, int(2 * max(1, len(key)) - 1).bit_length())
         self.keys, self.next = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
-        todo, at = np.arange(len(keys)), self._home(keys)
+        todo, at = np.arange(len(key)), self._home(key)
         while len(todo):
             free = self.keys[at] < 0
-            self.keys[at[free]] = keys[todo[free]]
-            mine = self.keys[at] == keys[todo]
-            self.next[at[mine]] = goals[todo[mine]]
+            self.keys[at[free]] = key[todo[free]]
+            mine = self.keys[at] == key[todo]
+            self.next[at[mine]] = goal[todo[mine]]
             todo, at = todo[~mine], (at[~mine] + 1) & ((1 << self.bits) - 1)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
@@ -145,12 +156,10 @@ class Parser:
         self.symbol = np.full(256, OTHER, np.uint8)
         self.symbol[32] = BLANK
         self.symbol[seen] = np.arange(2, 2 + len(seen))
-        self.langs, self.automata, self.bits = [], [], []
-        for lang, text in texts.items():
-            if (text != 32).any():
-                self.langs.append(lang)
-                self.automata.append(Automaton(self.symbol[text].tolist(), 2 + len(seen)))
-                self.bits.append(np.log2(len(text) + 1))
+        texts = {lang: text for lang, text in texts.items() if (text != 32).any()}
+        self.langs = list(texts)
+        self.automata = Automata([self.symbol[t].tolist() for t in texts.values()], 2 + len(seen))
+        self.bits = [np.log2(len(t) + 1) for t in texts.values()]
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("letter", "low")}
@@ -192,20 +201,19 @@ class Parser:
         order = np.argsort(-size, kind="stable")
         row, begin, size = row[order], begin[order], size[order]
         live = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), "right")
-        out = np.zeros((rows, len(self.langs)))
-        state = [np.ones(len(row), np.int64) for _ in self.langs]
-        count = [np.zeros(len(row), np.int64) for _ in self.langs]
-        root = np.ones(1, np.int64)
-        for t in range(int(size[0]) if len(size) else 0):
+        out, n_langs, roots = np.zeros((rows, len(self.langs))), len(self.langs), self.automata.roots
+        state = np.repeat(roots[:, None], len(row), axis=1)  # all languages advance together
+        count = np.zeros(state.shape, np.int64)
+        for t in range(int(size[0]) if len(size) and n_langs else 0):
             n = live[t]
-            c = s[begin[:n] + t].astype(np.int64)
-            for k, automaton in enumerate(self.automata):
-                x = automaton.step(state[k][:n], c)
-                left = np.flatnonzero(x == 0)
-                count[k][left] += 1
-                again = automaton.step(root, c[left])
-                x[left] = np.where(again == 0, 1, again)
-                state[k][:n] = x
+            c = np.tile(s[begin[:n] + t].astype(np.int64), n_langs)
+            x = self.automata.step(state[:, :n].ravel(), c)
+            left = np.flatnonzero(x == 0)
+            lang, at_row = left // n, left % n
+            count[lang, at_row] += 1
+            again = self.automata.step(roots[lang], c[left])
+            x[left] = np.where(again == 0, roots[lang], again)
+            state[:, :n] = x.reshape(n_langs, n)
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(row, count[k], minlength=rows) * self.bits[k]
         return out / np.maximum(lengths, 1)[:, None], has

@@ -35,7 +35,7 @@ _PLAIN = re.compile("[ \\t\\n\\r!-~¡-¬®-ɏ]*").fullmatch
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of a piece that is remembered; bytes of a text looked at together.
-KEPT, CHUNK = 100, 8 << 20
+KEPT, CHUNK = 100, 4 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -68,7 +68,7 @@ class Words(dict):
 class PieceEncoder:
     """Encodes batches of texts; remembers two generations of ``limit`` pieces."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 150_000):
         import regex
         from tokenizers import Tokenizer
 

@@ -160,8 +160,8 @@ def test_items_are_found_inside_long_documents():
 @settings(max_examples=40, deadline=None)
 @given(st.text("abc", min_size=1, max_size=30), st.text("abcd", max_size=40))
 def test_suffix_automaton_holds_all_substrings(sample, text):
-    t = language_id.Automaton([ord(c) - 96 for c in sample], 8)
-    state = np.ones(1, np.int64)
+    t = language_id.Automata([[1, 2], [ord(c) - 96 for c in sample]], 8)
+    state = t.roots[1:]
     for n, c in enumerate(text):
         state = t.step(state, np.array([ord(c) - 96]))
         assert bool(state[0]) == (text[: n + 1] in sample)
