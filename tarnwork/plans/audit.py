@@ -91,7 +91,7 @@ def eval_corpus(spark: SparkSession, files: DataFrame, cases=X.EVAL_CASES, max_b
     """
     tree = F.substring_index("path", "/", 1)
     files, evidence = prepared(files, max_bytes)
-    seeds = seed_records(files, evidence)
+    seeds = cut(seed_records(files, evidence))
     external = seeds.select("path", F.explode("record.external").alias("text"))
     found = R.findings(S.compact_evidence(seeds), external, seeds.select("path"), tree)
     rules = found.groupBy(tree.alias("fixture")).agg(F.array_sort(F.collect_set("rule")).alias("actual_rules"), F.count_if(F.col("severity") == "high").alias("high"))
@@ -114,10 +114,10 @@ def gate(spark: SparkSession, root: str, policy: J.Policy | None = None, max_byt
     """Findings of compacted records, policy, artifacts, verdict; status 0 only for ACCEPT."""
     policy = policy or J.Policy()
     files, evidence = load(spark, root, max_bytes, **options)
-    seeds = seed_records(files, evidence, cap)
+    seeds = cut(seed_records(files, evidence, cap))  # read by findings, coverage and reports
     external = seeds.select("path", F.explode("record.external").alias("text"))
     found = R.findings(S.compact_evidence(seeds), external, seeds.select("path"))
-    judged = J.judged(found, policy)
+    judged = cut(J.judged(found, policy))
     kept = judged.where("not suppressed")
     artifacts = J.artifacts_left(C.artifacts(files, max_bytes), policy)
     left = artifacts.where("action is null")
