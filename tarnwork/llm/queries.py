@@ -80,6 +80,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(read_table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import encode_vectors, with_label_errors
+
+    coded = encode_vectors(read_table(spark, sf_dir, "embeddings"))
+    return with_label_errors(coded.rows).select("vec_id", "code", "error", "label_error", F.lit(coded.sha256()).alias("codebooks_sha256"))
+
+
 OP7_SQL = r"""
 WITH src AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 ln AS (SELECT doc_id, i AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM src)),
@@ -112,7 +119,30 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+
+
+def _op13_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds in plain SQL: every part against every entry."""
+    ctes = [
+        """k AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label,
+    list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "p AS (SELECT rid, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS v FROM k, range(4) t(part))",
+        "c0 AS (SELECT part, rid - 1 AS e, v FROM p WHERE rid <= 256)",
+    ]
+    for r in range(rounds + 1):
+        d = "list_inner_product(p.v, p.v) - 2 * list_inner_product(p.v, c.v) + list_inner_product(c.v, c.v)"
+        ctes.append(f"a{r} AS (SELECT p.rid, p.part, any_value(p.v) AS v, min(CAST({d} AS BIGINT) * 256 + c.e) AS m FROM p JOIN c{r} c ON p.part = c.part GROUP BY p.rid, p.part)")
+        if r < rounds:
+            ctes.append(f"s{r} AS (SELECT part, m % 256 AS e, j, floor(sum(v[j]) / count(*)) AS x FROM a{r}, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS j) GROUP BY part, m % 256, j)")
+            ctes.append(f"n{r} AS (SELECT part, e, list(x ORDER BY j) AS v FROM s{r} GROUP BY part, e)")
+            ctes.append(f"c{r + 1} AS (SELECT c.part, c.e, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN n{r} n ON c.part = n.part AND c.e = n.e)")
+    ctes.append(f"f AS (SELECT rid, string_agg(printf('%02x', m % 256), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)")
+    ctes.append(f"b AS (SELECT sha256(string_agg(CAST(CAST(v[j] AS BIGINT) AS VARCHAR), ',' ORDER BY part, e, j)) AS codebooks_sha256 FROM c{rounds}, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS j))")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f JOIN k USING (rid), b"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _query(f) for f in (op1_decontaminate, op2_token_files, op3_packing, op4_topk, op5_toxicity, op6_pii, op7_line_dedup, op8_lm_scoring, op9_near_dedup, op10_language_id)
+    f.__name__: _query(f) for f in (op1_decontaminate, op2_token_files, op3_packing, op4_topk, op5_toxicity, op6_pii, op7_line_dedup, op8_lm_scoring, op9_near_dedup, op10_language_id, op13_vector_codes)
 }
-ORACLE_SQL = {"op4_topk": OP4_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE_SQL = {"op4_topk": OP4_SQL, "op7_line_dedup": OP7_SQL, "op13_vector_codes": _op13_sql()}
