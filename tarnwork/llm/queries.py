@@ -80,6 +80,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(read_table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import remove_repeated_passages
+
+    out = remove_repeated_passages(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_codes import encode_vectors, with_label_errors
 
@@ -109,6 +116,17 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
+OP12_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, i, list_slice(ws, i, i + 12) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+f AS (SELECT g, min(doc_id) AS own FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM g JOIN f USING (g), range(13) t(k) WHERE g.doc_id > f.own),
+e AS (SELECT doc_id, ws[i] AS x, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+k AS (SELECT e.doc_id, count(*) AS kept, string_agg(x, ' ' ORDER BY e.i) AS t FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY e.doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
 OP4_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
@@ -143,6 +161,6 @@ def _op13_sql(rounds: int = 4) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _query(f) for f in (op1_decontaminate, op2_token_files, op3_packing, op4_topk, op5_toxicity, op6_pii, op7_line_dedup, op8_lm_scoring, op9_near_dedup, op10_language_id, op13_vector_codes)
+    f.__name__: _query(f) for f in (op1_decontaminate, op2_token_files, op3_packing, op4_topk, op5_toxicity, op6_pii, op7_line_dedup, op8_lm_scoring, op9_near_dedup, op10_language_id, op12_substring_dedup, op13_vector_codes)
 }
-ORACLE_SQL = {"op4_topk": OP4_SQL, "op7_line_dedup": OP7_SQL, "op13_vector_codes": _op13_sql()}
+ORACLE_SQL = {"op4_topk": OP4_SQL, "op7_line_dedup": OP7_SQL, "op12_substring_dedup": OP12_SQL, "op13_vector_codes": _op13_sql()}

@@ -20,8 +20,10 @@ CHUNK = 4 << 20
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _LOWER += 1
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Byte values as they are, for hashes that tell A-Z from a-z.
+EXACT = np.arange(1, 257, dtype=np.uint64)
+BLANK = np.zeros(256, bool)
+BLANK[[32, 9, 10, 11, 12, 13]] = True
 _POWERS = {"n": 0, "up": None, "down": None}
 
 
@@ -76,15 +78,16 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the rows, and the word offsets of the rows."""
+def spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' bytes, start and end of each word in them, and the word offsets of the rows."""
     base, end = int(offsets[0]), int(offsets[-1])
     raw = data[base:end]
     at = offsets - base
     n = len(raw)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    letter = ~_BLANK[raw]
+        none = np.zeros(0, np.int64)
+        return raw, none, none, np.zeros(len(at), np.int64)
+    letter = ~blank[raw]
     first = letter.copy()
     first[1:] &= ~letter[:-1]
     heads = at[:-1][at[:-1] < n]
@@ -95,8 +98,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     tails = at[1:][at[1:] > 0] - 1
     last[tails] = letter[tails]
     ends = np.flatnonzero(last) + 1
-    h = run_hashes(_LOWER[raw], starts, ends)
-    return h, np.searchsorted(starts, at, "left")
+    return raw, starts, ends, np.searchsorted(starts, at, "left")
+
+
+def word_strings(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank: np.ndarray = BLANK) -> pa.StringArray:
+    """The words that ``spans`` found, as strings."""
+    body = raw[~blank[raw]]
+    at = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=at[1:])
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(body))
+
+
+def words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of the rows, and the word offsets of the rows."""
+    raw, starts, ends, at = spans(data, offsets)
+    if not len(starts):
+        return np.zeros(0, np.uint64), at
+    return run_hashes(fold[raw], starts, ends), at
 
 
 def shingles(word: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
