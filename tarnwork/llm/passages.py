@@ -47,16 +47,16 @@ from .shingles import EXACT, U, buffers, chunks, mix, spans, word_strings, words
 WIDTH = 13
 PIECE = 5
 #: Bytes of text a block; a task needs some 25 times as much.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text for which there is a shard of hashes, at least as many as shuffle partitions.
 SHARD_BYTES = 64 << 20
 #: Words of the passages in one automaton, and of a passage (longer ones are cut, with overlap).
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 PASSAGE_WORDS = 4096
 _K1, _K2 = U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93)
 _BRANCH = U(0xFFFFFFFFFFFFFFFF)
-#: Words are numbered by code points; these are not characters.
-_SURROGATES, _GAP = 0xD800, 0x800
+#: Symbols of a known word: DIGITS x BITS bits number more words than an automaton holds.
+DIGITS, BITS = 4, 5
 
 
 def _texts(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
@@ -300,7 +300,12 @@ def _cut_passages(width: int):
 
 
 class Automaton:
-    """Passages over numbered words; values are (number of words, owner)."""
+    """Passages over numbered words; values are (number of words, owner).
+
+    A known word is ``DIGITS`` symbols of five bits, the first of an alphabet of its own, so that matches begin
+    and end at words; an unknown word is one symbol that no passage holds.  (An automaton looks for a child
+    among all children in turn, so few symbols beat a symbol a word.)
+    """
 
     def __init__(self, passages: pa.Array, owners: list[int]):
         data, offsets = buffers(passages)
@@ -308,28 +313,33 @@ class Automaton:
         word = word_strings(raw, starts, ends)
         self.known = pc.unique(word)
         self.automaton = ahocorasick.Automaton()
-        text = self.numbered(word)
+        text, _ = self.symbols(word)
         for a, b, owner in zip(at[:-1].tolist(), at[1:].tolist(), owners, strict=True):
-            piece = text[a:b]
+            piece = text[DIGITS * a : DIGITS * b]
             self.automaton.add_word(piece, (b - a, min(owner, self.automaton.get(piece, (0, owner))[1])))
         self.automaton.make_automaton()
 
-    def numbered(self, word: pa.Array) -> str:
-        """A character a word; all unknown words are one character that no passage holds."""
-        at = pc.index_in(word, value_set=self.known)
-        n = pc.add(pc.fill_null(at, -1), 1).to_numpy(zero_copy_only=False).astype(np.uint32)
-        n[n >= _SURROGATES] += _GAP
-        return n.tobytes().decode("utf-32-le")
+    def symbols(self, word: pa.Array) -> tuple[str, np.ndarray]:
+        """The words in symbols, and the first symbol of each word (and the end)."""
+        number = pc.fill_null(pc.index_in(word, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        at = np.zeros(len(number) + 1, np.int64)
+        np.cumsum(np.where(number < 0, 1, DIGITS), out=at[1:])
+        out = np.zeros(int(at[-1]), np.uint8)
+        number, first = number[number >= 0], at[:-1][number >= 0]
+        for d in range(DIGITS):
+            out[first + d] = (number >> BITS * (DIGITS - 1 - d) & (1 << BITS) - 1) + 1 + (d > 0) * (1 << BITS)
+        return out.tobytes().decode("ascii"), at
 
 
 def automata(passages: pa.Table) -> Iterator[Automaton]:
     """Shards of at most SHARD_WORDS words (or of one passage)."""
     text = passages["passage"].combine_chunks()
-    text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
     owners = passages["owner"].to_pylist()
-    size = np.array(pc.binary_length(text).to_numpy(zero_copy_only=False) // 2 + 1) if len(owners) else np.zeros(0, int)
-    shard = np.cumsum(size) // SHARD_WORDS
-    for a, b in zip(_heads(shard) if len(shard) else (), [*(_heads(shard)[1:] if len(shard) else ()), len(shard)], strict=False):
+    if not owners:
+        return
+    shard = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False) // 2 + 1) // SHARD_WORDS
+    heads = _heads(shard)
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(shard)], strict=True):
         yield Automaton(text.slice(a, b - a), owners[a:b])
 
 
@@ -337,30 +347,33 @@ REMOVED = "doc_id long, n_words long, n_removed long, text string"
 
 
 def _remove(key: tuple, table: pa.Table, passages: pa.Table) -> pa.Table:
-    """Streams the block's documents through its automata."""
-    machines = list(automata(passages))
-    out = []
+    """Streams the block's documents through its automata, one after the other."""
+    pieces = []
     for batch, a, b, data, offsets in _texts(table):
         raw, starts, ends, at = spans(data, offsets)
         word = word_strings(raw, starts, ends)
-        change = np.zeros(len(word) + 1, np.int64)
-        did, edge = batch.column("did").to_numpy()[a:b].tolist(), at.tolist()
-        for m in machines:
-            text = m.numbered(word)
-            opens, closes = [], []
-            for r, own in enumerate(did):
+        pieces.append((batch.slice(a, b - a), at, word, np.zeros(len(word) + 1, np.int64)))
+    for m in automata(passages):
+        for batch, at, word, change in pieces:
+            text, first = m.symbols(word)
+            edge, ends, lengths = first[at].tolist(), [], []
+            for r, own in enumerate(batch.column("did").to_pylist()):
                 base = edge[r]
                 for end, (n, owner) in m.automaton.iter(text[base : edge[r + 1]]):
                     if owner < own:
-                        opens.append(base + end + 1 - n)
-                        closes.append(base + end + 1)
-            np.add.at(change, opens, 1)
-            np.add.at(change, closes, -1)
+                        ends.append(base + end + 1)
+                        lengths.append(n)
+            stop = np.searchsorted(first, np.array(ends, np.int64))
+            np.add.at(change, stop - np.array(lengths, np.int64), 1)
+            np.add.at(change, stop, -1)
+        del m
+    out = []
+    for batch, at, word, change in pieces:
         kept = np.cumsum(change)[:-1] == 0
         left = np.concatenate([[0], np.cumsum(kept)])[at]
         lists = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), word.filter(pa.array(kept)))
         n = np.diff(at)
-        out.append(pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(n - np.diff(left)), pc.binary_join(lists, " ")], ["doc_id", "n_words", "n_removed", "text"]))
+        out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(n - np.diff(left)), pc.binary_join(lists, " ")], ["doc_id", "n_words", "n_removed", "text"]))
     return pa.Table.from_batches(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
 
 
@@ -386,7 +399,8 @@ def remove_repeated_passages(docs: DataFrame, width: int = WIDTH, block_bytes: i
     writer = dealt.write.format("parquet").bucketBy(buckets, "block").sortBy("block").option("compression", "zstd")
     writer.option("path", shared_dir(spark, "blocks")).saveAsTable(name)
     blocks = spark.table(name)
-    shards = max(buckets, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES))
+    # several shards a partition, as they are dealt by hash
+    shards = 4 * max(buckets, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES))
     blocks = blocks.select("block", "doc_id", "did", "text")
     passages = recurring_passages(blocks.select("block", "did", "text"), width, shards)
     out = blocks.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(_remove, REMOVED)
