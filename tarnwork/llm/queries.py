@@ -80,6 +80,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(read_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import remove_repeated_passages
 
@@ -116,6 +122,28 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
+OP11_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\n\x0B\f\r]')) AS piece FROM t),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+f1 AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(ws) AS x FROM w) GROUP BY lang, x),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang),
+f2 AS (SELECT lang, x1, x2, count(*) AS a FROM (SELECT lang, ws[i] AS x1, ws[i + 1] AS x2 FROM (SELECT lang, ws, unnest(range(1, len(ws))) AS i FROM w)) GROUP BY lang, x1, x2 HAVING count(*) >= 10),
+f3 AS (SELECT lang, x1, x2, x3, count(*) AS a FROM (SELECT lang, ws[i] AS x1, ws[i + 1] AS x2, ws[i + 2] AS x3 FROM (SELECT lang, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))
+  GROUP BY lang, x1, x2, x3 HAVING count(*) >= 10),
+c2 AS (SELECT f2.lang, x1 || ' ' || x2 AS phrase, f2.a, u.f AS l, v.f AS r, CAST((1000000::HUGEINT * a * a) // (u.f::HUGEINT * v.f) AS BIGINT) AS score
+  FROM f2 JOIN f1 u ON u.lang = f2.lang AND u.x = x1 JOIN f1 v ON v.lang = f2.lang AND v.x = x2
+  WHERE NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.x1 = f2.x1 AND f3.x2 = f2.x2 AND 100 * f3.a >= 50 * f2.a)
+    AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.x2 = f2.x1 AND f3.x3 = f2.x2 AND 100 * f3.a >= 50 * f2.a)),
+k3 AS (SELECT f3.lang, f3.x1 || ' ' || f3.x2 || ' ' || f3.x3 AS phrase, f3.a, u.f AS u1, q.a AS q1, p.a AS p2, v.f AS v2,
+    CAST((1000000::HUGEINT * f3.a * f3.a) // (u.f::HUGEINT * q.a) AS BIGINT) AS s1, CAST((1000000::HUGEINT * f3.a * f3.a) // (p.a::HUGEINT * v.f) AS BIGINT) AS s2
+  FROM f3 JOIN f1 u ON u.lang = f3.lang AND u.x = f3.x1 JOIN f1 v ON v.lang = f3.lang AND v.x = f3.x3
+    JOIN f2 p ON p.lang = f3.lang AND p.x1 = f3.x1 AND p.x2 = f3.x2 JOIN f2 q ON q.lang = f3.lang AND q.x1 = f3.x2 AND q.x2 = f3.x3),
+c AS (SELECT * FROM c2 UNION ALL SELECT lang, phrase, a, if(s1 <= s2, u1, p2), if(s1 <= s2, q1, v2), least(s1, s2) FROM k3),
+o AS (SELECT c.*, n.n, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c JOIN n ON n.lang = c.lang)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""
+
 OP12_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, i, list_slice(ws, i, i + 12) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
@@ -161,6 +189,6 @@ def _op13_sql(rounds: int = 4) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _query(f) for f in (op1_decontaminate, op2_token_files, op3_packing, op4_topk, op5_toxicity, op6_pii, op7_line_dedup, op8_lm_scoring, op9_near_dedup, op10_language_id, op12_substring_dedup, op13_vector_codes)
+    f.__name__: _query(f) for f in (op1_decontaminate, op2_token_files, op3_packing, op4_topk, op5_toxicity, op6_pii, op7_line_dedup, op8_lm_scoring, op9_near_dedup, op10_language_id, op11_collocations, op12_substring_dedup, op13_vector_codes)
 }
-ORACLE_SQL = {"op4_topk": OP4_SQL, "op7_line_dedup": OP7_SQL, "op12_substring_dedup": OP12_SQL, "op13_vector_codes": _op13_sql()}
+ORACLE_SQL = {"op4_topk": OP4_SQL, "op7_line_dedup": OP7_SQL, "op11_collocations": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_vector_codes": _op13_sql()}
