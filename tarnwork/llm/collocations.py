@@ -43,7 +43,7 @@ WORD_BYTES = 64
 #: n-grams a range of keys should hold.
 RANGE_GRAMS = 2_000_000
 #: Bytes of text that are sorted at once.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 BREAK, BOUND = np.zeros(256, bool), np.zeros(256, bool)
@@ -219,6 +219,19 @@ def _millionths(a: str, left: str, right: str) -> Column:
     return F.expr(f"({part}) div (cast({left} as decimal(15,0)) * cast({right} as decimal(15,0)))")
 
 
+def _head(frequent: DataFrame, dictionary: int) -> DataFrame:
+    """The words whose number has so many binary digits that at most ``dictionary`` have as many."""
+    short = frequent.where(F.octet_length("word") <= WORD_BYTES)
+    digits = F.length(F.bin("n"))
+    room, least = dictionary, 65
+    for r in sorted(short.groupBy(digits.alias("digits")).count().collect(), key=lambda r: -r.digits):  # at most 64 rows
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.digits
+    return short.where(digits >= least)
+
+
 def candidates(docs: DataFrame, min_count: int, dictionary: int) -> tuple[DataFrame, DataFrame]:
     """(lang, w1, w2, w3, a, f1, f2, f3) of the frequent n-grams with their words' numbers, and (lang, n)."""
     spark = docs.sparkSession
@@ -226,7 +239,7 @@ def candidates(docs: DataFrame, min_count: int, dictionary: int) -> tuple[DataFr
     counts = d.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "words")
     frequent = counts.where(F.col("n") >= min_count)
-    head = frequent.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("n"), "lang", "word").limit(dictionary).toArrow()  # bounded by its parameters
+    head = _head(frequent, dictionary).toArrow()  # bounded by its parameters
     found = Numbers(head)
     numbers = spark.sparkContext.broadcast(found)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
