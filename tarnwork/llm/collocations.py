@@ -96,7 +96,7 @@ class Numbers:
         lang = head["lang"].combine_chunks()
         names = lang.to_numpy(zero_copy_only=False)
         first = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, int)
-        self.lang, self.ends = [names[i] for i in first], np.append(first[1:], len(names))
+        self.lang, self.ends = [names[i] for i in first], np.append(first, len(names))[1:]
         self.slices = {n: (int(a), int(b)) for n, a, b in zip(self.lang, first, self.ends, strict=True)}
 
     def of(self, p: Piece) -> np.ndarray:

@@ -133,7 +133,7 @@ def _by(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.nd
     order = np.argsort(key, kind="stable")
     key = key[order]
     heads = _heads(key) if len(key) else np.zeros(0, np.int64)
-    for a, b in zip(heads, np.append(heads[1:], len(key)), strict=True):
+    for a, b in zip(heads, np.append(heads, len(key))[1:], strict=True):
         yield int(key[a]), [c[order[a:b]] for c in columns]
 
 
