@@ -7,7 +7,7 @@ about t = k ln k + 2k darts whatever its size, hashes every dart to one of k coo
 earliest per coordinate (rows with an unmet coordinate look twice as far, until none is unmet).  Two
 documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-1. Equal texts are collapsed to their smallest doc_id; only representatives go on.
+1. Equal texts are collapsed to one, which has the smallest of their doc_ids; only these go on.
 2. Signatures are cut into bands; representatives with an equal band share a bucket.
 3. In each bucket all members are compared with its smallest id: as the smallest id of a group of
    copies leads nearly all of the group's buckets, a group of n gives about n pairs, not n squared.
@@ -22,8 +22,9 @@ documents agree in a coordinate with the probability of their weighted Jaccard s
 Similarity is the exact weighted Jaccard similarity of the shingle multisets, at least ``threshold``.
 With the defaults a pair at 0.8 meets in some band with probability 0.99994.
 
-Cases: texts without words (null, empty, blank) are alone in their class; texts shorter than five
-words have one shingle of all words; rows of equal doc_id form one document with all their links;
+Cases: texts without words (null, empty, blank) are alone in their class unless other rows of their doc_id
+have words; texts shorter than five words have one shingle of all words; rows of equal doc_id form one
+document with all links of their texts, and so have one class;
 repeated rows get the same class; ties for a class's representative go to the smallest doc_id; rows of
 null doc_id get a null class and link nothing; very long texts are hashed whole, one at a time; an empty
 table gives no rows; only doc_id and text are read, so other columns may have any name.
@@ -133,7 +134,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows_per_band: int = ROWS, w
 
 
 def _blobs(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id, sorted cell hashes of the wanted documents."""
+    """id, sorted cell hashes of the wanted texts (rep, t1, t2, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +146,9 @@ def _blobs(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([cell[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["id", "cells"])
 
     text = F.col("text").cast("string")
-    d = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"))
-    d = d.join(wanted.hint("shuffle_hash"), ["id", "t1"], "left_semi").select("id", "text")
-    return d.mapInArrow(run, "id long, cells binary").groupBy("id").agg(F.first("cells").alias("cells"))
+    d = docs.select(F.col("doc_id").cast("long").alias("rep"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    d = d.join(wanted.hint("shuffle_hash"), ["rep", "t1", "t2"]).select("id", "text")
+    return d.mapInArrow(run, "id long, cells binary").groupBy("id").agg(F.first("cells").alias("cells"))  # repeated rows have equal cells
 
 
 def overlap(a: bytes, b: bytes) -> tuple[int, int]:
@@ -263,27 +264,39 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows_per_band: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """One row per document row: doc_id, class_id, rep_id (smallest id of the equal texts)."""
+    """One row per document row: doc_id, class_id, rep_id (smallest id of the equal texts).
+
+    The nodes of the graph are distinct texts, numbered; a document of several texts links them.
+    """
     signed = materialize(signatures(docs, bands, rows_per_band, width), "signed")
-    reps = signed.where("doc_id is not null and n_cells > 0").groupBy("t1", "t2").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("r")).select("t1", "t2", "r.doc_id", "r.bands")
-    reps = materialize(reps, "reps")
-    members = materialize(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")), "buckets")
+    texts = signed.where("doc_id is not null and n_cells > 0").groupBy("t1", "t2").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("r"))
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("id"), "t1", "t2", F.col("r.doc_id").alias("rep"), "r.bands"), "texts")
+    members = materialize(texts.select("id", F.explode("bands").alias("bucket")), "buckets")
     leaders = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
     led = materialize(members.join(leaders, "bucket").where("id <> a").select("bucket", "a", F.col("id").alias("b")), "led")
     pairs = led.select("a", "b").distinct()
     wanted = led.select(F.col("a").alias("id")).unionByName(led.select(F.col("b").alias("id"))).distinct()
-    wanted = wanted.join(reps.select(F.col("doc_id").alias("id"), "t1"), "id")
+    wanted = wanted.join(texts.select("id", "rep", "t1", "t2"), "id")
     blobs = materialize(_blobs(docs, wanted, width), "blobs")
     verified = materialize(_verify(pairs, blobs, threshold), "verified")
     first = components(verified.where("ok").select("a", "b"))
     rest = led.select("bucket", F.col("b").alias("id")).join(first, "id", "left").select("bucket", "id", F.coalesce("class", "id").alias("linked"))
-    links = first.select(F.col("class").alias("a"), F.col("id").alias("b")).unionByName(_rest_links(rest, blobs, threshold))
-    joined = reps.select("doc_id", "t1", "t2").join(components(links), F.col("doc_id") == F.col("id"), "left")
-    joined = joined.select("t1", "t2", F.col("doc_id").alias("rep_id"), F.coalesce("class", "doc_id").alias("class_id"))
-    # rows of one doc_id with several texts are one document: they link the classes of their texts
-    out = signed.select("doc_id", "t1", "t2", "n_cells").join(joined, ["t1", "t2"], "left")
-    alone = F.col("doc_id").isNull() | (F.col("n_cells") == 0)
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("rep_id")).alias("rep_id"))
+    rows = materialize(signed.where("n_cells > 0").select("doc_id", "t1", "t2").join(texts.select("id", "t1", "t2", "rep"), ["t1", "t2"], "left").select("doc_id", "id", "rep"), "rows")
+    # rows of one doc_id with several texts are one document: it links its texts
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("doc_id", "a")
+    own = rows.join(several, "doc_id").select("a", F.col("id").alias("b"))
+    links = first.select(F.col("class").alias("a"), F.col("id").alias("b")).unionByName(_rest_links(rest, blobs, threshold)).unionByName(own)
+    found = materialize(components(links), "classes").withColumnRenamed("class", "root")
+    names = found.join(texts.select("id", "rep"), "id").groupBy("root").agg(F.min("rep").alias("class_id"))
+    names = names.join(texts.select(F.col("id").alias("root"), F.col("rep").alias("root_rep")), "root").select("root", F.least("class_id", "root_rep").alias("class_id"))
+    classes = found.join(names, "root").select("id", "class_id").unionByName(names.withColumnRenamed("root", "id"))  # no root is its own row
+    out = rows.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "rep"))
+    named = F.col("doc_id").isNotNull()
+    out = out.select("doc_id", F.when(named, F.col("class_id")).alias("class_id"), F.when(named, F.col("rep")).alias("rep_id"))
+    # a text without words belongs to its document's other texts, if there are any
+    blank = signed.where("n_cells = 0").select("doc_id")
+    others = out.join(blank.where("doc_id is not null").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    return out.unionByName(blank.join(others, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("doc_id").alias("rep_id")))
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:

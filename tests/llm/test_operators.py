@@ -186,6 +186,29 @@ def test_near_duplicates(spark, docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_documents_of_several_texts_link_them(spark):
+    """Every class keeps exactly its smallest document, whatever texts its documents have."""
+    from tarnwork.llm.near_dedup import keep_one_of_each, near_duplicates
+
+    r = np.random.default_rng(8)
+    texts = [text(500 + i, 90) for i in range(12)]
+    rows = [(3, texts[1]), (5, texts[0]), (5, texts[1]), (9, texts[0] + " extra"), (9, ""), (40, ""), (41, None)]
+    rows += [(int(i), texts[int(x)] + (" more" if y else "")) for i, x, y in zip(r.integers(50, 60, 25), r.integers(2, 12, 25), r.integers(0, 2, 25), strict=True)]
+    group = {i: i for i, _ in rows}
+    for i, t in rows:
+        for j, u in rows:
+            a, b = shingles(t), shingles(u)
+            if a and b and sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                low, both = min(group[i], group[j]), (group[i], group[j])
+                group = {k: low if g in both else g for k, g in group.items()}
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = near_duplicates(docs).collect()
+    assert collections.Counter((x.doc_id, x.class_id) for x in got) == collections.Counter((i, group[i]) for i, _ in rows)
+    kept = collections.Counter((x.doc_id, x.text) for x in keep_one_of_each(docs).collect())
+    assert kept == collections.Counter((i, t) for i, t in rows if group[i] == i)
+    assert {group[i] for i, _ in kept} == set(group.values())
+
+
 def test_near_duplicate_groups_beyond_one_leader(spark):
     """A chain of edits and a crowd that shares a passage: classes equal brute force."""
     from tarnwork.llm.near_dedup import near_duplicates

@@ -85,6 +85,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
     shared, item, long = "a line that many of these documents share", text(12), text(150)
     rows = [(i, f"{text(40)}\n{shared}\n{text(9)}") for i in range(6)] + [(10, long), (11, long), (12, long + " more"), (13, f"{text(30)} {item} {text(30)}"), (14, None), (15, ""), (16, "12 34 !"), (17, "été"), (18, text(4000))]
     rows += [(3, rows[3][1]), (None, text(20)), (None, shared)]
+    other = text(80)
+    rows += [(21, other), (19, other), (19, long), (23, other + " extra"), (24, text(60)), (24, text(70)), (25, rows[-1][1])]  # ids with two texts
     table = [(i, t, None if k % 4 == 0 else "xx", None if k % 3 else "s", k) for k, (i, t) in enumerate(rows)]
     from pyspark.sql import functions as F
 
