@@ -2,15 +2,14 @@
 
 Line-oriented languages (package.json, manifests, makefiles, Markdown, shell risk lines) are DataFrame
 expressions over exploded lines.  Python is parsed with the standard library's ``ast`` in Arrow
-batches; a file with a syntax error keeps its evidence, found like that of the other languages.  These
-have no parser here: their imports, signatures and calls are found by regular expressions per line, an
-approximation of a syntax tree (see README).
+batches.  The other languages, and Python with a syntax error, are lexed (lexer.py): comments and strings
+hold no evidence, calls are found in statements, which may have several lines, imports and signatures by
+the line on which they begin; an approximation of a syntax tree (see README).
 """
 
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.text import ascii_lower, contains_any, eval_invoked, lines, strip, utf8
-from ..session import ship_code
+from ..session import cut, ship_code
+from .lexer import CALLING, LEXIS, calls, lexed, statements
 from .paths import language
 from .rules import lifecycle
 
@@ -69,22 +69,22 @@ def line_evidence(rows: DataFrame) -> DataFrame:
 
 # ---- languages with syntax -------------------------------------------------------------------------
 
-_CALL = r"([A-Za-z_$][\w$]*(?:(?:\.|::|->|\?\.)[A-Za-z_$][\w$]*!?)*!?)\s*(?:::<[^()]*>)?\("
-#: Per language: import, signature and call patterns; group 1 (or the line) is the text.
+#: Per language: import, signature and call patterns at the start of a line; the calls of languages that are
+#: called by name and bracket come from statements (lexer.py).
 _PATTERNS: dict[str, tuple[str | None, str | None, str | None]] = {
-    "python": (r"(?:import|from)\s", r"(?:async\s+)?(?:def|class)\s", _CALL),
-    "rust": (r"(?:pub(?:\([^)]*\))?\s+)?use\s", r"(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|async\s+|const\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*(?:fn|struct|enum|trait|impl)\b", _CALL),
-    "go": (r"import\s", r"(?:func|type)\s", _CALL),
-    "javascript": (r"(?:import|export)\b(?!\()", r"(?:export\s+(?:default\s+)?)?(?:async\s+)?(?:function\b|class\s)", _CALL),
-    "dart": (r"(?:import|export|library)\s", r"(?:abstract\s+)?(?:class|mixin|extension)\s", _CALL),
-    "kotlin": (r"(?:import|package)\s", r"(?:\w+\s+)*(?:class|object|fun|interface|val|var)\s", _CALL),
-    "java": (r"import\s", r"(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum|record)\s", _CALL),
-    "c": (r"#\s*(?:include|define)\b", r"(?:struct|enum|class|namespace)\s|[A-Za-z_][\w\s*&:<>,]*\([^;{]*\)\s*\{", _CALL),
-    "csharp": (r"(?:using|extern alias)\s", r"(?:(?:public|private|protected|internal|static|sealed|abstract|partial)\s+)*(?:class|interface|enum|record|struct)\s", _CALL),
-    "php": (r"(?:use\s|require(?:_once)?\b)", r"(?:(?:public|private|protected|static|final|abstract)\s+)*(?:function|class|interface|trait)\s", _CALL),
-    "swift": (r"import\s", r"(?:(?:public|private|internal|open|final|static)\s+)*(?:class|struct|protocol|enum|func)\s", _CALL),
+    "python": (r"(?:import|from)\s", r"(?:async\s+)?(?:def|class)\s", None),
+    "rust": (r"(?:pub(?:\([^)]*\))?\s+)?use\s", r"(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|async\s+|const\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*(?:fn|struct|enum|trait|impl)\b", None),
+    "go": (r"import\s", r"(?:func|type)\s", None),
+    "javascript": (r"(?:import|export)\b(?!\()", r"(?:export\s+(?:default\s+)?)?(?:async\s+)?(?:function\b|class\s)", None),
+    "dart": (r"(?:import|export|library)\s", r"(?:abstract\s+)?(?:class|mixin|extension)\s", None),
+    "kotlin": (r"(?:import|package)\s", r"(?:\w+\s+)*(?:class|object|fun|interface|val|var)\s", None),
+    "java": (r"import\s", r"(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum|record)\s", None),
+    "c": (r"#\s*(?:include|define)\b", r"(?:struct|enum|class|namespace)\s|[A-Za-z_][\w\s*&:<>,]*\([^;{]*\)\s*\{", None),
+    "csharp": (r"(?:using|extern alias)\s", r"(?:(?:public|private|protected|internal|static|sealed|abstract|partial)\s+)*(?:class|interface|enum|record|struct)\s", None),
+    "php": (r"(?:use\s|require(?:_once)?\b)", r"(?:(?:public|private|protected|static|final|abstract)\s+)*(?:function|class|interface|trait)\s", None),
+    "swift": (r"import\s", r"(?:(?:public|private|internal|open|final|static)\s+)*(?:class|struct|protocol|enum|func)\s", None),
     "ruby": (None, r"(?:def|class|module)\s", r"([a-z_][\w.]*[!?]?\s+[^=].*|[\w.]+\(.*)"),
-    "zig": (None, r"(?:pub\s+)?(?:fn|const|var)\s", r"(@?[A-Za-z_][\w.]*)\("),
+    "zig": (None, r"(?:pub\s+)?(?:fn|const|var)\s", None),
     "css": (r"@import\b", r"[^{}]+\{|@\w+", None),
     "html": (None, r"<[A-Za-z][^>]*>", None),
     "vue": (None, r"<[A-Za-z][^>]*>", None),
@@ -97,37 +97,47 @@ _PATTERNS: dict[str, tuple[str | None, str | None, str | None]] = {
 }
 for _same, _as in (("typescript", "javascript"), ("tsx", "javascript"), ("cpp", "c")):
     _PATTERNS[_same] = _PATTERNS[_as]
-_NOT_CALLS = {"if", "for", "while", "switch", "catch", "return", "match", "fn", "func", "function", "fun", "def", "sizeof", "and", "or", "not", "in", "elif", "with", "except", "lambda"}
-_COMMENT = {"python": "#", "ruby": "#", "yaml": "#", "bash": "#", "dockerfile": "#", "hcl": "#", "sql": "--"}
-_COMPILED = {k: tuple(re.compile(x) if x else None for x in v) for k, v in _PATTERNS.items()}
+#: Languages in which a line is a call as a whole; in these, a signature is none.
+_WHOLE, _NEITHER = ("bash", "ruby", "dockerfile", "sql"), ("bash", "ruby", "dockerfile")
 
 
 def _capped(text: str) -> str:
     return text.strip().split("\n")[0].strip()[: X.LINE_CHARS]
 
 
-def by_lines(lang: str, text: str) -> Iterator[tuple[str, int, str]]:
-    imports, signatures, calls = _COMPILED[lang]
-    for n, raw in enumerate(text.split("\n"), 1):
-        line = raw.strip()
-        if not line or line.startswith(_COMMENT.get(lang, "//")):
-            continue
-        if imports and imports.match(line):
-            yield "import", n, _capped(line)
-            continue
-        is_signature = bool(signatures and signatures.match(line))
-        if is_signature:
-            yield "signature", n, _capped(line)
-            inner = line.lstrip("- ") if lang == "yaml" else line  # an item that holds a pair is both
-            if inner != line and signatures.match(inner):
-                yield "signature", n, _capped(inner)
-        if calls and not (is_signature and lang in ("bash", "ruby", "dockerfile")):
-            whole = lang in ("bash", "ruby", "dockerfile", "sql")
-            for m in [calls.match(line)] if whole else calls.finditer(line):
-                name = m and (m.group(1) if m.re.groups else m.group())
-                before = line[: m.start()].rstrip().rpartition(" ")[2] if m and not whole else ""
-                if name and name not in _NOT_CALLS and before not in ("fn", "func", "function", "fun", "def", "class"):
-                    yield "call", n, _capped(name)
+def pattern_evidence(rows: DataFrame) -> DataFrame:
+    """Imports, signatures and calls by whole lines of (path, lang, line, raw) rows."""
+    text, lang = F.col("text"), F.col("lang")
+
+    def pattern(i: int) -> Column:
+        known = [x for name, p in _PATTERNS.items() if p[i] for x in (F.lit(name), F.lit(f"^(?:{p[i]})"))]
+        return F.element_at(F.create_map(*known), lang)
+
+    def starts(c: Column, i: int) -> Column:
+        return F.coalesce(F.rlike(c, pattern(i)), F.lit(False))
+
+    def out(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.substring(strip(value), 1, X.LINE_CHARS).alias("text"))
+
+    t = rows.where(lang.isin(*_PATTERNS)).withColumn("text", strip(F.col("raw"))).where((text != "") & ~(lang.isin("bash", "yaml", "dockerfile") & F.startswith(text, F.lit("#"))))
+    t = t.withColumns({"imports": starts(text, 0), "signs": starts(text, 1)})
+    inner = F.ltrim(text, F.lit("- "))  # an item that holds a pair is both
+    pair = (lang == "yaml") & (inner != text) & starts(inner, 1)
+    called = F.call_function("regexp_extract", text, pattern(2), F.when(lang == "sql", 0).otherwise(1))
+    calls = lang.isin(*_WHOLE) & ~(F.col("signs") & lang.isin(*_NEITHER)) & starts(text, 2)
+    found = F.array(F.when(F.col("signs"), out("signature", text)), F.when(F.col("signs") & pair, out("signature", inner)), F.when(calls, out("call", called)))
+    found = F.when(F.col("imports"), F.array(out("import", text))).otherwise(found)
+    return t.select("path", "lang", "line", F.explode(F.array_compact(found)).alias("e")).select("path", "lang", F.col("e.kind").alias("kind"), "line", F.col("e.text").alias("text"))
+
+
+def lexed_evidence(lines: DataFrame) -> DataFrame:
+    """Evidence of (path, lang, line, raw) rows: comments and strings hold none, calls may lie on several lines."""
+    seen = cut(lexed(lines))  # read by patterns and by statements
+    code = seen.where((F.col("state") == 0) & (F.btrim("code") != ""))
+    named = calls(statements(seen.where(F.col("lang").isin(*CALLING))))
+    first = F.substring(strip(F.substring_index("text", "\n", 1)), 1, X.LINE_CHARS)
+    named = named.where((F.col("lang") == "zig") | ~F.startswith("text", F.lit("@"))).select("path", "lang", F.lit("call").alias("kind"), "line", first.alias("text"))
+    return pattern_evidence(code).unionByName(named)
 
 
 def by_ast(text: str) -> Iterator[tuple[str, int, str]] | None:
@@ -153,22 +163,30 @@ def by_ast(text: str) -> Iterator[tuple[str, int, str]] | None:
     return walk()
 
 
-def syntax_evidence(files: DataFrame) -> DataFrame:
-    """Evidence of the other languages."""
+def _parsed(files: DataFrame) -> DataFrame:
+    """Evidence of Python files; a file that does not parse has one row of kind ``unparsed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for path, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = by_ast(text) if lang == "python" else None
-                if found is None:
-                    found = by_lines(lang, text) if lang in _COMPILED else ()
-                rows += sorted({(path, lang, k, n, t) for k, n, t in found if t}, key=lambda r: (r[3], r[2], r[4]))
+                found = by_ast(text)
+                rows += [(path, lang, "unparsed", 0, "")] if found is None else ((path, lang, k, n, t) for k, n, t in {*found} if t)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()))], ["path", "lang", "kind", "line", "text"])
 
     ship_code(files.sparkSession)
+    return files.mapInArrow(run, EVIDENCE)
+
+
+def syntax_evidence(files: DataFrame) -> DataFrame:
+    """Evidence of the other languages: Python by its syntax tree, the others and what does not parse by the lexer."""
     text = utf8(F.col("content")) if dict(files.dtypes)["content"] == "binary" else F.col("content")
-    return files.where(~F.col("lang").isin(*LINE_LANGS)).select("path", "lang", text.alias("content")).mapInArrow(run, EVIDENCE)
+    files = files.where(~F.col("lang").isin(*LINE_LANGS)).select("path", "lang", text.alias("content"))
+    python = cut(_parsed(files.where("lang = 'python'")))
+    left = files.where("lang = 'python'").join(python.where("kind = 'unparsed'").select("path"), "path", "left_semi")
+    lines = file_lines(files.where("lang <> 'python'").unionByName(left.select(*files.columns)))
+    plain = pattern_evidence(lines.where(~F.col("lang").isin(*LEXIS)))
+    return python.where("kind <> 'unparsed'").unionByName(plain).unionByName(lexed_evidence(lines)).distinct()
 
 
 def external(evidence: DataFrame) -> DataFrame:

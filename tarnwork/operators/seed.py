@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
+from ..session import cut
 
 
 def limit_ladder() -> list[dict[str, int]]:
@@ -57,25 +57,69 @@ def compact_evidence(seeds: DataFrame) -> DataFrame:
     return places.unionByName(calls.select("path", "lang", F.lit("call").alias("kind"), F.lit(None).cast("int").alias("line"), "text"))
 
 
+def placed(rows: DataFrame, size: str, order: list[str], group: list[str]) -> DataFrame:
+    """``start``: the sum of ``size`` over the group's rows before each, in order; a group may span all tasks.
+
+    Rows are dealt into ranges in order; sums run within a range, and over the ranges of a group.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = cut(rows.repartitionByRange(parts, *group, *order).withColumn("part", F.spark_partition_id()))
+    within = Window.partitionBy("part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy(*group, "part").agg(F.sum(size).alias("n"))
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*group, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    start = F.coalesce(F.sum(size).over(within), F.lit(0)) + F.col("before")
+    return ranges.join(sums, [*group, "part"]).withColumn("start", start).drop("part", "before")
+
+
+def bin_starts(records: DataFrame, group: list[str], cap: int) -> DataFrame:
+    """(group, start, batch) of the records that open a batch, of (group, start, size) with sizes above 0.
+
+    The batch that a record would open ends before the record that holds its start + cap (or its own end, if
+    that is later), which a search within stretches of ``cap`` bytes finds: each has at most ``cap`` records.
+    From these next pointers, the true openers are marked from the group's first by pointer doubling:
+    after k rounds the first 2^k are known, and the pointers leap 2^k batches.
+    """
+    end = F.col("start") + F.col("size")
+    want = F.greatest(end, F.col("start") + cap)
+    spans = F.explode(F.sequence(F.floor(F.col("start") / cap), F.floor((end - 1) / cap)))
+    held = records.select(*group, spans.alias("stretch"), "start", F.struct(F.col("start").alias("start"), end.alias("end")).alias("holder"), F.lit(None).cast("long").alias("of"))
+    asked = records.select(*group, F.floor(want / cap).alias("stretch"), want.alias("start"), F.lit(None).cast("struct<start:bigint,end:bigint>").alias("holder"), F.col("start").alias("of"))
+    order = Window.partitionBy(*group, "stretch").orderBy("start", F.col("of").isNotNull())
+    found = held.unionByName(asked).withColumn("next", F.last("holder", ignorenulls=True).over(order)).where("of is not null and next.end > start")
+    leaps = cut(found.select(*group, F.col("of").alias("start"), F.col("next.start").alias("next")))
+    known, step = cut(records.groupBy(*group).agg(F.min("start").alias("start")).withColumn("batch", F.lit(0).cast("long"))), 1
+    while True:
+        ahead = known.join(leaps, [*group, "start"]).select(*group, F.col("next").alias("start"), (F.col("batch") + step).alias("batch"))
+        more = cut(ahead)
+        if not more.limit(1).count():
+            return known
+        known, step = cut(known.unionByName(more)), 2 * step
+        far = leaps.select(*group, F.col("start").alias("next"), F.col("next").alias("far"))
+        leaps = cut(leaps.join(far, [*group, "next"]).select(*group, "start", F.col("far").alias("next")))
+
+
 def batches(rows: DataFrame, size: str, order: list[str], group: list[str], cap: int = X.SEED_CAP) -> DataFrame:
     """``batch``: greedy bins of at most ``cap`` bytes in order, a larger record alone; per group.
 
-    The fold depends on all rows before it, so a group is folded in one place: choose groups (a tree, a
-    module) of bounded size; only sizes and order columns travel.
+    No group is folded in one place: see ``placed`` and ``bin_starts``.  A record belongs to the last opener
+    at or before it; an empty one never opens a batch, unless a too large record is just before it.
     """
-    schema = rows.select(*group, *order, size).schema.add("batch", "long")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        number, filled, out = 0, 0, []
-        for n in pdf[size]:
-            if filled and filled + n > cap:
-                number, filled = number + 1, 0
-            filled += n
-            out.append(number)
-        return pdf.assign(batch=out)
-
-    return rows.select(*group, *order, size).groupBy(*group).applyInPandas(fold, schema)
+    at = cut(placed(rows.select(*group, *order, size), size, order, group))
+    full = at.where(F.col(size) > 0).select(*group, "start", F.col(size).cast("long").alias("size"))
+    starts = bin_starts(full, group, cap)
+    ends = at.groupBy(*group).agg(F.max(F.col("start") + F.col(size)).alias("end"))
+    later = starts.select(*group, (F.col("batch") - 1).alias("batch"), F.col("start").alias("until"))
+    spans = starts.join(later, [*group, "batch"], "left").join(ends, group).withColumn("until", F.coalesce("until", "end"))
+    # a stretch of ``cap`` bytes meets a few batches
+    spans = spans.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("start") / cap), F.floor(F.col("until") / cap))))
+    spans = spans.groupBy(*group, "stretch").agg(F.collect_list(F.struct("start", "batch")).alias("openers"))
+    out = at.withColumn("stretch", F.floor(F.col("start") / cap)).join(spans, [*group, "stretch"], "left")
+    empty = F.col(size) == 0
+    opener = F.array_max(F.filter("openers", lambda o: (o["start"] < F.col("start")) | (~empty & (o["start"] == F.col("start")))))
+    over = empty & (F.col("start") - opener["start"] > cap)
+    batch = F.when(opener.isNull(), 0).when(over, opener["batch"] + 1).otherwise(opener["batch"]).cast("long")
+    return out.withColumn("batch", batch).select(*rows.select(*group, *order, size).columns, "batch")
 
 
 def read_seeds(lines: DataFrame) -> DataFrame:

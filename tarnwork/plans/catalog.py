@@ -12,6 +12,7 @@ from ..functions.text import lines
 from ..operators import diff as D
 from ..operators import extract as E
 from ..operators import gate as G
+from ..operators import lexer as L
 from ..operators import paths as P
 from ..operators import policy as J
 from ..operators import query as Q
@@ -453,5 +454,18 @@ def py_ast_extract(spark, d):
     return E.syntax_evidence(files)
 
 
+@query
+def lexed_calls(spark, d):
+    """Calls in code of twelve languages, over several lines, with calls in comments and strings that are none."""
+    return L.calls(L.statements(L.lexed(E.file_lines(A.code_files(spark, d)))))
+
+
+@query
+def lexed_states(spark, d):
+    """Lines by language and by what they are entered in."""
+    rows = L.lexed(E.file_lines(A.code_files(spark, d)))
+    return rows.groupBy("lang", F.when(F.col("state") > 0, "inside").when(F.col("depth") > 0, "bracket").otherwise("code").alias("entered")).agg(F.count("*").alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings_ranked(spark, sf_dir)

@@ -6,7 +6,8 @@ The two share only the fixed values (token lists, titles, templates).
 from __future__ import annotations
 
 from ..functions import fixed as X
-from ..sources.adapters import ENDINGS, TEMPLATES
+from ..operators.lexer import NOT_CALLED
+from ..sources.adapters import CODE, ENDINGS, TEMPLATES
 from .catalog import DETECTORS, LONG_LINE, SMALL
 
 UP, LO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -314,6 +315,16 @@ ORACLE_SQL: dict[str, str] = {
     "repo_refs": "WITH r AS (SELECT page_id, 'owner' || page_id || CASE page_id % 3 WHEN 0 THEN '/re po' WHEN 1 THEN '/repo.git' ELSE '/a/b' END AS ref FROM pages) SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'owner' || page_id END AS owner, CASE WHEN page_id % 3 = 1 THEN 'repo' END AS repo, NOT contains(ref, ' ') AS valid FROM r",
     "checkout_inspect": f"WITH {MIXED} SELECT count(*) AS n_files, CAST(coalesce(sum(length), 0) AS BIGINT) AS n_bytes, FALSE AS submodules, FALSE AS lfs, (count(*) <= 20000 AND coalesce(sum(length), 0) <= 262144000) AS within_limits FROM mixed",
 }
+#: What the lines of code are made to hold: see STANZA.
+_CODE = (
+    "WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,8}') AS w FROM documents), "
+    f"s AS (SELECT doc_id, {{langs}}[doc_id % {len(CODE)} + 1] AS lang, w, unnest(range(0, len(w) // 8)) AS k FROM w)"
+).replace("{langs}", "[" + ", ".join(lit(c[0]) for c in CODE) + "]")
+ORACLE_SQL["lexed_calls"] = (
+    f"{_CODE} SELECT 'src/f' || doc_id AS path, lang, CAST(9 * k + l AS INTEGER) AS line, CASE l WHEN 1 THEN w[8 * k + 1] || '.' || w[8 * k + 2] WHEN 7 THEN w[8 * k + 5] ELSE w[8 * k + 6] END AS text "
+    f"FROM s, (VALUES (1), (7), (9)) v(l) WHERE l = 1 OR w[8 * k + CASE l WHEN 7 THEN 5 ELSE 6 END] NOT IN ({', '.join(map(lit, NOT_CALLED))})"
+)
+ORACLE_SQL["lexed_states"] = f"{_CODE} SELECT lang, CASE WHEN l IN (6, 7) THEN 'inside' WHEN l IN (2, 3, 8) THEN 'bracket' ELSE 'code' END AS entered, count(*) AS n FROM s, range(1, 10) v(l) GROUP BY ALL"
 for _rule in META:
     ORACLE_SQL[f"rule_{_rule.replace('-', '_')}"] = f"{FOUND} SELECT severity, path, line, title, evidence FROM found WHERE rule = '{_rule}'"
 for _ev in DETECTORS:

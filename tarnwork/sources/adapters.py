@@ -105,6 +105,33 @@ def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(path.alias("path"), F.octet_length(text).cast("long").alias("length"), F.lit(0o644).alias("mode"), text.alias("content"), "doc_id")
 
 
+#: (language, line comment, opening and closing mark of a comment or string over lines) by doc_id.
+CODE = (
+    ("c", "//", "/*", "*/"), ("java", "//", "/*", "*/"), ("csharp", "//", '"""', '"""'), ("php", "#", "/*", "*/"), ("javascript", "//", "`", "`"), ("rust", "//", "/*", "*/"),
+    ("go", "//", "`", "`"), ("kotlin", "//", '"""', '"""'), ("swift", "//", "/*", "*/"), ("dart", "//", "'''", "'''"), ("python", "#", '"""', '"""'), ("tsx", "//", "/*", "*/"),
+)
+#: Nine lines of code for eight words ({1} to {8}); calls are {1}.{2} on the first, {5} on the seventh, {6} on the ninth.
+STANZA = '{1}.{2}(\n  "{3}({4})", {5}\n)\n{line} {4}({5})\n{open} {6}({7})\n{8}({1}) "\n{close} [{5}\n  ({3})];\nx = {6}(1) + {7};'
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, lang, content) from documents: their words, eight at a time, as names in code of twelve languages."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{3,8}"), 0).alias("w"))
+    facts = F.get(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(c, ("lang", "line", "open", "close"), strict=True))) for c in CODE)), (F.col("doc_id") % len(CODE)).cast("int"))
+    d = d.withColumn("c", facts).where(F.size("w") >= 8)
+
+    def stanza(k):
+        text = F.lit(STANZA)
+        for n in range(1, 9):
+            text = F.replace(text, F.lit("{%d}" % n), F.get("w", 8 * k + n - 1))
+        for n in ("line", "open", "close"):
+            text = F.replace(text, F.lit("{%s}" % n), F.col(f"c.{n}"))
+        return text
+
+    content = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 8).cast("int") - 1), stanza), "\n")
+    return d.select(F.concat(F.lit("src/f"), F.col("doc_id").cast("string")).alias("path"), "c.lang", content.alias("content"))
+
+
 #: Path endings for documents by doc_id, for language routing and artifact tags.
 ENDINGS = ("notes.md", "Makefile", "bin/tool", "dist/app.exe", "scripts/run.sh", "src/lib.rs", "package.json", "data.tar.gz", "x/Dockerfile", "lib.so", "tests/a_test.go", "README")
 
