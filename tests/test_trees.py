@@ -31,6 +31,7 @@ def trees(tmp_path_factory):
         "node_modules/x/a.js": "ignored()",
         "skipped/a.py": "x = 1\n",
         ".gitignore": "skipped/\n",
+        ".git/HEAD": "ref: refs/heads/main\n",  # ignore files of git hold in work trees only
     }
     write(top / "v1", v1)
     write(top / "v2", v2)
@@ -59,6 +60,55 @@ def test_ignore_rules():
     assert hit("deep/x/y") and not hit("deep", True) and hit("q/a1.txt") and not hit("q/c1.txt") and hit("#yes") and not hit("# no")
 
 
+IGNORES = {
+    ".gitignore": "*.log\nlib/\n/top.txt\n", ".ignore": "secret/\n!keep.log\n", "lib/evil.sh": "x", "a.log": "x", "keep.log": "x", "top.txt": "x", "sub/top.txt": "x", "secret/s.py": "x",
+    "sub/.gitignore": "!b.log\n*.tmp\n", "sub/b.log": "x", "sub/c.tmp": "x", "sub/deep/lib/x.py": "x", "nested/.git/HEAD": "x", "nested/.gitignore": "own.py\n", "nested/own.py": "x", "nested/d.log": "x", "nested/more/own.py": "x",
+    "info.md": "x", "node_modules/m.js": "x", "lib2/é.py": "x",
+}
+
+
+def test_git_ignore_files_hold_in_work_trees_only(spark, tmp_path):
+    from tarnwork.sources import tree as T
+
+    write(tmp_path / "plain", IGNORES)
+    write(tmp_path / "work", IGNORES | {".git/HEAD": "x", ".git/info/exclude": "info.md\n"})
+    write(tmp_path / "up", {".git/HEAD": "x", ".gitignore": "inner/sub/\nb.log\n", ".ignore": "top.txt\n"})
+    write(tmp_path / "up/inner", {k: v for k, v in IGNORES.items() if k != ".ignore"})
+    walked = {n: {p for p, _, _ in T.walk(str(tmp_path / n))} for n in ("plain", "work", "up/inner")}
+    assert {"lib/evil.sh", "a.log", "sub/c.tmp", "info.md"} <= walked["plain"] and not {"secret/s.py", "nested/own.py", "node_modules/m.js"} & walked["plain"]
+    assert not {"lib/evil.sh", "a.log", "sub/c.tmp", "top.txt", "info.md", "sub/deep/lib/x.py"} & walked["work"] and {"sub/b.log", "keep.log", "sub/top.txt", "nested/d.log"} <= walked["work"]
+    assert not {"top.txt", "sub/top.txt", "sub/b.log", "lib/evil.sh"} & walked["up/inner"] and "secret/s.py" in walked["up/inner"]
+    for name in walked:
+        for listed in (20_000, 1):  # in one round, and in a round for every folder
+            rows = T.read_tree(spark, str(tmp_path / name), listed=listed).collect()
+            assert [r.path for r in sorted(rows, key=lambda r: r.seq)] == sorted(walked[name], key=str.encode) and [r.seq for r in sorted(rows, key=lambda r: r.seq)] == list(range(len(rows)))
+    for name in ("plain", "work"):  # the same verdicts from a listing and its rules as a relation
+        every = [(str(p.relative_to(tmp_path / name)), p.read_bytes()) for p in (tmp_path / name).rglob("*") if p.is_file()]
+        files = spark.createDataFrame(every, "path string, content binary")
+        assert {r.path for r in T.without_ignored(files, T.rules_of(files)).collect()} == walked[name]
+
+
+def test_files_that_are_not_wanted_are_not_opened(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tarnwork.sources import tree as T
+
+    write(tmp_path, {"a.py": "x", "b.md": "y", "sub/c.py": "z" * 100})
+    (tmp_path / "b.md").chmod(0)
+    rows = {r.path: r for r in T.read_tree(spark, str(tmp_path), F.col("path").endswith(".py"), maxBytes=50).collect()}
+    assert {p: (r.content and bytes(r.content), r.read_failed) for p, r in rows.items()} == {"a.py": (b"x", False), "b.md": (None, False), "sub/c.py": (None, False)}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        spark.dataSource.register(T.TreeSource)
+        df = spark.read.format("tree").load(str(tmp_path)).where("path like '%.py' and length < 50")
+        assert [r.path for r in df.collect()] == ["a.py"]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    reader = T._Reader(str(tmp_path), 50, (), 1 << 20)
+    assert not list(reader.pushFilters([T.StringEndsWith(("path",), ".py"), T.LessThan(("length",), 50)]))
+    assert [f[1] for p in reader.partitions() for f in p.files] == ["a.py"]
+
+
 def test_trees_are_read_from_any_folder(trees, tmp_path):
     """Workers get the package from the session, not from the folder in which the driver was started."""
     import os
