@@ -1,11 +1,12 @@
 """Project policy on findings and artifacts: allow, deny, override, then the cap of the scope.
 
-A policy is a short ordered list in a file, so its rules become expressions of the plan: one pass over
-the findings, no join, whatever their number.
+A policy is a relation of rules, of any number: findings meet the rules whose path they may hold by a
+join on trigrams, and the rules that hit are folded in their order.
 """
 
 from __future__ import annotations
 
+import collections
 import tomllib
 from dataclasses import dataclass, field
 
@@ -28,14 +29,6 @@ class Rule:
     reason: str | None = None
     severity: str | None = None
 
-    def hits(self, tags: Column | None = None) -> Column:
-        out = F.lit(True)
-        if self.path is not None:
-            out = out & F.contains(normal_path(F.col("path")), F.lit(self.path.replace("\\", "/")))
-        if self.rule is not None:
-            out = out & (F.array_contains(tags, self.rule) if tags is not None else F.col("rule") == self.rule)
-        return out
-
     @property
     def said(self) -> str:
         return f" ({self.reason})" if self.reason and self.reason.strip() else ""
@@ -77,30 +70,78 @@ def parse(text: str) -> Policy:
     return Policy(out["allowlist"], out["denylist"], out["severity_override"], limit)
 
 
-def _first(rules: list[Rule], value, tags: Column | None = None) -> Column:
-    found = [F.when(r.hits(tags), value(r)) for r in rules]
-    return F.coalesce(*found) if found else F.lit(None).cast("string")
+ALLOW, DENY, OVERRIDE = range(3)
+#: Policy rules that are sent to all tasks; more are dealt by key.
+BROADCAST_RULES = 10_000
+_HIT = "struct<list:int,n:int,severity:string,said:string>"
+
+
+def _trigrams(path: str) -> list[str]:
+    return [path[i : i + 3] for i in range(len(path) - 2)]
+
+
+def _keyed(policy: Policy) -> list[tuple]:
+    """(key, list, n, path, rule, severity, said): each rule under the trigram of its path that the fewest rules
+    have; rules without one under ''."""
+    lists = ((ALLOW, policy.allow), (DENY, policy.deny), (OVERRIDE, policy.override))
+    rules = [(i, n, r.path.replace("\\", "/") if r.path is not None else "", r) for i, rules in lists for n, r in enumerate(rules)]
+    common = collections.Counter(t for _, _, path, _ in rules for t in {*_trigrams(path)})
+    return [(min(_trigrams(path), key=lambda t: (common[t], t), default=""), i, n, path, r.rule, r.severity, r.said) for i, n, path, r in rules]
+
+
+def rule_hits(subjects: DataFrame, policy: Policy) -> DataFrame:
+    """Subjects (path, tags, more columns) that rules hit, with ``hits`` in the order of the policy.
+
+    A rule can only hit paths that hold its trigram: an equi-join of the paths' distinct trigrams with the
+    rules' keys, then the exact test.  The plan has the same size for any number of rules.
+    """
+    spark = subjects.sparkSession
+    rows = _keyed(policy)
+    rules = spark.createDataFrame(rows, "key string, list int, n int, part string, rule string, severity string, said string")
+    rules = F.broadcast(rules) if len(rows) <= BROADCAST_RULES else rules
+    path = normal_path(F.col("path"))
+    trigrams = F.when(F.char_length(path) > 2, F.transform(F.sequence(F.lit(1), F.char_length(path) - 2), lambda i: F.substring(path, i, F.lit(3))))
+    keys = F.array_union(F.array(F.lit("")), F.coalesce(trigrams, F.array().cast("array<string>")))
+    met = subjects.withColumn("key", F.explode(keys)).join(rules.withColumnRenamed("rule", "tag"), "key")
+    met = met.where((F.col("tag").isNull() | F.array_contains("tags", F.col("tag"))) & F.contains(path, F.col("part")))
+    return met.groupBy(*subjects.columns).agg(F.array_sort(F.collect_list(F.struct("list", "n", "severity", "said"))).alias("hits"))
+
+
+def _first(list_: int) -> Column:
+    """What the first rule of a list says, null if none hits."""
+    return F.get(F.filter("hits", lambda h: h["list"] == list_), F.lit(0))["said"]
 
 
 def judged(findings: DataFrame, policy: Policy) -> DataFrame:
-    """Findings with ``severity`` after policy, ``suppressed`` and ``action`` (null: nothing changed)."""
-    where = [F.col("rule"), F.lit(" at "), F.col("path")]
-    allow = _first(policy.allow, lambda r: F.concat(F.lit("suppressed "), *where, F.lit(f" by allowlist{r.said}")))
-    state = F.struct(F.col("severity").alias("severity"), F.lit(None).cast("string").alias("asked"))
-    deny = _first(policy.deny, lambda r: F.concat(F.lit("raised "), *where, F.lit(f" to high by denylist{r.said}")))
-    state = F.when(deny.isNotNull() & (F.col("severity") != "high"), F.struct(F.lit("high").alias("severity"), deny.alias("asked"))).otherwise(state)
-    out = findings.withColumns({"_allow": allow, "_state": state})
-    for r in policy.override:
-        said = F.concat(F.lit("set "), *where, F.lit(f" severity to {r.severity} by override{r.said}"))
-        out = out.withColumn("_state", F.when(r.hits() & (F.col("_state.severity") != r.severity), F.struct(F.lit(r.severity).alias("severity"), said.alias("asked"))).otherwise(F.col("_state")))
+    """Findings with ``severity`` after policy, ``suppressed`` and ``action`` (null: nothing changed).
+
+    Every distinct (path, rule) meets the policy once; the rules that hit it are folded in their order.
+    """
+    subjects = findings.select("path", "rule").distinct().withColumn("tags", F.array("rule"))
+    out = findings.join(rule_hits(subjects, policy).drop("tags"), ["path", "rule"], "left").withColumn("hits", F.coalesce("hits", F.array().cast(f"array<{_HIT}>")))
+    where = F.concat(F.col("rule"), F.lit(" at "), F.col("path"))
+    allow = F.concat(F.lit("suppressed "), where, F.lit(" by allowlist"), _first(ALLOW))
+    denied = _first(DENY)
+    raised = F.struct(F.lit("high").alias("severity"), F.concat(F.lit("raised "), where, F.lit(" to high by denylist"), denied).alias("asked"))
+    as_found = F.struct(F.col("severity").alias("severity"), F.lit(None).cast("string").alias("asked"))
+    start = F.when(denied.isNotNull() & (F.col("severity") != "high"), raised).otherwise(as_found)
+
+    def override(state: Column, h: Column) -> Column:
+        said = F.concat(F.lit("set "), where, F.lit(" severity to "), h["severity"], F.lit(" by override"), h["said"])
+        return F.when(state["severity"] != h["severity"], F.struct(h["severity"].alias("severity"), said.alias("asked"))).otherwise(state)
+
+    out = out.withColumns({"_allow": allow, "_state": F.aggregate(F.filter("hits", lambda h: h["list"] == OVERRIDE), start, override)})
     wanted, final = F.col("_state.severity"), capped(F.col("_state.severity"), F.col("path"))
-    held = F.concat(F.lit("held "), *where, F.lit(" at "), final, F.lit(": "), scope(F.col("path")), F.lit(" paths are capped (policy asked for "), wanted, F.lit(")"))
+    held = F.concat(F.lit("held "), where, F.lit(" at "), final, F.lit(": "), scope(F.col("path")), F.lit(" paths are capped (policy asked for "), wanted, F.lit(")"))
     action = F.when(F.col("_allow").isNotNull(), F.col("_allow")).when(wanted == F.col("severity"), F.lit(None).cast("string")).when(final == wanted, F.col("_state.asked")).otherwise(held)
     out = out.withColumns({"action": action, "suppressed": F.col("_allow").isNotNull(), "severity_before": F.col("severity")})
-    return out.withColumn("severity", F.when(F.col("suppressed"), F.col("severity")).otherwise(final)).drop("_allow", "_state")
+    out = out.withColumn("severity", F.when(F.col("suppressed"), F.col("severity")).otherwise(final))
+    return out.select(*findings.columns, "action", "suppressed", "severity_before")
 
 
 def artifacts_left(artifacts: DataFrame, policy: Policy) -> DataFrame:
     """Artifacts with ``action`` if the allowlist suppresses them; a rule may name any one tag."""
-    said = _first(policy.allow, lambda r: F.concat(F.lit("suppressed artifact "), F.col("reason"), F.lit(" at "), F.col("path"), F.lit(f" by allowlist{r.said}")), F.split("reason", ","))
-    return artifacts.withColumn("action", said)
+    subjects = artifacts.select("path", "reason").distinct().withColumn("tags", F.split("reason", ","))
+    hits = rule_hits(subjects, Policy(allow=policy.allow)).drop("tags")
+    said = F.concat(F.lit("suppressed artifact "), F.col("reason"), F.lit(" at "), F.col("path"), F.lit(" by allowlist"), _first(ALLOW))
+    return artifacts.join(hits, ["path", "reason"], "left").withColumn("action", said).select(*artifacts.columns, "action")

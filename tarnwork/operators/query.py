@@ -47,10 +47,11 @@ class Filters:
         return Filters(**{k: (v if k == "lang" else pattern(k, v)) for k, v in self.__dict__.items()})
 
 
-def _about_file(f: Filters) -> Column:
-    keep = F.lit(True)
+def about_file(f: Filters, lang: Column | None = None) -> Column:
+    """Whether a file's language and path are asked for."""
+    keep, lang = F.lit(True), F.col("lang") if lang is None else lang
     if f.lang is not None:
-        keep = keep & (F.translate(F.coalesce("lang", F.lit("")), UPPER, LOWER) == f.lang.translate(str.maketrans(UPPER, LOWER)))
+        keep = keep & (F.translate(F.coalesce(lang, F.lit("")), UPPER, LOWER) == f.lang.translate(str.maketrans(UPPER, LOWER)))
     return keep & F.col("path").rlike(f.path) if f.path is not None else keep
 
 
@@ -68,9 +69,9 @@ def matches(evidence: DataFrame, filters: Filters, files: DataFrame | None = Non
     if f.any is not None:
         asked["any"] = F.col("text").rlike(f.any)
     if not asked:
-        rows = (files if files is not None else evidence).where(_about_file(f)).select("path", "lang").distinct()
+        rows = (files if files is not None else evidence).where(about_file(f)).select("path", "lang").distinct()
         return rows.select("path", "lang", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("text"))
-    rows = evidence.where(_about_file(f))
+    rows = evidence.where(about_file(f))
     flags = {f"hit_{k}": c for k, c in asked.items()}
     any_hit = None
     for c in flags:

@@ -18,6 +18,7 @@ from ..operators import query as Q
 from ..operators import rules as R
 from ..operators import seed as S
 from ..operators import surface as C
+from ..operators.paths import language, severity_rank
 from ..session import cut
 from ..sources.tree import read_tree
 from . import render
@@ -47,7 +48,8 @@ def prepared(tree: DataFrame, max_bytes: int = X.MAX_BYTES) -> tuple[DataFrame,
 
 
 def query(spark: SparkSession, root: str, filters: Q.Filters, limit: int = 200, **options) -> Outcome:
-    files, evidence = load(spark, root, **options)
+    wanted = Q.about_file(filters, language(F.col("path")))  # other files are listed, not opened
+    files, evidence = load(spark, root, wanted=wanted, **options)
     found = Q.matches(evidence, filters, files.where("status = 'dehydrated'"))
     shown = Q.limited(found, limit)
     return Outcome(found, 0 if shown.limit(1).count() else 1, {"scanned": files, "files": shown, "lines": Q.grep_lines(found)})
@@ -134,7 +136,9 @@ def gate(spark: SparkSession, root: str, policy: J.Policy | None = None, max_byt
         stops = [r.blocker for r in G.blockers(kept, 10, "severity_before").collect()] + [f"artifact requires review: {a.path} size_bytes={a.size_bytes} reason={a.reason}" for a in listed]
         if not why:
             why = [f"Suspicious artifact requires review: {a.path}" for a in listed[:3]] or ["No deterministic risks found in the analyzed input.", "This gate does not replace manual review of runtime behavior."]
-    actions = judged.where("action is not null").select("action").unionByName(artifacts.where("action is not null").select("action"))
+    order = (severity_rank(F.col("severity_before")).alias("o1"), F.col("path").alias("o2"), F.coalesce("line", F.lit(-1)).alias("o3"), F.col("rule").alias("o4"), F.col("rule_seq").alias("o5"), F.col("evidence").alias("o6"))
+    actions = judged.where("action is not null").select(F.lit(0).alias("o0"), *order, "action")  # in the ledger's order, artifacts behind
+    behind = artifacts.where("action is not null").select(F.lit(1).alias("o0"), F.lit(0).alias("o1"), F.col("path").alias("o2"), F.lit(0).alias("o3"), F.lit("").alias("o4"), F.lit(0).alias("o5"), F.lit("").alias("o6"), "action")
+    actions = actions.unionByName(behind).orderBy(*(f"o{i}" for i in range(7))).select("action")
     odd = [f"{a.path} size_bytes={a.size_bytes} reason={a.reason}" for a in left.orderBy("path").limit(X.SHOWN).collect()]
-    said = [r.action for r in actions.limit(X.ACTIONS_SHOWN).collect()]
-    return Outcome(kept, 0 if row["verdict"] == "ACCEPT" else 1, {"verdict": row, "why": why, "blockers": stops, "actions": actions, "artifacts": left, "truncated": truncated, "text": render.gate_text(row, why, stops, cut_short, odd, said)})
+    return Outcome(kept, 0 if row["verdict"] == "ACCEPT" else 1, {"verdict": row, "why": why, "blockers": stops, "actions": actions, "artifacts": left, "truncated": truncated, "text": render.gate_text(row, why, stops, cut_short, odd)})

@@ -6,8 +6,9 @@ for people are small by construction (limits, top k) and are put together on the
 
 from __future__ import annotations
 
-import json
+import io
 from pathlib import Path
+from typing import IO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..operators.paths import scope
 
-SCHEMA_VERSION = 1
 EMPTY_LEDGER = "No deterministic risks found in the analyzed input. Review coverage, runtime behavior, configuration, and cross-module semantics manually."
 #: Headings and cell words of the ledger by language.
 WORDS = {
@@ -45,11 +45,10 @@ def ledger_rows(found: DataFrame, language: str = "en") -> DataFrame:
 
 
 def ledger(found: DataFrame, language: str = "en") -> str:
-    """The Markdown ledger."""
-    w = WORDS[language]
-    rows = [r.row for r in ledger_rows(found, language).toLocalIterator()]
-    body = "\n".join([w["head"], "|---|---|---|---|---|", *rows]) if rows else w["empty"]
-    return f"{w['title']}\n\n{body}\n"
+    """The Markdown ledger of a small result as a string; ``write_ledger`` has no such bound."""
+    out = io.StringIO()
+    write_ledger(out, found, language)
+    return out.getvalue()
 
 
 def entry_line(entries: DataFrame) -> DataFrame:
@@ -58,23 +57,33 @@ def entry_line(entries: DataFrame) -> DataFrame:
     return entries.select("*", F.concat("path", F.lit(":"), line, F.lit(": "), "confidence", F.lit(" "), "trigger", F.lit(" "), "evidence", F.lit(" "), "scope", F.lit(": "), "text").alias("out"))
 
 
-def document(kind: str, **parts) -> str:
-    """A report as one JSON document; DataFrames become arrays of objects."""
-    def plain(v):
-        return [json.loads(x) for x in v.toJSON().collect()] if isinstance(v, DataFrame) else v
-
-    return json.dumps({"schema_version": SCHEMA_VERSION, "kind": kind, **{k: plain(v) for k, v in parts.items()}}, ensure_ascii=False, indent=2)
-
-
-def gate_text(verdict: dict, why: list[str], blockers: list[str], truncated: list[str] = (), artifacts: list[str] = (), actions: list[str] = ()) -> str:
+def gate_text(verdict: dict, why: list[str], blockers: list[str], truncated: list[str] = (), artifacts: list[str] = ()) -> str:
+    """The gate's text up to the policy's actions, of which there may be any number: see write_gate_text."""
     out = [f"VERDICT: {verdict['verdict']}", "WHY:", *(f"- {x}" for x in why), "BLOCKERS:", *(f"- {x}" for x in blockers or ["none"]), f"SAFE_TO_AGENT_RUN: {'yes' if verdict['safe_to_agent_run'] else 'no'}", "", "COVERAGE:"]
     names = ("candidate_files", "dehydrated_files", "unsupported_files", "read_failed", "parse_failed", "serialization_failed", "record_truncated", "seed_bytes")
     out += [f"- {n}: {verdict[n]}" for n in names]
-    for head, items in (("TRUNCATED_RECORDS:", truncated), ("ARTIFACTS:", artifacts), ("POLICY:", actions)):
+    for head, items in (("TRUNCATED_RECORDS:", truncated), ("ARTIFACTS:", artifacts)):
         out += [head, *(f"- {x}" for x in items)] if items else []
     return "\n".join(out) + "\n"
 
 
+def write_gate_text(out: IO[str], gate) -> None:
+    """The text of a gate's outcome, every action of the policy in the order of the ledger, one at a time."""
+    out.write(gate.more["text"])
+    for i, r in enumerate(gate.more["actions"].toLocalIterator()):
+        out.write("POLICY:\n" * (i == 0) + f"- {r.action}\n")
+
+
+def write_ledger(out: IO[str], found: DataFrame, language: str = "en") -> None:
+    """The Markdown ledger, a row at a time."""
+    w, n = WORDS[language], 0
+    out.write(f"{w['title']}\n\n")
+    for n, r in enumerate(ledger_rows(found, language).toLocalIterator(), 1):
+        out.write((f"{w['head']}\n|---|---|---|---|---|\n" if n == 1 else "") + f"{r.row}\n")
+    if not n:
+        out.write(f"{w['empty']}\n")
+
+
 def save_report(text: str, folder: str, day: str, stem: str = "audit-result") -> Path:
     """``<stem>-<day>-NNN.md`` with the next free number of that day."""
     top = Path(folder)

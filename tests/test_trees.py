@@ -142,7 +142,44 @@ def test_surface_and_diff(spark, trees):
     d = audit.diff(spark, str(trees / "v1"), str(trees / "v2"))
     rows = d.rows.collect()
     assert d.status == 1 and any(r.evidence == "npm-postinstall" for r in rows) and not any(r.side == "removed" for r in rows)
-    assert json.loads(render.document("diff", entries=d.rows))["schema_version"] == 1
+
+
+def test_policies_of_thousands_of_rules(spark):
+    from tarnwork.operators import policy as J
+
+    sevs = ("high", "medium", "low")
+    found = [(f"pkg{i}/src/m{i % 7}.py", i, sevs[i % 3], f"rule-{i % 5}", "t", "e", i % 5) for i in range(60)]
+    r = J.Rule
+    allow = [r(path=f"pkg{i}/", rule="rule-1", reason="r") for i in range(0, 4000, 6)] + [r(path="m6.py")]
+    deny = [r(path=f"nowhere{i}") for i in range(3000)] + [r(rule="rule-2"), r(path="\\m3", reason="back")]
+    override = [r(path=f"pkg{i}/src", severity=sevs[i % 2]) for i in range(2000)] + [r(path="g9", severity="low"), r(path="py", rule="rule-4", severity="medium")]
+    df = spark.createDataFrame(found, "path string, line int, severity string, rule string, title string, evidence string, rule_seq int")
+    few = J.judged(df, J.Policy([r(path="a")]))
+    many = J.judged(df, J.Policy(allow, deny, override))
+    text = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert len(text(many)) < len(text(few)) + 5000
+    hits = lambda q, path, rule: (q.path is None or q.path.replace("\\", "/") in path) and (q.rule is None or q.rule == rule)
+    for x in many.collect():
+        before = sevs[x.line % 3]
+        now, first = before, next((q for q in allow if hits(q, x.path, x.rule)), None)
+        if any(hits(q, x.path, x.rule) for q in deny):
+            now = "high"
+        for q in override:
+            now = q.severity if hits(q, x.path, x.rule) else now
+        assert x.suppressed == (first is not None) and x.severity == (before if first else now) and (x.action is None) == (first is None and now == before), x
+
+
+def test_all_policy_actions_in_the_order_of_the_ledger(spark, trees):
+    import io
+
+    gate = audit.gate(spark, str(trees / "v2"), parse('[[allowlist]]\nrule = "download-execute"\n[[allowlist]]\npath = "bin/"\n[[severity_override]]\npath = "."\nseverity = "low"\n'))
+    out = io.StringIO()
+    render.write_gate_text(out, gate)
+    lines = out.getvalue().partition("POLICY:\n")[2].splitlines()
+    assert len(lines) == gate.more["actions"].count() > 2 and lines[-1].startswith("- suppressed artifact") and "VERDICT:" in out.getvalue()
+    out = io.StringIO()
+    render.write_ledger(out, gate.rows)
+    assert out.getvalue() == render.ledger(gate.rows)
 
 
 def test_gate(spark, trees):
