@@ -19,8 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Lines that are folded together.
-RANGE = 256
+RANGE = 64
 _TEXT, _CHAR = r'"(?:\\.|[^"\\])*"', r"'(?:\\.|[^'\\])*'"
 _BLOCK = ("/*", "*/")
 
@@ -40,7 +42,8 @@ class Lexis:
         q = re.escape
         closed = [f"{q(a)}.*?{q(b)}" for a, b in self.across]
         opened = [f"({'|'.join(q(a) for a, _ in self.across)}).*"] if self.across else ["(\\A\\z)"]
-        return "|".join([*closed, *opened, *(f"{q(x)}.*" for x in self.line), *self.strings])
+        marks = {x[0] for x in (*(a for a, _ in self.across), *self.line, *self.strings)}  # nothing else begins a token
+        return f"(?=[{''.join(map(q, sorted(marks)))}])(?:{'|'.join([*closed, *opened, *(f'{q(x)}.*' for x in self.line), *self.strings])})"
 
 
 _C = Lexis(("//",), (_BLOCK,))
@@ -105,10 +108,15 @@ def _entered(raw: Column, state: Column, closes: Column) -> Column:
     return F.when(state == 0, raw).otherwise(F.when(at > 0, after))
 
 
+def _with(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _step(raw: Column, state: Column, tokens: Column, opens: Column, closes: Column) -> Column:
     """(exit, depth): exit state and change of depth of a line that is entered in a state."""
     code = code_of(_entered(raw, state, closes), tokens)
-    return F.struct(F.when(code.isNull(), state).otherwise(_exit(code, opens)).alias("exit"), F.coalesce(_brackets(code), F.lit(0)).alias("depth"))
+    return _with(code, lambda c: F.struct(F.when(c.isNull(), state).otherwise(_exit(c, opens)).alias("exit"), F.coalesce(_brackets(c), F.lit(0)).alias("depth")))
 
 
 def composed(first: Column, then: Column) -> Column:
@@ -148,6 +156,7 @@ def lexed(lines: DataFrame, size: int = RANGE) -> DataFrame:
     ranges = ranges.agg(F.array_sort(F.collect_list(F.struct("line", "raw", "f"))).alias("lines"), F.first("opens").alias("opens"))
     same = F.transform(F.sequence(F.lit(0), F.size("opens")), lambda s: F.struct(s.alias("exit"), F.lit(0).alias("depth")))
     ranges = ranges.withColumn("all", F.aggregate(F.transform("lines", lambda x: x["f"]), same, composed)).drop("opens")
+    ranges = cut(ranges)  # read for the states between stretches, and within them
     # where each stretch begins
     start = F.struct(F.lit(0).alias("state"), F.lit(0).alias("depth"))
     files = ranges.groupBy("path", "lang").agg(F.array_sort(F.collect_list(F.struct("range", "all"))).alias("r"))
@@ -157,8 +166,11 @@ def lexed(lines: DataFrame, size: int = RANGE) -> DataFrame:
     out = ranges.select("path", "lang", F.explode(F.arrays_zip(F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["raw"].alias("raw"))).alias("x"), seen.alias("s"))).alias("e"))
     out = out.select("path", "lang", "e.x.line", "e.x.raw", "e.s.state", "e.s.depth")
     code = code_of(_entered(F.col("raw"), F.col("state"), closes), tokens)
-    left = F.coalesce(F.char_length(F.get(opens, _exit(F.col("code"), opens) - 1)), F.lit(0))  # the mark that the line leaves open
-    return out.withColumn("code", code).withColumn("code", F.substring("code", F.lit(1), F.char_length("code") - left))
+
+    def closed(c: Column) -> Column:  # without the mark that the line leaves open
+        return F.substring(c, F.lit(1), F.char_length(c) - F.coalesce(F.char_length(F.get(opens, _exit(c, opens) - 1)), F.lit(0)))
+
+    return out.withColumn("code", _with(code, closed))
 
 
 def statements(rows: DataFrame) -> DataFrame:
@@ -181,12 +193,15 @@ def statements(rows: DataFrame) -> DataFrame:
 
 
 #: A name, its parts joined by . :: -> ?. , over lines too.
-NAME = r"@?[A-Za-z_$][\w$]*(?:\s*(?:\.|::|->|\?\.)\s*[A-Za-z_$][\w$]*!?)*!?"
+NAME = r"(?<![\w$@])@?[A-Za-z_$][\w$]*+(?:\s*+(?:\.|::|->|\?\.)\s*+[A-Za-z_$][\w$]*+!?)*+!?"
 #: group 1: a word that makes it a definition, group 2: the name that is called.
-CALL = rf"(?:\b(fn|func|function|fun|def|class|new\s+class)\s+)?({NAME})\s*(?:::<[^()]*>)?\("
+CALL = rf"(?:\b(fn|func|function|fun|def|class|new\s+class)\s+)?({NAME})\s*+(?:::<[^()]*+>)?\("
 #: Words before a bracket that are no calls.
 NOT_CALLED = ("if", "for", "while", "switch", "catch", "return", "match", "fn", "func", "function", "fun", "def", "sizeof", "and", "or", "not", "in", "elif", "with", "except", "lambda")
 
+#: Words that open a group of declarations in Go.
+GROUPS = ("import", "const", "var", "type")
+
 
 def _feeds(text: Column) -> Column:
     return F.char_length(text) - F.char_length(F.translate(text, "\n", ""))
@@ -213,4 +228,5 @@ def calls(rows: DataFrame) -> DataFrame:
     places = F.sequence(F.lit(0), F.size("name") - 1)
     at = F.aggregate(places, F.struct(F.col("line").cast("int").alias("line"), F.array().cast("array<int>").alias("at")), step, lambda acc: acc["at"])
     each = found.where(F.size("name") > 0).select("path", "lang", F.explode(F.arrays_zip(at.alias("line"), F.col("kind"), F.col("name"), F.col("whole"))).alias("c"))
-    return each.where((F.coalesce("c.kind", F.lit("")) == "") & ~F.col("c.name").isin(*NOT_CALLED)).select("path", "lang", "c.line", F.col("c.name").alias("text"))
+    group = (F.col("lang") == "go") & F.col("c.name").isin(*GROUPS)
+    return each.where((F.coalesce("c.kind", F.lit("")) == "") & ~F.col("c.name").isin(*NOT_CALLED) & ~group).select("path", "lang", "c.line", F.col("c.name").alias("text"))

@@ -6,7 +6,7 @@ The two share only the fixed values (token lists, titles, templates).
 from __future__ import annotations
 
 from ..functions import fixed as X
-from ..operators.lexer import NOT_CALLED
+from ..operators.lexer import GROUPS, NOT_CALLED
 from ..sources.adapters import CODE, ENDINGS, TEMPLATES
 from .catalog import DETECTORS, LONG_LINE, SMALL
 
@@ -322,7 +322,7 @@ _CODE = (
 ).replace("{langs}", "[" + ", ".join(lit(c[0]) for c in CODE) + "]")
 ORACLE_SQL["lexed_calls"] = (
     f"{_CODE} SELECT 'src/f' || doc_id AS path, lang, CAST(9 * k + l AS INTEGER) AS line, CASE l WHEN 1 THEN w[8 * k + 1] || '.' || w[8 * k + 2] WHEN 7 THEN w[8 * k + 5] ELSE w[8 * k + 6] END AS text "
-    f"FROM s, (VALUES (1), (7), (9)) v(l) WHERE l = 1 OR w[8 * k + CASE l WHEN 7 THEN 5 ELSE 6 END] NOT IN ({', '.join(map(lit, NOT_CALLED))})"
+    f"FROM s, (VALUES (1), (7), (9)) v(l) WHERE l = 1 OR w[8 * k + CASE l WHEN 7 THEN 5 ELSE 6 END] NOT IN ({', '.join(map(lit, NOT_CALLED))}) AND NOT (lang = 'go' AND w[8 * k + CASE l WHEN 7 THEN 5 ELSE 6 END] IN ({', '.join(map(lit, GROUPS))}))"
 )
 ORACLE_SQL["lexed_states"] = f"{_CODE} SELECT lang, CASE WHEN l IN (6, 7) THEN 'inside' WHEN l IN (2, 3, 8) THEN 'bracket' ELSE 'code' END AS entered, count(*) AS n FROM s, range(1, 10) v(l) GROUP BY ALL"
 for _rule in META:
