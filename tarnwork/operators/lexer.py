@@ -195,7 +195,7 @@ def statements(rows: DataFrame) -> DataFrame:
 #: A name, its parts joined by . :: -> ?. , over lines too.
 NAME = r"(?<![\w$@])@?[A-Za-z_$][\w$]*+(?:\s*+(?:\.|::|->|\?\.)\s*+[A-Za-z_$][\w$]*+!?)*+!?"
 #: group 1: a word that makes it a definition, group 2: the name that is called.
-CALL = rf"(?:\b(fn|func|function|fun|def|class|new\s+class)\s+)?({NAME})\s*+(?:::<[^()]*+>)?\("
+CALL = rf"(?:\b(fn|func|function|fun|def|class|new\s+class)\s+)?({NAME})\s*+(?:::<[^()]*>)?\("
 #: Words before a bracket that are no calls.
 NOT_CALLED = ("if", "for", "while", "switch", "catch", "return", "match", "fn", "func", "function", "fun", "def", "sizeof", "and", "or", "not", "in", "elif", "with", "except", "lambda")
 
