@@ -105,16 +105,19 @@ def _capped(text: str) -> str:
     return text.strip().split("\n")[0].strip()[: X.LINE_CHARS]
 
 
-def pattern_evidence(rows: DataFrame) -> DataFrame:
-    """Imports, signatures and calls by whole lines of (path, lang, line, raw) rows."""
-    text, lang = F.col("text"), F.col("lang")
+def _pattern(i: int) -> Column:
+    """The row's language's import (0), signature (1) or call (2) pattern."""
+    known = [x for name, p in _PATTERNS.items() if p[i] for x in (F.lit(name), F.lit(f"^(?:{p[i]})"))]
+    return F.element_at(F.create_map(*known), F.col("lang"))
+
 
-    def pattern(i: int) -> Column:
-        known = [x for name, p in _PATTERNS.items() if p[i] for x in (F.lit(name), F.lit(f"^(?:{p[i]})"))]
-        return F.element_at(F.create_map(*known), lang)
+def _starts(c: Column, i: int) -> Column:
+    return F.coalesce(F.rlike(c, _pattern(i)), F.lit(False))
 
-    def starts(c: Column, i: int) -> Column:
-        return F.coalesce(F.rlike(c, pattern(i)), F.lit(False))
+
+def pattern_evidence(rows: DataFrame) -> DataFrame:
+    """Imports, signatures and calls by whole lines of (path, lang, line, raw) rows."""
+    text, lang, pattern, starts = F.col("text"), F.col("lang"), _pattern, _starts
 
     def out(kind: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.substring(strip(value), 1, X.LINE_CHARS).alias("text"))
@@ -134,7 +137,9 @@ def lexed_evidence(lines: DataFrame) -> DataFrame:
     """Evidence of (path, lang, line, raw) rows: comments and strings hold none, calls may lie on several lines."""
     seen = cut(lexed(lines))  # read by patterns and by statements
     code = seen.where((F.col("state") == 0) & (F.btrim("code") != ""))
-    named = calls(statements(seen.where(F.col("lang").isin(*CALLING))))
+    calling = seen.where(F.col("lang").isin(*CALLING))  # an import calls nothing
+    calling = calling.withColumn("code", F.when((F.col("state") == 0) & _starts(strip(F.col("raw")), 0), F.lit("")).otherwise(F.col("code")))
+    named = calls(statements(calling))
     first = F.substring(strip(F.substring_index("text", "\n", 1)), 1, X.LINE_CHARS)
     named = named.where((F.col("lang") == "zig") | ~F.startswith("text", F.lit("@"))).select("path", "lang", F.lit("call").alias("kind"), "line", first.alias("text"))
     return pattern_evidence(code).unionByName(named)
