@@ -27,7 +27,7 @@ from . import reports as V
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Sizes at which the test texts show both sides of a limit.
-SMALL, LONG_LINE, SEED_CAP = 4096, 800, 2048
+SMALL, LONG_LINE, SEED_CAP, PROMPT_CAP = 4096, 800, 2048, 65536
 
 
 def query(f: Query) -> Query:
@@ -427,10 +427,8 @@ def scan_report(spark, d):
 
 @query
 def planned_prompts(spark, d):
-    """Requests and bytes for batches of eight users' findings; users are numbered by what their paths begin with."""
-    batch = F.coalesce(F.regexp_extract("path", r"(\d+)", 1).try_cast("long"), F.lit(0)) % 8
-    e = _evidence(spark, d)
-    return V.planned_prompts(R.findings(e).withColumn("batch", batch), e.select(batch.alias("batch")).distinct())
+    """Requests and bytes of the prompts for batches of compacted records, the rules run over each batch."""
+    return V.planned_prompts(*V.batched_findings(_seeds(spark, d), PROMPT_CAP))
 
 
 @query

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..operators import query as Q
+from ..operators import rules as R
 from ..operators import seed as S
 from ..operators import surface as C
+from ..session import cut
 
 
 def coverage(files: DataFrame) -> DataFrame:
@@ -47,6 +49,22 @@ def diff_head(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.col("side") == "added").alias("added"), F.count_if(F.col("side") == "removed").alias("removed"))
 
 
+def batched_findings(seeds: DataFrame, cap: int = X.SEED_CAP) -> tuple[DataFrame, DataFrame]:
+    """(findings with ``batch``, batch numbers): the rules over each batch of compacted records on its own.
+
+    Records are batched by their bytes in the order of paths.  A batch is a tree to the rules: a manifest whose
+    lockfile is in another batch has none, and equal findings of two batches count twice.
+    """
+    sizes = seeds.select(F.lit(0).alias("tree"), "path", (F.octet_length("json") + 1).alias("bytes"))
+    numbers = cut(S.batches(sizes, "bytes", ["path"], ["tree"], cap).select("path", "batch"))
+    marked = seeds.join(numbers, "path").withColumn("path", F.concat(F.col("batch").cast("string"), F.lit("/"), "path"))
+    external = marked.select("path", F.explode("record.external").alias("text"))
+    found = R.findings(S.compact_evidence(marked), external, marked.select("path"), F.substring_index("path", "/", 1))
+    batch = F.substring_index("path", "/", 1)
+    own = F.substring("path", F.char_length(batch) + 2, F.char_length("path"))
+    return found.withColumns({"batch": batch.cast("long"), "path": own}), numbers.select("batch").distinct()
+
+
 def planned_prompts(found: DataFrame, batches: DataFrame, language: str = "en") -> DataFrame:
     """One row: requests and bytes of the prompts that the batches would send, one each.
 

