@@ -68,7 +68,7 @@ class Words(dict):
 class PieceEncoder:
     """Encodes batches of texts; remembers two generations of ``limit`` pieces."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 320_000):
         import regex
         from tokenizers import Tokenizer
 
