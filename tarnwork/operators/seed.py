@@ -19,35 +19,99 @@ def limit_ladder() -> list[dict[str, int]]:
     return steps
 
 
-def clipped(c: Column, n: int) -> Column:
-    return F.when(F.char_length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
+def clipped(c: Column, n: int | Column) -> Column:
+    return F.when(F.char_length(c) > n, F.concat(F.substring(c, F.lit(1), n if isinstance(n, Column) else F.lit(n)), F.lit("..."))).otherwise(c)
 
 
-def _compacted(limits: dict[str, int]) -> Column:
-    def strings(name: str) -> Column:
-        return F.transform(F.slice(name, 1, limits[name]), lambda s: clipped(s, limits["text"]))
+#: Characters that JSON escapes with one more byte, and those that become six.
+SHORT_ESCAPES = '"\\\b\f\n\r\t'
+LONG_ESCAPES = "".join(chr(i) for i in range(32) if chr(i) not in SHORT_ESCAPES)
+LISTS = ("signatures", "calls", "locations", "external")
 
-    places = F.transform(F.slice("locations", 1, limits["locations"]), lambda x: F.struct(x["kind"].alias("kind"), x["line"].alias("line"), clipped(x["text"], limits["text"]).alias("text")))
-    left = F.struct(*(F.greatest(F.size(n) - limits[n], F.lit(0)).alias(n) for n in ("signatures", "calls", "locations", "external")))
-    return F.struct("path", "lang", strings("signatures").alias("signatures"), strings("calls").alias("calls"), places.alias("locations"), strings("external").alias("external"), left.alias("omitted"))
+
+def json_bytes(c: Column) -> Column:
+    """Bytes of a string as JSON: its own, two quotes and what escapes add; a null in a list is four letters."""
+    def held(chars: str) -> Column:
+        return F.char_length(c) - F.char_length(F.translate(c, chars, ""))
+
+    return F.coalesce(F.octet_length(c) + 2 + held(SHORT_ESCAPES) + 5 * held(LONG_ESCAPES), F.lit(4))
+
+
+def _object_bytes(members: dict[str, Column]) -> Column:
+    """Bytes of a JSON object of (name, bytes of value); members whose bytes are null are left out."""
+    each = (F.coalesce(v + len(k) + 4, F.lit(0)) for k, v in members.items())  # quotes, colon, comma
+    return F.greatest(sum(each, F.lit(1)), F.lit(2))
+
+
+def _element_bytes(name: str, limit: int | None = None, text: int | None = None) -> Column:
+    """Bytes of each of a list's first elements as JSON, their texts clipped."""
+    def size(x: Column) -> Column:
+        return json_bytes(x if text is None else clipped(x, text))
+
+    def place(x: Column) -> Column:
+        present = {k: F.when(x[k].isNotNull(), v) for k, v in (("kind", json_bytes(x["kind"])), ("text", size(x["text"])))}
+        return _object_bytes(present | {"line": F.octet_length(x["line"].cast("string"))})
+
+    return F.transform(name if limit is None else F.slice(name, 1, limit), place if name == "locations" else size)
+
+
+def _list_bytes(sizes: Column, limit: Column | None = None) -> Column:
+    """Bytes of the JSON array of the first elements."""
+    some = sizes if limit is None else F.slice(sizes, 1, limit)
+    return F.aggregate(some, F.lit(2).cast("long"), lambda n, x: n + x + 1) - F.when(F.size(some) > 0, 1).otherwise(0)
+
+
+def _head_bytes() -> dict[str, Column]:
+    return {c: F.when(F.col(c).isNotNull(), json_bytes(F.col(c))) for c in ("path", "lang")}
 
 
 def compact(records: DataFrame, cap: int = X.SEED_CAP) -> DataFrame:
-    """(path, record, json, truncated, reason): the first rung whose JSON and line feed fit the cap.
+    """(path, record, json, truncated, reason, whole_bytes): the first rung whose JSON and line feed fit the cap.
 
-    ``coalesce`` evaluates rungs in order and stops at the first that fits, which is nearly always the
-    first one.
+    Lists must not be null.  Which rung fits is arithmetic: the JSON length of each element is computed once
+    for each text limit (the rungs have two), summed up to each limit of its list, and the sums are compared
+    with the cap; then the one record that fits is built and written.  ``whole_bytes`` is the length of the
+    record as it was, with imports.  Callers that read the result more than once write it first (``cut``).
     """
-    def rung(limits: dict[str, int], always: bool = False) -> Column:
-        record = _compacted(limits)
-        js = F.to_json(record)
-        out = F.struct(record.alias("record"), js.alias("json"), F.lit("minimal_record_after_size_cap" if always else "compact_record_limits").alias("reason"))
-        return out if always else F.when(F.octet_length(js) + 1 <= cap, out)
-
-    r = F.coalesce(*(rung(x) for x in limit_ladder()), rung(X.SEED_MINIMAL, always=True))
-    out = records.withColumn("r", r).select("path", "r.record", "r.json", "r.reason", F.to_json(F.struct("path", "lang", "imports", "signatures", "calls", "locations", "external")).alias("whole"))
-    lost = sum((F.col(f"record.omitted.{n}") for n in ("calls", "locations", "external")), F.col("record.omitted.signatures"))
-    return out.withColumn("truncated", (F.col("reason") == "minimal_record_after_size_cap") | (lost > 0))
+    rungs = limit_ladder()
+    texts = sorted({r["text"] for r in rungs}, reverse=True)  # the last limit to be halved
+    most = {t: {n: max(r[n] for r in rungs if r["text"] == t) for n in LISTS} for t in texts}
+    sized = records.withColumns({f"b_{n}_{t}": _element_bytes(n, k[n], t) for t, k in most.items() for n in LISTS})
+
+    def at_rungs(n: str) -> Column:
+        """Bytes of a list at each rung."""
+        each = [F.transform(F.array(*(F.lit(r[n]) for r in rungs if r["text"] == t)), lambda k: _list_bytes(F.col(f"b_{n}_{t}"), k)) for t in texts]  # each lambda runs as its column is made
+        return F.concat(*each)
+
+    summed = sized.withColumns({f"s_{n}": at_rungs(n) for n in LISTS})
+
+    def limit(n: str, i: Column) -> Column:
+        return F.get(F.array(*(F.lit(r[n]) for r in (*rungs, X.SEED_MINIMAL))), i)
+
+    def left(n: str, k: Column) -> Column:
+        return F.greatest(F.size(n) - k, F.lit(0))
+
+    def total(i: Column) -> Column:
+        omitted = _object_bytes({n: F.octet_length(left(n, limit(n, i)).cast("string")) for n in LISTS})
+        return _object_bytes(_head_bytes() | {n: F.get(F.col(f"s_{n}"), i) for n in LISTS} | {"omitted": omitted})
+
+    fits = F.filter(F.array(*(F.lit(i) for i in range(len(rungs)))), lambda i: total(i) + 1 <= cap)
+    chosen = summed.withColumn("rung", F.coalesce(F.array_min(fits), F.lit(len(rungs))))
+    chosen = chosen.withColumns({f"k_{n}": limit(n, F.col("rung")) for n in (*LISTS, "text")})
+
+    def strings(n: str) -> Column:
+        return F.transform(F.slice(n, 1, F.col(f"k_{n}")), lambda s: clipped(s, F.col("k_text"))).alias(n)
+
+    def place(x: Column) -> Column:
+        return F.struct(x["kind"].alias("kind"), x["line"].alias("line"), clipped(x["text"], F.col("k_text")).alias("text"))
+
+    places = F.transform(F.slice("locations", 1, F.col("k_locations")), place).alias("locations")
+    omitted = F.struct(*(left(n, F.col(f"k_{n}")).alias(n) for n in LISTS)).alias("omitted")
+    minimal = F.col("rung") == len(rungs)
+    lost = F.exists(F.array(*(F.size(n) > F.col(f"k_{n}") for n in LISTS)), lambda x: x)
+    whole = _object_bytes(_head_bytes() | {n: _list_bytes(_element_bytes(n)) for n in ("imports", *LISTS)})
+    out = chosen.select("path", F.struct("path", "lang", strings("signatures"), strings("calls"), places, strings("external"), omitted).alias("record"), F.when(minimal, "minimal_record_after_size_cap").otherwise("compact_record_limits").alias("reason"), (minimal | lost).alias("truncated"), whole.alias("whole_bytes"))
+    return out.withColumn("json", F.to_json("record"))
 
 
 def compact_evidence(seeds: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def gate(spark: SparkSession, root: str, policy: J.Policy | None = None, max_byt
     state = files.select("path", "status").join(seeds.select("path", "truncated", (F.octet_length("json") + 1).alias("seed_bytes")), "path", "left")
     row = G.verdict(kept, left, G.coverage(state.withColumn("truncated", F.coalesce("truncated", F.lit(False)))), policy.max_candidate_files).first().asDict()
     why = [r.why for r in G.why(kept, 3, "severity_before").collect()]
-    truncated = seeds.where("truncated").select("path", (F.octet_length("whole") + 1).alias("original_bytes"), (F.octet_length("json") + 1).alias("compacted_bytes"), "reason")
+    truncated = seeds.where("truncated").select("path", (F.col("whole_bytes") + 1).alias("original_bytes"), (F.octet_length("json") + 1).alias("compacted_bytes"), "reason")
     cut_short = [f"{r.path} original_bytes={r.original_bytes} compacted_bytes={r.compacted_bytes} reason={r.reason}" for r in truncated.orderBy("path").limit(X.SHOWN).collect()]
     if row["reasons"]:
         why = [f"Input coverage is incomplete: {r}" for r in row["reasons"][:3]]

@@ -19,6 +19,7 @@ from ..operators import query as Q
 from ..operators import rules as R
 from ..operators import seed as S
 from ..operators import surface as C
+from ..session import cut
 from ..sources import adapters as A
 from ..sources import checkout as K
 from ..sources import golden
@@ -359,12 +360,12 @@ def diff_wrapper_strip(spark, d):
 
 def _seeds(spark, d) -> DataFrame:
     e = _evidence(spark, d)
-    return S.compact(E.records(e.unionByName(E.external(e))), SEED_CAP)
+    return cut(S.compact(E.records(e.unionByName(E.external(e))), SEED_CAP))
 
 
 @query
 def seed_compact(spark, d):
-    return _seeds(spark, d).select("path", "reason", "truncated", F.octet_length("json").alias("bytes"), F.size("record.locations").alias("n_locations"))
+    return _seeds(spark, d).select("path", "reason", "truncated", F.octet_length("json").alias("bytes"), F.size("record.locations").alias("n_locations"), F.md5(F.encode("json", "UTF-8")).alias("json_md5"))
 
 
 @query

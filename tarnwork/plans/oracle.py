@@ -8,7 +8,7 @@ from __future__ import annotations
 from ..functions import fixed as X
 from ..operators.lexer import GROUPS, NOT_CALLED
 from ..sources.adapters import CODE, ENDINGS, TEMPLATES
-from .catalog import DETECTORS, LONG_LINE, SMALL
+from .catalog import DETECTORS, LONG_LINE, PROMPT_CAP, SEED_CAP, SMALL
 
 UP, LO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160)"
@@ -329,3 +329,51 @@ for _rule in META:
     ORACLE_SQL[f"rule_{_rule.replace('-', '_')}"] = f"{FOUND} SELECT severity, path, line, title, evidence FROM found WHERE rule = '{_rule}'"
 for _ev in DETECTORS:
     ORACLE_SQL[f"surface_{_ev.replace('-', '_')}"] = f"{SURFACE} SELECT capability, trigger, confidence, path, line, scope, text FROM surf WHERE evidence = '{_ev}'"
+
+# ---- compacted records: every rung's JSON is written and measured here ---------------------------------
+_START, _LEAST = ([str(r[k]) for k in ("signatures", "calls", "locations", "external", "text")] for r in (X.SEED_START, X.SEED_MINIMAL))
+_CLIP = "list_transform(list_slice({0}, 1, {1}), lambda s: CASE WHEN length(s) > tx THEN substr(s, 1, tx) || '...' ELSE s END)"
+_PLACES = "list_transform(list_slice(l_lo, 1, lo), lambda p: {'kind': p.kind, 'line': p.line, 'text': CASE WHEN length(p.text) > tx THEN substr(p.text, 1, tx) || '...' ELSE p.text END})"
+_OMITTED = "{" + ", ".join(f"'{n}': greatest(len(l_{c}) - {c}, 0)" for n, c in (("signatures", "sg"), ("calls", "ca"), ("locations", "lo"), ("external", "ex"))) + "}"
+_KIND = "coalesce(list_sort(list(DISTINCT text) FILTER (WHERE kind = '{0}')), [])"
+SEEDS = (
+    f"WITH RECURSIVE ladder(i, sg, ca, lo, ex, tx) AS (SELECT 0, {', '.join(_START)} UNION ALL SELECT i + 1, CASE WHEN lo <= 20 AND ca <= 20 AND sg > 8 THEN sg // 2 ELSE sg END, CASE WHEN lo <= 20 AND ca > 20 THEN ca // 2 ELSE ca END, CASE WHEN lo > 20 THEN lo // 2 ELSE lo END, "
+    "CASE WHEN lo <= 20 AND ca <= 20 AND sg <= 8 AND ex > 8 THEN ex // 2 ELSE ex END, CASE WHEN lo <= 20 AND ca <= 20 AND sg <= 8 AND ex <= 8 THEN tx // 2 ELSE tx END FROM ladder WHERE lo > 20 OR ca > 20 OR sg > 8 OR ex > 8 OR tx > 60), "
+    f"rungs AS (SELECT * FROM ladder UNION ALL SELECT 99, {', '.join(_LEAST)}), {EV.replace(', ev AS (', ', all_ev AS (')}, all_ext AS ({EXT.replace('FROM ev', 'FROM all_ev')}), "
+    "both_ev AS (SELECT path, lang, kind, line, text FROM all_ev UNION ALL SELECT path, lang, kind, line, text FROM all_ext), "
+    f"rec AS (SELECT path, lang, {_KIND.format('signature')} AS l_sg, {_KIND.format('call')} AS l_ca, coalesce(list_sort(list({{'line': line, 'kind': kind, 'text': text}}) FILTER (WHERE kind <> 'external')), []) AS l_lo, {_KIND.format('external')} AS l_ex FROM both_ev GROUP BY path, lang), "
+    f"tried AS (SELECT path, lang, i, {{'path': path, 'lang': lang, 'signatures': {_CLIP.format('l_sg', 'sg')}, 'calls': {_CLIP.format('l_ca', 'ca')}, 'locations': {_PLACES}, 'external': {_CLIP.format('l_ex', 'ex')}, 'omitted': {_OMITTED}}} AS j FROM rec, rungs), "
+    f"seeds AS (SELECT path, lang, min(i) AS i, arg_min(j, i) AS j FROM tried WHERE i = 99 OR strlen(CAST(to_json(j) AS VARCHAR)) + 1 <= {SEED_CAP} GROUP BY path, lang)"
+)
+ORACLE_SQL["seed_compact"] = (
+    f"{SEEDS} SELECT path, CASE i WHEN 99 THEN 'minimal_record_after_size_cap' ELSE 'compact_record_limits' END AS reason, i = 99 OR j.omitted.signatures + j.omitted.calls + j.omitted.locations + j.omitted.external > 0 AS truncated, "
+    "CAST(strlen(CAST(to_json(j) AS VARCHAR)) AS INTEGER) AS bytes, CAST(len(j.locations) AS INTEGER) AS n_locations, md5(CAST(to_json(j) AS VARCHAR)) AS json_md5 FROM seeds"
+)
+
+
+def _seen(seeds: str, path: str) -> str:
+    """Evidence of compacted records."""
+    return f"SELECT {path} AS path, lang, p.kind AS kind, p.line AS line, p.text AS text FROM (SELECT *, unnest(j.locations) AS p FROM {seeds}) UNION ALL SELECT {path} AS path, lang, 'call' AS kind, CAST(NULL AS INTEGER) AS line, unnest(j.calls) AS text FROM {seeds} WHERE len(j.locations) = 0"
+
+
+def _judged_seeds(missing: str, ext: str = "") -> str:
+    rules = " UNION ALL ".join(_line_rule(r, w) for r, w in LINE_RULES.items()).replace(FLOW, "contains('/' || path, '/.github/workflows/')")
+    return (
+        f"x AS (SELECT *, {low('text')} AS low, {low('path')} AS lp, bool_or({has(low('text'), X.SECRETS)}) OVER (PARTITION BY path) AS file_secret FROM ev), raw AS ({rules} UNION ALL {missing} UNION ALL {ROOT}{ext}), "
+        f"found AS (SELECT path, line, rule, evidence, any_value(title) AS title, any_value(CASE WHEN {scope_sql('path')} IN ('test', 'fixture') THEN 'low' ELSE base END) AS severity FROM raw GROUP BY path, line, rule, evidence)"
+    )
+
+
+ORACLE_SQL["seed_findings"] = f"{SEEDS}, ev AS ({_seen('seeds', 'path')}), {_judged_seeds(_missing('x'))} SELECT {COLS} FROM found"
+_TREE = "split_part(path, '/', 1)"
+_FIELDS = " || ',' || chr(10) || ".join(f"""'    "{c}": ' || coalesce(CAST(to_json({"substr(path, strpos(path, '/') + 1)" if c == "path" else c}) AS VARCHAR), 'null')""" for c in COLS.split(", "))
+ORACLE_SQL["planned_prompts"] = (
+    f"{SEEDS}, sized AS (SELECT *, strlen(CAST(to_json(j) AS VARCHAR)) + 1 AS bytes, row_number() OVER (ORDER BY path) AS n FROM seeds), "
+    "dealt AS (SELECT n, path, lang, j, CAST(0 AS BIGINT) AS batch, CAST(bytes AS BIGINT) AS filled FROM sized WHERE n = 1 "
+    f"UNION ALL SELECT s.n, s.path, s.lang, s.j, CASE WHEN filled > 0 AND filled + bytes > {PROMPT_CAP} THEN batch + 1 ELSE batch END, CASE WHEN filled > 0 AND filled + bytes > {PROMPT_CAP} THEN bytes ELSE filled + bytes END FROM dealt d JOIN sized s ON s.n = d.n + 1), "
+    "marked AS (SELECT batch || '/' || path AS path, lang, j, batch FROM dealt), "
+    f"ev AS ({_seen('marked', 'path')}), ext AS (SELECT path, unnest(j.external) AS text FROM marked), "
+    f"{_judged_seeds(f'SELECT path, line, rule, base, title, evidence, seq FROM ({_missing("x", _TREE)})', ' UNION ALL ' + EXT_FOUND)}, "
+    f"said AS (SELECT {_TREE} AS batch, strlen('[' || chr(10) || string_agg('  {{' || chr(10) || {_FIELDS} || chr(10) || '  }}', ',' || chr(10)) || chr(10) || ']') AS bytes FROM found GROUP BY 1) "
+    f"SELECT count(*) AS planned_requests, CAST(coalesce(sum(coalesce(bytes, 2) + {X.PROMPT_BYTES['en']}), 0) AS BIGINT) AS planned_prompt_bytes FROM (SELECT DISTINCT CAST(batch AS VARCHAR) AS batch FROM marked) LEFT JOIN said USING (batch)"
+)
