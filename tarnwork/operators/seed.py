@@ -71,7 +71,8 @@ def compact(records: DataFrame, cap: int = X.SEED_CAP) -> DataFrame:
     Lists must not be null.  Which rung fits is arithmetic: the JSON length of each element is computed once
     for each text limit (the rungs have two), summed up to each limit of its list, and the sums are compared
     with the cap; then the one record that fits is built and written.  ``whole_bytes`` is the length of the
-    record as it was, with imports.  Callers that read the result more than once write it first (``cut``).
+    record as it was, with imports.  The result is written, as findings, batches
+    and reports all read it.
     """
     rungs = limit_ladder()
     texts = sorted({r["text"] for r in rungs}, reverse=True)  # the last limit to be halved
@@ -80,7 +81,7 @@ def compact(records: DataFrame, cap: int = X.SEED_CAP) -> DataFrame:
 
     def at_rungs(n: str) -> Column:
         """Bytes of a list at each rung."""
-        each = [F.transform(F.array(*(F.lit(r[n]) for r in rungs if r["text"] == t)), lambda k: _list_bytes(F.col(f"b_{n}_{t}"), k)) for t in texts]  # each lambda runs as its column is made
+        each = [F.transform(F.array(*(F.lit(r[n]) for r in rungs if r["text"] == t)), lambda k: _list_bytes(F.col(f"b_{n}_{t}"), k)) for t in texts]
         return F.concat(*each)
 
     summed = sized.withColumns({f"s_{n}": at_rungs(n) for n in LISTS})
@@ -111,7 +112,7 @@ def compact(records: DataFrame, cap: int = X.SEED_CAP) -> DataFrame:
     lost = F.exists(F.array(*(F.size(n) > F.col(f"k_{n}") for n in LISTS)), lambda x: x)
     whole = _object_bytes(_head_bytes() | {n: _list_bytes(_element_bytes(n)) for n in ("imports", *LISTS)})
     out = chosen.select("path", F.struct("path", "lang", strings("signatures"), strings("calls"), places, strings("external"), omitted).alias("record"), F.when(minimal, "minimal_record_after_size_cap").otherwise("compact_record_limits").alias("reason"), (minimal | lost).alias("truncated"), whole.alias("whole_bytes"))
-    return out.withColumn("json", F.to_json("record"))
+    return cut(out.withColumn("json", F.to_json("record")))
 
 
 def compact_evidence(seeds: DataFrame) -> DataFrame:
