@@ -7,6 +7,7 @@ for people are small by construction (limits, top k) and are put together on the
 from __future__ import annotations
 
 import io
+import uuid
 from pathlib import Path
 from typing import IO
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..operators.paths import scope
+from ..sources.report_file import STEM, claim, save_rows, utc_day
 
 EMPTY_LEDGER = "No deterministic risks found in the analyzed input. Review coverage, runtime behavior, configuration, and cross-module semantics manually."
 #: Headings and cell words of the ledger by language.
@@ -84,11 +86,20 @@ def write_ledger(out: IO[str], found: DataFrame, language: str = "en") -> None:
         out.write(f"{w['empty']}\n")
 
 
-def save_report(text: str, folder: str, day: str, stem: str = "audit-result") -> Path:
-    """``<stem>-<day>-NNN.md`` with the next free number of that day."""
+def save_ledger(found: DataFrame, folder: str, day: str | None = None, language: str = "en", stem: str = STEM) -> None:
+    """The Markdown ledger as the day's next report, its rows written by the executors."""
+    w = WORDS[language]
+    table = ledger_rows(found, language)
+    head = f"{w['title']}\n\n"
+    if table.limit(1).count():
+        head += f"{w['head']}\n|---|---|---|---|---|\n"
+    save_rows(table, folder, day=day or utc_day(), stem=stem, head=head, none=f"{w['empty']}\n")
+
+
+def save_report(text: str, folder: str, day: str | None = None, stem: str = STEM) -> Path:
+    """``<stem>-<day>-NNN.md`` with the next free number of that day (default: today in UTC)."""
     top = Path(folder)
     top.mkdir(parents=True, exist_ok=True)
-    taken = [int(n) for p in top.glob(f"{stem}-{day}-*.md") if (n := p.stem.rpartition("-")[2]).isdigit()]
-    path = top / f"{stem}-{day}-{max(taken, default=0) + 1:03d}.md"
-    path.write_text(text, encoding="utf-8")
-    return path
+    done = top / f".{stem}-{uuid.uuid4().hex}"
+    done.write_text(text, encoding="utf-8")
+    return claim(done, top, day or utc_day(), stem)
