@@ -367,6 +367,13 @@ def seed_compact(spark, d):
     return _seeds(spark, d).select("path", "reason", "truncated", F.octet_length("json").alias("bytes"), F.size("record.locations").alias("n_locations"), F.md5(F.encode("json", "UTF-8")).alias("json_md5"))
 
 
+@query
+def seed_rungs(spark, d):
+    """Compaction of records of many files: by language and line, most of them beyond the cap."""
+    e = _evidence(spark, d).withColumn("path", F.concat("lang", F.lit("/"), (F.col("line") % 20).cast("string")))
+    return S.compact(E.records(e), SEED_CAP).select("path", "reason", "truncated", "record.omitted.*", F.md5(F.encode("json", "UTF-8")).alias("json_md5"))
+
+
 @query
 def seed_findings(spark, d):
     return R.findings(S.compact_evidence(_seeds(spark, d))).select(*R.COLUMNS)

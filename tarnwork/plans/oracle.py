@@ -350,6 +350,12 @@ ORACLE_SQL["seed_compact"] = (
     "CAST(strlen(CAST(to_json(j) AS VARCHAR)) AS INTEGER) AS bytes, CAST(len(j.locations) AS INTEGER) AS n_locations, md5(CAST(to_json(j) AS VARCHAR)) AS json_md5 FROM seeds"
 )
 
+ORACLE_SQL["seed_rungs"] = (
+    SEEDS.replace("both_ev AS (SELECT path, lang, kind, line, text FROM all_ev UNION ALL SELECT path, lang, kind, line, text FROM all_ext)", "both_ev AS (SELECT lang || '/' || line % 20 AS path, lang, kind, line, text FROM all_ev)")
+    + " SELECT path, CASE i WHEN 99 THEN 'minimal_record_after_size_cap' ELSE 'compact_record_limits' END AS reason, i = 99 OR j.omitted.signatures + j.omitted.calls + j.omitted.locations + j.omitted.external > 0 AS truncated, "
+    "CAST(j.omitted.signatures AS INTEGER) AS signatures, CAST(j.omitted.calls AS INTEGER) AS calls, CAST(j.omitted.locations AS INTEGER) AS locations, CAST(j.omitted.external AS INTEGER) AS external, md5(CAST(to_json(j) AS VARCHAR)) AS json_md5 FROM seeds"
+)
+
 
 def _seen(seeds: str, path: str) -> str:
     """Evidence of compacted records."""
