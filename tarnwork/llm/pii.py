@@ -45,8 +45,8 @@ PATTERNS = (
 #: What a text must hold for a pattern to be looked for.
 NEEDS = ("@", "[0-9]", "[0-9]", r"\+", "[:=] ?[\"']", "[0-9@_]")
 CORE = r"[A-Za-z0-9+](?:.*[A-Za-z0-9])?"
-#: Code points on either side of an occurrence in which its words of context lie.
-CONTEXT = 60
+#: The two last words of a reversed gap and the first word of one, whatever their length.
+TWO_LAST, FIRST = r"^\s*+\S++(?:\s++\S++)?", r"^\s*+\S++"
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.7
 MIN_LENGTH, MIN_DIGITS = 6, 4
@@ -57,13 +57,13 @@ MATCHES = "array<struct<ord:int,i:int,gap:int,match:string,before:string,after:s
 
 
 def matches(text: Column, order: int) -> Column:
-    """All matches of a pattern, with the length of the gap before each and the text on both sides."""
+    """All matches of a pattern, with the length of the gap before each and the words on both sides."""
     pattern = PATTERNS[order]
     gaps = F.split(text, pattern, -1)
     both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("g"), F.slice(gaps, 2, F.size(gaps)).alias("h"))
     one = F.transform(
         both,
-        lambda z, i: F.struct(F.lit(order).alias("ord"), i.alias("i"), F.char_length(z["g"]).alias("gap"), z["m"].alias("match"), F.right(z["g"], F.lit(CONTEXT)).alias("before"), F.left(z["h"], F.lit(CONTEXT)).alias("after")),
+        lambda z, i: F.struct(F.lit(order).alias("ord"), i.alias("i"), F.char_length(z["g"]).alias("gap"), z["m"].alias("match"), F.reverse(F.regexp_extract(F.reverse(z["g"]), TWO_LAST, 0)).alias("before"), F.regexp_extract(z["h"], FIRST, 0).alias("after")),
     )
     return F.when(text.rlike(NEEDS[order]), F.filter(one, lambda z: z["match"].isNotNull())).otherwise(F.array().cast(MATCHES)).cast(MATCHES)
 
@@ -137,7 +137,7 @@ def _occurrences(placed: DataFrame) -> DataFrame:
     core = F.when(own, F.regexp_extract("match", CORE, 0)).otherwise(F.col("match"))
     o = o.withColumn("core", core).where("core <> ''")
     begin = F.when(own, F.col("start") + F.instr("match", F.col("core")) - 1).otherwise(F.col("start")).cast("int")
-    one, two, behind = _word(F.col("before"), r"(\S+)\s*$", 1), _word(F.col("before"), r"(\S+)\s+\S+\s*$", 1), _word(F.col("after"), r"^\s*(\S+)", 1)
+    one, two, behind = _word(F.col("before"), r"(?<!\S)(\S++)\s*+$", 1), _word(F.col("before"), r"(?<!\S)(\S++)\s++\S++\s*+$", 1), _word(F.col("after"), r"^\s*+(\S++)", 1)
     o = o.withColumns({"start": begin, "end": begin + F.char_length("core"), "l1": one, "l2": two, "r1": behind, "form": shape(F.col("core"))})
     patterns = F.array(F.concat(F.lit("l "), "l1"), F.concat(F.lit("ll "), "l2", F.lit(" "), "l1"), F.concat(F.lit("r "), "r1"), F.concat(F.lit("lr "), "l1", F.lit(" "), "r1"), F.concat(F.lit("s "), "form"))
     return o.select("rid", "start", "end", F.when(~own, F.col("ord")).alias("ord"), (own & F.col("bad")).alias("bad"), F.lower("core").alias("instance"), F.array_distinct(F.array_compact(patterns)).alias("patterns"))

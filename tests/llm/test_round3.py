@@ -243,3 +243,18 @@ def test_queries_match_sql(spark, name):
     from tarnwork.llm.queries import ORACLE_SQL, QUERIES
 
     assert same(QUERIES[name](spark, SF), ORACLE_SQL[name]) > 0
+
+
+def test_context_words_of_any_length(spark):
+    """Words of context are whole: a word of 100 letters counts as it is, and blanks between words do not push one out of sight."""
+    from pyspark.sql import functions as F
+
+    from tarnwork.llm.pii import CANDIDATE, _checked, _occurrences, _placed, matches
+
+    stem, gap = "k" * 100, " " * 90
+    text = f"left{stem}a{gap}right{stem}b{gap}ref4711882{gap}behind{stem}c tail"
+    rows = spark.createDataFrame([(1, text), (2, "w" * 300_000 + " " * 300_000 + "ref4711882")], "rid long, text string")
+    seen = _occurrences(_checked(_placed(rows.select("rid", matches(F.col("text"), CANDIDATE).alias("matches")))))
+    got = {r.rid: set(r.patterns) for r in seen.collect()}
+    assert {f"l right{stem}b", f"ll left{stem}a right{stem}b", f"r behind{stem}c"} <= got[1]
+    assert "l " + "w" * 300_000 in got[2]
