@@ -86,10 +86,11 @@ def seed_records(files: DataFrame, evidence: DataFrame, cap: int = X.SEED_CAP) -
     return S.compact(whole, cap)
 
 
-def eval_corpus(spark: SparkSession, files: DataFrame, cases=X.EVAL_CASES, max_bytes: int = X.MAX_BYTES) -> DataFrame:
-    """Expected and found outcome of each case; a case is the first folder of ``files``.
+def eval_corpus(spark: SparkSession, files: DataFrame, cases=X.EVAL_CASES, max_bytes: int = X.MAX_BYTES, trees: DataFrame | None = None) -> DataFrame:
+    """Expected and found outcome of each tree; a tree is the first folder of ``files``.
 
-    All trees are judged in one run: rules see whole paths, so the name of a case must not name a scope.
+    ``trees``: (fixture, case), any number of trees a case; without it each case is a tree of its own name.
+    All trees are judged in one run: rules see whole paths, so the name of a tree must not name a scope.
     """
     tree = F.substring_index("path", "/", 1)
     files, evidence = prepared(files, max_bytes)
@@ -100,8 +101,9 @@ def eval_corpus(spark: SparkSession, files: DataFrame, cases=X.EVAL_CASES, max_b
     odd = C.artifacts(files, max_bytes).groupBy(tree.alias("fixture")).agg(F.count("*").alias("n_artifacts"))
     read = files.groupBy(tree.alias("fixture")).agg(F.count_if(F.col("status") == "dehydrated").alias("n_read"))
     size = seeds.groupBy(tree.alias("fixture")).agg(F.sum(F.octet_length("json") + 1).cast("long").alias("seed_bytes"))
-    want = spark.createDataFrame([(n, v, list(r)) for n, v, r in cases], "fixture string, expected_verdict string, expected_rules array<string>")
-    out = F.broadcast(want)  # the cases of a fixed list
+    want = spark.createDataFrame([(n, v, list(r)) for n, v, r in cases], "case string, expected_verdict string, expected_rules array<string>")
+    # the cases are a fixed list
+    out = F.broadcast(want.withColumnRenamed("case", "fixture")) if trees is None else trees.join(F.broadcast(want), "case").drop("case")
     for part in (rules, odd, read, size):
         out = out.join(part, "fixture", "left")
     n_artifacts, n_read = F.coalesce("n_artifacts", F.lit(0)), F.coalesce("n_read", F.lit(0))

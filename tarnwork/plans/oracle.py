@@ -307,7 +307,7 @@ ORACLE_SQL: dict[str, str] = {
     "f AS (SELECT tree, conv_id, turn, bytes, n, CAST(0 AS BIGINT) AS batch, bytes AS filled FROM r WHERE n = 1 UNION ALL SELECT r.tree, r.conv_id, r.turn, r.bytes, r.n, CASE WHEN f.filled > 0 AND f.filled + r.bytes > 4096 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.filled > 0 AND f.filled + r.bytes > 4096 THEN r.bytes ELSE f.filled + r.bytes END FROM f JOIN r ON r.tree = f.tree AND r.n = f.n + 1) SELECT tree, conv_id, turn, bytes, batch FROM f",
     "py_ast_extract": "WITH t AS (SELECT DISTINCT user_id, event_type AS x FROM events), k AS (SELECT user_id, x, CAST(3 * (row_number() OVER (PARTITION BY user_id ORDER BY x) - 1) AS INTEGER) AS b FROM t) "
     "SELECT 'm' || user_id || '.py' AS path, 'python' AS lang, kind, b + d AS line, a || x || z AS text FROM k, (VALUES ('import', 1, 'import ', ''), ('signature', 2, 'def on_', '(v):'), ('call', 3, '', '.handle')) v(kind, d, a, z)",
-    "eval_corpus": "SELECT * FROM (VALUES " + ", ".join(f"({lit(n)}, {lit(v)}, '', TRUE)" for n, v, _ in X.EVAL_CASES) + ') t(fixture, actual_verdict, missed, "pass")',
+    "eval_corpus": f"SELECT 'c' || conv_id AS fixture, ([{', '.join(lit(v) for _, v, _ in X.EVAL_CASES)}])[conv_id % {len(X.EVAL_CASES)} + 1] AS actual_verdict, '' AS missed, TRUE AS \"pass\" FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)",
     "query_report": f"WITH {EV}, {_matched({'a': rx('call', 'curl|wget')})} SELECT count(DISTINCT path) AS matched_files, count(*) AS matched_evidence, least(count(*), 100) AS shown_evidence, count(*) > 100 AS truncated FROM m",
     "surface_report": f"{SURFACE}, ch AS (SELECT * FROM surf WHERE scope IN ('production', 'ci')), cc AS (SELECT capability || '=' || count(*) AS s FROM ch GROUP BY capability), hh AS (SELECT scope || '=' || count(*) AS s FROM surf WHERE scope NOT IN ('production', 'ci') GROUP BY scope) SELECT (SELECT count(*) FROM ch) AS entries_total, least((SELECT count(*) FROM ch), 50) AS entries_shown, (SELECT count(*) FROM ch) > 50 AS truncated, (SELECT string_agg(s, ' ' ORDER BY s) FROM cc) AS counts, (SELECT string_agg(s, ' ' ORDER BY s) FROM hh) AS hidden_by_scope",
     "diff_report": f"{DIFF} SELECT count(*) FILTER (WHERE side = 'added') AS added, count(*) FILTER (WHERE side = 'removed') AS removed FROM d",

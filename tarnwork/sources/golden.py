@@ -41,7 +41,12 @@ FILES = (
 )
 
 
-def files(spark: SparkSession) -> DataFrame:
-    """(path, length, mode, content, read_failed), the case being the first folder."""
-    rows = spark.createDataFrame([(f"{c}/{p}", 0o755 if x else 0o644, t) for c, p, x, t in FILES], "path string, mode int, content string")
-    return rows.select("path", F.octet_length("content").cast("long").alias("length"), "mode", F.col("content").cast("binary").alias("content"), F.lit(False).alias("read_failed"))
+def files(spark: SparkSession, trees: DataFrame | None = None) -> DataFrame:
+    """(path, length, mode, content, read_failed), the tree being the first folder.
+
+    ``trees``: (fixture, case), a tree of that case each; without it one tree a case, under the case's name.
+    """
+    rows = spark.createDataFrame([(c, p, 0o755 if x else 0o644, t) for c, p, x, t in FILES], "case string, path string, mode int, content string")
+    rows = rows.withColumn("fixture", F.col("case")) if trees is None else trees.join(F.broadcast(rows), "case")  # the fixed files of a case
+    path = F.concat("fixture", F.lit("/"), "path")
+    return rows.select(path.alias("path"), F.octet_length("content").cast("long").alias("length"), "mode", F.col("content").cast("binary").alias("content"), F.lit(False).alias("read_failed"))
