@@ -105,27 +105,51 @@ def external_findings(external: DataFrame) -> DataFrame:
     return external.select("path", F.lit(None).cast("int").alias("line"), F.lit(severity).alias("severity"), F.lit("external-blackbox").alias("rule"), F.lit(title).alias("title"), text.alias("evidence"), F.lit(seq).alias("rule_seq"))
 
 
-def missing_lockfiles(paths: DataFrame, tree: str | None = None) -> DataFrame:
-    """Ecosystems with a manifest but no lockfile, over all paths (of each ``tree`` value, if named)."""
+def lockfile_facts(paths: DataFrame, *keys: str) -> DataFrame:
+    """Of each ``keys`` value: the first manifest of every ecosystem, and whether it has a lockfile.  Also on a stream."""
     low = ascii_lower(normal_path(F.col("path")))
-    keys = [tree] if tree else []
     exprs = []
     for i, (manifests, locks, _) in enumerate(X.ECOSYSTEMS):
         firsts = [F.min(F.when(is_file(low, [m]), low)) for m in manifests]
         exprs += [F.coalesce(*firsts, F.lit(None).cast("string")).alias(f"manifest{i}"), F.coalesce(F.bool_or(is_file(low, locks)), F.lit(False)).alias(f"lock{i}")]
-    facts = paths.where(is_manifest(F.col("path"))).groupBy(*keys).agg(*exprs)
+    return paths.where(is_manifest(F.col("path"))).groupBy(*keys).agg(*exprs)
+
+
+def lockless(facts: DataFrame, *keys: str) -> DataFrame:
+    """Findings of the manifests without lockfile."""
     severity, title, seq = _META["manifest-missing-lockfile"]
     found = F.array_compact(F.array(*(F.when(F.col(f"manifest{i}").isNotNull() & ~F.col(f"lock{i}"), F.struct(F.col(f"manifest{i}").alias("path"), F.lit(e).alias("evidence"))) for i, (_, _, e) in enumerate(X.ECOSYSTEMS))))
     rows = facts.select(*keys, F.inline(found))
     return rows.select(*keys, "path", F.lit(None).cast("int").alias("line"), F.lit(severity).alias("severity"), F.lit("manifest-missing-lockfile").alias("rule"), F.lit(title).alias("title"), "evidence", F.lit(seq).alias("rule_seq"))
 
 
-def default_root(e: DataFrame) -> DataFrame:
-    """Container files in which no line sets a user and none starts from scratch."""
+def missing_lockfiles(paths: DataFrame, tree: str | None = None) -> DataFrame:
+    """Ecosystems with a manifest but no lockfile, over all paths (of each ``tree`` value, if named)."""
+    keys = [tree] if tree else []
+    return lockless(lockfile_facts(paths, *keys), *keys)
+
+
+def container_facts(e: DataFrame, *keys: str) -> DataFrame:
+    """Of each container file: ``set``, whether some line sets a user or starts from scratch.  Also on a stream."""
     low = lstrip(ascii_lower(F.col("text")))
-    files = e.where(is_container_file(F.col("path"))).groupBy("path").agg(F.bool_or(F.coalesce(F.startswith(low, F.lit("user ")) | F.startswith(low, F.lit("from scratch")), F.lit(False))).alias("set"))
+    return e.where(is_container_file(F.col("path"))).groupBy(*keys, "path").agg(F.bool_or(F.coalesce(F.startswith(low, F.lit("user ")) | F.startswith(low, F.lit("from scratch")), F.lit(False))).alias("set"))
+
+
+def rootful(facts: DataFrame, *keys: str) -> DataFrame:
+    """Findings of the container files that set no user."""
     severity, title, seq = _META["docker-default-root"]
-    return files.where(~F.col("set")).select("path", F.lit(None).cast("int").alias("line"), F.lit(severity).alias("severity"), F.lit("docker-default-root").alias("rule"), F.lit(title).alias("title"), F.lit("no USER directive").alias("evidence"), F.lit(seq).alias("rule_seq"))
+    return facts.where(~F.col("set")).select(*keys, "path", F.lit(None).cast("int").alias("line"), F.lit(severity).alias("severity"), F.lit("docker-default-root").alias("rule"), F.lit(title).alias("title"), F.lit("no USER directive").alias("evidence"), F.lit(seq).alias("rule_seq"))
+
+
+def default_root(e: DataFrame) -> DataFrame:
+    """Container files in which no line sets a user and none starts from scratch."""
+    return rootful(container_facts(e))
+
+
+def ledger(rows: DataFrame) -> DataFrame:
+    """Findings capped by scope and distinct in (path, line, rule, evidence)."""
+    out = rows.withColumn("severity", capped(F.col("severity"), F.col("path")))
+    return out.groupBy("path", "line", "rule", "evidence").agg(F.first("severity").alias("severity"), F.first("title").alias("title"), F.min("rule_seq").alias("rule_seq")).select(*COLUMNS, "rule_seq")
 
 
 def findings(evidence: DataFrame, external: DataFrame | None = None, files: DataFrame | None = None, tree: Column | None = None) -> DataFrame:
@@ -147,8 +171,7 @@ def findings(evidence: DataFrame, external: DataFrame | None = None, files: Data
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.withColumn("severity", capped(F.col("severity"), F.col("path")))
-    return out.groupBy("path", "line", "rule", "evidence").agg(F.first("severity").alias("severity"), F.first("title").alias("title"), F.min("rule_seq").alias("rule_seq")).select(*COLUMNS, "rule_seq")
+    return ledger(out)
 
 
 def ranked(found: DataFrame) -> DataFrame:

@@ -21,7 +21,9 @@ from ..operators import seed as S
 from ..operators import surface as C
 from ..sources import adapters as A
 from ..sources import checkout as K
+from ..session import shared_folder
 from ..sources import golden
+from ..streaming import changes as T
 from . import reports as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,6 +359,15 @@ def diff_wrapper_strip(spark, d):
     return D.diff(wrap(a, "package/"), wrap(b, "foo-1.2.3/")).groupBy("side").agg(F.count("*").alias("n"))
 
 
+@query
+def diff_stream(spark, d):
+    """Both trees' ledgers as snapshots of one tree in a stream: what the second gained and lost."""
+    a, b = _sides(spark, d)
+    feeds = [T.snapshot_feed(a, "t", 1), T.snapshot_feed(b, "t", 2, before=a)]
+    folder = shared_folder(spark, "changes")
+    return T.replay(feeds, f"{folder}/checkpoint", f"{folder}/rows").where("snapshot = 2").select("side", "capability", "path", "text")
+
+
 def _seeds(spark, d) -> DataFrame:
     e = _evidence(spark, d)
     return S.compact(E.records(e.unionByName(E.external(e))), SEED_CAP)

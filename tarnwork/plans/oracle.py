@@ -299,6 +299,7 @@ ORACLE_SQL: dict[str, str] = {
     "artifact_entries": f"{ARTIFACTS}, u AS (SELECT path, size_bytes, unnest(string_split(reason, ',')) AS tag FROM art1) SELECT 'artifact' AS capability, 'manifest' AS trigger, 'strong' AS confidence, tag AS evidence, path, CAST(NULL AS INTEGER) AS line, {scope_sql('path')} AS scope, size_bytes || ' bytes' AS text FROM u",
     "diff_added": f"{DIFF} SELECT capability, path, text FROM d WHERE side = 'added'",
     "diff_removed": f"{DIFF} SELECT capability, path, text FROM d WHERE side = 'removed'",
+    "diff_stream": f"{DIFF} SELECT side, capability, path, text FROM d",
     "diff_counts": f"{DIFF} SELECT side, capability, count(*) AS n FROM d GROUP BY ALL",
     "diff_wrapper_strip": f"{DIFF} SELECT side, count(*) AS n FROM d GROUP BY 1",
     "token_cost": f"WITH {MD}, k AS (SELECT split_part(path, '/', 1) AS source, CAST(floor((strlen(c) + 3) / 4) AS BIGINT) AS t FROM md) SELECT source, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t / 1e6 * 3.0), 6) AS usd FROM k GROUP BY 1",

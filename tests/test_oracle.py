@@ -11,7 +11,7 @@ from compare import SF, same  # noqa: E402
 from tarnwork.plans.catalog import QUERIES  # noqa: E402
 from tarnwork.plans.oracle import ORACLE_SQL  # noqa: E402
 
-FAMILIES = ["scan_coverage", "lang_route", "line_split", "make_lines", "md_commands", "package_lines", "query_and_semantics", "query_any_external", "query_limit_walk_order", "shape_opaque", "findings_all", "lockfiles_by_tree", "policy_actions", "policy_artifacts", "gate_blockers_topk", "surface_all", "hidden_scope_counts", "artifact_entries", "diff_counts", "token_cost", "eval_fn_fp", "repo_refs", "artifact_tags", "gate_verdict", "surface_fail_on", "eval_corpus", "query_report", "surface_report", "diff_report", "scan_report", "seed_batches", "seed_compact", "seed_rungs", "seed_findings", "planned_prompts", "py_ast_extract"]
+FAMILIES = ["scan_coverage", "lang_route", "line_split", "make_lines", "md_commands", "package_lines", "query_and_semantics", "query_any_external", "query_limit_walk_order", "shape_opaque", "findings_all", "lockfiles_by_tree", "policy_actions", "policy_artifacts", "gate_blockers_topk", "surface_all", "hidden_scope_counts", "artifact_entries", "diff_counts", "diff_stream", "token_cost", "eval_fn_fp", "repo_refs", "artifact_tags", "gate_verdict", "surface_fail_on", "eval_corpus", "query_report", "surface_report", "diff_report", "scan_report", "seed_batches", "seed_compact", "seed_rungs", "seed_findings", "planned_prompts", "py_ast_extract"]
 
 
 @pytest.mark.parametrize("name", FAMILIES)
