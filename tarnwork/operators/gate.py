@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .paths import scope, severity_rank
@@ -10,10 +10,34 @@ from .paths import scope, severity_rank
 STATUSES = ("dehydrated", "unsupported", "read_failed", "parse_failed", "serialization_failed")
 
 
+def _outcomes() -> list[Column]:
+    """Counts by status of rows with ``status``, one per candidate file."""
+    counts = [F.count_if(F.col("status") == s).alias(f"{s}_files" if s in ("dehydrated", "unsupported") else s) for s in STATUSES]
+    return [F.count("*").alias("candidate_files"), *counts]
+
+
+def _sizes() -> list[Column]:
+    return [F.count_if(F.col("truncated")).alias("record_truncated"), F.coalesce(F.sum("seed_bytes"), F.lit(0)).cast("long").alias("seed_bytes")]
+
+
 def coverage(files: DataFrame) -> DataFrame:
     """One row of counts over (status, truncated, seed_bytes) rows, one per candidate file."""
-    counts = [F.count_if(F.col("status") == s).alias(f"{s}_files" if s in ("dehydrated", "unsupported") else s) for s in STATUSES]
-    return files.agg(F.count("*").alias("candidate_files"), *counts, F.count_if(F.col("truncated")).alias("record_truncated"), F.coalesce(F.sum("seed_bytes"), F.lit(0)).cast("long").alias("seed_bytes"))
+    return files.agg(*_outcomes(), *_sizes())
+
+
+def counted(files: DataFrame, seen: Observation) -> DataFrame:
+    """``files``, whose next pass counts their statuses on the way."""
+    return files.observe(seen, *_outcomes())
+
+
+def coverage_on_the_way(seeds: DataFrame, seen: Observation) -> DataFrame:
+    """The coverage row of ``counted`` files, without reading them again; ``seeds``: (truncated, seed_bytes), made from them.
+
+    Sums up ``seeds`` first, the pass by which the counts of ``seen`` are there where nothing else has asked for them.
+    """
+    sizes = seeds.agg(*_sizes()).first()
+    counts = seen.get | sizes.asDict()
+    return seeds.sparkSession.range(1).select(*(F.lit(n).cast("long").alias(c) for c, n in counts.items()))
 
 
 def incomplete_reasons(cov: DataFrame, n_artifacts: str = "n_artifacts", limit: int | None = None) -> DataFrame:

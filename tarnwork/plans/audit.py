@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
@@ -118,6 +118,8 @@ def gate(spark: SparkSession, root: str, policy: J.Policy | None = None, max_byt
     """Findings of compacted records, policy, artifacts, verdict; status 0 only for ACCEPT."""
     policy = policy or J.Policy()
     files, evidence = load(spark, root, max_bytes, **options)
+    seen = Observation()
+    files = cut(G.counted(files.drop("content"), seen))  # names, sizes and outcomes: no file is opened for them again
     seeds = seed_records(files, evidence, cap)
     external = seeds.select("path", F.explode("record.external").alias("text"))
     found = R.findings(S.compact_evidence(seeds), external, seeds.select("path"))
@@ -125,8 +127,8 @@ def gate(spark: SparkSession, root: str, policy: J.Policy | None = None, max_byt
     kept = judged.where("not suppressed")
     artifacts = J.artifacts_left(C.artifacts(files, max_bytes), policy)
     left = artifacts.where("action is null")
-    state = files.select("path", "status").join(seeds.select("path", "truncated", (F.octet_length("json") + 1).alias("seed_bytes")), "path", "left")
-    row = G.verdict(kept, left, G.coverage(state.withColumn("truncated", F.coalesce("truncated", F.lit(False)))), policy.max_candidate_files).first().asDict()
+    coverage = G.coverage_on_the_way(seeds.select("truncated", (F.octet_length("json") + 1).alias("seed_bytes")), seen)
+    row = G.verdict(kept, left, coverage, policy.max_candidate_files).first().asDict()
     why = [r.why for r in G.why(kept, 3, "severity_before").collect()]
     truncated = seeds.where("truncated").select("path", (F.col("whole_bytes") + 1).alias("original_bytes"), (F.octet_length("json") + 1).alias("compacted_bytes"), "reason")
     cut_short = [f"{r.path} original_bytes={r.original_bytes} compacted_bytes={r.compacted_bytes} reason={r.reason}" for r in truncated.orderBy("path").limit(X.SHOWN).collect()]

