@@ -9,17 +9,25 @@ state without a parser that walks the file.
 From the states follow the code of each line, and the statements: lines that a bracket, or in most languages
 a missing end mark, holds together.  Patterns on statements find calls whose name and bracket lie on
 several lines, and nothing inside comments and strings.
+
+Files whose content is at hand (``file_states``, ``file_calls``) need no scan: a file is one row already, one regular
+expression takes the comments and strings out of it, and neither a line is shuffled nor a state written.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..functions.text import lines as lines_of
+from ..session import cut, ship_code
 
 #: Lines that are folded together.
 RANGE = 64
@@ -230,3 +238,116 @@ def calls(rows: DataFrame) -> DataFrame:
     each = found.where(F.size("name") > 0).select("path", "lang", F.explode(F.arrays_zip(at.alias("line"), F.col("kind"), F.col("name"), F.col("whole"))).alias("c"))
     group = (F.col("lang") == "go") & F.col("c.name").isin(*GROUPS)
     return each.where((F.coalesce("c.kind", F.lit("")) == "") & ~F.col("c.name").isin(*NOT_CALLED) & ~group).select("path", "lang", "c.line", F.col("c.name").alias("text"))
+
+
+# ---- whole files ------------------------------------------------------------------------------------
+
+@cache
+def _blanked(lang: str) -> re.Pattern:
+    """What is not code in a file; group n is the opening mark of the n-th comment or string over lines."""
+    x, q = LEXIS[lang], re.escape
+    across = [f"({q(a)})[\\s\\S]*?(?:{q(b)}|\\Z)" for a, b in x.across]
+    within = [t.replace("[^", "[^\\n") for t in x.strings]
+    return re.compile("|".join([*across, *(f"{q(m)}.*" for m in x.line), *within]) or r"(?!)")
+
+
+def code_and_states(lang: str, text: str) -> tuple[str, list[tuple[int, int, int]]]:
+    """A file's code, with all its line feeds, and (state, first, last) of the lines (from 0) that are entered in a state."""
+    inside: list[tuple[int, int, int]] = []
+    line = at = 0
+
+    def blank(m: re.Match) -> str:
+        nonlocal line, at
+        if not m.lastindex or not (n := text.count("\n", m.start(), m.end())):
+            return " "
+        line, at = line + text.count("\n", at, m.start()) + n, m.end()
+        inside.append((m.lastindex, line - n + 1, line))
+        return " " + "\n" * n
+
+    return _blanked(lang).sub(blank, text), inside
+
+
+def entry_depths(code: str) -> np.ndarray:
+    """Open brackets before each line."""
+    b = np.frombuffer(code.encode("utf-8", "surrogatepass"), np.uint8)
+    step = np.isin(b, np.frombuffer(b"([", np.uint8)).astype(np.int32) - np.isin(b, np.frombuffer(b")]", np.uint8))
+    return np.concatenate([[0], np.cumsum(step, dtype=np.int32)[b == 10]]).astype(np.int32)
+
+
+def statement_starts(lang: str, code: str) -> list[int]:
+    """The lines (from 0) on which statements begin; see ``statements``."""
+    depths, ends, before, starts = entry_depths(code).tolist(), LEXIS[lang].ends, "", []
+    for i, (line, depth) in enumerate(zip(code.split("\n"), depths, strict=True)):
+        if c := line.strip(" "):
+            if depth <= 0 and (not before or before[-1] in ";{}:," or (ends and c[0] != "." and before[-1] != ".")):
+                starts.append(i)
+            before = c
+    return starts if starts[:1] == [0] else [0, *starts]
+
+
+_CALLS = re.compile(CALL, re.ASCII)
+
+
+def calls_of(lang: str, code: str) -> Iterator[tuple[int, str]]:
+    """(line from 0, name) of the calls in a file's code; none reaches over the end of a statement."""
+    feeds = [-1, *(m.start() for m in re.finditer("\n", code)), len(code)]
+    starts = statement_starts(lang, code)
+    for first, after in zip(starts, [*starts[1:], len(feeds) - 1], strict=True):
+        line, at = first, feeds[first] + 1
+        for m in _CALLS.finditer(code, at, feeds[after]):
+            line, at = line + code.count("\n", at, m.start()), m.start()
+            if not m[1] and m[2] not in NOT_CALLED and not (lang == "go" and m[2] in GROUPS):
+                yield line, m[2]
+
+
+def _texts(files: DataFrame) -> DataFrame:
+    """Files of languages in LEXIS, their lines as ``lines`` has them."""
+    whole = F.array_join(lines_of(F.col("content")), "\n")
+    plain = F.contains("content", F.lit("\r")) | F.endswith("content", F.lit("\n"))
+    return files.where(F.col("lang").isin(*LEXIS)).select("path", "lang", F.when(plain, whole).otherwise(F.col("content")).alias("content"))
+
+
+def _columns(batch: pa.RecordBatch) -> Iterator[tuple[str, str, str]]:
+    return zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+
+
+def file_states(files: DataFrame) -> DataFrame:
+    """(path, lang, lines) of files (path, lang, content): state and depth on entry to each line, as ``lexed`` has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            states, depths, sizes = [], [], [0]
+            for _, lang, text in _columns(batch):
+                code, inside = code_and_states(lang, text)
+                depth = entry_depths(code)
+                state = np.zeros(len(depth), np.int32)
+                for s, first, last in inside:
+                    state[first : last + 1] = s
+                states.append(state), depths.append(depth), sizes.append(sizes[-1] + len(depth))
+            each = pa.StructArray.from_arrays([pa.array(np.concatenate(x or [np.zeros(0, np.int32)])) for x in (states, depths)], ["state", "depth"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each)], ["path", "lang", "lines"])
+
+    ship_code(files.sparkSession)
+    return _texts(files).mapInArrow(run, f"path string, lang string, lines {_STATES}")
+
+
+def file_calls(files: DataFrame, rows: int = 100_000) -> DataFrame:
+    """(path, lang, line, text) of files (path, lang, content): what ``calls`` finds in their statements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], ["path", "lang", "line", "text"])
+
+        out: tuple[list, ...] = ([], [], [], [])
+        for batch in batches:
+            for path, lang, text in _columns(batch):
+                found = [*calls_of(lang, code_and_states(lang, text)[0])]
+                out[0].extend([path] * len(found)), out[1].extend([lang] * len(found))
+                out[2].extend(n + 1 for n, _ in found), out[3].extend(t for _, t in found)
+                if len(out[0]) >= rows:
+                    yield made()
+                    out = ([], [], [], [])
+        yield made()
+
+    ship_code(files.sparkSession)
+    return _texts(files).mapInArrow(run, "path string, lang string, line int, text string")

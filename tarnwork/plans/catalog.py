@@ -477,7 +477,7 @@ def py_ast_extract(spark, d):
 @query
 def lexed_calls(spark, d):
     """Calls in code of twelve languages, over several lines, with calls in comments and strings that are none."""
-    return L.calls(L.statements(L.lexed(E.file_lines(A.code_files(spark, d)))))
+    return L.file_calls(A.code_files(spark, d))
 
 
 @query

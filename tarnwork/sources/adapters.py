@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,12 +123,9 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("c", facts).where(F.size("w") >= 8)
 
     def stanza(k):
-        text = F.lit(STANZA)
-        for n in range(1, 9):
-            text = F.replace(text, F.lit("{%d}" % n), F.get("w", 8 * k + n - 1))
-        for n in ("line", "open", "close"):
-            text = F.replace(text, F.lit("{%s}" % n), F.col(f"c.{n}"))
-        return text
+        parts = re.split(r"\{(\w+)\}", STANZA)  # texts and, between them, names
+        named = [F.get("w", 8 * k + int(n) - 1) if n.isdigit() else F.col(f"c.{n}") for n in parts[1::2]]
+        return F.concat(*(x for pair in zip(map(F.lit, parts[::2]), [*named, F.lit("")], strict=True) for x in pair))
 
     content = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 8).cast("int") - 1), stanza), "\n")
     return d.select(F.concat(F.lit("src/f"), F.col("doc_id").cast("string")).alias("path"), "c.lang", content.alias("content"))
