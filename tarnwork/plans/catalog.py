@@ -483,7 +483,7 @@ def lexed_calls(spark, d):
 @query
 def lexed_states(spark, d):
     """Lines by language and by what they are entered in."""
-    rows = L.lexed(E.file_lines(A.code_files(spark, d)))
+    rows = L.file_states(A.code_files(spark, d)).select("lang", F.inline("lines"))
     return rows.groupBy("lang", F.when(F.col("state") > 0, "inside").when(F.col("depth") > 0, "bracket").otherwise("code").alias("entered")).agg(F.count("*").alias("n"))
 
 

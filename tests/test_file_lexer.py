@@ -38,3 +38,5 @@ def test_calls_of_whole_files(spark):
 
 def test_lexed_queries_shuffle_no_lines(spark):
     assert "Exchange" not in QUERIES["lexed_calls"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["lexed_states"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Checkpoint" not in plan and "Scan ExistingRDD" not in plan  # counts alone
