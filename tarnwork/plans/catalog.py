@@ -21,7 +21,7 @@ from ..operators import seed as S
 from ..operators import surface as C
 from ..sources import adapters as A
 from ..sources import checkout as K
-from ..session import shared_folder
+from ..session import cut, shared_folder
 from ..sources import golden
 from ..streaming import changes as T
 from . import reports as V
@@ -363,6 +363,7 @@ def diff_wrapper_strip(spark, d):
 def diff_stream(spark, d):
     """Both trees' ledgers as snapshots of one tree in a stream: what the second gained and lost."""
     a, b = _sides(spark, d)
+    a = cut(a)  # read for its own feed and for the paths that the next one lacks
     feeds = [T.snapshot_feed(a, "t", 1), T.snapshot_feed(b, "t", 2, before=a)]
     folder = shared_folder(spark, "changes")
     return T.replay(feeds, f"{folder}/checkpoint", f"{folder}/rows").where("snapshot = 2").select("side", "capability", "path", "text")

@@ -2,15 +2,17 @@
 
 A feed has one row for each path of a snapshot: (tree, snapshot, path, keys, docs), its distinct entries by key, the key
 being capability and trimmed text, the document the first entry of that key in ledger order.  A path whose entries are
-gone has a row without entries.  State is keyed by (tree, path) and holds that path's entries of the last snapshot seen,
-so no tree is ever in one task, and a snapshot may send the paths that changed alone.
+gone has a row without entries.  State is keyed by tree and bucket of paths and holds each path's entries of the last
+snapshot seen of it, so no tree is ever in one task, and a snapshot may send the paths that changed alone; a bucket's state
+is one row, as calls of the keyed function cost more than the paths do.
 
     feed = snapshot_feed(entries, "pkg", 2, before=entries_of_1)      # append to the folder of feeds
     changes(read_feed(spark, folder)).writeStream...
 
 Cases: the first snapshot of a path gains all its entries; a snapshot not above the last seen of its path, so one that is
 sent again or late, emits nothing; rows of one path and snapshot in one batch count together; null trees are a tree.
-Leading folders that all paths share are kept: strip them before.  The session's state store must be RocksDB (``stateful``).
+Leading folders that all paths share are kept: strip them before.  ``stateful`` keeps the
+state in RocksDB.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import strip
 from ..operators.surface import COLUMNS
@@ -29,6 +31,9 @@ from ..session import shared_folder, ship_code
 FEED = "tree string, snapshot long, path string, keys array<string>, docs array<string>"
 DOC = "line int, evidence string, text string, trigger string, confidence string, scope string"
 CHANGES = "tree string, path string, snapshot long, side string, key string, doc string"
+HELD = "paths array<string>, last array<long>, keys array<array<string>>, docs array<array<string>>"
+#: Buckets of a tree's paths.
+BUCKETS = 1024
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,47 +54,40 @@ def read_feed(spark: SparkSession, folder: str, files_per_batch: int = 100) -> D
     return spark.readStream.schema(FEED).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-class Held(StatefulProcessor):
-    """Entries of one path as of its last snapshot."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("held", "key string", "doc string")
-        self.last = handle.getValueState("last", "snapshot long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived: dict[int, dict[str, str]] = {}
-        for batch in rows:
-            for number, keys, docs in zip(batch["snapshot"], batch["keys"], batch["docs"], strict=True):
-                arrived.setdefault(int(number), {}).update(zip(keys, docs, strict=True))
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for number in sorted(n for n in arrived if last is None or n > last):
-            held, now = {k[0]: v[0] for k, v in self.held.iterator()}, arrived[number]
-            for k in held.keys() - now.keys():
-                self.held.removeKey((k,))
-                out.append((number, "removed", k, held[k]))
-            for k in now.keys() - held.keys():
-                out.append((number, "added", k, now[k]))
-            for k, doc in now.items():
-                if held.get(k) != doc:
-                    self.held.updateValue((k,), (doc,))
-            self.last.update((number,))
-        yield pd.DataFrame([(*key, *row) for row in out], columns=[n.split()[0] for n in CHANGES.split(", ")])
-
-    def close(self) -> None:
-        pass
+def held_changes(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The changes of one bucket's paths, each by what it held as of its own last snapshot."""
+    arrived: dict[str, dict[int, dict[str, str]]] = {}
+    for batch in rows:
+        for path, number, keys, docs in zip(batch["path"], batch["snapshot"], batch["keys"], batch["docs"], strict=True):
+            arrived.setdefault(path, {}).setdefault(int(number), {}).update(zip(keys, docs, strict=True))
+    held: dict[str, tuple[int, dict[str, str]]] = {}
+    if state.exists:
+        held = {path: (last, dict(zip(keys, docs, strict=True))) for path, last, keys, docs in zip(*state.get, strict=True)}
+    out = []
+    for path, snapshots in arrived.items():
+        last, had = held.get(path, (None, {}))
+        for number in sorted(n for n in snapshots if last is None or n > last):
+            now = snapshots[number]
+            out += [(key[0], path, number, "removed", k, doc) for k, doc in had.items() if k not in now]
+            out += [(key[0], path, number, "added", k, doc) for k, doc in now.items() if k not in had]
+            last, had = number, now
+        held[path] = (last, had)
+    state.update(([*held], [n for n, _ in held.values()], [[*e] for _, e in held.values()], [[*e.values()] for _, e in held.values()]))
+    if out:
+        yield pd.DataFrame(out, columns=[n.split()[0] for n in CHANGES.split(", ")])
 
 
 def stateful(spark: SparkSession) -> None:
-    """Keyed state needs the RocksDB store."""
+    """State in RocksDB, so that it need not fit an executor's memory."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
-def changes(feed: DataFrame) -> DataFrame:
-    """(tree, snapshot, side, entry): what each snapshot gained (added) or lost (removed)."""
+def changes(feed: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(tree, snapshot, side, entry): what each snapshot gained (added) or lost (removed); a checkpoint keeps to its ``buckets``."""
     ship_code(feed.sparkSession)
-    rows = feed.where("snapshot is not null and path is not null").groupBy("tree", "path")
-    rows = rows.transformWithStateInPandas(Held(), outputStructType=CHANGES, outputMode="Append", timeMode="None")
+    rows = feed.where("snapshot is not null and path is not null").withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)))
+    rows = rows.groupBy("tree", "bucket")
+    rows = rows.applyInPandasWithState(held_changes, CHANGES, HELD, "append", GroupStateTimeout.NoTimeout)
     length = F.substring_index("key", ":", 1)
     capability = F.substring("key", F.char_length(length) + 2, length.cast("int"))
     return rows.select("tree", "snapshot", "side", capability.alias("capability"), "path", F.from_json("doc", DOC).alias("e")).select("tree", "snapshot", "side", "capability", "path", "e.*").select("tree", "snapshot", "side", *COLUMNS)

@@ -102,3 +102,16 @@ def test_gate_counts_on_the_way(spark, tmp_path):
     assert (want["candidate_files"], want["dehydrated_files"], want["unsupported_files"]) == (13, 8, 5) and want["record_truncated"] > 0
     (tmp_path / "none").mkdir()
     assert audit.gate(spark, str(tmp_path / "none")).more["verdict"]["candidate_files"] == 0
+
+
+def test_paths_of_one_bucket_keep_their_own_snapshots(spark, tmp_path):
+    """State is called for by bucket, not by path: many paths in one call, each against its own last snapshot."""
+    T.stateful(spark)
+    feed, out, cp = (str(tmp_path / x) for x in ("feed", "out", "cp"))
+    one = [("execute", f"p{i}", "x", 1) for i in range(50)]
+    for n, rows in ((1, one), (5, [("execute", "p7", "y", 1)]), (3, [("execute", "p7", "late", 1), ("execute", "p8", "z", 1)])):
+        T.snapshot_feed(_entries(spark, rows), "t", n).write.mode("append").parquet(feed)
+        T.changes(T.read_feed(spark, feed), buckets=1).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.snapshot, r.side, r.path, r.text) for r in spark.read.parquet(out).where("snapshot > 1").collect()}
+    assert got == {(5, "added", "p7", "y"), (5, "removed", "p7", "x"), (3, "added", "p8", "z"), (3, "removed", "p8", "x")}
+    assert spark.read.parquet(out).where("snapshot = 1").count() == 50
