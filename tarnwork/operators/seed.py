@@ -34,7 +34,8 @@ def json_bytes(c: Column) -> Column:
     def held(chars: str) -> Column:
         return F.char_length(c) - F.char_length(F.translate(c, chars, ""))
 
-    return F.coalesce(F.octet_length(c) + 2 + held(SHORT_ESCAPES) + 5 * held(LONG_ESCAPES), F.lit(4))
+    escapes = F.when(c.rlike(r'["\\\x00-\x1f]'), held(SHORT_ESCAPES) + 5 * held(LONG_ESCAPES)).otherwise(0)
+    return F.coalesce(F.octet_length(c) + 2 + escapes, F.lit(4))
 
 
 def _object_bytes(members: dict[str, Column]) -> Column:
@@ -68,23 +69,22 @@ def _head_bytes() -> dict[str, Column]:
 def compact(records: DataFrame, cap: int = X.SEED_CAP) -> DataFrame:
     """(path, record, json, truncated, reason, whole_bytes): the first rung whose JSON and line feed fit the cap.
 
-    Lists must not be null.  Which rung fits is arithmetic: the JSON length of each element is computed once
-    for each text limit (the rungs have two), summed up to each limit of its list, and the sums are compared
-    with the cap; then the one record that fits is built and written.  ``whole_bytes`` is the length of the
-    record as it was, with imports.  The result is written, as findings, batches
-    and reports all read it.
+    Lists must not be null.  ``whole_bytes`` is the length of the record as it was, with imports; where it shows
+    that the first rung fits, nothing else is measured.  Elsewhere which rung fits is arithmetic: the JSON length of
+    each element is computed once for each text limit (the rungs have two), rung by rung they are summed up to its
+    limits until a sum fits the cap.  Then the one record that fits is built and written.  The result is written, as
+    findings, batches and reports all read it.
     """
     rungs = limit_ladder()
     texts = sorted({r["text"] for r in rungs}, reverse=True)  # the last limit to be halved
     most = {t: {n: max(r[n] for r in rungs if r["text"] == t) for n in LISTS} for t in texts}
-    sized = records.withColumns({f"b_{n}_{t}": _element_bytes(n, k[n], t) for t, k in most.items() for n in LISTS})
-
-    def at_rungs(n: str) -> Column:
-        """Bytes of a list at each rung."""
-        each = [F.transform(F.array(*(F.lit(r[n]) for r in rungs if r["text"] == t)), lambda k: _list_bytes(F.col(f"b_{n}_{t}"), k)) for t in texts]
-        return F.concat(*each)
-
-    summed = sized.withColumns({f"s_{n}": at_rungs(n) for n in LISTS})
+    heads = _head_bytes()
+    # the first rung keeps a part of the whole, clips add two bytes to an element at most, "omitted" takes less than 128
+    whole = records.withColumn("whole_bytes", F.octet_length(F.to_json(F.struct("path", "lang", "imports", *LISTS))).cast("long"))
+    elements = sum((F.size(n) for n in LISTS), F.lit(0))
+    roomy = whole.withColumn("roomy", F.col("whole_bytes") + 2 * elements + 128 < cap)
+    summed = {f"b_{n}_{t}": _element_bytes(n, k[n], t) for t, k in most.items() for n in LISTS} | {f"b_{c}": v for c, v in heads.items()}
+    sized = roomy.withColumns({k: F.when(~F.col("roomy"), v) for k, v in summed.items()})
 
     def limit(n: str, i: Column) -> Column:
         return F.get(F.array(*(F.lit(r[n]) for r in (*rungs, X.SEED_MINIMAL))), i)
@@ -92,12 +92,12 @@ def compact(records: DataFrame, cap: int = X.SEED_CAP) -> DataFrame:
     def left(n: str, k: Column) -> Column:
         return F.greatest(F.size(n) - k, F.lit(0))
 
-    def total(i: Column) -> Column:
-        omitted = _object_bytes({n: F.octet_length(left(n, limit(n, i)).cast("string")) for n in LISTS})
-        return _object_bytes(_head_bytes() | {n: F.get(F.col(f"s_{n}"), i) for n in LISTS} | {"omitted": omitted})
+    def total(r: dict[str, int]) -> Column:
+        omitted = _object_bytes({n: F.octet_length(left(n, F.lit(r[n])).cast("string")) for n in LISTS})
+        return _object_bytes({c: F.col(f"b_{c}") for c in heads} | {n: _list_bytes(F.col(f"b_{n}_{r['text']}"), F.lit(r[n])) for n in LISTS} | {"omitted": omitted})
 
-    fits = F.filter(F.array(*(F.lit(i) for i in range(len(rungs)))), lambda i: total(i) + 1 <= cap)
-    chosen = summed.withColumn("rung", F.coalesce(F.array_min(fits), F.lit(len(rungs))))
+    # a later rung is summed only where none before it fits
+    chosen = sized.withColumn("rung", F.coalesce(F.when(F.col("roomy"), 0), *(F.when(total(r) + 1 <= cap, i) for i, r in enumerate(rungs)), F.lit(len(rungs))))
     chosen = chosen.withColumns({f"k_{n}": limit(n, F.col("rung")) for n in (*LISTS, "text")})
 
     def strings(n: str) -> Column:
@@ -110,8 +110,7 @@ def compact(records: DataFrame, cap: int = X.SEED_CAP) -> DataFrame:
     omitted = F.struct(*(left(n, F.col(f"k_{n}")).alias(n) for n in LISTS)).alias("omitted")
     minimal = F.col("rung") == len(rungs)
     lost = F.exists(F.array(*(F.size(n) > F.col(f"k_{n}") for n in LISTS)), lambda x: x)
-    whole = _object_bytes(_head_bytes() | {n: _list_bytes(_element_bytes(n)) for n in ("imports", *LISTS)})
-    out = chosen.select("path", F.struct("path", "lang", strings("signatures"), strings("calls"), places, strings("external"), omitted).alias("record"), F.when(minimal, "minimal_record_after_size_cap").otherwise("compact_record_limits").alias("reason"), (minimal | lost).alias("truncated"), whole.alias("whole_bytes"))
+    out = chosen.select("path", F.struct("path", "lang", strings("signatures"), strings("calls"), places, strings("external"), omitted).alias("record"), F.when(minimal, "minimal_record_after_size_cap").otherwise("compact_record_limits").alias("reason"), (minimal | lost).alias("truncated"), "whole_bytes")
     return cut(out.withColumn("json", F.to_json("record")))
 
 

@@ -66,3 +66,20 @@ def test_results_are_written_and_read_from_there(spark):
     seeds = S.compact(spark.createDataFrame([], RECORD))
     plan = S.compact_evidence(seeds)._jdf.queryExecution().optimizedPlan().toString()
     assert "to_json" not in plan and len(plan) < 20_000 and seeds.count() == 0
+
+
+def test_records_with_room_are_not_measured_by_element(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rec = {"path": "a", "lang": "go", "imports": ["i"], "signatures": ["s"], "calls": ["c" * 100] * 100, "locations": [(1, "call", "x" * 121)], "external": []}
+    monkeypatch.setattr(S, "_element_bytes", lambda n, *_: F.transform(n, lambda x: F.raise_error(F.lit("measured")).cast("int")))
+    x = S.compact(spark.createDataFrame([tuple(rec.values())], RECORD)).first()
+    assert len(x.record.calls) == 80 and x.reason == "compact_record_limits" and x.truncated
+
+
+@pytest.mark.parametrize("less", [-200, -128, -60, -1, 0, 1])
+def test_the_rung_near_the_bound_of_the_whole(spark, less):
+    rec = {"path": "a", "lang": "go", "imports": [], "signatures": ["s" * 121] * 3, "calls": ['"' * 121], "locations": [(1, "call", "x" * 121)], "external": ["é" * 121]}
+    want = len(written(limited(rec, S.limit_ladder()[0])).encode()) + 1
+    x = S.compact(spark.createDataFrame([tuple(rec.values())], RECORD), want - less).first()
+    assert json.loads(x.json) == by_writing(rec, want - less)[0]
