@@ -35,7 +35,7 @@ def any_of(preds: Iterable[Column]) -> Column:
 def contains_any(c: Column, tokens: Iterable[str]) -> Column:
     """Some token occurs; beyond a few tokens one expression, so that many of these compile as one stage."""
     tokens = list(tokens)
-    return any_of(F.contains(c, F.lit(t)) for t in tokens) if len(tokens) < 3 else c.rlike(quoted(tokens))
+    return any_of(F.contains(c, F.lit(t)) for t in tokens) if len(tokens) < 3 else c.rlike(spelled(shortest(tokens)))
 
 
 def quoted(tokens: Iterable[str]) -> str:
@@ -43,9 +43,30 @@ def quoted(tokens: Iterable[str]) -> str:
     return "|".join(re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", t) for t in tokens)
 
 
+def shortest(tokens: Iterable[str]) -> list[str]:
+    """The tokens that hold no other: one of them occurs where any does."""
+    tokens = sorted(set(tokens))
+    return [t for t in tokens if not any(o != t and o in t for o in tokens)]
+
+
+def spelled(tokens: Iterable[str]) -> str:
+    """The alternation of ``quoted``, by first characters: a place in a text is compared with few branches."""
+    rests: dict[str, set[str]] = {}
+    for t in tokens:
+        rests.setdefault(t[:1], set()).add(t[1:])
+    end = rests.pop("", None) is not None
+    branches = []
+    for first, tails in sorted(rests.items()):
+        while len(tails) > 1 and len({t[:1] for t in tails}) == 1 and "" not in tails:  # a common start
+            first, tails = first + min(tails)[0], {t[1:] for t in tails}
+        branches.append(quoted([first]) + (spelled(tails) if len(tails) > 1 else quoted(tails)))
+    body = "|".join(branches)
+    return f"(?:{body}){'?' * end}" if end or len(branches) > 1 else body
+
+
 def has_token(c: Column, tokens: Iterable[str]) -> Column:
     """Some token with no word character at either side."""
-    return c.rlike(f"(?<!{WORD})(?:{quoted(tokens)})(?!{WORD})")
+    return c.rlike(f"(?:^|[^A-Za-z0-9_]){spelled(tokens)}(?!{WORD})")
 
 
 def calls_named(c: Column, name: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..functions.text import any_of, ascii_lower, contains_any, eval_invoked, is_file, lstrip, normal_path, quoted, redacted, strip
+from ..functions.text import any_of, ascii_lower, contains_any, eval_invoked, is_file, lstrip, normal_path, redacted, shortest, spelled, strip
 from .paths import capped, is_container_file, is_manifest, is_workflow, scope, severity_rank
 
 COLUMNS = ["severity", "path", "line", "rule", "title", "evidence"]
@@ -23,7 +23,7 @@ _META = {rule: (severity, title, i) for i, (rule, severity, title) in enumerate(
 def prefilter(text: Column) -> Column:
     """A superset of the lines on which some rule of a line can fire, in one pass over the text."""
     tokens = {*X.DOWNLOADS, "base64", "eval", "bash -c", *X.SSH_PATHS, *X.BUILD_COMMANDS, *X.SETUP_COMMANDS, *X.SECRETS, "run:", "uses:", "pull_request_target", "write-all", *X.REPOSITORIES, "apk add", "user root", *X.PRIVILEGED, *X.GIT_SOURCES, "http://", "https://", *X.PATH_SOURCES, ".unwrap", ".expect", "panic", "unsafe ", "from .", *(f'"{k}"' for k in X.LIFECYCLE)}
-    return text.rlike(f"(?i){quoted(sorted(tokens))}")
+    return ascii_lower(text).rlike(spelled(shortest(tokens)))
 
 
 def _finding(rule: str, when: Column, evidence: Column) -> Column:

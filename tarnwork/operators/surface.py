@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..functions.text import any_of, ascii_lower, base_name, calls_named, contains_any, has_token, is_file, lines, lstrip, normal_path, quoted
+from ..functions.text import any_of, ascii_lower, base_name, calls_named, contains_any, has_token, is_file, lines, lstrip, normal_path, shortest, spelled
 from .paths import is_dependency_file, is_install_script, language, scope
 from .rules import base64_execute, download_execute, home_write
 
@@ -76,15 +76,19 @@ def line_hits(path: Column, trig: Column, kind: Column, low: Column) -> Column:
 def prefilter(text: Column) -> Column:
     """A superset of the lines that some detector hits (entry points are kept apart)."""
     tokens = {*X.DOWNLOADS, "base64", "eval", *X.SHELL_C, *X.PIPES, *X.SHELLS, "chmod", *X.PROCESS_SPAWN, "system(", "popen(", *X.FETCH_TOOLS, *X.PACKAGE_MANAGERS, *X.URL_SCHEMES, *X.FILE_WRITES, ">", *X.ENV_READS, *X.CREDENTIAL_FILES, *X.SECRETS, *X.DEPENDENCY_SOURCES, *X.LOCAL_DEPENDENCIES, *X.SSH_PATHS, *(t for ts in X.IMPORT_TOKENS.values() for t in ts)}
-    return text.rlike(f"(?i){quoted(sorted(tokens))}")
+    return ascii_lower(text).rlike(spelled(shortest(tokens)))
 
 
 def line_entries(e: DataFrame) -> DataFrame:
-    rows = e.where(F.col("line").isNotNull()).withColumn("trigger", trigger(F.col("path"), F.col("lang"), F.col("text")))
-    hooks = F.coalesce(*(F.when(F.col("trigger") == t, h) for t, h in X.HOOKS.items()))
-    rows = rows.withColumn("hook", hooks).where(F.col("hook").isNotNull() | prefilter(F.col("text"))).withColumn("low", ascii_lower(F.col("text")))
-    hook = F.when(F.col("hook").isNotNull(), F.array(F.struct(F.lit("hook").alias("capability"), F.col("hook").alias("evidence"), F.lit("strong").alias("confidence"))))
-    hits = F.concat(line_hits(F.col("path"), F.col("trigger"), F.col("kind"), F.col("low")), F.coalesce(hook, F.slice(F.array(F.struct(F.lit("").alias("capability"), F.lit("").alias("evidence"), F.lit("").alias("confidence"))), 1, 0)))
+    """Entries of lines.  Each step is a column that the next ones read, and lines without a hit go last, with the
+    empty arrays: a filter on them would be pushed below the steps and compute them again for each mention."""
+    rows = e.where(F.col("line").isNotNull()).withColumn("low", ascii_lower(F.col("text")))
+    rows = rows.withColumn("trigger", trigger(F.col("path"), F.col("lang"), F.col("low")))
+    hook = F.create_map(*(F.lit(x) for pair in X.HOOKS.items() for x in pair))[F.col("trigger")]
+    rows = rows.withColumns({"hook": hook, "touched": prefilter(F.col("low"))})
+    entry = F.struct(F.lit("hook").alias("capability"), F.col("hook").alias("evidence"), F.lit("strong").alias("confidence"))
+    none = F.slice(F.array(entry), 1, 0)
+    hits = F.concat(F.when(F.col("touched"), line_hits(F.col("path"), F.col("trigger"), F.col("kind"), F.col("low"))).otherwise(none), F.when(F.col("hook").isNotNull(), F.array(entry)).otherwise(none))
     return rows.select("path", "line", "text", "trigger", F.inline(hits)).withColumn("scope", scope(F.col("path"))).select(*COLUMNS)
 
 

@@ -93,7 +93,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, lang, kind, line, text, side) from events: one template each, the tree numbered by user."""
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "tpl int, pattern string, lang string, kind string, text string")
-    e = table(spark, sf_dir, "events").select("event_id", "user_id").withColumn("tpl", (F.col("event_id") % len(TEMPLATES)).cast("int"))
+    # dealt out by a key, as a file with one row group is one task, whatever its rows
+    e = table(spark, sf_dir, "events").select("event_id", "user_id").repartition("event_id").withColumn("tpl", (F.col("event_id") % len(TEMPLATES)).cast("int"))
     joined = e.join(F.broadcast(rows), "tpl")  # a fixed table of templates
     path = F.replace("pattern", F.lit("{u}"), F.col("user_id").cast("string"))
     return joined.select(path.alias("path"), "lang", "kind", (F.col("event_id") % 500 + 1).cast("int").alias("line"), "text", (F.col("user_id") % 3).cast("int").alias("side"))

@@ -87,3 +87,19 @@ def test_calls_and_definitions(spark):
 def test_empty_input(spark):
     e = spark.createDataFrame([], EVIDENCE)
     assert rules.findings(e).count() == 0 and surface.surface(e).count() == 0
+
+
+def test_steps_of_a_line_are_computed_once(spark):
+    """The trigger's chain of conditions stands once in the plan: no filter holds copies of it."""
+    from tarnwork.operators import surface
+
+    e = spark.createDataFrame([("a/setup.py", "python", "call", 1, "setup(")], "path string, lang string, kind string, line int, text string")
+    plan = surface.line_entries(e)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("docker-entry THEN") + plan.count("THEN docker-entry") <= 1
+
+
+def test_events_of_one_row_group_are_dealt_out(spark):
+    from tarnwork.sources import adapters
+
+    plan = adapters.evidence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [event_id" in plan
