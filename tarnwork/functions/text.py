@@ -66,7 +66,7 @@ def spelled(tokens: Iterable[str]) -> str:
 
 def has_token(c: Column, tokens: Iterable[str]) -> Column:
     """Some token with no word character at either side."""
-    return c.rlike(f"(?:^|[^A-Za-z0-9_]){spelled(tokens)}(?!{WORD})")
+    return c.rlike(f"(?<!{WORD}){spelled(tokens)}(?!{WORD})")
 
 
 def calls_named(c: Column, name: str) -> Column:

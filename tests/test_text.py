@@ -108,5 +108,5 @@ def test_spelled_patterns_match_as_the_alternation():
         tokens = ["".join(r.choice("ab.") for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 7))]
         text = "".join(r.choice("ab. ") for _ in range(r.randint(0, 9)))
         assert bool(re.search(spelled(tokens), text)) == bool(re.search(spelled(shortest(tokens)), text)) == any(t in text for t in tokens)
-        assert bool(re.search(f"(?:^|[^ab]){spelled(tokens)}(?![ab])", text)) == bool(re.search(f"(?<![ab])(?:{quoted(tokens)})(?![ab])", text))
+        assert bool(re.search(f"(?<![ab]){spelled(tokens)}(?![ab])", text)) == bool(re.search(f"(?<![ab])(?:{quoted(tokens)})(?![ab])", text))
     assert spelled(["curl", "cat ", "chmod "]) == "c(?:at |hmod |url)"
