@@ -136,13 +136,73 @@ def placed(rows: DataFrame, size: str, order: list[str], group: list[str]) -> Da
     return ranges.join(sums, [*group, "part"]).withColumn("start", start).drop("part", "before")
 
 
+#: Segments of the first level hold this many caps, those of a higher level this many of the level below.
+SEGMENT = 64
+
+
+def _segments(leaps: DataFrame, group: list[str], width: int) -> DataFrame:
+    """Per segment of ``width`` bytes: its leaps in order, the place to which each leads, places led to from outside.
+
+    ``leaps``: (group, start, next, hops), next the start of another leap or null.  A place is a position among the
+    segment's leaps; one that leads out of the segment, or to nothing, leads behind the last.
+    """
+    of = lambda c: F.floor(F.col(c) / width)
+    none = F.lit(None).cast("struct<start:bigint,next:bigint,hops:bigint>")
+    stays = F.coalesce(of("next") == of("start"), F.lit(False))
+    held = leaps.select(*group, of("start").alias("segment"), F.col("start").alias("at"), F.lit(0).alias("role"), F.struct("start", "next", "hops").alias("leap"))
+    asked = leaps.select(*group, of("start").alias("segment"), F.when(stays, F.col("next")).otherwise(2**63 - 1).alias("at"), F.lit(1).alias("role"), F.struct("start", "next", "hops").alias("leap"))
+    entered = leaps.where(~stays & F.col("next").isNotNull()).select(*group, of("next").alias("segment"), F.col("next").alias("at"), F.lit(2).alias("role"), none.alias("leap")).distinct()
+    until = Window.partitionBy(*group, "segment").orderBy("at", "role").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = F.count(F.when(F.col("role") == 0, 1)).over(until)
+    rows = held.unionByName(asked).unionByName(entered).withColumn("place", (F.when(F.col("at") == 2**63 - 1, n).otherwise(n - 1)).cast("int"))
+    lists = rows.groupBy(*group, "segment").agg(
+        F.sort_array(F.collect_list(F.when(F.col("role") == 0, F.col("leap")))).alias("leaps"),
+        F.sort_array(F.collect_list(F.when(F.col("role") == 1, F.struct("leap.start", "place")))).alias("to"),
+        F.sort_array(F.collect_list(F.when(F.col("role") == 2, F.col("place")))).alias("entries"),
+    )
+    first = F.when(F.col("segment") == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    return cut(lists.select(*group, "segment", "leaps", F.col("to.place").alias("to"), F.array_union(first, "entries").alias("entries")))
+
+
+def _steps() -> Column:
+    """Enough steps to leave a segment: the next batch but one begins more than a cap behind a batch."""
+    return F.sequence(F.lit(1), F.lit(2 * SEGMENT + 2))
+
+
+def _leaving(segments: DataFrame, group: list[str]) -> DataFrame:
+    """(group, start, next, hops): of each place at which a segment is entered, where it is left and after how many batches."""
+    def step(a: Column, _: Column) -> Column:
+        leap = F.get("leaps", a["place"])
+        moved = F.struct(F.get("to", a["place"]).alias("place"), leap["next"].alias("next"), (a["hops"] + leap["hops"]).alias("hops"))
+        return F.when(a["place"] < F.size("leaps"), moved).otherwise(a)
+
+    zero = lambda e: F.struct(e.alias("place"), F.lit(None).cast("long").alias("next"), F.lit(0).cast("long").alias("hops"))
+    left = F.transform("entries", lambda e: F.struct(F.get("leaps", e)["start"].alias("start"), F.aggregate(_steps(), zero(e), step).alias("a")))
+    return segments.select(*group, F.explode(left).alias("l")).select(*group, "l.start", F.col("l.a.next").alias("next"), F.col("l.a.hops").alias("hops"))
+
+
+def _visited(segments: DataFrame, known: DataFrame, group: list[str], width: int) -> DataFrame:
+    """(group, start, batch) of the leaps that are taken in the segments that ``known`` enters, each at one place."""
+    def step(a: Column, _: Column) -> Column:
+        leap = F.get("leaps", a["place"])
+        seen = F.concat(a["seen"], F.array(F.struct(leap["start"].alias("start"), a["batch"].alias("batch"))))
+        moved = F.struct(F.get("to", a["place"]).alias("place"), (a["batch"] + leap["hops"]).alias("batch"), seen.alias("seen"))
+        return F.when(a["place"] < F.size("leaps"), moved).otherwise(a)
+
+    entry = F.filter("entries", lambda e: F.get("leaps", e)["start"] == F.col("start"))[0]
+    zero = F.struct(entry.alias("place"), F.col("batch"), F.array().cast("array<struct<start:bigint,batch:bigint>>").alias("seen"))
+    rows = segments.join(known.withColumn("segment", F.floor(F.col("start") / width)), [*group, "segment"])
+    return rows.select(*group, F.explode(F.aggregate(_steps(), zero, step)["seen"]).alias("s")).select(*group, "s.start", "s.batch")
+
+
 def bin_starts(records: DataFrame, group: list[str], cap: int) -> DataFrame:
     """(group, start, batch) of the records that open a batch, of (group, start, size) with sizes above 0.
 
     The batch that a record would open ends before the record that holds its start + cap (or its own end, if
     that is later), which a search within stretches of ``cap`` bytes finds: each has at most ``cap`` records.
-    From these next pointers, the true openers are marked from the group's first by pointer doubling:
-    after k rounds the first 2^k are known, and the pointers leap 2^k batches.
+    These next pointers are followed in segments of ``SEGMENT`` caps, from the places at which others lead into one,
+    to where they leave it: a small part of the pointers, that leap a whole segment, and so on, level by level, until
+    one segment holds a group.  Down the levels, the segments are walked from the one place at which each is entered.
     """
     end = F.col("start") + F.col("size")
     want = F.greatest(end, F.col("start") + cap)
@@ -150,17 +210,18 @@ def bin_starts(records: DataFrame, group: list[str], cap: int) -> DataFrame:
     held = records.select(*group, spans.alias("stretch"), "start", F.struct(F.col("start").alias("start"), end.alias("end")).alias("holder"), F.lit(None).cast("long").alias("of"))
     asked = records.select(*group, F.floor(want / cap).alias("stretch"), want.alias("start"), F.lit(None).cast("struct<start:bigint,end:bigint>").alias("holder"), F.col("start").alias("of"))
     order = Window.partitionBy(*group, "stretch").orderBy("start", F.col("of").isNotNull())
-    found = held.unionByName(asked).withColumn("next", F.last("holder", ignorenulls=True).over(order)).where("of is not null and next.end > start")
-    leaps = cut(found.select(*group, F.col("of").alias("start"), F.col("next.start").alias("next")))
-    known, step = cut(records.groupBy(*group).agg(F.min("start").alias("start")).withColumn("batch", F.lit(0).cast("long"))), 1
+    found = held.unionByName(asked).withColumn("next", F.last("holder", ignorenulls=True).over(order)).where("of is not null")
+    leaps = cut(found.select(*group, F.col("of").alias("start"), F.when(F.col("next.end") > F.col("start"), F.col("next.start")).alias("next"), F.lit(1).cast("long").alias("hops")))
+    last, width, levels = records.agg(F.max("start")).first()[0] or 0, cap * SEGMENT, []
     while True:
-        ahead = known.join(leaps, [*group, "start"]).select(*group, F.col("next").alias("start"), (F.col("batch") + step).alias("batch"))
-        more = cut(ahead)
-        if not more.limit(1).count():
-            return known
-        known, step = cut(known.unionByName(more)), 2 * step
-        far = leaps.select(*group, F.col("start").alias("next"), F.col("next").alias("far"))
-        leaps = cut(leaps.join(far, [*group, "next"]).select(*group, "start", F.col("far").alias("next")))
+        levels.append((_segments(leaps, group, width), width))
+        if last < width:
+            break
+        leaps, width = cut(_leaving(levels[-1][0], group)), width * SEGMENT
+    known = records.where("start = 0").select(*group, "start", F.lit(0).cast("long").alias("batch"))
+    for segments, width in reversed(levels):
+        known = cut(_visited(segments, known, group, width))
+    return known
 
 
 def batches(rows: DataFrame, size: str, order: list[str], group: list[str], cap: int = X.SEED_CAP) -> DataFrame:

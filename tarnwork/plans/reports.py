@@ -57,7 +57,7 @@ def batched_findings(seeds: DataFrame, cap: int = X.SEED_CAP) -> tuple[DataFrame
     """
     sizes = seeds.select(F.lit(0).alias("tree"), "path", (F.octet_length("json") + 1).alias("bytes"))
     numbers = cut(S.batches(sizes, "bytes", ["path"], ["tree"], cap).select("path", "batch"))
-    marked = seeds.join(numbers, "path").withColumn("path", F.concat(F.col("batch").cast("string"), F.lit("/"), "path"))
+    marked = cut(seeds.join(numbers, "path").select(F.concat(F.col("batch").cast("string"), F.lit("/"), "path").alias("path"), "record"))  # read by each kind of rule
     external = marked.select("path", F.explode("record.external").alias("text"))
     found = R.findings(S.compact_evidence(marked), external, marked.select("path"), F.substring_index("path", "/", 1))
     batch = F.substring_index("path", "/", 1)

@@ -96,6 +96,26 @@ def test_batches_equal_the_fold(spark):
     assert got == {(t, i): b for t, sizes in trees.items() for i, b in enumerate(folded(sizes, 100))}
 
 
+@pytest.mark.parametrize("segment", [2, 64])
+def test_batches_over_levels_of_segments(spark, monkeypatch, segment):
+    monkeypatch.setattr(S, "SEGMENT", segment)
+    r = random.Random(segment)
+    trees = {t: [r.choice([0, 1, 30, 99, 100, 101, 150, 700, r.randrange(1, 40)]) for _ in range(n)] for t, n in enumerate((1, 5, 300, 600))}
+    rows = [(t, i, n) for t, sizes in trees.items() for i, n in enumerate(sizes)]
+    df = S.batches(spark.createDataFrame(rows, "tree int, i int, n int").repartition(5), "n", ["i"], ["tree"], 100)
+    assert {(x.tree, x.i): x.batch for x in df.collect()} == {(t, i): b for t, sizes in trees.items() for i, b in enumerate(folded(sizes, 100))}
+
+
+def test_pointers_of_all_records_are_written_once(spark, monkeypatch):
+    """All pointers were joined and written anew for each doubling of the batches."""
+    written, cut = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df: written.append(cut(df)) or written[-1])
+    rows = spark.range(4000).selectExpr("0 as tree", "id * 10 as start", "10L as size")
+    starts = {x.batch: x.start for x in S.bin_starts(rows, ["tree"], 50).collect()}
+    assert starts == {b: 50 * b for b in range(800)}
+    assert sum(df.count() for df in written) < 2 * 4000
+
+
 def test_no_group_is_folded_in_one_task(spark):
     df = S.batches(spark.range(1000).selectExpr("0 as tree", "id as i", "10 as n"), "n", ["i"], ["tree"], 100)
     assert "FlatMapGroups" not in df._jdf.queryExecution().toString() and {x.batch for x in df.collect()} == set(range(100))
