@@ -80,7 +80,7 @@ def calls_named(c: Column, name: str) -> Column:
 
 
 def eval_invoked(low: Column) -> Column:
-    return low.rlike("(^|[^A-Za-z0-9])eval +[$`\"']")
+    return F.contains(low, F.lit("eval ")) & low.rlike("(^|[^A-Za-z0-9])eval +[$`\"']")
 
 
 def normal_path(c: Column) -> Column:
@@ -110,4 +110,5 @@ def utf8(content: Column) -> Column:
 
 def redacted(c: Column, chars: int) -> Column:
     """The first characters with secrets.<name> tokens blanked; tokens are runs of [A-Za-z0-9_.-]."""
-    return F.regexp_replace(F.substring(c, 1, chars), r"(?i)(?<![A-Za-z0-9_.-])secrets\.[A-Za-z0-9_.-]*", "secrets.<redacted>")
+    head = F.substring(c, 1, chars)
+    return F.when(F.contains(ascii_lower(head), F.lit("secrets.")), F.regexp_replace(head, r"(?i)(?<![A-Za-z0-9_.-])secrets\.[A-Za-z0-9_.-]*", "secrets.<redacted>")).otherwise(head)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..functions.text import ascii_lower, contains_any, eval_invoked, lines, strip, utf8
+from ..functions.text import any_of, ascii_lower, contains_any, eval_invoked, lines, strip, utf8
 from ..session import cut, ship_code
 from .lexer import CALLING, LEXIS, calls, lexed, statements
 from .paths import language
@@ -194,13 +194,14 @@ def syntax_evidence(files: DataFrame) -> DataFrame:
     return python.where("kind <> 'unparsed'").unionByName(plain).unionByName(lexed_evidence(lines)).distinct()
 
 
+def _leaves(text: Column) -> Column:
+    """An import that is not followed."""
+    return any_of(F.startswith(F.ltrim(text), F.lit(s)) for s in X.EXTERNAL_STARTS)
+
+
 def external(evidence: DataFrame) -> DataFrame:
     """(path, lang, kind external, no line, marked text) of imports that are not followed."""
-    start = F.ltrim("text")
-    leaves = None
-    for s in X.EXTERNAL_STARTS:
-        leaves = F.startswith(start, F.lit(s)) if leaves is None else leaves | F.startswith(start, F.lit(s))
-    rows = evidence.where((F.col("kind") == "import") & leaves)
+    rows = evidence.where((F.col("kind") == "import") & _leaves(F.col("text")))
     return rows.select("path", "lang", F.lit("external").alias("kind"), F.lit(None).cast("int").alias("line"), F.concat(F.lit(X.EXTERNAL_MARK), "text").alias("text")).distinct()
 
 
@@ -210,10 +211,21 @@ def dehydrate(files: DataFrame, max_bytes: int = X.MAX_BYTES) -> DataFrame:
     return line_evidence(file_lines(read)).unionByName(syntax_evidence(read))
 
 
-def records(evidence: DataFrame) -> DataFrame:
-    """One nested record per file: lists sorted and distinct, locations by (line, kind, text)."""
-    strings = [F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("text")))).alias(f"{k}s") for k in ("import", "signature", "call")]
-    leaving = F.array_sort(F.collect_set(F.when(F.col("kind") == "external", F.col("text")))).alias("external")
-    every = F.array_sort(F.collect_list(F.when(F.col("kind") != "external", F.struct("line", "kind", "text")))).alias("locations")
-    return evidence.groupBy("path", "lang").agg(*strings, every, leaving)
+def records(evidence: DataFrame, follow: bool = True) -> DataFrame:
+    """One nested record per file: lists sorted and distinct, locations by (line, kind, text).
+
+    A file's rows are collected once, all lists are parts of that one.  Without ``follow``, imports that lead out
+    are marked here, as rows of ``external`` would be.
+    """
+    rows = evidence.select("path", "lang", F.struct("line", "kind", "text").alias("row"))
+    files = rows.groupBy("path", "lang").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+
+    def texts(kind: str) -> Column:
+        return F.transform(F.filter("rows", lambda r: (r["kind"] == kind) & r["text"].isNotNull()), lambda r: r["text"])
+
+    lists = {f"{k}s": F.sort_array(F.array_distinct(texts(k))) for k in ("import", "signature", "call")}
+    marked = F.transform(F.filter(texts("import"), _leaves), lambda t: F.concat(F.lit(X.EXTERNAL_MARK), t))
+    leaving = texts("external") if follow else F.concat(texts("external"), marked)
+    places = F.filter("rows", lambda r: r["kind"] != "external")
+    return files.select("path", "lang", *(v.alias(n) for n, v in lists.items()), places.alias("locations"), F.sort_array(F.array_distinct(leaving)).alias("external"))
 

@@ -23,7 +23,8 @@ def scope(path: Column) -> Column:
 
 def capped(severity: Column, path: Column) -> Column:
     """Test and fixture paths never exceed low."""
-    return F.when(scope(path).isin("test", "fixture"), "low").otherwise(severity)
+    low = F.transform(F.array(path), lambda p: ascii_lower(normal_path(p)))  # lower-cased once for all marks
+    return F.when(F.exists(low, lambda p: _marked(p, X.FIXTURE_PATHS) | _marked(p, X.TEST_PATHS)), "low").otherwise(severity)
 
 
 def severity_rank(severity: Column) -> Column:
@@ -44,7 +45,8 @@ def is_workflow(path: Column) -> Column:
 
 
 def is_container_file(path: Column) -> Column:
-    return base_name(ascii_lower(normal_path(path))).rlike(r"^(dockerfile|containerfile|.*\.dockerfile|.*\.containerfile)$")
+    low = ascii_lower(normal_path(path))
+    return any_of(F.contains(low, F.lit(n)) for n in ("dockerfile", "containerfile")) & base_name(low).rlike(r"^(dockerfile|containerfile|.*\.dockerfile|.*\.containerfile)$")
 
 
 def is_manifest(path: Column) -> Column:

@@ -50,9 +50,13 @@ def lifecycle(text: Column) -> Column:
 def line_findings(e: DataFrame) -> DataFrame:
     """Rules that one line decides, given its file's workflow flag."""
     # lines with a secret pass the filter, so the file's flag is found among the lines that are left
-    rows = e.where(prefilter(F.col("text"))).withColumns({"low": ascii_lower(F.col("text")), "flow": is_workflow(F.col("path")), "docker": is_container_file(F.col("path")), "manifest": is_manifest(F.col("path")) & F.col("line").isNotNull()})
-    flag = F.max(F.col("flow") & contains_any(F.col("low"), X.SECRETS)).over(Window.partitionBy("path"))
-    rows = rows.withColumn("file_secret", flag)
+    # lines of other files need no flag, and are not sorted by file for one
+    rows = e.withColumn("flow", F.coalesce(is_workflow(F.col("path")), F.lit(False)))
+    low = ascii_lower(F.col("text"))
+    flag = F.max(contains_any(low, X.SECRETS)).over(Window.partitionBy("path"))
+    passed = prefilter(F.col("text"))
+    rows = rows.where(F.col("flow") & passed).withColumn("file_secret", flag).unionByName(rows.where(~F.col("flow") & passed).withColumn("file_secret", F.lit(False)))
+    rows = rows.withColumns({"low": low, "docker": is_container_file(F.col("path")), "manifest": is_manifest(F.col("path")) & F.col("line").isNotNull()})
     t, low, flow, docker, kind = (F.col(c) for c in ("text", "low", "flow", "docker", "kind"))
     path = normal_path(F.col("path"))
     run = F.startswith(lstrip(t), F.lit("run:"))
@@ -148,8 +152,10 @@ def default_root(e: DataFrame) -> DataFrame:
 
 def ledger(rows: DataFrame) -> DataFrame:
     """Findings capped by scope and distinct in (path, line, rule, evidence)."""
-    out = rows.withColumn("severity", capped(F.col("severity"), F.col("path")))
-    return out.groupBy("path", "line", "rule", "evidence").agg(F.first("severity").alias("severity"), F.first("title").alias("title"), F.min("rule_seq").alias("rule_seq")).select(*COLUMNS, "rule_seq")
+    severity, rule, title = (F.get(F.array(*(F.lit(x) for x in values)), F.col("rule_seq")) for values in zip(*((s, r, t) for r, s, t in X.RULES), strict=True))
+    # a rule's number says its name, title and severity: no more is shuffled or compared
+    out = rows.select("path", "line", "evidence", "rule_seq").distinct()
+    return out.withColumns({"severity": capped(severity, F.col("path")), "rule": rule, "title": title}).select(*COLUMNS, "rule_seq")
 
 
 def findings(evidence: DataFrame, external: DataFrame | None = None, files: DataFrame | None = None, tree: Column | None = None) -> DataFrame:

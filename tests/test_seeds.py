@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwork.functions import fixed as X
 from tarnwork.operators import seed as S
@@ -83,3 +84,34 @@ def test_the_rung_near_the_bound_of_the_whole(spark, less):
     want = len(written(limited(rec, S.limit_ladder()[0])).encode()) + 1
     x = S.compact(spark.createDataFrame([tuple(rec.values())], RECORD), want - less).first()
     assert json.loads(x.json) == by_writing(rec, want - less)[0]
+
+
+def test_imports_that_lead_out_are_found_in_one_pass(spark):
+    from tarnwork.operators import extract as E
+
+    kinds, texts = ["call", "import", "signature", "external", None], ["from .a import b", "  import c", "use d", "[EXTERNAL_BLACKBOX] from .a import b", "", None]
+    r = random.Random(5)
+    rows = [(f"p{i % 40}", r.choice(["a", "b"]), r.choice(kinds), r.choice([None, 1, 2, 10]), r.choice(texts)) for i in range(400)] + [("only", "a", None, 1, "x")]
+    e = spark.createDataFrame(rows, "path string, lang string, kind string, line int, text string")
+    told = lambda df: {(x.path, x.lang): x for x in df.collect()}
+    one, two = E.records(e, follow=False), E.records(e.unionByName(E.external(e)))
+    assert told(one) == told(two) and one.columns == two.columns and told(one)["only", "a"].locations == []
+    for (path, lang), x in told(two).items():
+        own = [q for q in rows if q[:2] == (path, lang)]
+        for kind, got in (("import", x.imports), ("signature", x.signatures), ("call", x.calls)):
+            assert got == sorted({q[4] for q in own if q[2] == kind and q[4] is not None})
+        key = lambda q: tuple((v is not None, v or (0 if i == 0 else "")) for i, v in enumerate(q))
+        assert [tuple(p) for p in x.locations] == sorted(((q[3], q[2], q[4]) for q in own if q[2] not in (None, "external")), key=key)
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert (leaves(one), leaves(two)) == (1, 2)
+
+
+def test_only_lines_of_workflows_are_sorted_for_the_flag(spark):
+    from tarnwork.operators import rules as R
+
+    rows = [(".github/workflows/a.yml", "signature", 1, "run: echo ${{ github.event.x }} secrets.TOKEN"), (".github/workflows/a.yml", "signature", 2, "run: echo ${{ github.event.y }}"), (".github/workflows/b.yml", "signature", 1, "run: echo ${{ github.event.z }} | bash -c"), ("a.sh", "call", 1, "eval(secrets.TOKEN)"), (None, "call", 1, "eval(x)")]
+    e = spark.createDataFrame(rows, "path string, kind string, line int, text string").withColumn("lang", F.lit("yaml"))
+    found = R.line_findings(e)
+    assert {(x.path, x.line) for x in found.collect() if x.rule == "workflow-secret-shell"} == {(".github/workflows/a.yml", 1), (".github/workflows/a.yml", 2)}
+    assert {x.path for x in found.collect() if x.rule == "dynamic-shell-eval"} == {".github/workflows/b.yml", "a.sh", None}
+    assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
